@@ -1,0 +1,4 @@
+"""All registered queries of the library's own operators."""
+
+QUERIES: dict = {}
+ORACLE: dict = {}
