@@ -7,9 +7,9 @@ with the probability of their weighted Jaccard similarity, and about k ln k + 2k
 the length (Christiani, "DartMinHash: Fast Sketching for Weighted Sets").
 
 Scale: texts of the same words are one node before anything is shuffled by band, so groups of copies of
-any size cost one row each. A band's bucket is never enumerated: every member is compared with one
-of the bucket's four heads, drawn by hash anew in each band, and a component's other links follow.
-Every proposed pair is checked exactly.
+any size cost one row each. A band's bucket is never enumerated: every member is compared with the
+bucket's first and last by a hash drawn anew in each band, up to 32 partners spread over its group, and the
+links inside a component follow. Every proposed pair is checked exactly.
 
 Defined cases: null, empty and wordless texts are classes of their own row; texts of under five words
 have one shingle, all their words; rows that repeat a doc_id and text share a class; a null doc_id takes
@@ -124,9 +124,9 @@ def near_links(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: i
     nodes = stored(made.where("print is not null").groupBy("print").agg(F.min("rid").alias("node"), F.any_value("keys").alias("keys")), "nodes")
     member = made.where("print is not null").select("rid", "print").join(nodes.select("print", "node"), "print").groupBy("rid").agg(F.min("node").alias("node"))
     spread = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    head = F.min(F.struct(F.xxhash64("node", F.col("band") % 4), F.col("node"))).getField("node")
-    heads = spread.groupBy("band", "key").agg(head.alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = stored(spread.join(heads, ["band", "key"]).where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
+    order = F.struct(F.xxhash64("node", "band"), F.col("node"))
+    heads = spread.groupBy("band", "key").agg(F.min(order).getField("node").alias("low"), F.max(order).getField("node").alias("high")).where("low <> high")
+    pairs = stored(spread.join(heads, ["band", "key"]).select("node", F.explode(F.array("low", "high")).alias("head")).where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
     needed = pairs.selectExpr("explode(array(a, b)) rid").distinct()
     texts = stored(cut.join(needed, "rid").groupBy("rid").agg(F.max("text").alias("text")), "texts")
     left, right = texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rid").alias("b"), F.col("text").alias("tb"))

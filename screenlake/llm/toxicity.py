@@ -1,8 +1,9 @@
 r"""Operator 10: toxic passages as maximal-scoring segments of token log-odds.
 
 Tokens weigh their log-odds between toxic and other labelled documents, counted once a document, under an
-informative Dirichlet prior, the counts of both together (Monroe, Colaresi and Quinn, "Fightin' Words"). All other tokens cost a fixed
-drift, so that clean text scores below zero. One linear scan (Ruzzo and Tompa) finds every maximal segment; a segment's score S
+informative Dirichlet prior, the counts of both together (Monroe, Colaresi and Quinn, "Fightin' Words"). A token
+stands for a word or a word's beginning of 4 to 10 bytes; a word takes the weight of its most specific learned
+token. Words without one cost a fixed drift, so that clean text scores below zero. One linear scan (Ruzzo and Tompa) finds every maximal segment; a segment's score S
 has the E-value K n exp(-lambda S) in a text of n tokens (Karlin and Altschul), with lambda and K from the
 tokens of the other documents. The evidence of all segments, sum of max(0, lambda S - ln K' n), goes
 through a logistic curve fitted on the labelled rows.
@@ -19,7 +20,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -44,13 +44,44 @@ def fold_of(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3))
 
 
+def stems(word: bytes) -> list[bytes]:
+    """A word and its longer beginnings, the most specific first; a `*` marks a beginning."""
+    return [word, *(word[:k] + b"*" for k in range(min(len(word), LONGEST), SHORTEST - 1, -1))]
+
+
+SHORTEST, LONGEST = 4, 10  # bytes of a stem
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told() -> Iterator[pa.RecordBatch]:
+        for toxic, c in enumerate(seen):
+            stem = Counter()
+            for w, n in c.items():
+                for x in stems(w):
+                    stem[x] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(stem), pa.binary()), pa.array([toxic] * len(stem), pa.int32()), pa.array(list(stem.values()), pa.int64())], ["token", "toxic", "n"])
+            c.clear()
+
+    seen = (Counter(), Counter())
     for batch in batches:
-        seen = (Counter(), Counter())
         for text, toxic in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
             seen[toxic].update(set(folded_words(text.as_py())))
-        for toxic, c in enumerate(seen):
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in c], pa.string()), pa.array([toxic] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["token", "toxic", "n"])
+            if len(seen[0]) + len(seen[1]) > 100_000:
+                yield from told()
+    yield from told()
+
+
+class WordWeights(dict):
+    """Weights of words met so far: that of the most specific learned stem, else 0. Forgets all at 500,000 words."""
+
+    def __init__(self, learned: dict[bytes, float]):
+        self.learned = learned
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= 500_000:
+            self.clear()
+        w = self[word] = next((self.learned[x] for x in stems(word) if x in self.learned), 0.0)
+        return w
 
 
 def segments(at: list[int], weight: list[float], drift: float) -> list[tuple[float, int, int]]:
@@ -79,11 +110,11 @@ def segments(at: list[int], weight: list[float], drift: float) -> list[tuple[flo
     return [(r - l, a, b) for l, r, a, b in kept]
 
 
-def passages(words: list[bytes], model: Model) -> tuple[float, list[tuple[float, int, int]]]:
+def passages(words: list[bytes], model: Model, known: WordWeights) -> tuple[float, list[tuple[float, int, int]]]:
     """The calibrated evidence of a text and its significant segments."""
     if not words or not model.weights:
         return 0.0, []
-    w = np.fromiter(map(model.weights.get, words, repeat(0.0)), float, len(words))
+    w = np.fromiter(map(known.__getitem__, words), float, len(words))
     at = np.flatnonzero(w)
     found = segments(at.tolist(), w[at].tolist(), model.drift)
     bar = math.log(max(model.space * len(words), 1.0))
@@ -105,8 +136,9 @@ def _lambda(weights: np.ndarray, share: np.ndarray, drift: float) -> float:
 
 def _evidence(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordWeights(model.weights)
         for batch in batches:
-            x = [passages(folded_words(t.as_py()), model)[0] for t in batch.column(0).cast(pa.binary())]
+            x = [passages(folded_words(t.as_py()), model, known)[0] for t in batch.column(0).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.float64())], ["toxic", "x"])
 
     return run
@@ -125,7 +157,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float
     return float(b[0]), float(b[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 200_000, most_tokens: int = 20_000, least_z: float = 4.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_tokens: int = 20_000, least_z: float = 4.0, least_delta: float = 1.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from the labelled rows outside the held-out fold (crc32(doc_id as text) mod 3 = 1)."""
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold_of(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     have = marks.count()
@@ -133,8 +165,8 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 200_000, most_tok
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most_rows / have * (1 << 30)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(marks, "doc_id").select("text", "toxic").where("text is not null")
     rows = stored(rows, "labelled")
-    counts = stored(rows.mapInArrow(_count, "token string, toxic int, n long").groupBy("token").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")), "counts")
-    na, nb = counts.agg(F.sum("a"), F.sum("b")).first()
+    counts = stored(rows.mapInArrow(_count, "token binary, toxic int, n long").groupBy("token").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")), "counts")
+    na, nb = counts.where(~F.endswith(F.col("token"), F.lit(b"*"))).agg(F.sum("a"), F.sum("b")).first()
     if not na or not nb:
         return Model({}, 1.0, 1.0, 1.0, 0.0, -40.0)
     # prior: a pseudo-corpus of as many tokens as the smaller side has, with the shares of both sides together
@@ -143,13 +175,14 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 200_000, most_tok
     ya, yb = F.col("a") + prior, F.col("b") + prior
     delta = F.log(ya / (na + total - ya)) - F.log(yb / (nb + total - yb))
     z = delta / F.sqrt(1 / ya + 1 / yb)
-    best = counts.select("token", "a", "b", delta.alias("delta"), z.alias("z")).where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "token").limit(most_tokens).collect()
-    return _calibrated(rows, [(r.token.encode(), r.delta, r.b / nb) for r in best], nb)
+    best = counts.select("token", "a", "b", delta.alias("delta"), z.alias("z")).where((F.col("z") >= least_z) & (F.col("delta") >= least_delta)).orderBy(F.desc("z"), "token").limit(most_tokens).collect()
+    return _calibrated(rows, [(bytes(r.token), r.delta, r.b / nb) for r in best], nb)
 
 
 def _calibrated(rows: DataFrame, tokens: list[tuple[bytes, float, float]], background: int) -> Model:
     weights = {t: w for t, w, _ in tokens}
     w, share = np.array([w for _, w, _ in tokens]), np.array([s for _, _, s in tokens])
+    share = share / max(1.0, 4 * share.sum())  # stems overlap; their sum may not pass a quarter
     share = np.maximum(share, 1.0 / background)
     drift = max(0.05, float((w * share).sum()) + 0.05)
     scale = _lambda(w, share, drift) if len(w) and (w > 0).any() else 1.0
@@ -164,11 +197,12 @@ def _calibrated(rows: DataFrame, tokens: list[tuple[bytes, float, float]], backg
 
 def _scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordWeights(model.weights)
         span = pa.list_(pa.struct([("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             score, found = [], []
             for t in batch.column(1).cast(pa.binary()):
-                x, kept = passages(folded_words(t.as_py()), model)
+                x, kept = passages(folded_words(t.as_py()), model, known)
                 score.append(1 / (1 + math.exp(-model.slope * math.log1p(min(x, 100.0)) - model.base)))
                 found.append([{"score": s, "start": a, "end": b + 1} for s, a, b in kept])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(found, span)], ["doc_id", "score", "passages"])
@@ -187,9 +221,10 @@ def drop_toxic(docs: DataFrame, model: Model, bar: float = 0.7, text_col: str =
     """``docs`` without the rows that score ``bar`` or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordWeights(model.weights)
         for batch in batches:
             k = batch.schema.get_field_index(text_col)
-            x = [passages(folded_words(t.as_py()), model)[0] for t in batch.column(k).cast(pa.binary())]
+            x = [passages(folded_words(t.as_py()), model, known)[0] for t in batch.column(k).cast(pa.binary())]
             keep = [1 / (1 + math.exp(-model.slope * math.log1p(min(v, 100.0)) - model.base)) < bar for v in x]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
