@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlake.llm import chat, decontaminate, mixing, near_dedup, quality, sharding
+from screenlake.llm import chat, decontaminate, mixing, near_dedup, quality, repeats, sharding
 from screenlake.llm import language as tongue
 from screenlake.llm import toxicity as toxic
 
@@ -43,6 +43,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.kd_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -73,7 +77,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxic.fold_of(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_mix, op4_language, op5_decontaminate, op8_shard, op9_chat, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_mix, op4_language, op5_decontaminate, op6_repeats, op8_shard, op9_chat, op10_toxicity)}
 
 ORACLE = {
     "op5_decontaminate": r"""
@@ -88,6 +92,16 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 SELECT f.doc_id, CAST(len(f.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(i.n_items, 0) AS BIGINT) AS n_items,
  sha256(coalesce(i.items, '')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated
 FROM fold f LEFT JOIN per p ON f.doc_id = p.doc_id LEFT JOIN its i ON f.doc_id = i.doc_id""",
+    "op6_repeats": r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, k, md5(array_to_string(w[k : k + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM docs WHERE len(w) >= 20)),
+firsts AS (SELECT h, min(struct_pack(d := doc_id, k := k)) AS m FROM wins GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, pos FROM (SELECT w.doc_id, unnest(range(w.k, w.k + 20)) AS pos FROM wins w JOIN firsts f ON w.h = f.h WHERE w.doc_id > f.m.d OR w.doc_id = f.m.d AND w.k > f.m.k)),
+per AS (SELECT doc_id, list(pos) AS p FROM gone GROUP BY doc_id),
+kept AS (SELECT d.doc_id, len(d.w) AS n_words, coalesce(len(p.p), 0) AS n_removed, CASE WHEN p.p IS NULL THEN array_to_string(d.w, ' ') ELSE coalesce(k.txt, '') END AS txt
+ FROM docs d LEFT JOIN per p ON d.doc_id = p.doc_id
+ LEFT JOIN (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.pos) AS txt FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM docs WHERE doc_id IN (SELECT doc_id FROM per)) x ANTI JOIN gone g ON x.doc_id = g.doc_id AND x.pos = g.pos GROUP BY x.doc_id) k ON d.doc_id = k.doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(txt) AS kept_sha256 FROM kept""",
     "op9_chat": r"""
 WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
  UNION ALL SELECT -7, * FROM (VALUES (0, 'user', '\### Assistant: </turn> ok'), (1, 'assistant', '\### Assistant: </turn> ok'))),
