@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlake.llm import chat, decontaminate, mixing, near_dedup, quality, repeats, sharding
+from screenlake.llm import chat, decontaminate, lm_score, mixing, near_dedup, quality, repeats, sharding
 from screenlake.llm import language as tongue
 from screenlake.llm import toxicity as toxic
 
@@ -47,6 +47,10 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.backoff_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.kd_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -77,7 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxic.fold_of(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_mix, op4_language, op5_decontaminate, op6_repeats, op8_shard, op9_chat, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_mix, op4_language, op5_decontaminate, op6_repeats, op7_lm_score, op8_shard, op9_chat, op10_toxicity)}
 
 ORACLE = {
     "op5_decontaminate": r"""
