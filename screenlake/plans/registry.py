@@ -18,8 +18,8 @@ VIEWS = {
     "lines": "SELECT doc_id AS doc, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS text FROM documents",
     "words": "SELECT doc, line, k, text, off * 10 AS x0, off * 10 + length(text) * 10 AS x1, line * 20 + (doc + line) % 3 AS y0, line * 20 + (doc + line) % 3 + 14 AS y1 FROM (SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc, line ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM (SELECT doc, line, generate_subscripts(string_split(text, ' '), 1) - 1 AS k, unnest(string_split(text, ' ')) AS text FROM lines)) WHERE text <> ''",
     "two": "SELECT doc, line, text AS a, CASE (doc + line) % 5 WHEN 1 THEN replace(text, ' ', '') WHEN 2 THEN replace(text, 'l', '1') WHEN 3 THEN regexp_replace(text, ' [^ ]*$', '') WHEN 4 THEN replace(text, '.', ',') ELSE text END AS b FROM lines",
-    "frows": "SELECT l_orderkey AS list, l_linenumber AS r, [l_returnflag, l_linestatus, CAST(CAST(l_quantity AS INT) AS VARCHAR)] AS cells FROM lineitem",
-    "rects": "SELECT l_orderkey AS frame, l_linenumber AS id, CASE WHEN l_returnflag = 'N' THEN 'window' ELSE 'pane' END AS kind, l_partkey * 37 % 1500 AS x0, l_suppkey * 53 % 800 AS y0, l_partkey * 37 % 1500 + 50 + 20 * CAST(l_quantity AS BIGINT) AS x1, l_suppkey * 53 % 800 + 40 + CAST(floor(l_extendedprice) AS BIGINT) % 400 AS y1 FROM lineitem",
+    "frows": "SELECT l_orderkey AS list, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INT) AS r, [l_returnflag, l_linestatus, CAST(CAST(l_quantity AS INT) AS VARCHAR)] AS cells FROM lineitem",
+    "rects": "SELECT l_orderkey AS frame, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INT) AS id, CASE WHEN l_returnflag = 'N' THEN 'window' ELSE 'pane' END AS kind, l_partkey * 37 % 1500 AS x0, l_suppkey * 53 % 800 AS y0, l_partkey * 37 % 1500 + 50 + 20 * CAST(l_quantity AS BIGINT) AS x1, l_suppkey * 53 % 800 + 40 + CAST(floor(l_extendedprice) AS BIGINT) % 400 AS y1 FROM lineitem",
     "segments": "SELECT l_orderkey AS frame, CASE WHEN l_linestatus = 'F' THEN 'h' ELSE 'v' END AS axis, l_partkey % 200 AS pos, l_suppkey * 7 % 500 AS a, l_suppkey * 7 % 500 + CAST(l_quantity AS BIGINT) AS b FROM lineitem",
     "thumbs": "SELECT vec_id AS frame, CAST(label AS BIGINT) AS burst, list_transform(embedding, lambda v: CAST(floor((CAST(v AS DOUBLE) + 1) * 127.5) AS BIGINT)) AS thumb FROM embeddings",
     "names": "SELECT p_partkey AS key, p_name AS name, CASE p_partkey % 4 WHEN 1 THEN replace(p_name, 'o', '0') WHEN 2 THEN substr(p_name, 1, 4) || '…' || right(p_name, 4) WHEN 3 THEN upper(p_name) ELSE p_name END AS reading, CAST(p_size AS BIGINT) AS seen_at FROM part",

@@ -64,16 +64,21 @@ def two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc", "line", F.col("text").alias("a"), b.alias("b"))
 
 
+def _numbered() -> Column:
+    """Lines of an order, from 1; line numbers repeat in the table."""
+    return F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+
+
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(list, r, cells): table rows of three cells."""
     cells = F.array("l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").cast("string"))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("list"), F.col("l_linenumber").alias("r"), cells.alias("cells"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("list"), _numbered().alias("r"), cells.alias("cells"))
 
 
 def rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame, id, kind, x0, y0, x1, y1): windows and panes."""
     x0, y0 = F.col("l_partkey") * 37 % 1500, F.col("l_suppkey") * 53 % 800
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("id"), F.when(F.col("l_returnflag") == "N", "window").otherwise("pane").alias("kind"), x0.alias("x0"), y0.alias("y0"), (x0 + 50 + 20 * F.col("l_quantity").cast("long")).alias("x1"), (y0 + 40 + F.floor("l_extendedprice") % 400).alias("y1"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), _numbered().alias("id"), F.when(F.col("l_returnflag") == "N", "window").otherwise("pane").alias("kind"), x0.alias("x0"), y0.alias("y0"), (x0 + 50 + 20 * F.col("l_quantity").cast("long")).alias("x1"), (y0 + 40 + F.floor("l_extendedprice") % 400).alias("y1"))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
