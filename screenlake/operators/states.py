@@ -25,3 +25,48 @@ def stretches(samples: DataFrame, line: float = 4.0) -> DataFrame:
 
     s = samples if "bound" in samples.columns else samples.selectExpr("*", f"{line}D AS bound")
     return s.select("video", "t", "seq", "call", "level", "frac", "bound").groupBy("video").applyInPandas(fold, "video long, start long, end long, n long, call string, best_seq long")
+
+
+def window_states(rows: DataFrame, least: float = 0.9) -> DataFrame:
+    """(video, first, last, n, lines): states of a window in order of time. Equal content extends a state, a scrolled view is stitched on, likeness of ``least`` keeps the fuller reading, else a new state begins."""
+    import difflib
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[dict] = []
+        for ts, g in pdf.sort_values(["ts", "seq"]).groupby("ts", sort=True):
+            lines = g["said"].tolist()
+            now = out[-1] if out else None
+            if now is not None:
+                most = min(len(now["lines"]), len(lines))
+                n = next((k for k in range(most, 2, -1) if now["lines"][-k:] == lines[:k]), 0)
+                if now["lines"] == lines or n:
+                    now["lines"] = now["lines"] + lines[n:] if n else lines
+                elif difflib.SequenceMatcher(None, " ".join(now["lines"]), " ".join(lines)).quick_ratio() >= least:
+                    now["lines"] = max(now["lines"], lines, key=lambda x: sum(map(len, x)))
+                else:
+                    now = None
+            if now is None:
+                now = {"video": g["video"].iloc[0], "first": ts, "n": 0, "lines": lines}
+                out.append(now)
+            now["last"], now["n"] = ts, now["n"] + 1
+        return pd.DataFrame([{**s, "lines": len(s["lines"])} for s in out], columns=["video", "first", "last", "n", "lines"])
+
+    return rows.select("video", "ts", "seq", "said").groupBy("video").applyInPandas(fold, "video long, first long, last long, n long, lines long")
+
+
+def built_states(rows: DataFrame, share: float = 0.3) -> DataFrame:
+    """(video, state, first, last, words): moments join the newest state that shares enough words; thin readings stay pieces of it."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[dict] = []
+        for ts, g in pdf.sort_values(["ts", "seq"]).groupby("ts", sort=True):
+            words = {w for t in g["said"] for w in t.lower().split()}
+            hit = next((s for s in reversed(out) if words and len(words & s["words"]) >= share * min(len(words), len(s["words"]))), None)
+            if hit is None:
+                hit = {"video": g["video"].iloc[0], "state": len(out), "first": ts, "words": set()}
+                out.append(hit)
+            hit["words"] |= words
+            hit["last"] = ts
+        return pd.DataFrame([{**s, "words": len(s["words"])} for s in out], columns=["video", "state", "first", "last", "words"])
+
+    return rows.select("video", "ts", "seq", "said").groupBy("video").applyInPandas(fold, "video long, state long, first long, last long, words long")
