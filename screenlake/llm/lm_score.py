@@ -4,7 +4,7 @@ A document's score is the sum over its words w after b of log10 of c(b w) / c(b)
 0.4 c(w) / N, as for its first word (Brants et al., "Large Language Models in Machine Translation"), 0.4 / N for words met nowhere else. Counts
 are over all documents without the scored one, else every pair would be known.
 
-The relations are blocks, not rows: documents are encoded to blocks (one per Arrow batch) with local word numbers; each block
+The relations are blocks, not rows: documents are encoded to blocks (runs of an Arrow batch up to ``block_words`` words) with local word numbers; each block
 explodes to its distinct n-grams, cut by hash range into parts (``count request``); a part of the count table sums
 what all blocks sent and tells each block its n-grams' counts; the block joins them and sums per document.
 
@@ -34,23 +34,46 @@ NEW = U(0x2545F4914F6CDD1D)  # stands before a document's first word
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+    """An array of integers, its bytes sorted by place, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        texts = [plain_words(t.as_py()) for t in batch.column(1).cast(pa.binary())]
+def _pack_sorted(a: np.ndarray) -> bytes:
+    return _pack(np.diff(a, prepend=U(0)))
+
+
+def _unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b, U), dtype=U)
+
+
+def _encoded(block_words: int):
+    def block(ids: pa.Array, texts: list[list[bytes]], hashes: WordHashes) -> pa.RecordBatch:
         size = np.array([len(t) for t in texts], np.int32)
         h = np.concatenate([hashes.of(t) for t in texts]) if texts else np.zeros(0, U)
-        words, number = np.unique(h, return_inverse=True)
-        ids = batch.column(0)
-        block = xxhash.xxh3_64_intdigest(h.tobytes() + repr(ids.to_pylist()).encode()) >> 1
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([_pack(size)]), pa.array([_pack(words)]), pa.array([_pack(number.astype(np.int32))]), pa.array([len(h)], pa.int64())], ["block", "ids", "sizes", "words", "tokens", "n"])
+        words, number, count = np.unique(h, return_inverse=True, return_counts=True)
+        often = np.argsort(-count, kind="stable")  # frequent words get small numbers, which pack better
+        place = np.empty(len(words), np.int32)
+        place[often] = np.arange(len(words), dtype=np.int32)
+        name = xxhash.xxh3_64_intdigest(h.tobytes() + repr(ids.to_pylist()).encode()) >> 1
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([_pack(size)]), pa.array([_pack(words[often])]), pa.array([_pack(place[number])]), pa.array([len(h)], pa.int64())], ["block", "ids", "sizes", "words", "tokens", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            first, held, texts = 0, 0, []
+            for k, t in enumerate(batch.column(1).cast(pa.binary())):
+                texts.append(plain_words(t.as_py()))
+                held += len(texts[-1])
+                if held >= block_words or k == len(batch) - 1:
+                    yield block(batch.column(0).slice(first, len(texts)), texts, hashes)
+                    first, held, texts = k + 1, 0, []
+
+    return run
 
 
 def _grams(sizes: bytes, words: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,7 +101,7 @@ def _requests(parts: int):
                 for order, x in ((1, h), (2, pair)):
                     keys, n = np.unique(x, return_counts=True)
                     ends = np.concatenate(([0], np.searchsorted(keys, cuts), [len(keys)]))
-                    out += [(p, block, order, keys[a:b].tobytes(), _pack(n[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+                    out += [(p, block, order, _pack_sorted(keys[a:b]), _pack(n[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
                 cols = list(zip(*out, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "order", "keys", "counts"])
 
@@ -91,11 +114,11 @@ def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now = None
 
     def told() -> pa.RecordBatch:
-        keys = [np.frombuffer(k, U) for _, k, _ in held]
+        keys = [_unpack_sorted(k) for _, k, _ in held]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate([_unpack(n, np.uint32) for _, _, n in held]), minlength=len(every))[at]
         ends = np.cumsum([len(k) for k in keys])
-        out = [_pack(x.astype(np.uint64)) for x in np.split(total, ends[:-1])]
+        out = [_pack(x.astype(np.int64)) for x in np.split(total, ends[:-1])]
         return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in held], pa.int64()), pa.array([now[1]] * len(held), pa.int32()), pa.array([now[0]] * len(held), pa.int32()), pa.array(out, pa.binary())], ["block", "order", "part", "counts"])
 
     for batch in batches:
@@ -112,7 +135,7 @@ def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scored(total: int, backoff: float, kind: pa.DataType):
     def own(doc: np.ndarray, at: np.ndarray, most: int) -> np.ndarray:
         _, back, n = np.unique(doc.astype(np.int64) * most + at, return_inverse=True, return_counts=True)
-        return n[back]
+        return n.astype(np.int32)[back]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,8 +145,8 @@ def _scored(total: int, backoff: float, kind: pa.DataType):
                 count, mine = {}, {}
                 for order, x in ((1, h), (2, pair)):
                     keys, at = np.unique(x, return_inverse=True)
-                    every = [_unpack(r["counts"], np.uint64) for _, r in sorted({r["part"]: r for r in told or [] if r["order"] == order}.items())]
-                    count[order] = np.concatenate(every).astype(np.int64)[at] if every else np.zeros(0, np.int64)
+                    every = [_unpack(r["counts"], np.int64) for _, r in sorted({r["part"]: r for r in told or [] if r["order"] == order}.items())]
+                    count[order] = np.concatenate(every)[at] if every else np.zeros(0, np.int64)
                     mine[order] = own(doc, at, len(keys) + 1)
                 one, two = count[1] - mine[1], count[2] - mine[2]
                 context = np.concatenate(([0], one[:-1])) if len(h) else one
@@ -136,11 +159,11 @@ def _scored(total: int, backoff: float, kind: pa.DataType):
     return run
 
 
-def backoff_scores(docs: DataFrame, backoff: float = 0.4, part_grams: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def backoff_scores(docs: DataFrame, backoff: float = 0.4, block_words: int = 1_500_000, part_grams: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, log10_score, n_backoff, n_unseen) per row of ``docs``."""
     cut = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = cut.schema["doc_id"].dataType.simpleString()
-    blocks = stored(cut.mapInArrow(_encoded, f"block long, ids array<{kind}>, sizes binary, words binary, tokens binary, n long"), "blocks")
+    blocks = stored(cut.mapInArrow(_encoded(block_words), f"block long, ids array<{kind}>, sizes binary, words binary, tokens binary, n long"), "blocks")
     total = blocks.agg(F.sum("n")).first()[0] or 0
     parts = max(16, 2 * total // part_grams)
     ask = blocks.select("block", "sizes", "words", "tokens").mapInArrow(_requests(parts), "part int, block long, order int, keys binary, counts binary")
