@@ -1,0 +1,131 @@
+"""Literal truths of single operators."""
+
+import importlib
+import random
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from screenlake.functions import strings as fs
+from screenlake.functions.graph import components
+from screenlake.operators import joins, layout, scans, states
+from screenlake.streaming import carriers
+
+
+def one(spark, expr, **cols):
+    df = spark.range(1).select(*(F.lit(v).alias(k) for k, v in cols.items()))
+    return df.select(expr.alias("x")).first().x
+
+
+def test_ladder(spark):
+    r = lambda a, b: one(spark, fs.reconciled(F.col("a"), F.col("b")).getField("status"), a=a, b=b)
+    assert r("notes.md", "") == "unverified"
+    assert r("notes.md", "notes.md") == "confident"
+    assert r("even ona", "evenona") == "reconciled"
+    assert r("a>b", "a-b") == "ambiguous-symbol"
+    assert r("l0g", "lOg") == "ambiguous-glyph"
+    assert r("alpha", "omega") == "uncertain"
+
+
+def test_merge_keeps_every_symbol(spark):
+    m = one(spark, fs.merged_readings(F.col("a"), F.col("b")), a="even ona...x", b="evenona... x")
+    assert m.text == "even ona... x" and m.clashes == 0
+    assert one(spark, fs.merged_readings(F.col("a"), F.col("b")), a="ab", b="ac") is None
+
+
+def test_cut_names(spark):
+    assert one(spark, fs.completes(F.col("s"), F.col("f")), s="project_ship…fix.md", f="project_shipment_fix.md")
+    assert not one(spark, fs.completes(F.col("s"), F.col("f")), s="plain", f="plain.md")
+
+
+def test_dates_and_sizes(spark):
+    assert one(spark, fs.tidy_date(F.col("s")), s="Jun30,2026at5:51PM") == "Jun 30, 2026 at 5:51 PM"
+    assert one(spark, fs.tidy_date(F.col("s")), s="hello") is None
+    assert one(spark, fs.tidy_size(F.col("s")), s="2Kb Markdown").size == "2 KB"
+
+
+def test_kind_of_a_cut_cell(spark):
+    assert one(spark, fs.kind_of(F.col("s")), s="Markdo...text fi") == "Markdown text file"
+    assert one(spark, fs.kind_of(F.col("s")), s="P…") is None
+
+
+def test_overlap_splice(spark):
+    assert one(spark, joins.overlap_join(F.col("a"), F.col("b")), a="project_sh", b="_shipment.md") == "project_shipment.md"
+    assert one(spark, joins.overlap_join(F.col("a"), F.col("b")), a="abc", b="xyz") is None
+
+
+def test_scrolled_views(spark):
+    s = lambda a, b: one(spark, joins.scrolled(F.array(*map(F.lit, a)), F.array(*map(F.lit, b))))
+    assert s("abcde", "cdefg") == list("abcdefg")
+    assert s("abc", "abc") == list("abc")
+    assert s("abcde", "defgh") is None
+
+
+def test_running_cue_and_ties(spark):
+    screens = spark.createDataFrame([(1, 10, 1), (1, 10, 2), (1, 50, 3)], "video long, start long, seq long")
+    cues = spark.createDataFrame([(1, 5, 1, "before"), (1, 10, 2, "at"), (1, 20, 3, "later")], "video long, t long, seq long, text string")
+    got = {r.seq: r.said for r in joins.said_on_screens(screens, cues).collect()}
+    assert got == {1: "at", 2: "at later", 3: "later"}
+
+
+def test_transcript_lines(spark):
+    df = spark.createDataFrame([("**[1:02:03]** hello",), ("no cue",), ("**[0:00:01]**  ",)], "value string")
+    assert [(r.t, r.said) for r in scans.read_cues(df).collect()] == [(3723, "hello")]
+
+
+def test_parent_paths(spark):
+    df = spark.createDataFrame([(1, 0, 0, "a"), (1, 1, 1, "b"), (1, 2, 2, "c"), (1, 3, 1, "d")], "t int, pos int, depth int, name string")
+    assert [r.path for r in layout.parent_paths(df, ["t"]).orderBy("pos").collect()] == ["a", "a/b", "a/b/c", "a/d"]
+
+
+def brute(edges):
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    return {x: find(x) for x in parent}
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
+def test_components(spark, edges):
+    edges = [(a, b) for a, b in edges if a != b]
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == brute(edges)
+
+
+def test_components_of_a_long_chain(spark):
+    n = list(range(200))
+    random.Random(1).shuffle(n)
+    got = components(spark.createDataFrame(list(zip(n, n[1:], strict=False)), "a long, b long"))
+    assert {r.component for r in got.collect()} == {0}
+
+
+def test_stretch_stream_equals_batch(spark, sf):
+    from screenlake.sources import views
+
+    s = views.samples(spark, sf).select("video", "t", "seq", "call", "level", "frac")
+    batch = carriers.batch_fold(s, "video", ["t", "seq"], carriers.STRETCH, carriers.stretch_step(30.0)).collect()
+    full = {tuple(r) for r in states.stretches(s, 30.0).collect()}
+    assert {tuple(r) for r in batch} < full  # only each recording's open stretch is untold
+    from screenlake.plans import catalog
+
+    assert {tuple(r) for r in catalog.QUERIES["ST01_stretches"](spark, sf).collect()} == {tuple(r) for r in batch}
+
+
+def test_entry():
+    e = importlib.import_module("__spark_entry__")
+    assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_unknown_kinds_of_rows_do_not_fail(spark):
+    empty = spark.createDataFrame([], "a long, b long")
+    assert components(empty).count() == 0
