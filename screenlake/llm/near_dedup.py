@@ -128,7 +128,8 @@ def near_links(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: i
     heads = spread.groupBy("band", "key").agg(F.min(order).getField("node").alias("low"), F.max(order).getField("node").alias("high")).where("low <> high")
     pairs = stored(spread.join(heads, ["band", "key"]).select("node", F.explode(F.array("low", "high")).alias("head")).where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
     needed = pairs.selectExpr("explode(array(a, b)) rid").distinct()
-    texts = stored(cut.join(needed, "rid").groupBy("rid").agg(F.max("text").alias("text")), "texts")
+    # a merge join at every size: the ids in pairs have no bound
+    texts = stored(cut.join(needed.hint("merge"), "rid").groupBy("rid").agg(F.max("text").alias("text")), "texts")
     left, right = texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rid").alias("b"), F.col("text").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     return made.select("rid"), member, stored(both.mapInArrow(_similar(threshold, size), "a long, b long"), "links")
