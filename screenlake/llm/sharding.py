@@ -59,6 +59,8 @@ def kd_leaves(points: DataFrame, leaves: int, dims: list[str], weight: str = "we
         df = stored(df, "tree")
         live = df.join(F.broadcast(_inline(spark, "leaf", [(k,) for k in wide])), "leaf")
         spans = live.groupBy("leaf").agg(F.sum(weight).alias("total"), *(F.struct(F.min(d), F.max(d)).alias(d) for d in dims)).collect()
+        if not spans:  # no rows are left to split
+            return df
         cuts = {}
         for r in spans:
             first, m = wide[r["leaf"]]

@@ -157,26 +157,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float
     return float(b[0]), float(b[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_tokens: int = 20_000, least_z: float = 4.0, least_delta: float = 1.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_tokens: int = 20_000, prior_share: float = 0.25, least_z: float = 2.0, least_delta: float = 1.8, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from the labelled rows outside the held-out fold (crc32(doc_id as text) mod 3 = 1)."""
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold_of(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     have = marks.count()
     if have > most_rows:
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most_rows / have * (1 << 30)))
     # about most_rows rows by now, so they may be broadcast
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "doc_id").select("text", "toxic").where("text is not null")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "doc_id").select("text", "toxic").where("text is not null").dropDuplicates(["text"])  # copies would make their rare words look telling
     rows = stored(rows, "labelled")
     counts = stored(rows.mapInArrow(_count, "token binary, toxic int, n long").groupBy("token").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")), "counts")
     na, nb = counts.where(~F.endswith(F.col("token"), F.lit(b"*"))).agg(F.sum("a"), F.sum("b")).first()
     if not na or not nb:
         return Model({}, 1.0, 1.0, 1.0, 0.0, -40.0)
-    # prior: a pseudo-corpus of as many tokens as the smaller side has, with the shares of both sides together
-    prior = F.lit(float(min(na, nb))) * (F.col("a") + F.col("b")) / (na + nb)
-    total = float(min(na, nb))
+    # prior: a pseudo-corpus with the shares of both sides together, a part of the smaller side's size
+    total = float(min(na, nb)) * prior_share
+    prior = F.lit(total) * (F.col("a") + F.col("b")) / (na + nb)
     ya, yb = F.col("a") + prior, F.col("b") + prior
     delta = F.log(ya / (na + total - ya)) - F.log(yb / (nb + total - yb))
-    z = delta / F.sqrt(1 / ya + 1 / yb)
-    best = counts.select("token", "a", "b", delta.alias("delta"), z.alias("z")).where((F.col("z") >= least_z) & (F.col("delta") >= least_delta)).orderBy(F.desc("z"), "token").limit(most_tokens).collect()
+    spread = F.sqrt(1 / ya + 1 / yb)
+    # the weight is the log-odds less one standard deviation, so that rare tokens weigh less than well-known ones
+    best = counts.select("token", "a", "b", (delta - spread).alias("delta"), (delta / spread).alias("z")).where((F.col("z") >= least_z) & (F.col("delta") >= least_delta)).orderBy(F.desc("z"), "token").limit(most_tokens).collect()
     return _calibrated(rows, [(bytes(r.token), r.delta, r.b / nb) for r in best], nb)
 
 
@@ -191,8 +192,16 @@ def _calibrated(rows: DataFrame, tokens: list[tuple[bytes, float, float]], backg
     space = max(float(share[w > 0].sum()) if len(w) else 0.0, 1.0 / background)
     model = Model(weights, drift, scale, space, 0.0, 0.0)
     bins = rows.select("text", "toxic").mapInArrow(_evidence(model), "toxic int, x double").groupBy(F.least(F.floor(F.col("x") * 4), F.lit(400)).alias("bin"), "toxic").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n")).collect()
-    x, y, n = np.array([min(r.x, 100.0) for r in bins]), np.array([r.toxic for r in bins]), np.array([r.n for r in bins])
-    slope, base = _logistic(np.log1p(x), y, n)
+    # labels that are positive without any evidence are noise, at a rate that holds everywhere
+    still = {t: sum(r.n for r in bins if r.bin == 0 and r.toxic == t) for t in (0, 1)}
+    noise = still[1] / max(1, still[0] + still[1]) if still[1] < still[0] else 0.0
+    every = Counter()
+    for r in bins:
+        every[r.bin] += r.n
+    x, y = np.array([min(r.x, 100.0) for r in bins]), np.array([r.toxic for r in bins])
+    moved = np.array([min(noise * every[r.bin], next((s.n for s in bins if s.bin == r.bin and s.toxic == 1), 0)) for r in bins])
+    n = np.array([r.n for r in bins]) + np.where(y == 1, -moved, moved)
+    slope, base = _logistic(np.log1p(x), y, np.maximum(n, 0.0))
     return model._replace(slope=max(slope, 0.0), base=base)
 
 
