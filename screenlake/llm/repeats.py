@@ -2,8 +2,8 @@ r"""Operator 6: repeated passages found with sharded Aho-Corasick automata.
 
 A window of ``width`` words that also starts earlier (smaller doc_id, or earlier in the document) is removed.
 Windows with equal words share a minimizer, the least hash of their ``gram``-word runs, so they
-are dealt by it to shards: (1) every document gives the minimizers of its windows, each with the stretch of windows it stands
-for; (2) those met only once cannot repeat and go; (3) the words of the remaining stretches go to
+are dealt by it to shards: (1) every document gives the minimizers of its windows, one for each stretch of
+windows; (2) those met only once cannot repeat and go; (3) the words of the remaining stretches go to
 the shard of their minimizer, in document order. There the windows that recur are confirmed word by word and compiled into
 an automaton, and all stretches stream through it; every occurrence but the first is a removal span.
 
@@ -25,6 +25,7 @@ from itertools import groupby
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,12 +50,10 @@ def _minimizers(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            rid, out = batch.column(0).to_numpy(), []
-            for text in batch.column(1).cast(pa.binary()):
-                out.append(stretches(plain_words(text.as_py()), hashes, width, gram))
-            sizes = [len(h) for h, _, _ in out]
-            cols = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(np.repeat(rid, sizes), pa.int64()), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32))], ["h", "rid", "first", "n"])
+            rid = batch.column(0).to_numpy()
+            out = [stretches(plain_words(text.as_py()), hashes, width, gram)[0] for text in batch.column(1).cast(pa.binary())]
+            h = np.concatenate(out) if out else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(np.repeat(rid, [len(x) for x in out]), pa.int64())], ["h", "rid"])
 
     return run
 
@@ -76,15 +75,31 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held[0]
 
 
-def _pieces(width: int):
-    """Documents with recurring stretches give the words of each; all give their count of words."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, since they are shuffled twice."""
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        zipped = [None if t is None else press.compress(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+        yield batch.set_column(2, "text", pa.array(zipped, pa.binary()))
+
+
+def _plain(zipped: list[bytes | None]) -> Iterator[bytes | None]:
+    press = zstandard.ZstdDecompressor()
+    return (None if z is None else press.decompress(z) for z in zipped)
+
+
+def _pieces(width: int, gram: int):
+    """The words of a document's stretches whose minimizer recurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             out = []
-            for rid, text, found in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = plain_words(text)
-                out += [(p["h"], rid, p["first"], b" ".join(words[p["first"] : p["first"] + p["n"] + width - 1])) for p in found]
+            for rid, text, found in zip(batch.column(0).to_pylist(), _plain(batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True):
+                words, wanted = plain_words(text), set(found)
+                for h, first, n in zip(*(c.tolist() for c in stretches(words, hashes, width, gram)), strict=True):
+                    if h in wanted:
+                        out.append((h, rid, first, b" ".join(words[first : first + n + width - 1])))
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["h", "rid", "first", "words"])
 
@@ -162,7 +177,7 @@ def _automata(width: int, block_words: int):
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, gone, text_out, sha = [], [], [], []
-        for text, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, spans in zip(_plain(batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True):
             words = plain_words(text)
             kept = words
             if spans:
@@ -184,16 +199,13 @@ def without_repeats(docs: DataFrame, width: int = 20, gram: int = 8, block_words
     """(doc_id, n_words, n_removed, kept, kept_sha256) per row of ``docs``; kept is the text's remaining words, one space between."""
     cut = docs.select(F.col(id_col).alias("doc_id"), row_id(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
     kind = cut.schema["doc_id"].dataType.simpleString()
-    marks = cut.select("rid", "text").mapInArrow(_minimizers(width, gram), "h long, rid long, first int, n int")
-    parts = marks.repartition("h").sortWithinPartitions("h").mapInArrow(_recurring, "h long, rid long, first int, n int")
-    found = stored(parts.groupBy("rid").agg(F.collect_list(F.struct("h", "first", "n")).alias("found")), "stretches")
-    # text of the documents with a recurring stretch; all others are told at once
-    joined = stored(cut.join(found, "rid", "left"), "joined")
-    some = joined.where("found is not null")
-    pieces = some.select("rid", "text", "found").mapInArrow(_pieces(width), "h long, rid long, first int, words binary")
+    marks = cut.select("rid", "text").mapInArrow(_minimizers(width, gram), "h long, rid long")
+    parts = marks.repartition("h").sortWithinPartitions("h").mapInArrow(_recurring, "h long, rid long")
+    found = stored(parts.groupBy("rid").agg(F.collect_set("h").alias("found")), "recurring")
+    packed = cut.mapInArrow(_packed, f"doc_id {kind}, rid long, text binary")
+    pieces = packed.select("rid", "text").join(found.hint("merge"), "rid").mapInArrow(_pieces(width, gram), "h long, rid long, first int, words binary")
     shards = pieces.repartition("h").sortWithinPartitions("h", "rid", "first")
     spans = shards.mapInArrow(_automata(width, block_words), "rid long, start int, end int")
     spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    last = some.select("rid", "doc_id", "text").join(spans, "rid", "left").select("doc_id", "text", "spans")
-    none = joined.where("found is null").select("doc_id", "text", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"))
-    return last.unionByName(none).mapInArrow(_kept, f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
+    last = packed.join(spans.hint("merge"), "rid", "left").select("doc_id", "text", "spans")
+    return last.mapInArrow(_kept, f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string")
