@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenlake.functions import strings as fs
+from screenlake.functions.folds import fold_sorted
 from screenlake.functions.graph import components
 from screenlake.operators import boxes
 
@@ -129,19 +129,20 @@ def dropped_rows(panes: DataFrame, drawn: DataFrame, group: str, least: int = 3,
 
 
 def greedy_pairs(pairs: DataFrame, key: str, least: float = 0.5) -> DataFrame:
-    """(key, p_id, w_id, iou, fault): best first, each side spent once. A frame's boxes are few, so the fold is one small group a frame."""
+    """(key, p_id, w_id, iou, fault): best first, each side spent once."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list[tuple]) -> list[tuple]:
         spent: tuple[set, set] = (set(), set())
-        keep = []
-        for r in pdf.sort_values(["iou", "p_id", "w_id"], ascending=[False, True, True]).itertuples(index=False):
-            if r.iou > 0 and r.p_id not in spent[0] and r.w_id not in spent[1]:
-                spent[0].add(r.p_id)
-                spent[1].add(r.w_id)
-                keep.append((getattr(r, key), r.p_id, r.w_id, r.iou, r.iou < least))
-        return pd.DataFrame(keep, columns=[key, "p_id", "w_id", "iou", "fault"])
-
-    return pairs.withColumn("iou", boxes.iou("p_", "w_")).select(key, "p_id", "w_id", "iou").groupBy(key).applyInPandas(fold, f"{key} long, p_id int, w_id int, iou double, fault boolean")
+        out = []
+        for k, _, p, w, iou in rows:
+            if p not in spent[0] and w not in spent[1]:
+                spent[0].add(p)
+                spent[1].add(w)
+                out.append((k, p, w, iou, iou < least))
+        return out
+
+    sized = pairs.withColumn("iou", boxes.iou("p_", "w_")).where("iou > 0").select(key, (-F.col("iou")).alias("turn"), "p_id", "w_id", "iou")
+    return fold_sorted(sized, key, ["turn", "p_id", "w_id"], f"{key} long, p_id int, w_id int, iou double, fault boolean", fold)
 
 
 def uncovered(windows: DataFrame, drawn: DataFrame, key: str, share: float = 0.5) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenlake.functions import strings as fs
+from screenlake.functions.folds import fold_sorted
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], cut: Column, name: str = "part") -> DataFrame:
@@ -187,19 +187,19 @@ def free_spans(spans: DataFrame, keys: list[str], low: int, high: int, least: in
 def merged_runs(segments: DataFrame, key: str, near: int = 3) -> DataFrame:
     """(key, axis, pos, a, b): segments within ``near`` positions that overlap become the longest; each is held against the last kept, so the fold runs per frame."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: list[tuple]) -> list[tuple]:
         out: list[list] = []
-        for r in pdf.sort_values(["axis", "pos", "a", "b"]).itertuples(index=False):
+        for k, axis, pos, a, b in rows:
             for o in reversed(out):
-                if o[1] == r.axis and r.pos - o[2] <= near and min(o[4], r.b) > max(o[3], r.a):
-                    if r.b - r.a > o[4] - o[3]:
-                        o[2:] = [r.pos, r.a, r.b]
+                if o[1] == axis and pos - o[2] <= near and min(o[4], b) > max(o[3], a):
+                    if b - a > o[4] - o[3]:
+                        o[2:] = [pos, a, b]
                     break
             else:
-                out.append([getattr(r, key), r.axis, r.pos, r.a, r.b])
-        return pd.DataFrame(out, columns=[key, "axis", "pos", "a", "b"])
+                out.append([k, axis, pos, a, b])
+        return [tuple(o) for o in out]
 
-    return segments.select(key, "axis", "pos", "a", "b").groupBy(key).applyInPandas(fold, f"{key} long, axis string, pos long, a long, b long")
+    return fold_sorted(segments.select(key, "axis", "pos", "a", "b"), key, ["axis", "pos", "a", "b"], f"{key} long, axis string, pos long, a long, b long", fold)
 
 
 def one_table(words: DataFrame, page: str, x: int, least: int = 5, share: float = 0.6) -> DataFrame:

@@ -104,9 +104,9 @@ def s14(spark, d):
     return scans.work_list(r, r.where("done"), "run").select("run", "size")
 
 
-@query("S14b_run_log", "runs", "SELECT video, CAST(sum(CASE WHEN done THEN 1 ELSE 0 END) AS BIGINT) AS done, CAST(sum(CASE WHEN NOT done THEN 1 ELSE 0 END) AS BIGINT) AS left_over, round(sum(took) / count(*), 6) AS ratio FROM runs GROUP BY video")
+@query("S14b_run_log", "runs", "SELECT video, CAST(sum(CASE WHEN done THEN 1 ELSE 0 END) AS BIGINT) AS done, CAST(sum(CASE WHEN NOT done THEN 1 ELSE 0 END) AS BIGINT) AS left_over, round(sum(took) / count(*), 3) AS ratio FROM runs GROUP BY video")
 def s14b(spark, d):
-    return views.runs(spark, d).groupBy("video").agg(F.count_if("done").alias("done"), F.count_if(~F.col("done")).alias("left_over"), F.round(F.sum("took") / F.count(F.lit(1)), 6).alias("ratio"))
+    return views.runs(spark, d).groupBy("video").agg(F.count_if("done").alias("done"), F.count_if(~F.col("done")).alias("left_over"), F.round(F.sum("took") / F.count(F.lit(1)), 3).alias("ratio"))
 
 
 @query("S15_spread_moments", "runs", """SELECT run, how, k, round(at_, 6) AS at FROM (
