@@ -48,7 +48,7 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.backoff_scores(table(spark, sf_dir, "documents"))
+    return lm_score.backoff_scores(table(spark, sf_dir, "documents")).withColumn("log10_score", F.round("log10_score", 6))
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +106,17 @@ kept AS (SELECT d.doc_id, len(d.w) AS n_words, coalesce(len(p.p), 0) AS n_remove
  FROM docs d LEFT JOIN per p ON d.doc_id = p.doc_id
  LEFT JOIN (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.pos) AS txt FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM docs WHERE doc_id IN (SELECT doc_id FROM per)) x ANTI JOIN gone g ON x.doc_id = g.doc_id AND x.pos = g.pos GROUP BY x.doc_id) k ON d.doc_id = k.doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(txt) AS kept_sha256 FROM kept""",
+    "op7_lm_score": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+one AS (SELECT c, count(*) AS n FROM t GROUP BY c), own1 AS (SELECT doc_id, c, count(*) AS n FROM t GROUP BY ALL),
+two AS (SELECT b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY ALL), own2 AS (SELECT doc_id, b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY ALL),
+f AS (SELECT t.doc_id, x.n - ox.n AS n1, p.n - op.n AS n2, y.n - oy.n AS nb, (SELECT count(*) FROM t) - len(w.w) AS rest FROM t JOIN w ON t.doc_id = w.doc_id
+ JOIN one x ON t.c = x.c JOIN own1 ox ON t.doc_id = ox.doc_id AND t.c = ox.c LEFT JOIN one y ON t.b = y.c LEFT JOIN own1 oy ON t.doc_id = oy.doc_id AND t.b = oy.c
+ LEFT JOIN two p ON t.b = p.b AND t.c = p.c LEFT JOIN own2 op ON t.doc_id = op.doc_id AND t.b = op.b AND t.c = op.c),
+k AS (SELECT doc_id, n1, coalesce(n2 > 0 AND nb > 0, false) AS known, CASE WHEN n2 > 0 AND nb > 0 THEN n2 / nb ELSE 0.4 * greatest(n1, 1) / greatest(rest, 1) END AS s FROM f),
+g AS (SELECT doc_id, sum(log10(s)) AS score, count(*) FILTER (NOT known) AS n_backoff, count(*) FILTER (n1 <= 0) AS n_unseen FROM k GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, round(coalesce(score, 0.0), 6) AS log10_score, coalesce(n_backoff, 0) AS n_backoff, coalesce(n_unseen, 0) AS n_unseen FROM w LEFT JOIN g ON w.doc_id = g.doc_id""",
     "op9_chat": r"""
 WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
  UNION ALL SELECT -7, * FROM (VALUES (0, 'user', '\### Assistant: </turn> ok'), (1, 'assistant', '\### Assistant: </turn> ok'))),
