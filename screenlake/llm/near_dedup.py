@@ -107,11 +107,11 @@ def _similar(threshold: float, size: int):
                     last, left = a, units(plain_words(x.as_py()), hashes, size)
                 right = units(plain_words(y.as_py()), hashes, size)
                 short = min(len(left), len(right))
-                if short < threshold * max(len(left), len(right)):
+                if short + 1e-9 < threshold * max(len(left), len(right)):
                     keep.append(False)
                     continue
                 both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(both >= threshold * (len(left) + len(right) - both))
+                keep.append(both + 1e-9 >= threshold * (len(left) + len(right) - both))  # 0.8 counts as reached
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run

@@ -23,7 +23,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select(F.col("rid").alias("doc_id"), "class_id", "n_links", (F.col("rid") == F.col("class_id")).alias("kept"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select(F.col("rid").alias("doc_id"), "class_id", (F.col("rid") == F.col("class_id")).alias("kept"))
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +106,15 @@ kept AS (SELECT d.doc_id, len(d.w) AS n_words, coalesce(len(p.p), 0) AS n_remove
  FROM docs d LEFT JOIN per p ON d.doc_id = p.doc_id
  LEFT JOIN (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.pos) AS txt FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM docs WHERE doc_id IN (SELECT doc_id FROM per)) x ANTI JOIN gone g ON x.doc_id = g.doc_id AND x.pos = g.pos GROUP BY x.doc_id) k ON d.doc_id = k.doc_id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(txt) AS kept_sha256 FROM kept""",
+    "op2_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, array_to_string(w[k : k + least(5, len(w)) - 1], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM w WHERE len(w) > 0)),
+c AS (SELECT doc_id, sh, count(*) AS n FROM s GROUP BY ALL), z AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS m FROM c x JOIN c y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE m >= 0.8 * (x.n + y.n - m)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS root FROM w UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id)
+SELECT id AS doc_id, min(root) AS class_id, id = min(root) AS kept FROM r GROUP BY id""",
     "op7_lm_score": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 t AS (SELECT doc_id, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
