@@ -106,13 +106,22 @@ def _pieces(width: int, gram: int):
     return run
 
 
-def repeated_spans(rows: list[tuple[int, int, int, bytes]], width: int, codes: dict[bytes, str], seen: dict[str, tuple[int, int]]) -> list[tuple[int, int, int]]:
+class Codes(dict):
+    """One character for each word met; the surrogates' range is left out."""
+
+    def __missing__(self, word: bytes) -> str:
+        n = len(self) + 1
+        c = self[word] = chr(n if n < 0xD800 else n + 0x800)
+        return c
+
+
+def repeated_spans(rows: list[tuple[int, int, int, bytes]], width: int, codes: Codes, seen: dict[str, tuple[int, int]]) -> list[tuple[int, int, int]]:
     """(rid, start, end) of windows that start earlier too. rows: h, rid, first, words, sorted; seen: first places of windows of blocks before."""
-    lines = []
-    for _, rid, first, words in rows:
-        # one character a word; the surrogates' range is left out
-        lines.append((rid, first, "".join([codes.get(w) or codes.setdefault(w, chr(n if (n := len(codes) + 1) < 0xD800 else n + 0x800)) for w in words.split()])))
-    count = Counter(x[k : k + width] for _, _, x in lines for k in range(len(x) - width + 1))
+    code = codes.__getitem__
+    lines = [(rid, first, "".join(map(code, words.split()))) for _, rid, first, words in rows]
+    count: Counter[str] = Counter()
+    for _, _, x in lines:
+        count.update([x[k : k + width] for k in range(len(x) - width + 1)])
     confirmed = [w for w, n in count.items() if n > 1 or w in seen]
     for w in confirmed:
         seen.setdefault(w, None)
@@ -143,7 +152,7 @@ def repeated_spans(rows: list[tuple[int, int, int, bytes]], width: int, codes: d
 
 def _automata(width: int, block_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[bytes, str] = {}
+        codes = Codes()
         seen: dict[str, tuple[int, int]] = {}
         block: list[tuple[int, int, int, bytes]] = []
         held, last = 0, None
