@@ -7,9 +7,11 @@ with the probability of their weighted Jaccard similarity, and about k ln k + 2k
 the length (Christiani, "DartMinHash: Fast Sketching for Weighted Sets").
 
 Scale: texts of the same words are one node before anything is shuffled by band, so groups of copies of
-any size cost one row each. A band's bucket is never enumerated: every member is compared with the
-bucket's first and last by a hash drawn anew in each band, up to 32 partners spread over its group, and the
-links inside a component follow. Every proposed pair is checked exactly.
+any size cost one row each. First every member of a band's bucket is compared with the bucket's first and
+last by a hash drawn anew in each band, up to 32 partners spread over its group; the links inside a component
+follow. Buckets of four and more that still hold several components are then searched exactly for pairs
+across components: two texts that reach the threshold share a unit among the first of each in any one order
+(prefix filter), here rare units first. Pairs inside a component are never enumerated. Every proposed pair is checked exactly.
 
 Defined cases: null, empty and wordless texts are classes of their own row; texts of under five words
 have one shingle, all their words; rows that repeat a doc_id and text share a class; a null doc_id takes
@@ -117,6 +119,67 @@ def _similar(threshold: float, size: int):
     return run
 
 
+SLOT_BITS = 18
+
+
+def _slots(unit: np.ndarray) -> np.ndarray:
+    return (unit >> U(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _counted(size: int):
+    """How many units of a task's texts fall into each slot of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, n = WordHashes(), np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()):
+                n += np.bincount(_slots(units(plain_words(text.as_py()), hashes, size)), minlength=1 << SLOT_BITS)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n[used], pa.int64())], ["slot", "n"])
+
+    return run
+
+
+def _prefixes(threshold: float, size: int, common: np.ndarray):
+    """Of each text the first units in the order of ``common`` and hash, so many that texts at the threshold share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            total, first, at = [], [np.zeros(0, U)], [np.zeros(0, np.int64)]
+            for text in batch.column(2).cast(pa.binary()):
+                unit = units(plain_words(text.as_py()), hashes, size)
+                total.append(len(unit))
+                first.append(unit[np.lexsort((unit, common[_slots(unit)]))][: len(unit) - math.ceil(threshold * len(unit) - 1e-6) + 1])
+                at.append(np.arange(len(first[-1])))
+            row = np.repeat(np.arange(len(batch)), [len(x) for x in first[1:]])
+            cols = [pa.array(np.concatenate(first).view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(np.array(total, np.int64)[row]), pa.array(np.concatenate(at))]
+            yield pa.RecordBatch.from_arrays(cols, ["unit", "node", "comp", "n", "at"])
+
+    return run
+
+
+def _across(texts: DataFrame, buckets: DataFrame, links: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(a, b): pairs of texts in buckets of several components of ``links``, of two components each, that may reach ``threshold``; no such pair that does is left out."""
+    comp = components(links).withColumnsRenamed({"id": "node", "component": "comp"})
+    tagged = stored(buckets.join(comp, "node", "left").select("node", "band", "key", F.coalesce("comp", "node").alias("comp")), "buckets")
+    mixed_up = tagged.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "key")
+    live = tagged.join(mixed_up, ["band", "key"]).select(F.col("node").alias("rid"), "comp").distinct()
+    searched = stored(texts.join(live.hint("merge"), "rid").select(F.col("rid").alias("node"), "comp", "text"), "searched")
+    # any order of the units gives the same result; a table of 2^18 counts puts common ones last
+    counts = searched.select("text").mapInArrow(_counted(size), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    common = np.zeros(1 << SLOT_BITS, np.int64)
+    common[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    first = stored(searched.mapInArrow(_prefixes(threshold, size, common), "unit long, node long, comp long, n long, at long"), "prefixes")
+    held = first.select("unit", "comp").distinct()
+    meet = held.select("unit", F.col("comp").alias("ca")).join(held.select("unit", F.col("comp").alias("cb")), "unit").where("ca < cb")
+    left = first.select("unit", F.col("comp").alias("ca"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"))
+    right = first.select("unit", F.col("comp").alias("cb"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("at").alias("iy"))
+    # at the first unit that two texts share, they can share no more than what follows in either
+    enough = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) + 1e-6 >= (F.col("nx") + F.col("ny")) * (threshold / (1 + threshold))
+    return meet.join(left, ["unit", "ca"]).join(right, ["unit", "cb"]).where(enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_links(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4, size: int = 5, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, members, links): rows has every rid; members has rid, node (the least rid of the texts with these words) of the rows with words; links has verified pairs a < b of nodes."""
     cut = docs.select(row_id(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
@@ -125,14 +188,21 @@ def near_links(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: i
     member = made.where("print is not null").select("rid", "print").join(nodes.select("print", "node"), "print").groupBy("rid").agg(F.min("node").alias("node"))
     spread = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     order = F.struct(F.xxhash64("node", "band"), F.col("node"))
-    heads = spread.groupBy("band", "key").agg(F.min(order).getField("node").alias("low"), F.max(order).getField("node").alias("high")).where("low <> high")
+    heads = spread.groupBy("band", "key").agg(F.min(order).getField("node").alias("low"), F.max(order).getField("node").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
     pairs = stored(spread.join(heads, ["band", "key"]).select("node", F.explode(F.array("low", "high")).alias("head")).where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
     needed = pairs.selectExpr("explode(array(a, b)) rid").distinct()
     # a merge join at every size: the ids in pairs have no bound
     texts = stored(cut.join(needed.hint("merge"), "rid").groupBy("rid").agg(F.max("text").alias("text")), "texts")
     left, right = texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rid").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return made.select("rid"), member, stored(both.mapInArrow(_similar(threshold, size), "a long, b long"), "links")
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+        return stored(both.mapInArrow(_similar(threshold, size), "a long, b long"), name)
+
+    links = checked(pairs, "links")
+    buckets = spread.join(heads.where("n > 3").select("band", "key"), ["band", "key"])  # in smaller ones the heads meet all
+    more = stored(_across(texts, buckets, links, threshold, size).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    return made.select("rid"), member, links.unionByName(checked(more, "links"))
 
 
 def near_duplicates(docs: DataFrame, **params) -> DataFrame:

@@ -91,6 +91,31 @@ def test_near_duplicates_against_brute_force(spark, sf):
     assert got == {i: find(i) for i in ids}
 
 
+def test_near_pairs_among_texts_of_shared_parts(spark):
+    """Texts made of the same few parts fill large buckets of unlike members; each planted pair must be found in them."""
+    r, part = random.Random(12), [[words(12, 100 * k + v) for v in range(4)] for k in range(20)]
+    texts = []
+    for k in range(700):
+        own = [r.choices(range(4), (86, 5, 5, 4))[0] for _ in part]
+        texts.append(own)
+        if k % 14 == 0:
+            at = r.randrange(20)
+            texts.append([*own[:at], own[at] % 3 + 1, *own[at + 1 :]])
+    rows = [(i, " ".join(p[v] for p, v in zip(part, own, strict=True))) for i, own in enumerate(texts)]
+    number: dict = {}
+    has = np.zeros((len(rows), 20_000), np.float32)
+    for i, t in rows:
+        for x in shingles(t):
+            has[i, number.setdefault(x, len(number))] = 1
+    both, n = has @ has.T, has.sum(axis=1)
+    near = both >= 0.8 * (n[:, None] + n[None, :] - both)
+    group = np.arange(len(rows))
+    while (low := np.where(near, group[None, :], len(rows)).min(axis=1)).tolist() != group.tolist():
+        group = low
+    got = {r.rid: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(number) < 20_000 and 50 < len(rows) - len(set(group.tolist())) and got == dict(enumerate(group.tolist()))
+
+
 def test_near_duplicate_edges(odd, none):
     got = [(r.rid, r.class_id) for r in near_dedup.near_duplicates(odd).collect()]
     assert len(got) == odd.count()
