@@ -8,8 +8,9 @@ the shard of their minimizer, in document order. There the windows that recur ar
 an automaton, and all stretches stream through it; every occurrence but the first is a removal span.
 
 Scale: what is shuffled is one number per seven words, the documents that hold a recurring minimizer, and
-those stretches. Shards are streamed in blocks of ``block_words`` words, also within one minimizer, so memory is bounded whatever
-the number of copies; of a group only its distinct windows are remembered.
+those stretches. Shards are streamed in blocks of ``block_words`` words, also within one minimizer; of a group only its
+distinct windows are remembered. A minimizer of more than ``most_stretches`` stretches has no group: its windows are dealt
+by their own words, first places come from a partial aggregation, and occurrences meet them in ``SALTS`` parts a window.
 
 Defined cases: null, empty and wordless texts lose nothing and keep ''; texts of fewer than ``width`` words lose nothing;
 rows that repeat a doc_id and text are one document and fare alike; a null doc_id takes a negative number made from its text, which counts as smaller.
@@ -106,6 +107,33 @@ def _pieces(width: int, gram: int):
     return run
 
 
+SALTS = 32
+
+
+def _windows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for rid, first, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = text.split(b" ")
+                out.extend((rid, first + k, b" ".join(words[k : k + width])) for k in range(len(words) - width + 1))
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["rid", "start", "window"])
+
+    return run
+
+
+def _dealt_by_window(pieces: DataFrame, width: int) -> DataFrame:
+    """(rid, start, end) of windows that start earlier too, each window dealt by its own words."""
+    windows = pieces.select("rid", "first", "words").mapInArrow(_windows(width), "rid long, start int, window binary")
+    place = F.struct("rid", "start")
+    firsts = windows.groupBy("window").agg(F.min(place).alias("least"), F.max(place).alias("greatest")).where("least <> greatest").select("window", "least")
+    firsts = firsts.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    salted = windows.withColumn("salt", F.pmod(F.xxhash64("rid", "start"), F.lit(SALTS)).cast("int"))
+    later = salted.join(firsts.hint("merge"), ["window", "salt"]).where(place > F.col("least"))
+    return later.select("rid", "start", (F.col("start") + width).cast("int").alias("end"))
+
+
 class Codes(dict):
     """One character for each word met; the surrogates' range is left out."""
 
@@ -164,7 +192,7 @@ def _automata(width: int, block_words: int):
         for batch in batches:
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             for h, group in groupby(rows, key=lambda r: r[0]):
-                if h != last and held >= block_words:  # blocks end with a group where they can
+                if h != last and block and (held >= block_words or len(codes) >= 4 * block_words):  # blocks end with a group where they can
                     yield told()
                     block, held = [], 0
                 if h != last and not block:
@@ -204,17 +232,23 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(text_out, pa.string()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
 
-def without_repeats(docs: DataFrame, width: int = 20, gram: int = 8, block_words: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = 20, gram: int = 8, block_words: int = 200_000, most_stretches: int = 5_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept, kept_sha256) per row of ``docs``; kept is the text's remaining words, one space between."""
     cut = docs.select(F.col(id_col).alias("doc_id"), row_id(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
     kind = cut.schema["doc_id"].dataType.simpleString()
     marks = cut.select("rid", "text").mapInArrow(_minimizers(width, gram), "h long, rid long")
     parts = marks.repartition("h").sortWithinPartitions("h").mapInArrow(_recurring, "h long, rid long")
-    found = stored(parts.groupBy("rid").agg(F.collect_set("h").alias("found")), "recurring")
+    found = stored(parts.groupBy("rid").agg(F.collect_list("h").alias("found")), "recurring")
+    hot = stored(found.select(F.explode("found").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_stretches).select("h"), "hot")
     packed = cut.mapInArrow(_packed, f"doc_id {kind}, rid long, text binary")
     pieces = packed.select("rid", "text").join(found.hint("merge"), "rid").mapInArrow(_pieces(width, gram), "h long, rid long, first int, words binary")
-    shards = pieces.repartition("h").sortWithinPartitions("h", "rid", "first")
+    any_hot = not hot.isEmpty()
+    # one row for each most_stretches stretches of the table at most
+    cold = pieces.join(F.broadcast(hot), "h", "left_anti") if any_hot else pieces
+    shards = cold.repartition("h").sortWithinPartitions("h", "rid", "first")
     spans = shards.mapInArrow(_automata(width, block_words), "rid long, start int, end int")
+    if any_hot:
+        spans = spans.unionByName(_dealt_by_window(pieces.join(F.broadcast(hot), "h", "left_semi"), width))
     spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     last = packed.join(spans.hint("merge"), "rid", "left").select("doc_id", "text", "spans")
     return last.mapInArrow(_kept, f"doc_id {kind}, n_words long, n_removed long, kept string, kept_sha256 string")

@@ -256,6 +256,15 @@ def test_repeats_against_brute_force(spark, block):
     assert {g.doc_id: (g.n_words, g.n_removed, g.kept_sha256) for g in got.collect()} == brute_repeats(docs, 20)
 
 
+def test_repeats_of_a_frequent_minimizer(spark):
+    """One phrase in many surroundings, some of them copied: no group may hold more than a few stretches of it."""
+    r, phrase = random.Random(6), words(9, 70)
+    docs = [(k, f"{words(15, 300 + k % 50)} {phrase} {words(15, 400 + k % 40)}") for k in range(90)]
+    docs += [(100 + k, f"{docs[r.randrange(90)][1]} x {docs[k][1]}") for k in range(10)]
+    got = repeats.without_repeats(spark.createDataFrame(docs, "doc_id long, text string"), most_stretches=5).collect()
+    assert {g.doc_id: (g.n_words, g.n_removed, g.kept_sha256) for g in got} == brute_repeats(docs, 20)
+
+
 def test_repeat_edges(odd, none):
     got = repeats.without_repeats(odd).collect()
     assert len(got) == odd.count()
