@@ -16,19 +16,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     expected to vanish per round, chains included, so rounds grow with the logarithm of the size. Only
     aggregations with partial sums and joins on ids occur; a hub's edges are never gathered. An empty edge table gives an empty result; null ends are ignored.
     """
-    spark = edges.sparkSession
-    live = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
-    label = stored(live.selectExpr("explode(array(a, b)) id").distinct().selectExpr("id", "id AS tag"), "labels")
-    turn = 0
+    pair = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
+    first, live, moves = pair, pair, []
     while not live.isEmpty():
-        turn += 1
         both = live.union(live.select("b", "a"))
-        order = F.struct(F.xxhash64(F.col("n"), F.lit(turn)), F.col("n"))
+        order = F.struct(F.xxhash64(F.col("n"), F.lit(len(moves))), F.col("n"))
         near = both.select(F.col("a").alias("id"), F.col("b").alias("n")).union(both.select(F.col("a").alias("id"), F.col("a").alias("n")))
         # the pointed-at neighbour of a node may itself move on; that only delays the merge by a round
         to = stored(near.groupBy("id").agg(F.min(order).getField("n").alias("to")), "moves")
+        moves.append(to)
         left, right = to.selectExpr("id AS a", "to AS ta"), to.selectExpr("id AS b", "to AS tb")
         live = stored(live.join(left, "a").join(right, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
-        label = stored(label.join(to.selectExpr("id AS tag", "to"), "tag", "left").select("id", F.coalesce("to", "tag").alias("tag")), "labels")
+    label = first.selectExpr("explode(array(a, b)) id").distinct().selectExpr("id", "id AS tag")
+    for to in moves:  # tables that shrink from round to round
+        label = label.join(to.selectExpr("id AS tag", "to"), "tag", "left").select("id", F.coalesce("to", "tag").alias("tag"))
     least = label.groupBy("tag").agg(F.min("id").alias("component"))
-    return label.join(least, "tag").select("id", "component") if turn else spark.createDataFrame([], f"id {live.schema['a'].dataType.simpleString()}, component {live.schema['a'].dataType.simpleString()}")
+    return label.join(least, "tag").select("id", "component")
