@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenlake.functions import strings as fs
 from screenlake.functions.folds import fold_sorted
-from screenlake.functions.graph import components
 from screenlake.operators import boxes
 
 
@@ -86,23 +87,63 @@ def second_reading(cells: DataFrame, words: DataFrame, keys: list[str], pad: int
     return hit.groupBy(*keys, "c_k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_x0", "s_text"))), lambda w: w["s_text"]), " ").alias("second"))
 
 
-def confirmed_by(readings: DataFrame, other: DataFrame, key: str, a: str = "a") -> DataFrame:
-    """``readings`` with ``confirmed``: its fold of three letters or half of its terms occur in the other engine's text; a letter beyond ASCII never is."""
-    flat = other.select(key, fs.flat(F.col("other")).alias("_other"))
-    mine, terms = fs.flat(F.col(a)), fs.terms(F.col(a))
-    held = F.size(F.filter(terms, lambda t: F.contains(F.col("_other"), t)))
-    ok = ((F.length(mine) >= 3) & F.contains(F.col("_other"), mine)) | ((F.size(terms) > 0) & (held * 2 >= F.size(terms)))
-    return readings.join(flat, key, "left").withColumn("confirmed", F.coalesce(ok, F.lit(False)) & ~fs.foreign_letter(F.col(a))).drop("_other")
+def confirmed_by(readings: DataFrame, key: str, order: str, respace: bool = True) -> DataFrame:
+    """(key, order, confirmed, text) of readings ``a`` against all readings ``b`` of the other engine on one pane.
+
+    Confirmed: the fold has three letters and occurs in the other text's, or half of the terms are terms there; a letter beyond
+    ASCII never is. With ``respace`` a fold that occurs takes the other spelling where that has more spaces, and is judged by it. A pane's text is one document of words.
+    """
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        other = " ".join(r[3] for r in rows if r[3])
+        letters, at = fs.folded(other)
+        known = set(fs.terms_of(other))
+        out = []
+        for k, o, a, _ in rows:
+            if a is None:
+                continue
+            mine, terms, text = fs.folded(a)[0], fs.terms_of(a), a
+            begin = letters.find(mine) if len(mine) >= 3 else -1
+            if begin >= 0 and respace:
+                end = at[begin + len(mine) - 1] + 1
+                while end < len(other) and not (other[end].isspace() or other[end].isalnum()):
+                    end += 1  # the mark that closes a sentence
+                said = " ".join(other[at[begin] : end].split())
+                text = said if said.count(" ") > a.count(" ") else a
+            sure = begin >= 0 or bool(terms) and 2 * sum(t in known for t in terms) >= len(terms)
+            out.append((k, o, sure and not any(c.isalpha() and not c.isascii() for c in text), text))
+        return out
+
+    return fold_sorted(readings.select(key, order, "a", "b"), key, [order], f"{key} long, {order} long, confirmed boolean, text string", fold)
+
+
+def leftovers(readings: DataFrame, structure: DataFrame, key: str, order: str, share: float = 0.7, block: float = 0.6, least: int = 8) -> DataFrame:
+    """(key, order, place): readings that the structure did not use, above, beside or below its band.
+
+    Used: the fold occurs in the structure's, or a share of the terms are terms there, or from ``least`` letters on a run of
+    ``block`` of them occurs (some run of just that length then does).
+    """
 
+    def fold(rows: list[tuple]) -> list[tuple]:
+        own = [r for r in rows if r[3]]
+        if not own:
+            return []
+        text = " ".join(r[2] or "" for r in own)
+        letters, known = fs.folded(text)[0], set(fs.terms_of(text))
+        top, foot = own[0][1], own[-1][1]
+        out = []
+        for k, o, t, used in rows:
+            mine, terms = fs.folded(t or "")[0], fs.terms_of(t or "")
+            if used == 1 or not mine or mine in letters or terms and sum(x in known for x in terms) >= share * len(terms):
+                continue
+            n = math.ceil(block * len(mine) - 1e-9)
+            if len(mine) >= least and any(mine[i : i + n] in letters for i in range(len(mine) - n + 1)):
+                continue
+            out.append((k, o, "above" if o < top else "below" if o > foot else "beside"))
+        return out
 
-def leftovers(readings: DataFrame, structure: DataFrame, key: str, order: str, share: float = 0.7) -> DataFrame:
-    """(key, order, place): readings that the structure did not use, above, beside or below its band."""
-    used = structure.groupBy(key).agg(fs.flat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda r: r["text"]), " ")).alias("_flat"), F.min(order).alias("_top"), F.max(order).alias("_foot"))
-    mine, terms = fs.flat(F.col("text")), fs.terms(F.col("text"))
-    held = F.size(F.filter(terms, lambda t: F.contains(F.col("_flat"), t)))
-    taken = ((mine != "") & F.contains(F.col("_flat"), mine)) | ((F.size(terms) > 0) & (held >= share * F.size(terms)))
-    place = F.when(F.col(order) < F.col("_top"), "above").when(F.col(order) > F.col("_foot"), "below").otherwise("beside")
-    return readings.join(used, key).where(~taken & (mine != "")).select(key, order, place.alias("place"))
+    both = readings.select(key, order, "text").join(structure.select(key, order, F.lit(1).alias("used")), [key, order], "left")
+    return fold_sorted(both.select(key, order, "text", F.coalesce("used", F.lit(0)).alias("used")), key, [order], f"{key} long, {order} long, place string", fold)
 
 
 def already_said(lines: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -128,6 +169,26 @@ def dropped_rows(panes: DataFrame, drawn: DataFrame, group: str, least: int = 3,
     return asked.join(drawn.select("table", "name").distinct(), ["table", "name"], "left_anti")
 
 
+def dropped_close(panes: DataFrame, drawn: DataFrame, group: str, least: int = 3, share: float = 0.6) -> DataFrame:
+    """``dropped_rows`` where a name may be a near reading or a cut of a drawn one. ``group`` is one moment: what stands on a screen at once is few."""
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        asked: dict[int, set[str]] = {}
+        tables: dict[int, set[str]] = {}
+        for _, side, at, name in rows:
+            (tables if side else asked).setdefault(at, set()).add(name)
+        out = []
+        for pane, names in asked.items():
+            hits = {t: sum(any(fs.close_names(n, m) for m in drawn) for n in names) for t, drawn in tables.items()}
+            best = max(hits, key=lambda t: (hits[t], -t), default=None)
+            if best is not None and hits[best] >= max(least, share * len(names)):
+                out += [(rows[0][0], pane, best, n) for n in sorted(names) if not any(fs.close_names(n, m) for m in tables[best])]
+        return out
+
+    both = panes.select(group, F.lit(0).alias("side"), F.col("pane").alias("at"), "name").union(drawn.select(group, F.lit(1).alias("side"), F.col("table").alias("at"), "name")).distinct()
+    return fold_sorted(both, group, ["side", "at", "name"], f"{group} long, pane long, table long, name string", fold)
+
+
 def greedy_pairs(pairs: DataFrame, key: str, least: float = 0.5) -> DataFrame:
     """(key, p_id, w_id, iou, fault): best first, each side spent once."""
 
@@ -150,6 +211,16 @@ def uncovered(windows: DataFrame, drawn: DataFrame, key: str, share: float = 0.5
     return windows.alias("w").join(drawn.alias("p"), (F.col(f"w.{key}") == F.col(f"p.{key}")) & (boxes.of_smaller("w_", "p_") > share), "left_anti")
 
 
+def unfilled(windows: DataFrame, filled: DataFrame, key: str, share: float = 0.5) -> DataFrame:
+    """Top-layer windows, which no other window overlaps by more than a share of the smaller, without a filled box of their own: one that so overlaps another top-layer window is no window's own."""
+    cols = ("id", "x0", "y0", "x1", "y1")
+    named = lambda p: windows.select(F.col(key).alias(f"{p}key"), *(F.col(f"w_{c}").alias(f"{p}{c}") for c in cols))
+    top = named("a_").join(named("b_"), (F.col("a_key") == F.col("b_key")) & (F.col("a_id") != F.col("b_id")) & (boxes.of_smaller("a_", "b_") > share), "left_anti")
+    box = filled.select(F.col(key).alias("a_key"), *(f"p_{c}" for c in cols))
+    own = top.join(box, "a_key").where(boxes.of_smaller("a_", "p_") > share).groupBy("a_key", "p_id").agg(F.count(F.lit(1)).alias("n"), F.min("a_id").alias("a_id")).where("n = 1")
+    return top.join(own, ["a_key", "a_id"], "left_anti").select(F.col("a_key").alias(key), F.col("a_id").alias("w_id"))
+
+
 def rectangle_candidates(segments: DataFrame, key: str, corner: float = 0.15, overlap: float = 0.5) -> DataFrame:
     """(key, x0, y0, x1, y1): two horizontals that share most of their range with two verticals at its ends."""
     h, v = segments.where("axis = 'h'").drop("axis"), segments.where("axis = 'v'").drop("axis")
@@ -161,12 +232,24 @@ def rectangle_candidates(segments: DataFrame, key: str, corner: float = 0.15, ov
     return both.select(key, F.col("l_pos").alias("x0"), F.col("t_pos").alias("y0"), F.col("r_pos").alias("x1"), F.col("f_pos").alias("y1")).distinct()
 
 
-def without_covered(rects: DataFrame, key: str, share: float = 0.5) -> DataFrame:
-    """Rectangles that no larger one (or equal one of a lesser id) overlaps by more than a share."""
-    a = rects.select(key, *(F.col(c).alias(f"a_{c}") for c in ("id", "x0", "y0", "x1", "y1"))).alias("a")
-    b = rects.select(key, *(F.col(c).alias(f"b_{c}") for c in ("id", "x0", "y0", "x1", "y1"))).alias("b")
-    larger = (boxes.area("b_") > boxes.area("a_")) | ((boxes.area("b_") == boxes.area("a_")) & (F.col("b_id") < F.col("a_id")))
-    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & larger & (boxes.of_smaller("a_", "b_") > share), "left_anti").select(key, F.col("a_id").alias("id"))
+def suppressed(rects: DataFrame, key: str, share: float = 0.5) -> DataFrame:
+    """(key, id): rectangles largest first (then by id), without those that one already kept overlaps by more than a share of the smaller.
+
+    Order matters, since what is dropped drops nothing: a fold per frame. Near-equal ones (IoU over 0.8, edges within a hundredth) and those inside
+    a kept one are among those dropped.
+    """
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        kept: list[tuple] = []
+        for r in rows:
+            size = -r[1]
+            clash = any(max(0, min(r[5], k[5]) - max(r[3], k[3])) * max(0, min(r[6], k[6]) - max(r[4], k[4])) > share * max(1, min(size, -k[1])) for k in kept)
+            if not clash:
+                kept.append(r)
+        return [(k[0], k[2]) for k in kept]
+
+    sized = rects.select(key, (-boxes.area()).alias("size"), "id", "x0", "y0", "x1", "y1")
+    return fold_sorted(sized, key, ["size", "id"], f"{key} long, id int", fold)
 
 
 def lexicon_names(readings: DataFrame, lexicon: DataFrame, least: int = 2) -> DataFrame:
@@ -184,6 +267,25 @@ def lexicon_names(readings: DataFrame, lexicon: DataFrame, least: int = 2) -> Da
     return exact.union(one.join(exact, "key", "left_anti"))
 
 
+def lexicon_likely(readings: DataFrame, lexicon: DataFrame, least: int = 2, ends: int = 3) -> DataFrame:
+    """(key, name): the one known name that a mangled reading of six letters and more plainly is, where it is not an exact fold.
+
+    A cut reading must fit a name by both ends, loosely; one of ten letters may be its beginning or end; else likeness decides
+    (``fs.likely_name``). Names are candidates if they share the first or the last ``ends`` letters of the fold, and are gathered per reading, not all at once.
+    """
+    lex = lexicon.where(F.col("sightings") >= least).select("fold", F.col("name").alias("whole"))
+    side = lambda df: df.withColumn("block", F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.left("fold", F.lit(ends))), F.concat(F.lit(">"), F.right("fold", F.lit(ends)))))))
+    r = readings.select("key", "reading", fs.flat(F.col("reading")).alias("fold")).where("length(fold) >= 6").join(lexicon.select("fold").distinct(), "fold", "left_anti")
+    # readings that repeat are asked once
+    asked = r.select("reading", "fold").distinct()
+    near = side(asked).join(side(lex).select("block", F.col("fold").alias("f"), "whole"), "block")
+    # what no tier can reach is dropped before it is gathered
+    n, m = F.length("fold"), F.length("f")
+    near = near.where(F.contains("reading", F.lit("…")) | F.contains("reading", F.lit("..")) | (F.abs(n - m) <= 0.35 * n) | (m > n + 3)).select("reading", "whole").distinct()
+    picked = near.groupBy("reading").agg(F.array_sort(F.collect_list("whole")).alias("names")).select("reading", fs.likely_name("reading", "names").alias("name")).where("name is not null")
+    return r.join(picked, "reading").select("key", "name")
+
+
 def overlap_join(head: Column, tail: Column, least: int = 3) -> Column:
     """Two cuts of one name joined where the longest suffix of one is the prefix of the other; null where they do not meet."""
     most = F.least(F.length(head), F.length(tail))
@@ -202,15 +304,35 @@ def asof_confusion(samples: DataFrame, truth: DataFrame, key: str) -> DataFrame:
 
 
 def touching_clusters(panes: DataFrame, key: str, width: int, share: float = 0.02) -> DataFrame:
-    """(key, id, cluster): panes that share an edge within a share of the screen's width; edges by a join per frame, clusters by contraction."""
-    a = panes.select(key, *(F.col(c).alias(f"a_{c}") for c in ("id", "x0", "y0", "x1", "y1")))
-    b = panes.select(key, *(F.col(c).alias(f"b_{c}") for c in ("id", "x0", "y0", "x1", "y1")))
+    """(key, id, cluster): panes that share an edge within a share of the screen's width, directly or through others; a cluster is named by its least id.
+
+    Optional columns part clusters, in order of x0: ``window`` (the drawn window a pane is in), ``is_list`` (two lists are two windows) and
+    ``program`` (what a pane says it is). A frame holds few panes, and clusters never leave it: one fold, no rounds.
+    """
     slack = share * width
-    meet = ((F.abs(F.col("a_x1") - F.col("b_x0")) <= slack) & (F.least("a_y1", "b_y1") > F.greatest("a_y0", "b_y0"))) | ((F.abs(F.col("a_y1") - F.col("b_y0")) <= slack) & (F.least("a_x1", "b_x1") > F.greatest("a_x0", "b_x0")))
-    node = lambda p: (F.col(key) * 1000 + F.col(f"{p}id")).cast("long")
-    edges = a.join(b, key).where((F.col("a_id") != F.col("b_id")) & meet).select(node("a_").alias("a"), node("b_").alias("b"))
-    found = components(edges)
-    return panes.select(key, "id", (F.col(key) * 1000 + F.col("id")).cast("long").alias("node")).join(found.withColumnRenamed("id", "node"), "node", "left").select(key, "id", F.coalesce(F.col("component"), F.col("node")).alias("cluster"))
+
+    def touch(a: tuple, b: tuple) -> bool:
+        side = min(abs(a[4] - b[2]), abs(b[4] - a[2])) <= slack and min(a[5], b[5]) > max(a[3], b[3])
+        return side or min(abs(a[5] - b[3]), abs(b[5] - a[3])) <= slack and min(a[4], b[4]) > max(a[2], b[2])
+
+    def parted(q: tuple, members: list[tuple]) -> bool:
+        differ = lambda k: q[k] is not None and any(m[k] is not None and m[k] != q[k] for m in members)
+        return bool(q[7]) and any(m[7] for m in members) or differ(6) or differ(8)
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        rows = [tuple(None if v is None or v != v else v for v in r) for r in rows]
+        left, out = list(rows), []
+        while left:
+            members = [left.pop(0)]
+            while grown := next((q for q in left if any(touch(q, m) for m in members) and not parted(q, members)), None):
+                members.append(grown)
+                left.remove(grown)
+            out += [(m[0], m[1], min(x[1] for x in members)) for m in members]
+        return out
+
+    extra = {"window": "long", "is_list": "boolean", "program": "string"}
+    more = [F.col(c) if c in panes.columns else F.lit(None).cast(kind).alias(c) for c, kind in extra.items()]
+    return fold_sorted(panes.select(key, "id", "x0", "y0", "x1", "y1", *more), key, ["x0", "id"], f"{key} long, id int, cluster int", fold)
 
 
 def adopted(orphans: DataFrame, windows: DataFrame, key: str, share: float = 0.06, gap: int = 60) -> DataFrame:
@@ -242,6 +364,30 @@ def twin_rows(rows: DataFrame, key: str) -> DataFrame:
     return best.select(key, (-F.col("b.r")).alias("r"), "twins")
 
 
+def near_twins(rows: DataFrame, key: str) -> DataFrame:
+    """(key, r, twins): rows of one list with the same other cells whose names are alike stand as one: equal folds, or five letters and more, at most two apart in length, at a ratio of 0.75.
+
+    A row joins the first group, in order of r, whose standing name is alike; the name with most votes stands, then confirmed, most marks, longest. A list is what one
+    screen shows.
+    """
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        groups: list[list] = []
+        for k, r, rest, name, votes, ok in rows:
+            weight = (votes, ok, sum(not c.isalnum() and c != " " for c in name), len(name))
+            for g in groups:
+                if g[1] == rest and fs.alike(g[2], name):
+                    g[4] += 1
+                    if weight > g[3]:
+                        g[0], g[2], g[3] = r, name, weight
+                    break
+            else:
+                groups.append([r, rest, name, weight, 1])
+        return [(rows[0][0], g[0], g[4]) for g in groups]
+
+    return fold_sorted(rows.select(key, "r", "rest", "name", "votes", "ok"), key, ["r"], f"{key} long, r long, twins long", fold)
+
+
 def title_evidence(tokens: DataFrame, known: DataFrame, near: int = 40) -> DataFrame:
     """Tokens of three letters read at another moment of the recording at the same place, or known as a title."""
     cell = F.floor(F.col("x") / (near + 1))

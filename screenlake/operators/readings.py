@@ -15,3 +15,24 @@ def program_names(readings: DataFrame, vocabulary: list[str], floor: float = 0.7
     each = readings.select("key", before.alias("head"), known.alias("word"))
     best = each.withColumn("score", fs.seq_ratio("head", "word")).groupBy("key").agg(F.max(F.struct("score", "word")).alias("b"))
     return best.select("key", F.when(F.col("b.score") >= floor, F.col("b.word")).alias("program"))
+
+
+def reconciled(rows: DataFrame, primary: str, second: str) -> DataFrame:
+    """``rows`` with ``text`` and ``status`` by the ladder of agreement of two readings.
+
+    Each rung is a column of its own, so the costly ones see only the rows that come down to them.
+    """
+    said = rows.withColumns({"_p": fs.tidy(F.col(primary)), "_s": fs.tidy(F.col(second))}).withColumns({"_lp": fs.letters(F.col("_p")), "_ls": fs.letters(F.col("_s"))})
+    open_, same = (F.col("_p") != F.col("_s")) & (F.col("_s") != ""), F.col("_lp") == F.col("_ls")
+    said = said.withColumn("_m", F.when(open_ & same, fs.merged_readings(F.col("_p"), F.col("_s"))))
+    said = said.withColumn("_g", F.when(open_ & ~same & (F.length("_lp") == F.length("_ls")), fs.only_lookalikes(F.col("_lp"), F.col("_ls"))))
+    rest = open_ & ~same & ~F.coalesce("_g", F.lit(False))
+    said = said.withColumn("_h", fs.agreed_head(F.when(rest, F.col("_p")), F.when(rest, F.col("_s"))))
+    status = (
+        F.when(F.col("_s") == "", "unverified")
+        .when(F.col("_p") == F.col("_s"), "confident")
+        .when(same, F.when(F.col("_m.clashes") > 0, "ambiguous-symbol").otherwise("reconciled"))
+        .when(F.col("_g"), "ambiguous-glyph")
+        .otherwise(F.coalesce(F.col("_h.status"), F.lit("uncertain")))
+    )
+    return said.select(*rows.columns, F.coalesce("_m.text", "_h.text", "_p").alias("text"), status.alias("status"))

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenlake.functions import strings as fs
+from screenlake.functions.folds import fold_sorted
+from screenlake.functions.storage import stored
 from screenlake.operators.layout import ordered_text
 
 
@@ -44,21 +46,14 @@ def retitled(lists: DataFrame, paths: DataFrame, quorum: int = 2) -> DataFrame:
     return votes.groupBy("list").agg(F.max(F.struct("n", "parent")).alias("m")).where(F.col("m.n") >= quorum).select("list", F.col("m.parent").alias("title"))
 
 
-def mended_lines(lines: DataFrame, least: int = 5, share: float = 0.55, most: float = 1.5) -> DataFrame:
+def mended_lines(lines: DataFrame, least: int = 5, share: float = 0.55, most: float = 1.5, rounds: int = 8) -> DataFrame:
     """(doc, line, text): a line takes the words that another reading of it has more of, where both agree on ``least`` words and a share of the shorter.
 
-    Candidates share three three-word shingles; the merge of a pair is a small function in Arrow batches.
+    Equal lines are one. Candidates share three three-word shingles: two lines that do share one besides each one's two commonest, so these are not joined on.
+    Mended lines are read again until none grows. The merge of a pair is a small function in Arrow batches.
     """
     import difflib
 
-    words = F.split("text", " ")
-    shingles = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " "))
-    s = lines.where(F.size(words) >= 6).select("doc", "line", "text", F.explode(F.array_distinct(shingles)).alias("s"))
-    many = s.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 50").select("s")
-    k = s.join(many, "s")
-    a, b = k.select("s", F.col("doc").alias("da"), F.col("line").alias("la"), F.col("text").alias("a")), k.select("s", F.col("doc").alias("db"), F.col("line").alias("lb"), F.col("text").alias("b"))
-    pairs = a.join(b, "s").where("a <> b").groupBy("da", "la", "db", "lb", "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-
     def merge(x: str, y: str) -> str:
         p, q = x.split(" "), y.split(" ")
         ops = difflib.SequenceMatcher(None, p, q, autojunk=False).get_opcodes()
@@ -80,10 +75,24 @@ def mended_lines(lines: DataFrame, least: int = 5, share: float = 0.55, most: fl
 
     def run(it):
         for pdf in it:
-            yield pd.DataFrame({"doc": pdf["da"], "line": pdf["la"], "text": [merge(x, y) for x, y in zip(pdf["a"], pdf["b"], strict=True)]})
-
-    best = pairs.select("da", "la", "a", "b").mapInPandas(run, "doc long, line int, text string").groupBy("doc", "line").agg(F.max(F.struct(F.length("text").alias("n"), "text")).getField("text").alias("mended"))
-    return lines.join(best, ["doc", "line"], "left").select("doc", "line", F.coalesce("mended", "text").alias("text"))
+            yield pd.DataFrame({"was": pdf["a"], "text": [merge(x, y) for x, y in zip(pdf["a"], pdf["b"], strict=True)]})
+
+    def mended(texts: DataFrame) -> DataFrame:
+        words = F.split("text", " ")
+        shingles = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " "))
+        s = texts.where(F.size(words) >= 6).select("text", F.explode(F.array_distinct(shingles)).alias("s"))
+        n = s.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        k = s.join(n, "s").withColumn("turn", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("n"), "s"))).where("turn > 2")
+        near = k.select("s", F.col("text").alias("a")).join(k.select("s", F.col("text").alias("b")), "s").where("a <> b").select("a", "b").distinct()
+        return near.mapInPandas(run, "was string, text string").where("was <> text").groupBy("was").agg(F.max(F.struct(F.length("text").alias("n"), "text")).getField("text").alias("text"))
+
+    lines, grown = lines.withColumn("now", F.col("text")), None
+    for turn in range(rounds):
+        grown = stored(mended(lines.select(F.col("now").alias("text")).where("now is not null").distinct()), "mended")
+        if grown.isEmpty():
+            break
+        lines = stored(lines.join(grown.withColumnsRenamed({"was": "now", "text": "new"}), "now", "left").withColumn("now", F.coalesce("new", "now")).drop("new"), "lines")
+    return lines.select("doc", "line", F.col("now").alias("text"))
 
 
 def tail_completion(lines: DataFrame, least: int = 16, piece: int = 14, tail: int = 8, most: int = 220) -> DataFrame:
@@ -129,6 +138,34 @@ def settled_spelling(readings: DataFrame, keys: list[str], name: str = "reading"
     return readings.withColumn("_f", fold).join(best, [*keys, "_f"]).drop("_f")
 
 
+def respelt(rows: DataFrame, settled: DataFrame, key: str) -> DataFrame:
+    """(key, r, name): a name takes the settled list's first spelling that is alike: equal folds, or a ratio of 0.88, or 0.80 where two other cells and more agree.
+
+    Of equal folds the one with more marks, then capitals, then letters stands. ``cells`` are a row's other cells. A list is what one window holds.
+    """
+
+    def weight(s: str) -> tuple:
+        return sum(not c.isalnum() for c in s), sum(c.isupper() for c in s), len(s)
+
+    def fold(group: list[tuple]) -> list[tuple]:
+        known, out = [g for g in group if g[1] == 0], []
+        for k, side, r, name, cells in group:
+            if side == 0:
+                continue
+            own = [fs.folded(c)[0] for c in cells if c]
+            for _, _, _, other, theirs in known:
+                rest = len(own) >= 2 and set(own) <= {fs.folded(c)[0] for c in theirs if c}
+                if name and other and fs.folded(name)[0] and fs.alike(name, other, 0.8 if rest else 0.88):
+                    same = fs.folded(name)[0] == fs.folded(other)[0]
+                    name = name if same and weight(name) > weight(other) else other
+                    break
+            out.append((k, r, name))
+        return out
+
+    both = settled.select(key, F.lit(0).alias("side"), "r", "name", "cells").union(rows.select(key, F.lit(1).alias("side"), "r", "name", "cells"))
+    return fold_sorted(both, key, ["side", "r"], f"{key} long, r long, name string", fold)
+
+
 def canonical(names: DataFrame, name: str = "reading") -> DataFrame:
     """(fold, canonical, n): most capitals, then marks, then length stands for all readings of a fold."""
     s = F.struct(F.length(F.regexp_replace(name, "[^A-Z]", "")).alias("c"), F.length(F.regexp_replace(name, "[A-Za-z0-9 ]", "")).alias("m"), F.length(name).alias("n"), F.col(name).alias("name"))

@@ -84,6 +84,14 @@ def html_items(html: Column, tag: str) -> Column:
     return F.transform(found, lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "<[^>]*>", ""), r"\s+", " ")))
 
 
+def html_first_cells(html: Column) -> Column:
+    """Per table the text of the first cell of each row; rows without a cell give none."""
+    tables = F.regexp_extract_all(html, F.lit("(?s)<table[^>]*>(.*?)</table>"), F.lit(1))
+    rows = lambda t: F.regexp_extract_all(t, F.lit("(?s)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+    first = lambda r: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(r, "(?s)<t[dh][^>]*>(.*?)</t[dh]>", 1), "<[^>]*>", ""), r"\s+", " "))
+    return F.transform(tables, lambda t: F.transform(F.filter(rows(t), lambda r: r.rlike("<t[dh][ >]")), first))
+
+
 def html_boxes(html: Column, name: str) -> Column:
     """Of elements of a whole class name, the four percentages of place and size; others are skipped."""
     styles = F.regexp_extract_all(html, F.lit(f'class="(?:[^"]* )?{name}(?: [^"]*)?" style="([^"]*)"'), F.lit(1))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenlake.functions import strings as fs
+from screenlake.functions.folds import fold_sorted
 
 
 def consensus(readings: DataFrame, key: str = "entity") -> DataFrame:
@@ -43,10 +44,16 @@ def merged_list(rows: DataFrame, key: str, least: int = 5) -> DataFrame:
 
 
 def medoid(readings: DataFrame, key: str, ratio=fs.edit_ratio) -> DataFrame:
-    """(key, medoid): the reading with the greatest summed likeness to the others, 0.002 a letter on top; ties by reading. Groups are the few readings of one thing."""
-    a = readings.select(key, F.col("rid").alias("ra"), F.col("reading").alias("a"))
-    b = readings.select(key, F.col("rid").alias("rb"), F.col("reading").alias("b"))
-    score = a.join(b, key).where("ra <> rb").groupBy(key, "ra", "a").agg((F.sum(ratio(F.col("a"), F.col("b"))) + F.max(F.length("a")) * 0.002).alias("s"))
+    """(key, medoid): the reading with the greatest summed likeness to the others, 0.002 a letter on top, and 0.02 where the second engine marked it (``marked``, optional).
+
+    Groups are the few readings of one thing; equal readings of a group are compared once and count as often as they occur. Ties by reading.
+    """
+    marked = F.max("marked") if "marked" in readings.columns else F.lit(False)
+    n = readings.groupBy(key, "reading").agg(F.count(F.lit(1)).alias("n"), marked.alias("marked"))
+    a = n.select(key, F.col("reading").alias("a"), F.col("n").alias("na"), "marked")
+    b = n.select(key, F.col("reading").alias("b"), F.col("n").alias("nb"))
+    like = a.join(b, key).withColumn("like", ratio(F.col("a"), F.col("b")) * (F.col("nb") - (F.col("a") == F.col("b")).cast("int")))
+    score = like.groupBy(key, "a", "marked").agg((F.sum("like") + F.max(F.length("a")) * 0.002 + F.when(F.col("marked"), 0.02).otherwise(0.0)).alias("s"))
     return score.groupBy(key).agg(F.max(F.struct(F.round("s", 9).alias("s"), "a")).getField("a").alias("medoid"))
 
 
@@ -241,6 +248,35 @@ def row_spacing(lines: DataFrame, page: str, height: float, share: float = 0.6,
     return s.where(F.size("a") >= least).select(page, F.get("a", F.floor(F.size("a") / 2).cast("int")).alias("spacing"))
 
 
-def duplicate_blocks(blocks: DataFrame, key: str, least: int = 40) -> DataFrame:
-    """(key, text, n): runs of text that repeat inside one picture."""
-    return blocks.where(F.length("text") >= least).groupBy(key, "text").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def duplicate_blocks(blocks: DataFrame, key: str, least: int = 40, quote: int = 80) -> DataFrame:
+    """(key, quote, n): runs of text that begin alike, by their first ``quote`` characters, inside one picture."""
+    return blocks.where(F.length("text") >= least).groupBy(key, F.left("text", F.lit(quote)).alias("quote")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def busy_pictures(values: DataFrame, texts: DataFrame, key: str, side: int, spread: float = 18.0, levels: int = 6, text: float = 0.15, least: int = 4) -> DataFrame:
+    """(key, cells, x0, y0, x1, y1): pictures, as groups of ``least`` neighbouring busy cells and more.
+
+    A cell (cx, cy) of ``side`` pixels is busy with a deviation over ``spread`` and six grey levels of sixteen, unless text boxes cover more than a share of it. Groups never leave
+    a frame, whose cells are few: one fold.
+    """
+    busy = values.groupBy(key, "cx", "cy").agg(F.stddev_pop("v").alias("s"), F.count_distinct(F.floor(F.col("v") / 16)).alias("n")).where((F.col("s") > spread) & (F.col("n") >= levels)).select(key, "cx", "cy")
+    lap = lambda a, b, c: F.greatest(F.least(F.col(b), (F.col(c) + 1) * side) - F.greatest(F.col(a), F.col(c) * side), F.lit(0))
+    covered = busy.join(texts, key).groupBy(key, "cx", "cy").agg(F.sum(lap("x0", "x1", "cx") * lap("y0", "y1", "cy")).alias("area")).where(F.col("area") > text * side * side)
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        left, out = {r[1:] for r in rows}, []
+        while left:
+            group, new = [], [left.pop()]
+            while new:
+                x, y = new.pop()
+                group.append((x, y))
+                for near in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
+                    if near in left:
+                        left.remove(near)
+                        new.append(near)
+            if len(group) >= least:
+                xs, ys = zip(*group, strict=True)
+                out.append((rows[0][0], len(group), min(xs) * side, min(ys) * side, (max(xs) + 1) * side, (max(ys) + 1) * side))
+        return out
+
+    return fold_sorted(busy.join(covered, [key, "cx", "cy"], "left_anti"), key, ["cy", "cx"], f"{key} long, cells long, x0 long, y0 long, x1 long, y1 long", fold)

@@ -33,9 +33,15 @@ def a02(spark, d):
     return votes.merged_list(r, "list", least=2)
 
 
-@query("A03_medoid", "names", "r AS (SELECT seen_at AS entity, key AS rid, name AS reading FROM names), s AS (SELECT a.entity, a.rid, a.reading, sum(1 - levenshtein(a.reading, b.reading) / greatest(length(a.reading), length(b.reading), 1)) + max(length(a.reading)) * 0.002 AS s FROM r a JOIN r b ON a.entity = b.entity AND a.rid <> b.rid GROUP BY a.entity, a.rid, a.reading) SELECT entity, max(struct_pack(s := round(s, 9), a := reading)).a AS medoid FROM s GROUP BY entity")
+@query("A03_medoid", "names", "r AS (SELECT key // 10 AS entity, key AS rid, name AS reading FROM names), s AS (SELECT a.entity, a.rid, a.reading, sum(1 - levenshtein(a.reading, b.reading) / greatest(length(a.reading), length(b.reading), 1)) + max(length(a.reading)) * 0.002 AS s FROM r a JOIN r b ON a.entity = b.entity AND a.rid <> b.rid GROUP BY a.entity, a.rid, a.reading) SELECT entity, max(struct_pack(s := round(s, 9), a := reading)).a AS medoid FROM s GROUP BY entity")
 def a03(spark, d):
-    return votes.medoid(views.names(spark, d).select(F.col("seen_at").alias("entity"), F.col("key").alias("rid"), F.col("name").alias("reading")), "entity")
+    return votes.medoid(views.names(spark, d).select(F.floor(F.col("key") / 10).alias("entity"), F.col("key").alias("rid"), F.col("name").alias("reading")), "entity")
+
+
+@query("A03b_block_medoid")
+def a03b(spark, d):
+    r = views.names(spark, d).select(F.floor(F.col("key") / 10).alias("entity"), F.col("key").alias("rid"), "reading", (F.col("key") % 3 == 0).alias("marked"))
+    return votes.medoid(r, "entity", fs.seq_ratio)
 
 
 @query("A04_best_reading", "two", f"r AS (SELECT doc, a AS reading FROM two UNION ALL SELECT doc, b FROM two), s AS (SELECT doc, reading, length(reading) - length(replace(reading, '_', '')) AS u, length({flat('reading')}) AS n, length(reading) - length(replace(reading, '.', '')) AS d FROM r) SELECT doc, max(struct_pack(u := u, n := n, d := d, r := reading)).r AS best FROM s GROUP BY doc")
@@ -179,7 +185,8 @@ def a25(spark, d):
 
 @query("A26_console_score")
 def a26(spark, d):
-    t = views.two(spark, d).where("length(a) < 400").withColumn("m", fs.matched_characters("a", "b"))
+    """Lines as a console shows them, twelve words a row, as two recognisers read them."""
+    t = views.console(spark, d).withColumn("m", fs.matched_characters("a", "b"))
     return t.groupBy("doc").agg(F.sum("m").alias("matched"), F.sum(F.length("a")).alias("characters"), F.count_if(F.col("a") == F.col("b")).alias("exact"))
 
 
@@ -233,7 +240,7 @@ def a32(spark, d):
     return p.join(m, "site").where("root <> modal").select("page_id", "site", "root", "modal")
 
 
-@query("A33_duplicate_blocks", "lines", "SELECT doc, text, count(*) AS n FROM lines WHERE length(text) >= 40 GROUP BY doc, text HAVING count(*) > 1")
+@query("A33_duplicate_blocks", "lines", "SELECT doc, left(text, 80) AS quote, count(*) AS n FROM lines WHERE length(text) >= 40 GROUP BY ALL HAVING count(*) > 1")
 def a33(spark, d):
     return votes.duplicate_blocks(views.lines(spark, d), "doc")
 

@@ -7,7 +7,8 @@ from screenlake.functions.graph import components
 from screenlake.plans.registry import query
 from screenlake.plans.texts import flat
 from screenlake.functions import strings as fs
-from screenlake.operators import joins
+from screenlake.operators import joins, votes
+from screenlake.plans.joins import KEPT
 from screenlake.sources import views
 
 
@@ -63,22 +64,32 @@ def cc01(spark, d):
     return blobs(spark, d)
 
 
-@query("L06_largest_groups")
+BLOBS = f"{GRID}, r AS (WITH RECURSIVE r(id, n) AS (SELECT id, id FROM p UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.n) SELECT id, min(n) AS c FROM r GROUP BY id), g AS (SELECT frame, c, count(*) AS size FROM p JOIN r ON p.id = r.id GROUP BY frame, c)"
+
+
+@query("L06_largest_groups", "thumbs", f"{BLOBS} SELECT frame, turn, size FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY size DESC, c) AS turn FROM g) WHERE turn <= 3")
 def l06(spark, d):
     b = blobs(spark, d).withColumn("turn", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("size"), "c")))
     return b.where("turn <= 3").select("frame", "turn", "size")
 
 
-@query("CC02_busy_cells")
+def marked_bursts(spark, d):
+    """Grey values of a burst by cells of 2 x 2 pixels, contrast spread to the full range, and text boxes in pixels."""
+    t = views.thumbs(spark, d).select("burst", "frame", F.posexplode("thumb").alias("pos", "v"))
+    v = F.least(F.greatest((F.col("v") - 127) * 3 + 127, F.lit(0)), F.lit(255))
+    values = t.select("burst", F.floor(F.col("pos") % 8 / 2).alias("cx"), F.floor(F.col("pos") / 8 / 2).alias("cy"), v.alias("v"))
+    r = views.rects(spark, d).where("id = 1").select(F.col("frame").alias("burst"), (F.col("x0") % 8).alias("x0"), (F.col("y0") % 8).alias("y0"))
+    return values, r.withColumns({"x1": F.least(F.col("x0") + 2, F.lit(8)), "y1": F.col("y0") + 1})
+
+
+@query("CC02_busy_cells", "thumbs rects", """v AS (SELECT burst, i % 8 // 2 AS cx, i // 16 AS cy, least(greatest((v - 127) * 3 + 127, 0), 255) AS v FROM (SELECT burst, generate_subscripts(thumb, 1) - 1 AS i, unnest(thumb) AS v FROM thumbs)),
+b AS (SELECT frame AS burst, x0 % 8 AS x0, y0 % 8 AS y0, least(x0 % 8 + 2, 8) AS x1, y0 % 8 + 1 AS y1 FROM rects WHERE id = 1),
+c AS (SELECT burst, cx, cy FROM v GROUP BY ALL HAVING stddev_pop(v) > 18 AND count(DISTINCT v // 16) >= 6),
+t AS (SELECT c.*, cy * 4 + cx AS id FROM c WHERE coalesce((SELECT sum(greatest(least(b.x1, cx * 2 + 2) - greatest(b.x0, cx * 2), 0) * greatest(least(b.y1, cy * 2 + 2) - greatest(b.y0, cy * 2), 0)) FROM b WHERE b.burst = c.burst), 0) <= 0.15 * 4),
+r AS (WITH RECURSIVE r(burst, id, n) AS (SELECT burst, id, id FROM t UNION SELECT r.burst, r.id, y.id FROM r JOIN t x ON x.burst = r.burst AND x.id = r.n JOIN t y ON y.burst = x.burst AND abs(y.cx - x.cx) + abs(y.cy - x.cy) = 1) SELECT burst, id, min(n) AS c FROM r GROUP BY burst, id)
+SELECT burst, count(*) AS cells, min(cx) * 2 AS x0, min(cy) * 2 AS y0, max(cx) * 2 + 2 AS x1, max(cy) * 2 + 2 AS y1 FROM r JOIN t USING (burst, id) GROUP BY burst, c HAVING count(*) >= 4""")
 def cc02(spark, d):
-    cell = F.floor(F.col("pos") / 8 / 2) * 4 + F.floor(F.col("pos") % 8 / 2)
-    c = views.thumbs(spark, d).select("burst", "frame", F.posexplode("thumb").alias("pos", "v")).groupBy("burst", cell.alias("cell")).agg(F.stddev_pop("v").alias("s"), F.count_distinct(F.floor(F.col("v") / 16)).alias("n")).where("s > 15 and n >= 5")
-    node = (F.col("burst") * 16 + F.col("cell")).alias("id")
-    p = c.select("burst", "cell", node)
-    right = p.where("cell % 4 < 3").select("burst", (F.col("cell") + 1).alias("cell"), F.col("id").alias("a"))
-    edges = right.union(p.select("burst", F.col("cell") + 4, "id")).join(p.select("burst", "cell", F.col("id").alias("b")), ["burst", "cell"]).select("a", "b")
-    j = p.join(components(edges), "id", "left").groupBy("burst", F.coalesce("component", "id").alias("c")).agg(F.count(F.lit(1)).alias("cells"))
-    return j.where("cells >= 4").select("burst", "cells")
+    return votes.busy_pictures(*marked_bursts(spark, d), "burst", side=2)
 
 
 @query("U01_set_difference", "names", f"a AS (SELECT DISTINCT {flat('name')} AS f FROM names WHERE key % 3 <> 0), b AS (SELECT DISTINCT {flat('reading')} AS f FROM names WHERE key % 3 <> 1) SELECT 'both' AS side, f FROM a WHERE f IN (SELECT f FROM b) UNION ALL SELECT 'only old', f FROM a WHERE f NOT IN (SELECT f FROM b) UNION ALL SELECT 'only new', f FROM b WHERE f NOT IN (SELECT f FROM a)")
@@ -89,11 +100,10 @@ def u01(spark, d):
     return said(old.intersect(new), "both").union(said(old.subtract(new), "only old")).union(said(new.subtract(old), "only new"))
 
 
-@query("U02_union_with_veto")
+@query("U02_union_with_veto", "rects", KEPT.format("b AS (SELECT * FROM rects WHERE kind = 'window' OR kind = 'pane' AND id % 2 = 0)", "b"))
 def u02(spark, d):
     r = views.rects(spark, d)
-    kept = joins.without_covered(r.where("kind = 'window'").unionByName(r.where("kind = 'pane' and id % 2 = 0")), "frame")
-    return kept.distinct()
+    return joins.suppressed(r.where("kind = 'window'").unionByName(r.where("kind = 'pane' and id % 2 = 0")), "frame")
 
 
 @query("U03_ordered_distinct", "lines", "SELECT doc, text, min(line) AS first FROM lines GROUP BY doc, text")

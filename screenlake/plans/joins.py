@@ -84,18 +84,30 @@ def j08(spark, d):
     return joins.second_reading(cells, second, ["doc", "line"])
 
 
+TERMS = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: length(x) >= 3)"
+
+
 @query("J09_cross_confirm", "two", rf"""o AS (SELECT doc, {flat("string_agg(b, ' ' ORDER BY line)")} AS other FROM two GROUP BY doc),
-t AS (SELECT two.doc, line, a, {flat('a')} AS mine, list_filter(regexp_extract_all(lower(a), '[a-z0-9]+'), lambda x: length(x) >= 3) AS terms, other FROM two JOIN o ON two.doc = o.doc)
-SELECT doc, line, ((length(mine) >= 3 AND contains(other, mine)) OR (len(terms) > 0 AND len(list_filter(terms, lambda x: contains(other, x))) * 2 >= len(terms))) AND NOT regexp_matches(regexp_replace(a, '[\x00-\x7F]', '', 'g'), '\p{{L}}') AS confirmed FROM t""")
+k AS (SELECT DISTINCT doc, unnest({TERMS.format("o")}) AS term FROM (SELECT doc, string_agg(b, ' ' ORDER BY line) AS o FROM two GROUP BY doc)),
+m AS (SELECT doc, line, unnest({TERMS.format("a")}) AS term FROM two),
+h AS (SELECT m.doc, m.line, count(k.term) * 2 >= count(*) AS half FROM m LEFT JOIN k ON m.doc = k.doc AND m.term = k.term GROUP BY m.doc, m.line)
+SELECT two.doc, two.line, ((length({flat('a')}) >= 3 AND contains(other, {flat('a')})) OR coalesce(half, false)) AND NOT regexp_matches(regexp_replace(a, '[\x00-\x7F]', '', 'g'), '\p{{L}}') AS confirmed FROM two JOIN o ON two.doc = o.doc LEFT JOIN h ON two.doc = h.doc AND two.line = h.line""")
 def j09(spark, d):
-    t = views.two(spark, d)
-    other = t.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "b"))), lambda r: r["b"]), " ").alias("other"))
-    return joins.confirmed_by(t, other, "doc").select("doc", "line", "confirmed")
+    return joins.confirmed_by(views.two(spark, d), "doc", "line", respace=False).select("doc", "line", "confirmed")
+
 
+@query("J09b_respaced")
+def j09b(spark, d):
+    return joins.confirmed_by(views.two(spark, d), "doc", "line").where("confirmed")
 
-@query("J10_remainder", "lines", rf"""s AS (SELECT doc, {flat("string_agg(text, ' ' ORDER BY line)")} AS used, min(line) AS top_, max(line) AS foot FROM lines WHERE line % 2 = 1 GROUP BY doc),
-t AS (SELECT l.doc, line, {flat('text')} AS mine, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3) AS terms, used, top_, foot FROM lines l JOIN s ON l.doc = s.doc)
-SELECT doc, line, CASE WHEN line < top_ THEN 'above' WHEN line > foot THEN 'below' ELSE 'beside' END AS place FROM t WHERE mine <> '' AND NOT (contains(used, mine) OR (len(terms) > 0 AND len(list_filter(terms, lambda x: contains(used, x))) >= 0.7 * len(terms)))""")
+
+@query("J10_remainder", "lines", rf"""s AS (SELECT doc, string_agg(text, ' ' ORDER BY line) AS raw, min(line) AS top_, max(line) AS foot FROM lines WHERE line % 2 = 1 GROUP BY doc),
+u AS (SELECT doc, {flat("raw")} AS used, top_, foot FROM s), k AS (SELECT DISTINCT doc, unnest({TERMS.format("raw")}) AS term FROM s),
+m AS (SELECT doc, line, unnest({TERMS.format("text")}) AS term FROM lines WHERE line % 2 = 0),
+h AS (SELECT m.doc, m.line, count(k.term) >= 0.7 * count(*) AS held FROM m LEFT JOIN k ON m.doc = k.doc AND m.term = k.term GROUP BY m.doc, m.line),
+t AS (SELECT l.doc, l.line, {flat('text')} AS mine, used, top_, foot FROM lines l JOIN u ON l.doc = u.doc LEFT JOIN h ON l.doc = h.doc AND l.line = h.line WHERE l.line % 2 = 0 AND NOT coalesce(held, false)),
+b AS (SELECT *, CAST(ceil(0.6 * length(mine) - 1e-9) AS BIGINT) AS n FROM t WHERE mine <> '' AND NOT contains(used, mine))
+SELECT doc, line, CASE WHEN line < top_ THEN 'above' WHEN line > foot THEN 'below' ELSE 'beside' END AS place FROM b WHERE length(mine) < 8 OR len(list_filter(range(1, length(mine) - n + 2), lambda i: contains(used, substr(mine, i, n)))) = 0""")
 def j10(spark, d):
     n = views.lines(spark, d)
     return joins.leftovers(n, n.where("line % 2 = 1"), "doc", "line")
@@ -120,6 +132,19 @@ def j13(spark, d):
     return joins.dropped_rows(r.where("list % 4 <> 0").withColumnRenamed("list", "pane"), r.where("list % 4 = 0").withColumnRenamed("list", "table"), "grp", least=1, share=0.2)
 
 
+def named_rows(spark, d):
+    """Names of a moment's panes and drawn tables; each seventh reading lost a letter."""
+    n = views.names(spark, d)
+    near = F.when(F.col("key") % 7 == 0, F.concat(F.left("name", F.lit(4)), F.substr(F.col("name"), F.lit(6)))).otherwise(F.col("reading"))
+    moment = F.floor(F.col("key") / 8)
+    return n.where("key % 3 > 0").select(moment.alias("moment"), F.lit(1).cast("long").alias("pane"), near.alias("name")), n.where("key % 3 < 2").select(moment.alias("moment"), (F.col("key") % 2).alias("table"), "name")
+
+
+@query("J13b_dropped_close")
+def j13b(spark, d):
+    return joins.dropped_close(*named_rows(spark, d), "moment", least=1, share=0.2)
+
+
 @query("J14_greedy_pairs")
 def j14(spark, d):
     return joins.greedy_pairs(pairs(spark, d), "frame")
@@ -130,6 +155,16 @@ def j15(spark, d):
     return joins.uncovered(boxed(spark, d, WIN, "w_"), boxed(spark, d, PANE, "p_"), "frame").select("frame", "w_id")
 
 
+LAP = "greatest(least({0}x1, {1}x1) - greatest({0}x0, {1}x0), 0) * greatest(least({0}y1, {1}y1) - greatest({0}y0, {1}y0), 0) / greatest(1, least(({0}x1 - {0}x0) * ({0}y1 - {0}y0), ({1}x1 - {1}x0) * ({1}y1 - {1}y0)))"
+
+
+@query("J15b_unfilled_windows", "rects", f"""w AS (SELECT * FROM rects WHERE {WIN}), t AS (SELECT * FROM w a WHERE NOT EXISTS (SELECT 1 FROM w b WHERE b.frame = a.frame AND b.id <> a.id AND {LAP.format('a.', 'b.')} > 0.5)),
+o AS (SELECT t.frame, p.id AS box, count(*) AS n, min(t.id) AS id FROM t JOIN (SELECT * FROM rects WHERE {PANE}) p ON p.frame = t.frame AND {LAP.format('t.', 'p.')} > 0.5 GROUP BY t.frame, p.id)
+SELECT frame, id AS w_id FROM t WHERE NOT EXISTS (SELECT 1 FROM o WHERE n = 1 AND o.frame = t.frame AND o.id = t.id)""")
+def j15b(spark, d):
+    return joins.unfilled(boxed(spark, d, WIN, "w_"), boxed(spark, d, PANE, "p_"), "frame")
+
+
 @query("J16_rectangles", "segments", """h AS (SELECT * FROM segments WHERE axis = 'h'), v AS (SELECT * FROM segments WHERE axis = 'v'),
 f AS (SELECT t.frame, t.pos AS tp, f.pos AS fp, greatest(t.a, f.a) AS x0, least(t.b, f.b) AS x1 FROM h t JOIN h f ON t.frame = f.frame AND t.pos < f.pos AND least(t.b, f.b) - greatest(t.a, f.a) >= 0.5 * least(t.b - t.a, f.b - f.a))
 SELECT DISTINCT f.frame, l.pos AS x0, f.tp AS y0, r.pos AS x1, f.fp AS y1 FROM f JOIN v l ON f.frame = l.frame AND abs(l.pos - f.x0) <= 0.15 * (fp - tp) + 40 JOIN v r ON f.frame = r.frame AND l.pos < r.pos AND abs(r.pos - f.x1) <= 0.15 * (fp - tp) + 440""")
@@ -137,10 +172,17 @@ def j16(spark, d):
     return joins.rectangle_candidates(views.segments(spark, d), "frame")
 
 
-@query("J17_suppression", "rects", """b AS (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM rects)
-SELECT a.frame, a.id FROM b a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.frame = a.frame AND (b.area > a.area OR b.area = a.area AND b.id < a.id) AND greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) / greatest(1, least(a.area, b.area)) > 0.5)""")
+#: rectangles kept so far, frame by frame, in order of size
+KEPT = """{0}, q AS (SELECT frame, id, x0, y0, x1, y1, row_number() OVER (PARTITION BY frame ORDER BY (x1 - x0) * (y1 - y0) DESC, id) AS turn FROM {1}),
+k AS (WITH RECURSIVE r(frame, turn, kept) AS (SELECT frame, 1, [struct_pack(id := id, x0 := x0, y0 := y0, x1 := x1, y1 := y1)] FROM q WHERE turn = 1 UNION ALL
+ SELECT q.frame, r.turn + 1, CASE WHEN len(list_filter(r.kept, lambda m: """ + LAP.format("m.", "q.") + """ > 0.5)) > 0 THEN r.kept ELSE list_append(r.kept, struct_pack(id := q.id, x0 := q.x0, y0 := q.y0, x1 := q.x1, y1 := q.y1)) END FROM r JOIN q ON q.frame = r.frame AND q.turn = r.turn + 1)
+ SELECT frame, arg_max(kept, turn) AS kept FROM r GROUP BY frame)
+SELECT frame, unnest(list_transform(kept, lambda m: m.id)) AS id FROM k"""
+
+
+@query("J17_suppression", "rects", KEPT.format("b AS (SELECT * FROM rects)", "b"))
 def j17(spark, d):
-    return joins.without_covered(views.rects(spark, d), "frame")
+    return joins.suppressed(views.rects(spark, d), "frame")
 
 
 LEX = f"x AS (SELECT {flat('name')} AS fold, max(name) AS name, count(*) AS n FROM names WHERE length(name) >= 6 GROUP BY 1)"
@@ -155,6 +197,12 @@ def j18(spark, d):
     return joins.lexicon_names(n, scans.lexicon(n, "name"))
 
 
+@query("J18b_likely_names")
+def j18b(spark, d):
+    n = views.names(spark, d)
+    return joins.lexicon_likely(n, scans.lexicon(n, "name"))
+
+
 @query("J19_splice", "names", "SELECT key, CASE WHEN substr(name, 1, 7) <> '' AND length(name) >= 7 THEN name END AS spliced FROM names WHERE length(name) >= 7")
 def j19(spark, d):
     n = views.names(spark, d).where("length(name) >= 7")
@@ -173,12 +221,19 @@ def j20(spark, d):
 
 
 @query("J21_touching", "rects", """e AS (SELECT a.frame, a.id AS i, b.id AS j FROM rects a JOIN rects b ON a.frame = b.frame AND a.id <> b.id AND ((abs(a.x1 - b.x0) <= 38.4 AND least(a.y1, b.y1) > greatest(a.y0, b.y0)) OR (abs(a.y1 - b.y0) <= 38.4 AND least(a.x1, b.x1) > greatest(a.x0, b.x0)))),
-u AS (SELECT frame, i, j FROM e UNION SELECT frame, j, i FROM e), g AS (SELECT DISTINCT frame, id FROM rects)
-SELECT frame, id, frame * 1000 + least(id, coalesce((WITH RECURSIVE r(n) AS (SELECT g.id UNION SELECT u.j FROM r JOIN u ON u.frame = g.frame AND u.i = r.n) SELECT min(n) FROM r), id)) AS cluster FROM g""".replace("SELECT frame, id, frame * 1000", "SELECT frame, id, frame * 1000"))
+u AS (SELECT frame, i, j FROM e UNION SELECT frame, j, i FROM e),
+r AS (WITH RECURSIVE r(frame, id, n) AS (SELECT frame, id, id FROM rects UNION SELECT r.frame, r.id, u.j FROM r JOIN u ON u.frame = r.frame AND u.i = r.n) SELECT frame, id, min(n) AS cluster FROM r GROUP BY frame, id)
+SELECT frame, id, cluster FROM r""")
 def j21(spark, d):
     return joins.touching_clusters(views.rects(spark, d), "frame", 1920)
 
 
+@query("J21b_parted_clusters")
+def j21b(spark, d):
+    r = views.rects(spark, d).withColumns({"window": F.when(F.col("id") % 3 == 0, F.col("id") % 2).cast("long"), "is_list": F.col("kind") == "window", "program": F.when(F.col("id") % 4 == 0, F.col("kind"))})
+    return joins.touching_clusters(r, "frame", 1920)
+
+
 @query("J22_adoption", "rects", f"""n AS (SELECT p.frame, p_id, p_x0, p_y0, p_x1, p_y1, w_id, least(abs(p_y1 - w_y0), abs(p_y0 - w_y1)) AS away FROM {sql_boxes("kind = 'pane'", 'p_')} p JOIN {sql_boxes(WIN, 'w_')} w ON p.frame = w.frame AND abs(p_x1 - p_x0 - (w_x1 - w_x0)) <= 0.3 * (w_x1 - w_x0) AND least(abs(p_y1 - w_y0), abs(p_y0 - w_y1)) <= 120),
 o AS (SELECT frame, p_id, any_value(p_x0) AS ax0, any_value(p_y0) AS ay0, any_value(p_x1) AS ax1, any_value(p_y1) AS ay1, arg_min(w_id, away * 100 + w_id) AS w_id FROM n GROUP BY frame, p_id)
 SELECT w.frame, w.w_id, least(w_x0, min(ax0)) AS x0, least(w_y0, min(ay0)) AS y0, greatest(w_x1, max(ax1)) AS x1, greatest(w_y1, max(ay1)) AS y1 FROM {sql_boxes(WIN, 'w_')} w JOIN o ON w.frame = o.frame AND w.w_id = o.w_id GROUP BY w.frame, w.w_id, w_x0, w_y0, w_x1, w_y1""")
@@ -203,6 +258,12 @@ def j24(spark, d):
     return joins.twin_rows(t, "list")
 
 
+@query("J24b_near_twins")
+def j24b(spark, d):
+    t = views.names(spark, d).select(F.floor(F.col("key") / 20).alias("list"), F.col("key").alias("r"), F.col("reading").alias("name"), (F.col("key") % 5).alias("votes"), (F.col("key") % 2 == 0).alias("ok"), (F.col("seen_at") % 4).cast("string").alias("rest"))
+    return joins.near_twins(t, "list")
+
+
 @query("J25_title_evidence", "samples", """t AS (SELECT video, t, app || (boxes % 4) AS key, (seq * 13) % 1000 AS x FROM samples)
 SELECT DISTINCT a.video, a.t, a.key, a.x FROM t a WHERE length(a.key) >= 3 AND (EXISTS (SELECT 1 FROM t b WHERE b.video = a.video AND b.key = a.key AND b.t <> a.t AND abs(b.x - a.x) <= 40) OR a.key IN ('view1', 'click2'))""")
 def j25(spark, d):
@@ -210,11 +271,11 @@ def j25(spark, d):
     return joins.title_evidence(t, t.where("key in ('view1', 'click2')"))
 
 
-@query("J26_skip_readers", "samples", """s AS (SELECT video, list(DISTINCT CASE app WHEN 'view' THEN 'tree' WHEN 'click' THEN 'list' WHEN 'signup' THEN 'chat' END) AS have, count(DISTINCT seq) AS n FROM samples WHERE seq % 9 = 0 GROUP BY video)
+@query("J26_skip_readers", "samples", """s AS (SELECT video, list(DISTINCT CASE app WHEN 'view' THEN 'tree' WHEN 'click' THEN 'list' WHEN 'signup' THEN 'chat' END) AS have, count(DISTINCT seq) AS n FROM samples GROUP BY video)
 SELECT video, CASE WHEN n >= 3 THEN list_filter(['chat', 'list', 'tree'], lambda k: NOT list_contains(have, k)) ELSE [] END AS skip FROM s""")
 def j26(spark, d):
     kinds = spark.sql("SELECT * FROM VALUES ('view', 'tree'), ('click', 'list'), ('signup', 'chat') AS k(app, kind)")
-    return joins.skipped_readers(views.samples(spark, d).where("seq % 9 = 0").select("video", "app", F.col("seq").alias("bar")), kinds, "video")
+    return joins.skipped_readers(views.samples(spark, d).select("video", "app", F.col("seq").alias("bar")), kinds, "video")
 
 
 @query("J27_words_outside", "rects", f"""w AS (SELECT frame // 10 AS pic, x0 AS w_x0, y0 AS w_y0, x1 AS w_x1, y1 AS w_y1 FROM rects WHERE id > 1), b AS (SELECT frame // 10 AS pic, x0 - (x1 - x0) * 0.01 AS gx0, y0 - (y1 - y0) * 0.01 AS gy0, x1 + (x1 - x0) * 0.01 AS gx1, y1 + (y1 - y0) * 0.01 AS gy1 FROM rects WHERE id = 1),

@@ -40,9 +40,9 @@ def w05(spark, d):
     return r.groupBy("doc", "row").agg(F.count(F.lit(1)).alias("n"), text.alias("text"))
 
 
-@query("W06_clusters", "words", "p AS (SELECT doc, x0, line, k, lag(x0) OVER (PARTITION BY doc ORDER BY x0, line, k) AS p FROM words WHERE k < 4), c AS (SELECT *, sum(CASE WHEN p IS NULL OR x0 - p > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY x0, line, k) AS cluster FROM p) SELECT doc, cluster, median(x0) AS x, count(*) AS n FROM c GROUP BY doc, cluster HAVING count(*) >= 2")
+@query("W06_clusters", "words", "p AS (SELECT doc, x0, line, k, lag(x0) OVER (PARTITION BY doc ORDER BY x0, line, k) AS p FROM words), c AS (SELECT *, sum(CASE WHEN p IS NULL OR x0 - p > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY x0, line, k) AS cluster FROM p) SELECT doc, cluster, median(x0) AS x, count(*) AS n FROM c GROUP BY doc, cluster HAVING count(*) >= 2")
 def w06(spark, d):
-    return layout.clusters_1d(views.words(spark, d).where("k < 4"), ["doc"], "x0", ["line", "k"])
+    return layout.clusters_1d(views.words(spark, d), ["doc"], "x0", ["line", "k"])
 
 
 @query("W09_split_wide", "words", "w AS (SELECT * FROM words WHERE k % 4 <> 2), g AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY doc, line ORDER BY k) AS gap, sum(x1 - x0) OVER (PARTITION BY doc, line) / sum(length(text)) OVER (PARTITION BY doc, line) AS ch FROM w), p AS (SELECT *, sum(CASE WHEN gap > 4.0 * ch THEN 1 ELSE 0 END) OVER (PARTITION BY doc, line ORDER BY k) AS piece FROM g) SELECT doc, line, piece, string_agg(text, ' ' ORDER BY k) AS text, min(x0) AS x0, max(x1) AS x1 FROM p GROUP BY doc, line, piece")
@@ -117,9 +117,9 @@ def w19(spark, d):
     return layout.parent_paths(views.tree(spark, d).withColumn("tree", F.lit(1)), ["tree"]).select("pos", "path")
 
 
-@query("W20_corridors", "words", "w AS (SELECT * FROM words WHERE k % 3 <> 1 AND line < 4), e AS (SELECT doc, min(e) AS short FROM (SELECT doc, line, max(x1) AS e FROM w GROUP BY ALL) GROUP BY doc HAVING count(*) >= 3), t AS (SELECT DISTINCT doc, unnest(range(x0 // 10, (x1 - 1) // 10 + 1)) AS b FROM w), f AS (SELECT doc, b FROM (SELECT doc, unnest(range(0, short // 10 + 1)) AS b FROM e) x WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc = x.doc AND t.b = x.b)), i AS (SELECT *, b - row_number() OVER (PARTITION BY doc ORDER BY b) AS i FROM f) SELECT doc, min(b) AS start, max(b) + 1 AS \"end\" FROM i GROUP BY doc, i HAVING max(b) + 1 - min(b) >= 2")
+@query("W20_corridors", "words", "w AS (SELECT * FROM words WHERE k % 3 <> 1), e AS (SELECT doc, min(e) AS short FROM (SELECT doc, line, max(x1) AS e FROM w GROUP BY ALL) GROUP BY doc HAVING count(*) >= 3), t AS (SELECT DISTINCT doc, unnest(range(x0 // 10, (x1 - 1) // 10 + 1)) AS b FROM w), f AS (SELECT doc, b FROM (SELECT doc, unnest(range(0, short // 10 + 1)) AS b FROM e) x WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc = x.doc AND t.b = x.b)), i AS (SELECT *, b - row_number() OVER (PARTITION BY doc ORDER BY b) AS i FROM f) SELECT doc, min(b) AS start, max(b) + 1 AS \"end\" FROM i GROUP BY doc, i HAVING max(b) + 1 - min(b) >= 2")
 def w20(spark, d):
-    return layout.blank_corridors(views.words(spark, d).where("k % 3 <> 1 and line < 4"), "doc", least=2)
+    return layout.blank_corridors(views.words(spark, d).where("k % 3 <> 1"), "doc", least=2)
 
 
 @query("W21_cells_in_bands", "words", "SELECT doc, line, CASE WHEN (x0 + x1) / 2 < 100 THEN 0 WHEN (x0 + x1) / 2 < 300 THEN 1 WHEN (x0 + x1) / 2 >= 350 AND (x0 + x1) / 2 < 700 THEN 2 ELSE -1 END AS band, string_agg(text, ' ' ORDER BY k) AS text FROM words GROUP BY ALL")

@@ -59,12 +59,12 @@ def p06(spark, d):
     return views.thumbs(spark, d).select("frame", rules.screen_verdict(share).alias("verdict"))
 
 
-@query("P07_aligned_left", "words", """s AS (SELECT doc, line, k, x0, lag(x0) OVER (PARTITION BY doc ORDER BY x0, line, k) AS px FROM words WHERE k < 3),
+@query("P07_aligned_left", "words", """s AS (SELECT doc, line, k, x0, lag(x0) OVER (PARTITION BY doc ORDER BY x0, line, k) AS px FROM words),
 g AS (SELECT *, sum(CASE WHEN px IS NULL OR x0 - px > 6 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY x0, line, k ROWS UNBOUNDED PRECEDING) AS grp FROM s),
 n AS (SELECT doc, grp, count(*) AS n FROM g GROUP BY doc, grp)
 SELECT doc, max(n) AS longest, max(n) >= 3 AND sum(n) >= 5 AS aligned FROM n GROUP BY doc""")
 def p07(spark, d):
-    out = rules.aligned_left(views.words(spark, d).where("k < 3"), ["doc"], ["line", "k"])
+    out = rules.aligned_left(views.words(spark, d), ["doc"], ["line", "k"])
     return out
 
 

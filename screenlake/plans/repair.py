@@ -48,12 +48,12 @@ def r03(spark, d):
 @query("R04_mended_lines")
 def r04(spark, d):
     t = views.two(spark, d)
-    return repair.mended_lines(t.select("doc", "line", F.col("b").alias("text")).where("length(text) < 400"))
+    return repair.mended_lines(t.select("doc", "line", F.col("b").alias("text")))
 
 
-@query("R05_tail_completion", "lines", f"f AS (SELECT doc, line, text, {flat('text')} AS f FROM lines WHERE length(text) < 600), c AS (SELECT doc, line, right(f, 14) AS p FROM (SELECT doc, line, CASE WHEN doc % 3 = 0 THEN left(text, length(text) - 12) ELSE text END AS text, CASE WHEN doc % 3 = 0 THEN {flat('left(text, length(text) - 12)')} ELSE f END AS f FROM f WHERE length(text) > 12) WHERE NOT regexp_matches(trim(text), '[.,:;?!]$') AND length(f) >= 16), q AS (SELECT doc AS other, substr(f, i, 14) AS p, substr(f, i + 14, 220) AS t FROM (SELECT doc, f, unnest(range(1, length(f) - 20)) AS i FROM f WHERE length(f) >= 22 AND length(text) > 12 AND doc % 3 <> 0)) SELECT doc, line, max(struct_pack(n := length(t), t := t)).t AS tail FROM c JOIN q ON c.p = q.p AND c.doc <> q.other GROUP BY doc, line".replace("FROM f WHERE length(f) >= 22 AND length(text) > 12 AND doc % 3 <> 0", "FROM (SELECT doc, CASE WHEN doc % 3 = 0 THEN {0} ELSE f END AS f FROM f WHERE length(text) > 12) WHERE length(f) >= 22".format(flat("left(text, length(text) - 12)"))))
+@query("R05_tail_completion", "lines", f"f AS (SELECT doc, line, text, {flat('text')} AS f FROM lines), c AS (SELECT doc, line, right(f, 14) AS p FROM (SELECT doc, line, CASE WHEN doc % 3 = 0 THEN left(text, length(text) - 12) ELSE text END AS text, CASE WHEN doc % 3 = 0 THEN {flat('left(text, length(text) - 12)')} ELSE f END AS f FROM f WHERE length(text) > 12) WHERE NOT regexp_matches(trim(text), '[.,:;?!]$') AND length(f) >= 16), q AS (SELECT doc AS other, substr(f, i, 14) AS p, substr(f, i + 14, 220) AS t FROM (SELECT doc, f, unnest(range(1, length(f) - 20)) AS i FROM f WHERE length(f) >= 22 AND length(text) > 12 AND doc % 3 <> 0)) SELECT doc, line, max(struct_pack(n := length(t), t := t)).t AS tail FROM c JOIN q ON c.p = q.p AND c.doc <> q.other GROUP BY doc, line".replace("FROM f WHERE length(f) >= 22 AND length(text) > 12 AND doc % 3 <> 0", "FROM (SELECT doc, CASE WHEN doc % 3 = 0 THEN {0} ELSE f END AS f FROM f WHERE length(text) > 12) WHERE length(f) >= 22".format(flat("left(text, length(text) - 12)"))))
 def r05(spark, d):
-    n = views.lines(spark, d).where("length(text) < 600 and length(text) > 12")
+    n = views.lines(spark, d).where("length(text) > 12")
     return repair.tail_completion(n.withColumn("text", F.when(F.col("doc") % 3 == 0, F.left("text", F.length("text") - 12)).otherwise(F.col("text"))))
 
 
@@ -85,6 +85,14 @@ def r08(spark, d):
     return repair.settled_spelling(views.names(spark, d), ["seen_at"]).select("key", "settled")
 
 
+@query("R08b_respelt")
+def r08b(spark, d):
+    n = views.names(spark, d)
+    cells = F.array((F.col("key") % 2).cast("string"), F.col("seen_at").cast("string"))
+    rows = n.select(F.floor(F.col("key") / 20).alias("list"), F.col("key").alias("r"), "reading", "name", cells.alias("cells"))
+    return repair.respelt(rows.withColumnRenamed("reading", "name_").drop("name").withColumnRenamed("name_", "name"), rows.where("r % 3 > 0").drop("reading"), "list")
+
+
 @query("R09_canonical", "names", f"SELECT {flat('reading')} AS fold, max(struct_pack(c := length(regexp_replace(reading, '[^A-Z]', '', 'g')), m := length(regexp_replace(reading, '[A-Za-z0-9 ]', '', 'g')), n := length(reading), name := reading)).name AS canonical, count(*) AS n FROM names WHERE NOT contains(reading, '…') GROUP BY 1")
 def r09(spark, d):
     return repair.canonical(views.names(spark, d))
@@ -160,9 +168,9 @@ def r20(spark, d):
     return repair.without_path_rows(r, n.where("line % 2 = 0").select("doc", F.concat(F.lit("x"), "text").alias("crumb")), "doc").select("doc", "r")
 
 
-@query("R21_furniture", "lines", f"l AS (SELECT doc % 5 AS video, doc, line, text, {flat('text')} AS f FROM lines WHERE length(text) < 300), s AS (SELECT DISTINCT video, f AS s FROM l WHERE line = 0 AND length(f) >= 8) SELECT doc, line FROM l WHERE NOT (NOT starts_with(text, '.') AND length(f) >= 8 AND line > 0 AND EXISTS (SELECT 1 FROM s WHERE s.video = l.video AND (contains(s.s, l.f) OR ends_with(l.f, s.s)))) AND line > 0")
+@query("R21_furniture", "lines", f"l AS (SELECT doc % 5 AS video, doc, line, text, {flat('text')} AS f FROM lines), s AS (SELECT DISTINCT video, f AS s FROM l WHERE line = 0 AND length(f) >= 8) SELECT doc, line FROM l WHERE NOT (NOT starts_with(text, '.') AND length(f) >= 8 AND line > 0 AND EXISTS (SELECT 1 FROM s WHERE s.video = l.video AND (contains(s.s, l.f) OR ends_with(l.f, s.s)))) AND line > 0")
 def r21(spark, d):
-    n = views.lines(spark, d).where("length(text) < 300").withColumn("video", F.col("doc") % 5)
+    n = views.lines(spark, d).withColumn("video", F.col("doc") % 5)
     return repair.without_furniture(n.where("line > 0"), n.where("line = 0"), least=8).select("doc", "line")
 
 

@@ -84,6 +84,22 @@ def s10(spark, d):
     return views.pages(spark, d).select("page_id", scans.html_items(F.col("html"), "li").alias("items"))
 
 
+#: pages whose lists are drawn as tables
+TABLES = ((" <ul>", "<table>"), ("<ul>", "<table>"), ("</ul>", "</table>"), ("<li>", '<tr class="x"><td>'), ("</li>", "</td><td>more</td></tr>"))
+TABLED = "html"
+for _a, _b in TABLES:
+    TABLED = f"replace({TABLED}, '{_a}', '{_b}')"
+
+
+@query("S10b_first_cells", "", rf"""t AS (SELECT page_id, {TABLED} AS html FROM pages), x AS (SELECT page_id, generate_subscripts(regexp_extract_all(html, '(?s)<table[^>]*>(.*?)</table>', 1), 1) - 1 AS tab, unnest(regexp_extract_all(html, '(?s)<table[^>]*>(.*?)</table>', 1)) AS body FROM t)
+SELECT page_id, tab, list_transform(list_filter(regexp_extract_all(body, '(?s)<tr[^>]*>(.*?)</tr>', 1), lambda r: regexp_matches(r, '<t[dh][ >]')), lambda r: trim(regexp_replace(regexp_replace(regexp_extract(r, '(?s)<t[dh][^>]*>(.*?)</t[dh]>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))) AS cells FROM x""")
+def s10b(spark, d):
+    html = F.col("html")
+    for a, b in TABLES:
+        html = F.replace(html, F.lit(a), F.lit(b))
+    return views.pages(spark, d).select("page_id", F.posexplode(scans.html_first_cells(html)).alias("tab", "cells")).withColumn("tab", F.col("tab").cast("long"))
+
+
 @query("S11_styled_boxes", "", "p AS (SELECT page_id, page_id % 50 AS l, page_id % 40 AS t FROM pages) SELECT page_id, CAST(l AS DOUBLE) AS left_pct, CAST(t AS DOUBLE) AS top_pct, CAST(25.5 AS DOUBLE) AS width_pct, CAST(10 AS DOUBLE) AS height_pct FROM p")
 def s11(spark, d):
     style = F.concat(F.lit('<div class="box filled" style="left:'), (F.col("page_id") % 50).cast("string"), F.lit("%;top:"), (F.col("page_id") % 40).cast("string"), F.lit('%;width:25.5%;height:10%"></div><div class="box2" style="left:1%"></div><div class="box" style="left:3%"></div>'))

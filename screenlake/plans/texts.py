@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from screenlake.functions import strings as fs
+from screenlake.operators import readings
 from screenlake.plans.registry import query
 from screenlake.sources import views
 
@@ -64,9 +65,14 @@ def f08(spark, d):
     return views.lines(spark, d).select("doc", "line", s.getField("text").alias("bare"), s.getField("had").alias("had"))
 
 
-@query("F09_subsequence", "two", r"SELECT doc, line, regexp_matches(a, '^' || regexp_replace(regexp_replace(b, '([\\\.\^\$\|\?\*\+\(\)\[\]\{\}])', '\\\1', 'g'), '(\\?.)', '(?s:.)*?\1', 'g')) AS inside FROM two WHERE length(b) < 300")
+@query("F09_subsequence", "names", r"SELECT key, regexp_matches(name, '^' || regexp_replace(replace(reading, '…', ''), '(.)', '(?s:.)*?\1', 'g')) AS inside FROM names")
 def f09(spark, d):
-    return views.two(spark, d).where("length(b) < 300").select("doc", "line", fs.subsequence(F.col("b"), F.col("a")).alias("inside"))
+    return views.names(spark, d).select("key", fs.subsequence(F.replace("reading", F.lit("…"), F.lit("")), "name").alias("inside"))
+
+
+@query("F09b_subsequence_of_lines")
+def f09b(spark, d):
+    return views.two(spark, d).select("doc", "line", fs.subsequence("b", "a").alias("inside"))
 
 
 @query("F10_merge_readings", "two", r"""g AS (SELECT doc, line, regexp_replace(a, '[^A-Za-z0-9]', '', 'g') AS la, regexp_replace(b, '[^A-Za-z0-9]', '', 'g') AS lb, regexp_split_to_array(a, '[A-Za-z0-9]') AS ga, regexp_split_to_array(b, '[A-Za-z0-9]') AS gb FROM two)
@@ -79,8 +85,8 @@ def f10(spark, d):
 
 @query("F11_agreed_head")
 def f11(spark, d):
-    h = fs.agreed_head(F.col("a"), F.col("b"))
-    return views.two(spark, d).select("doc", "line", h.getField("text").alias("agreed"), h.getField("status").alias("status"))
+    rows = views.two(spark, d).withColumn("h", fs.agreed_head("a", "b"))
+    return rows.select("doc", "line", F.col("h.text").alias("agreed"), F.col("h.status").alias("status"))
 
 
 TIDY = r"trim(regexp_replace(trim(regexp_replace({0}, '\s+', ' ', 'g')), '^[>vV<^~|•·▸▾▶▼›»\- ]+([^>vV<^~|•·▸▾▶▼›»\- \s].*)$', '\1', 's'))"
@@ -89,29 +95,51 @@ TIDY = r"trim(regexp_replace(trim(regexp_replace({0}, '\s+', ' ', 'g')), '^[>vV<
 @query("F12_reconcile", "two", rf"""t AS (SELECT doc, line, {TIDY.format('a')} AS p, {TIDY.format('b')} AS s FROM two),
 g AS (SELECT *, regexp_replace(p, '[^A-Za-z0-9]', '', 'g') AS la, regexp_replace(s, '[^A-Za-z0-9]', '', 'g') AS lb, regexp_split_to_array(p, '[A-Za-z0-9]') AS ga, regexp_split_to_array(s, '[A-Za-z0-9]') AS gb FROM t),
 c AS (SELECT *, len(list_filter(range(1, len(ga) + 1), lambda i: ga[i] <> gb[i] AND length(ga[i]) = length(gb[i]))) AS clashes FROM g)
-SELECT doc, line, CASE WHEN s = '' THEN 'unverified' WHEN p = s THEN 'confident' WHEN la = lb AND clashes > 0 THEN 'ambiguous-symbol' WHEN la = lb THEN 'reconciled' WHEN {LOOK.format('la', 'lb')} THEN 'ambiguous-glyph' ELSE 'uncertain' END AS status FROM c""")
+SELECT doc, line, CASE WHEN s = '' THEN 'unverified' WHEN p = s THEN 'confident' WHEN la = lb AND clashes > 0 THEN 'ambiguous-symbol' WHEN la = lb THEN 'reconciled' WHEN {LOOK.format('la', 'lb')} THEN 'ambiguous-glyph' ELSE 'by head' END AS rung FROM c""")
 def f12(spark, d):
-    return views.two(spark, d).select("doc", "line", fs.reconciled(F.col("a"), F.col("b")).getField("status").alias("status"))
+    """The rungs that SQL can tell: what only the agreed head settles is one of them."""
+    rows = readings.reconciled(views.two(spark, d), "a", "b")
+    by_head = (F.col("status") == "cut") | (F.col("status") == "uncertain") | ((F.col("status") == "reconciled") & (fs.letters(fs.tidy(F.col("a"))) != fs.letters(fs.tidy(F.col("b")))))
+    return rows.select("doc", "line", F.when(by_head, "by head").otherwise(F.col("status")).alias("rung"))
+
+
+@query("F12b_reconciled")
+def f12b(spark, d):
+    return readings.reconciled(views.two(spark, d), "a", "b").select("doc", "line", "text", "status")
 
 
 @query("F14_program_name")
 def f14(spark, d):
-    from screenlake.operators.readings import program_names
+    return readings.program_names(views.names(spark, d), ["small", "blue", "red", "hot", "old"])
+
 
-    return program_names(views.names(spark, d), ["small", "blue", "red", "hot", "old"])
+KINDQ = "['" + "','".join(fs.KINDS) + "']"
 
 
-@query("F15_closed_vocabulary", "names", "SELECT key, CASE WHEN key % 3 = 0 THEN 'Markdown text file' WHEN key % 3 = 1 THEN 'Plain text document' END AS kind FROM names")
+@query("F15_closed_vocabulary", "names", f"""k AS (SELECT key, {KINDQ}[key % {len(fs.KINDS)} + 1] AS kind FROM names),
+c AS (SELECT key, CASE key % 4 WHEN 0 THEN substr(kind, 1, CAST(key % 5 + 2 AS INT)) || '…' || right(kind, CAST(key % 3 + 1 AS INT)) WHEN 1 THEN upper(kind) WHEN 2 THEN (key % 9 + 1) || 'KB' || substr(kind, 1, CAST(key % 7 + 3 AS INT)) || '...' ELSE 'Jun 3, 2026 at 5:51 PM' END AS cell FROM k),
+r AS (SELECT key, cell, CASE WHEN key % 4 = 2 THEN substr(cell, 4) ELSE cell END AS rest, CASE WHEN key % 4 = 2 THEN substr(cell, 1, 1) || ' KB ' ELSE '' END AS size FROM c),
+p AS (SELECT key, cell, size, rest, CASE WHEN key % 4 = 1 THEN {flat("rest")} ELSE {flat("split_part(replace(rest, '...', '…'), '…', 1)")} END AS head, CASE WHEN key % 4 <> 1 THEN {flat("split_part(replace(rest, '...', '…'), '…', 2)")} END AS tail FROM r),
+f AS (SELECT key, list_filter({KINDQ}, lambda x: CASE WHEN tail IS NULL THEN {flat('x')} = head ELSE head <> '' AND starts_with({flat('x')}, head) AND length({flat('x')}) > length(head) AND (tail = '' OR ends_with(substr({flat('x')}, length(head) + 1), tail) OR length(tail) >= 2 AND contains(substr({flat('x')}, length(head) + 1), tail)) END) AS fits FROM p)
+SELECT p.key, CASE WHEN p.key % 4 <> 3 AND len(fits) = 1 THEN size || fits[1] ELSE cell END AS text,
+ CASE WHEN p.key % 4 = 3 THEN 'a date in the kind column' WHEN len(fits) = 1 AND p.key % 4 <> 1 THEN 'kind completed' ELSE 'left alone' END AS what FROM p JOIN f ON p.key = f.key""")
 def f15(spark, d):
-    cell = F.when(F.col("key") % 3 == 0, "Markdo…file").when(F.col("key") % 3 == 1, "plain text Document").otherwise(F.col("reading"))
-    return views.names(spark, d).select("key", fs.kind_of(cell).alias("kind"))
+    kind = F.element_at(F.array(*map(F.lit, fs.KINDS)), (F.col("key") % len(fs.KINDS) + 1).cast("int"))
+    cut = F.concat(F.substr(kind, F.lit(1), (F.col("key") % 5 + 2).cast("int")), F.lit("…"), F.right(kind, (F.col("key") % 3 + 1).cast("int")))
+    sized = F.concat((F.col("key") % 9 + 1).cast("string"), F.lit("KB"), F.substr(kind, F.lit(1), (F.col("key") % 7 + 3).cast("int")), F.lit("..."))
+    m = F.col("key") % 4
+    cells = views.names(spark, d).select("key", F.when(m == 0, cut).when(m == 1, F.upper(kind)).when(m == 2, sized).otherwise("Jun 3, 2026 at 5:51 PM").alias("cell"))
+    return cells.withColumn("c", fs.kind_cell(F.col("cell"))).select("key", F.col("c.text").alias("text"), F.col("c.what").alias("what"))
 
 
-@query("F16_dates_and_sizes", "lines", """SELECT doc, line, 'Jun ' || (doc % 28 + 1) || ', 2026 at ' || (line % 12 + 1) || ':05 PM' AS date, (doc * 7) || ' KB' AS size, 'Markdown' AS rest FROM lines""")
+@query("F16_dates_and_sizes", "lines", """SELECT doc, line, CASE line % 4 WHEN 0 THEN 'Jun ' || (doc % 28 + 1) || ', 2026 at ' || (line % 12 + 1) || ':05 PM' WHEN 1 THEN 'Today at ' || (line % 12 + 1) || ':05 AM' END AS date,
+ CASE WHEN line % 3 < 2 THEN (doc * 7) || ' KB' END AS size, CASE WHEN line % 3 < 2 THEN 'Markdown' END AS rest FROM lines""")
 def f16(spark, d):
-    date = F.concat(F.lit("Jun"), (F.col("doc") % 28 + 1).cast("string"), F.lit(",2026at"), (F.col("line") % 12 + 1).cast("string"), F.lit(":05pM"))
-    size = fs.tidy_size(F.concat((F.col("doc") * 7).cast("string"), F.lit("KbN Markdown")))
-    size = F.when(F.col("line") >= 0, fs.tidy_size(F.concat((F.col("doc") * 7).cast("string"), F.lit("Kb Markdown")))).otherwise(size)
+    hour = (F.col("line") % 12 + 1).cast("string")
+    day = (F.col("doc") % 28 + 1).cast("string")
+    date = F.element_at(F.array(F.concat(F.lit("Jun"), day, F.lit(",2026at"), hour, F.lit(":05pM")), F.concat(F.lit("todayat"), hour, F.lit(".05aM")), F.concat(F.lit("Jux"), day, F.lit(", 2026 at "), hour, F.lit(":05 PM")), F.concat(F.lit("Jun "), day, F.lit(" at "), hour, F.lit(":05 PM"))), (F.col("line") % 4 + 1).cast("int"))
+    cell = F.element_at(F.array(F.lit("Kb Markdown"), F.lit("kbN Markdown"), F.lit("kbits Markdown")), (F.col("line") % 3 + 1).cast("int"))
+    size = fs.tidy_size(F.concat((F.col("doc") * 7).cast("string"), cell))
     return views.lines(spark, d).select("doc", "line", fs.tidy_date(date).alias("date"), size.getField("size").alias("size"), size.getField("rest").alias("rest"))
 
 
@@ -148,12 +176,12 @@ def f20(spark, d):
 
 @query("F21_seq_ratio")
 def f21(spark, d):
-    return views.two(spark, d).where("length(a) < 500").select("doc", "line", fs.seq_ratio("a", "b").alias("ratio"))
+    return views.names(spark, d).select("key", fs.seq_ratio("name", "reading").alias("ratio"))
 
 
-@query("F21b_edit_ratio", "two", r"SELECT doc, line, 1 - levenshtein(a, b) / greatest(length(a), length(b), 1) AS ratio FROM two WHERE length(a) < 300 AND NOT regexp_matches(a, '[^\x00-\x7F]')")
+@query("F21b_edit_ratio", "names", r"SELECT key, 1 - levenshtein(replace(name, '…', '~'), replace(reading, '…', '~')) / greatest(length(name), length(reading), 1) AS ratio FROM names")
 def f21b(spark, d):
-    return views.two(spark, d).where("length(a) < 300").where(~F.col("a").rlike(r"[^\x00-\x7F]")).select("doc", "line", fs.edit_ratio(F.col("a"), F.col("b")).alias("ratio"))
+    return views.names(spark, d).select("key", fs.edit_ratio(F.col("name"), F.col("reading")).alias("ratio"))
 
 
 @query("F22_json_shape", "records", """SELECT video, max(CASE WHEN kind = 'header' THEN n ELSE 0 END) AS headers, max(CASE WHEN kind = 'moment' THEN n ELSE 0 END) AS moments, max(CASE WHEN kind = 'footer' THEN n ELSE 0 END) AS footers FROM (SELECT video, kind, count(*) AS n FROM records GROUP BY ALL) GROUP BY video""")

@@ -64,6 +64,16 @@ def two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc", "line", F.col("text").alias("a"), b.alias("b"))
 
 
+def console(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, line, row, a, b): lines wrapped to rows of twelve words, as two recognisers read each row."""
+    w = F.split("text", " ")
+    starts = F.sequence(F.lit(1), F.size(w), F.lit(12))
+    rows = lines(spark, sf_dir).select("doc", "line", F.posexplode(F.transform(starts, lambda k: F.array_join(F.slice(w, k, 12), " "))).alias("row", "text"))
+    m = (F.col("doc") + F.col("line") + F.col("row")) % 4
+    b = F.when(m == 1, F.replace("text", F.lit(" "), F.lit(""))).when(m == 2, F.replace("text", F.lit("l"), F.lit("1"))).when(m == 3, F.regexp_replace("text", " [^ ]*$", "")).otherwise(F.col("text"))
+    return rows.select("doc", "line", "row", F.col("text").alias("a"), b.alias("b"))
+
+
 def _numbered() -> Column:
     """Lines of an order, from 1; line numbers repeat in the table."""
     return F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from screenlake.functions import strings as fs
 from screenlake.functions.graph import components
-from screenlake.operators import joins, layout, scans, states
+from screenlake.operators import joins, layout, readings, repair, scans, states, votes
 from screenlake.streaming import carriers
 
 
@@ -19,7 +19,7 @@ def one(spark, expr, **cols):
 
 
 def test_ladder(spark):
-    r = lambda a, b: one(spark, fs.reconciled(F.col("a"), F.col("b")).getField("status"), a=a, b=b)
+    r = lambda a, b: readings.reconciled(spark.createDataFrame([(a, b)], "a string, b string"), "a", "b").first().status
     assert r("notes.md", "") == "unverified"
     assert r("notes.md", "notes.md") == "confident"
     assert r("even ona", "evenona") == "reconciled"
@@ -129,3 +129,138 @@ def test_entry():
 def test_unknown_kinds_of_rows_do_not_fail(spark):
     empty = spark.createDataFrame([], "a long, b long")
     assert components(empty).count() == 0
+
+
+def test_agreed_head_marks_what_is_cut():
+    assert fs.agreed("alpha beta gamma Kn", "alpha beta gamma") == ("alpha beta gamma", "cut", "Kn", "")
+    assert fs.agreed("alpha beta gamma xyzq", "alpha beta gamma 12345") == ("alpha beta gamma", "cut", "xyzq", "12345")
+    assert fs.agreed("alpha beta gamma", "alpha beta gamma delta epsilon")[:2] == ("alpha beta gamma delta epsilon", "reconciled")
+    assert fs.agreed("second line here", "first line second line here too")[1] == "reconciled"
+    assert fs.agreed("alpha beta gamma delta", "alpha beta gamma de1ta") is None  # like tails are a substitution
+    assert fs.agreed("alpha", "omega") is None
+
+
+def test_ladder_uses_the_agreed_head(spark):
+    df = spark.createDataFrame([(1, "alpha beta gamma Kn", "alpha beta gamma"), (2, "> notes", "notes"), (3, None, "x")], "k int, a string, b string")
+    got = {r.k: (r.text, r.status) for r in readings.reconciled(df, "a", "b").collect()}
+    assert got[1] == ("alpha beta gamma", "cut") and got[2] == ("notes", "confident")
+
+
+def test_kind_cells(spark):
+    k = lambda s: tuple(one(spark, fs.kind_cell(F.col("s")), s=s))
+    assert k("2KB Markdo...text fi") == ("2 KB Markdown text file", "kind completed")
+    assert k("49bytesN Markdown text file") == ("49 bytes Markdown text file", "left alone")
+    assert k("Pyth0n Script") == ("Python Script", "kind mended")
+    assert k("Jun 3, 2026 at 5:51 PM")[1] == "a date in the kind column"
+    assert k("something else") == ("something else", "left alone")
+
+
+def test_day_names_and_separators(spark):
+    d = lambda s: one(spark, fs.tidy_date(F.col("s")), s=s)
+    assert d("Todayat5.51pM") == "Today at 5:51 PM" and d("jun 3. 2026 at 05°07 am") == "Jun 3, 2026 at 5:07 AM"
+    assert d("Jux 3, 2026 at 5:07 AM") is None and d("Jun 3 at 5:07 AM") is None
+
+
+def test_subsequence_against_brute_force(spark):
+    r = random.Random(2)
+    rows = [("".join(r.choice("ab") for _ in range(r.randint(0, 4))), "".join(r.choice("abc") for _ in range(r.randint(0, 9)))) for _ in range(80)]
+
+    def inside(x, y):
+        return not x or any(y[i] == x[0] and inside(x[1:], y[i + 1 :]) for i in range(len(y)))
+
+    got = spark.createDataFrame(rows, "x string, y string").select("x", "y", fs.subsequence("x", "y").alias("z")).collect()
+    assert all(g.z == inside(g.x, g.y) for g in got)
+
+
+def test_close_names():
+    assert fs.close_names("03 Company…pe Company)", "03 Company B (Landscape Company)")
+    assert fs.close_names("operatlons", "operations") and fs.close_names("claude.jso", "claude.json")
+    assert not fs.close_names("abc", "abd") and not fs.close_names("invoices", "receipts")
+
+
+def test_likely_names():
+    names = ["user_moves_fast_dont_pad_timelines.md", "feedback_code_tracker.md", "reference_stripe_api_version.md", "reference_stripe_api_version"]
+    assert fs.likely("user_moves_fast_..pad_timelins.md", names) == "user_moves_fast_dont_pad_timelines.md"
+    assert fs.likely("feedback_co", names) == "feedback_code_tracker.md"
+    assert fs.likely("referenc_stripe_apl_version.md", names) == "reference_stripe_api_version.md"  # one file, however spelt
+    assert fs.likely("00 Inbox", ["0oInboxes two"]) is None
+
+
+def test_likely_name_join(spark):
+    lex = spark.createDataFrame([("usermovesfastdontpadtimelinesmd", "user_moves_fast_dont_pad_timelines.md", 3), ("rarename", "rare_name", 1)], "fold string, name string, sightings long")
+    got = joins.lexicon_likely(spark.createDataFrame([(1, "user_moves_fast_..pad_timelins.md"), (2, "rare_nane"), (3, "user")], "key long, reading string"), lex).collect()
+    assert [(r.key, r.name) for r in got] == [(1, "user_moves_fast_dont_pad_timelines.md")]
+
+
+def test_respaced_confirmation(spark):
+    rows = [(1, 0, "Youenteryouremail.", "You enter your email."), (1, 1, "R78", "nothing"), (1, 2, "straße", "strae"), (1, 3, None, "x")]
+    got = {r.line: (r.confirmed, r.text) for r in joins.confirmed_by(spark.createDataFrame(rows, "doc long, line int, a string, b string"), "doc", "line").collect()}
+    assert got == {0: (True, "You enter your email."), 1: (False, "R78"), 2: (False, "straße")}
+
+
+def test_leftovers_by_common_block(spark):
+    read = spark.createDataFrame([(1, 0, "Size"), (1, 1, "alpha beta gamma"), (1, 2, "xalphabetagamm"), (1, 3, "zzzz")], "doc long, line int, text string")
+    got = joins.leftovers(read, read.where("line = 1"), "doc", "line").collect()
+    assert {(r.line, r.place) for r in got} == {(0, "above"), (3, "below")}
+
+
+def test_suppression_is_ordered(spark):
+    # the second is dropped by the first, so the third, which only the second overlaps, stays
+    rows = [(1, 1, 0, 0, 100, 100), (1, 2, 40, 0, 130, 100), (1, 3, 105, 0, 150, 100)]
+    got = joins.suppressed(spark.createDataFrame(rows, "frame long, id int, x0 long, y0 long, x1 long, y1 long"), "frame")
+    assert sorted(r.id for r in got.collect()) == [1, 3]
+
+
+def test_clusters_are_parted(spark):
+    rows = [(1, 1001, 0, 0, 100, 100, 1, True, "a"), (1, 2, 100, 0, 200, 100, 1, True, "a"), (2, 1, 0, 0, 100, 100, None, False, None), (2, 2, 101, 50, 200, 100, 3, False, None), (2, 3, 201, 50, 300, 90, 4, False, None)]
+    df = spark.createDataFrame(rows, "frame long, id int, x0 long, y0 long, x1 long, y1 long, window long, is_list boolean, program string")
+    got = {(r.frame, r.id): r.cluster for r in joins.touching_clusters(df, "frame", 1000).collect()}
+    assert got == {(1, 1001): 1001, (1, 2): 2, (2, 1): 1, (2, 2): 1, (2, 3): 3}
+    plain = {(r.frame, r.id): r.cluster for r in joins.touching_clusters(df.drop("window", "is_list", "program"), "frame", 1000).collect()}
+    assert plain == {(1, 1001): 2, (1, 2): 2, (2, 1): 1, (2, 2): 1, (2, 3): 1}
+
+
+def test_unfilled_windows(spark):
+    w = spark.createDataFrame([(1, 1, 0, 0, 100, 100), (1, 2, 200, 0, 300, 100)], "frame long, w_id int, w_x0 long, w_y0 long, w_x1 long, w_y1 long")
+    box = lambda *r: spark.createDataFrame(list(r), "frame long, p_id int, p_x0 long, p_y0 long, p_x1 long, p_y1 long")
+    assert {r.w_id for r in joins.unfilled(w, box((1, 1, 0, 0, 300, 100)), "frame").collect()} == {1, 2}
+    assert {r.w_id for r in joins.unfilled(w, box((1, 1, 0, 0, 100, 100)), "frame").collect()} == {2}
+
+
+def test_near_twins(spark):
+    rows = [(1, 1, "x", ".claude.json", 3, True), (1, 2, "x", "claude.jsn", 1, False), (1, 3, "y", ".claude.json", 1, True), (1, 4, "x", "other", 1, True)]
+    got = joins.near_twins(spark.createDataFrame(rows, "list long, r long, rest string, name string, votes long, ok boolean"), "list").collect()
+    assert {(r.r, r.twins) for r in got} == {(1, 2), (3, 1), (4, 1)}
+
+
+def test_respelt(spark):
+    mine = spark.createDataFrame([(1, 1, "03 CompanyB(Landscape)", ["a", "b"]), (1, 2, "Opekations", ["c", "d"]), (1, 3, "unlike", ["c", "d"])], "list long, r long, name string, cells array<string>")
+    known = spark.createDataFrame([(1, 1, "03 Company B (Landscape)", ["z"]), (1, 2, "Operations", ["c", "d", "e"])], "list long, r long, name string, cells array<string>")
+    got = {r.r: r.name for r in repair.respelt(mine, known, "list").collect()}
+    assert got == {1: "03 Company B (Landscape)", 2: "Operations", 3: "unlike"}
+
+
+def test_mended_lines_grow_until_none_does(spark):
+    rows = [(1, 0, "one two three four five six seven eight"), (2, 0, "one two three four five six seven eight nine ten"), (3, 0, "zero one two three four five six seven eight nine ten")]
+    got = {r.doc: r.text for r in repair.mended_lines(spark.createDataFrame(rows, "doc long, line int, text string")).collect()}
+    assert got[1].endswith("nine ten") and set(got) == {1, 2, 3}
+
+
+def test_medoid_counts_copies(spark):
+    rows = [(1, k, x) for k, x in enumerate(["notes.md", "notes.md", "n0tes.md", "other.txt"])]
+    df = spark.createDataFrame(rows, "entity long, rid long, reading string")
+    assert votes.medoid(df, "entity", fs.seq_ratio).first().medoid == "notes.md"
+
+
+def test_first_cells_of_tables(spark):
+    html = "<table><tr><th>Name</th></tr><tr><td><b>a</b>\n b</td><td>c</td></tr><tr></tr></table><p>x</p><table><tr><td>z</td></tr></table>"
+    assert one(spark, scans.html_first_cells(F.col("h")), h=html) == [["Name", "a b"], ["z"]]
+
+
+def test_busy_pictures(spark):
+    v = [(1, cx, cy, 17 * ((k * 5 + cx) % 16)) for cx in range(3) for cy in range(2) for k in range(16)]
+    values = spark.createDataFrame(v, "burst long, cx int, cy int, v long")
+    none = spark.createDataFrame([], "burst long, x0 int, y0 int, x1 int, y1 int")
+    assert [tuple(r) for r in votes.busy_pictures(values, none, "burst", 4).collect()] == [(1, 6, 0, 0, 12, 8)]
+    text = spark.createDataFrame([(1, 0, 0, 12, 4)], "burst long, x0 int, y0 int, x1 int, y1 int")
+    assert votes.busy_pictures(values, text, "burst", 4).count() == 0
