@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: bytes of words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z are lower-cased; all others become spaces
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -11,6 +13,17 @@ FOLD = bytes((c + 32) if 0x41 <= c <= 0x5A else c if c in _KEEP else 0x20 for c
 U = np.uint64
 
 
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """rid and tag: the two numbers that tell a row of ``docs`` from all others but its repeats.
+
+    rid is the id as a long; where it is null, or no integer, a negative number made from the text or the id. tag is a hash of the text.
+    """
+    text, plain = F.col(text_col).cast("string"), F.col(id_col)
+    stand_in = lambda c: -F.pmod(F.xxhash64(c), F.lit(1 << 61)) - 1
+    number = plain.try_cast("long")
+    return F.when(plain.isNull(), stand_in(text)).otherwise(F.coalesce(number, stand_in(plain.cast("string")))).alias("rid"), F.xxhash64(text).alias("tag")
+
+
 def plain_words(text: bytes | None) -> list[bytes]:
     r"""Words `[^\x20\x09-\x0D]+`: bytes.split() cuts at just these six ASCII characters."""
     return text.split() if text else []
