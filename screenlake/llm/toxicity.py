@@ -9,7 +9,7 @@ tokens of the other documents. The evidence of all segments, sum of max(0, lambd
 through a logistic curve fitted on the labelled rows.
 
 Scale: learning is one pass with map-side counts; the number of labelled rows is bounded by ``most_rows`` (by
-hash of doc_id) and the lexicon by ``most_tokens``, so what is broadcast is bounded. Scoring is one narrow pass over whole texts.
+hash of doc_id), which also bounds the lexicon: a token must tell the two sides of these rows apart. So what is broadcast is bounded. Scoring is one narrow pass over whole texts.
 
 Defined cases: null, empty and wordless texts have no segment and the score of no evidence; labels that are null are not
 learned from; with no toxic or no other label the score is 0 for all; rows that repeat count as often as they occur.
@@ -87,9 +87,10 @@ class WordWeights(dict):
 def segments(at: list[int], weight: list[float], drift: float) -> list[tuple[float, int, int]]:
     """All maximal-scoring segments (score, first, last) where the tokens at positions ``at`` weigh ``weight`` and all others -drift.
 
-    Ruzzo and Tompa's scan; a run of drift only lowers the running sum, so only weighted tokens are visited.
+    Ruzzo and Tompa's scan, linear by its back links; a run of drift only lowers the running sum, so only weighted tokens are visited.
     """
     kept: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, last
+    lower: list[int] = []  # of each, the nearest one to its left whose sum before is less: the scan back follows these links
     total, last = 0.0, -1
     for p, w in zip(at, weight, strict=True):
         total -= drift * (p - last - 1)
@@ -97,16 +98,17 @@ def segments(at: list[int], weight: list[float], drift: float) -> list[tuple[flo
         total += w
         if w <= 0:
             continue
-        new = (before, total, p, p)
+        first, j = p, len(kept) - 1
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][0] >= new[0]:
-                j -= 1
-            if j < 0 or kept[j][1] >= new[1]:
-                kept.append(new)
+            while j >= 0 and kept[j][0] >= before:
+                j = lower[j]
+            if j < 0 or kept[j][1] >= total:
+                kept.append((before, total, first, p))
+                lower.append(j)
                 break
-            new = (kept[j][0], new[1], kept[j][2], new[3])
-            del kept[j:]
+            before, first, k = kept[j][0], kept[j][2], lower[j]
+            del kept[j:], lower[j:]
+            j = k
     return [(r - l, a, b) for l, r, a, b in kept]
 
 
@@ -157,7 +159,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float
     return float(b[0]), float(b[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_tokens: int = 20_000, prior_share: float = 0.25, least_z: float = 2.0, least_delta: float = 1.8, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, prior_share: float = 0.25, least_z: float = 2.0, least_delta: float = 1.8, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from the labelled rows outside the held-out fold (crc32(doc_id as text) mod 3 = 1)."""
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold_of(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     have = marks.count()
@@ -177,7 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_toke
     delta = F.log(ya / (na + total - ya)) - F.log(yb / (nb + total - yb))
     spread = F.sqrt(1 / ya + 1 / yb)
     # the weight is the log-odds less one standard deviation, so that rare tokens weigh less than well-known ones
-    best = counts.select("token", "a", "b", (delta - spread).alias("delta"), (delta / spread).alias("z")).where((F.col("z") >= least_z) & (F.col("delta") >= least_delta)).orderBy(F.desc("z"), "token").limit(most_tokens).collect()
+    best = counts.select("token", "a", "b", (delta - spread).alias("delta"), (delta / spread).alias("z")).where((F.col("z") >= least_z) & (F.col("delta") >= least_delta)).orderBy("token").collect()
     return _calibrated(rows, [(bytes(r.token), r.delta, r.b / nb) for r in best], nb)
 
 
@@ -191,14 +193,14 @@ def _calibrated(rows: DataFrame, tokens: list[tuple[bytes, float, float]], backg
     # K: the share of tokens that can begin a segment
     space = max(float(share[w > 0].sum()) if len(w) else 0.0, 1.0 / background)
     model = Model(weights, drift, scale, space, 0.0, 0.0)
-    bins = rows.select("text", "toxic").mapInArrow(_evidence(model), "toxic int, x double").groupBy(F.least(F.floor(F.col("x") * 4), F.lit(400)).alias("bin"), "toxic").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n")).collect()
+    bins = rows.select("text", "toxic").mapInArrow(_evidence(model), "toxic int, x double").groupBy(F.floor(F.log1p("x") * 32).alias("bin"), "toxic").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n")).collect()
     # labels that are positive without any evidence are noise, at a rate that holds everywhere
     still = {t: sum(r.n for r in bins if r.bin == 0 and r.toxic == t) for t in (0, 1)}
     noise = still[1] / max(1, still[0] + still[1]) if still[1] < still[0] else 0.0
     every = Counter()
     for r in bins:
         every[r.bin] += r.n
-    x, y = np.array([min(r.x, 100.0) for r in bins]), np.array([r.toxic for r in bins])
+    x, y = np.array([r.x for r in bins]), np.array([r.toxic for r in bins])
     moved = np.array([min(noise * every[r.bin], next((s.n for s in bins if s.bin == r.bin and s.toxic == 1), 0)) for r in bins])
     n = np.array([r.n for r in bins]) + np.where(y == 1, -moved, moved)
     slope, base = _logistic(np.log1p(x), y, np.maximum(n, 0.0))
@@ -213,7 +215,7 @@ def _scores(model: Model):
             score, found = [], []
             for t in batch.column(1).cast(pa.binary()):
                 x, kept = passages(folded_words(t.as_py()), model, known)
-                score.append(1 / (1 + math.exp(-model.slope * math.log1p(min(x, 100.0)) - model.base)))
+                score.append(1 / (1 + math.exp(-model.slope * math.log1p(x) - model.base)))
                 found.append([{"score": s, "start": a, "end": b + 1} for s, a, b in kept])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(found, span)], ["doc_id", "score", "passages"])
 
@@ -235,7 +237,7 @@ def drop_toxic(docs: DataFrame, model: Model, bar: float = 0.7, text_col: str =
         for batch in batches:
             k = batch.schema.get_field_index(text_col)
             x = [passages(folded_words(t.as_py()), model, known)[0] for t in batch.column(k).cast(pa.binary())]
-            keep = [1 / (1 + math.exp(-model.slope * math.log1p(min(v, 100.0)) - model.base)) < bar for v in x]
+            keep = [1 / (1 + math.exp(-model.slope * math.log1p(v) - model.base)) < bar for v in x]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
