@@ -1,10 +1,11 @@
 """Operator 2: near duplicates by DartMinHash.
 
 A document is the multiset of its five-word shingles; each shingle is an element whose weight is its
-count. Darts are thrown on every unit of weight as a Poisson process of ranks, each with a hashed
+count. An element's weight is cut into regions, [0, 1), [1, 2), [2, 4), ...; each region throws hashed darts, a Poisson process of
+ranks at the rate of its width, and a dart counts if it falls below the element's weight. Each dart has a hashed
 coordinate; a coordinate's signature is the dart of the least rank. Two documents agree on a coordinate
 with the probability of their weighted Jaccard similarity, and about k ln k + 2k darts suffice whatever
-the length (Christiani, "DartMinHash: Fast Sketching for Weighted Sets").
+the length and the weights (Christiani, "DartMinHash: Fast Sketching for Weighted Sets").
 
 Scale: texts of the same words are one node before anything is shuffled by band, so groups of copies of
 any size cost one row each. First every member of a band's bucket is compared with the bucket's first and
@@ -14,8 +15,9 @@ across components: two texts that reach the threshold share a unit among the fir
 (prefix filter), here rare units first. Pairs inside a component are never enumerated. Every proposed pair is checked exactly.
 
 Defined cases: null, empty and wordless texts are classes of their own row; texts of under five words
-have one shingle, all their words; rows that repeat a doc_id and text share a class; a null doc_id takes
-a negative number made from its text.
+have one shingle, all their words; rows that repeat a doc_id and text share a class, and one of them is kept; rows of
+one doc_id and unlike texts are documents of their own, whose class ids may be that same number; a null doc_id takes
+a negative number made from its text, and one that is no integer a negative number made from the id.
 """
 
 from __future__ import annotations
@@ -26,41 +28,62 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenlake.functions.graph import components
 from screenlake.functions.storage import stored
-from screenlake.llm.text import U, WordHashes, gram_hashes, mixed, plain_words
+from screenlake.llm.text import U, WordHashes, gram_hashes, mixed, plain_words, row_key
 
 STEP = U(0x9E3779B97F4A7C15)
 
 
+def elements(words: list[bytes], hashes: WordHashes, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles, as sorted hashes, and their counts."""
+    return np.unique(gram_hashes(hashes.of(words), min(size, len(words))) if words else np.zeros(0, U), return_counts=True)
+
+
 def units(words: list[bytes], hashes: WordHashes, size: int = 5) -> np.ndarray:
-    """One hash for each unit of weight: the c-th copy of a shingle is its own unit."""
-    h = hashes.of(words)
-    grams = np.sort(gram_hashes(h, min(size, len(words)))) if words else np.zeros(0, U)
-    if len(grams) < 2:
-        return grams
-    first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-    copy = np.arange(len(grams)) - np.repeat(first, np.diff(np.append(first, len(grams))))
-    return mixed(grams + copy.astype(U) * STEP)
+    """One hash for each unit of weight, for exact comparison: the c-th copy of a shingle is its own unit."""
+    grams, count = elements(words, hashes, size)
+    copy = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return mixed(np.repeat(grams, count) + copy.astype(U) * STEP)
+
+
+def regions(grams: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, start, width, weight) of each region that reaches below its element's weight: [0, 1) and then each as wide as all before it."""
+    levels = 1 + np.ceil(np.log2(weight)).astype(np.int64)
+    of = np.repeat(np.arange(len(grams)), levels)
+    level = np.arange(levels.sum()) - np.repeat(np.cumsum(levels) - levels, levels)
+    start = np.where(level > 0, 2.0 ** (level - 1), 0.0)
+    return mixed(grams[of] + level.astype(U) * STEP), start, np.maximum(start, 1.0), weight[of].astype(float)
+
+
+def _share(h: np.ndarray) -> np.ndarray:
+    """Hashes as numbers between 0 and 1."""
+    return ((h >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def signature(unit: np.ndarray, k: int) -> np.ndarray:
+def signature(grams: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
     """The dart of the least rank at each of ``k`` coordinates, as a hash."""
-    reach = k * (math.log(k) + 2) / len(unit)
+    reach = k * (math.log(k) + 2) / weight.sum()
+    seed, start, width, most = regions(grams, weight)
     while True:
-        ranks, marks, live, base, turn = [], [], unit, np.zeros(len(unit)), 0
+        ranks, marks, live, base, turn = [], [], np.arange(len(seed)), np.zeros(len(seed)), 0
         while len(live):
-            # ranks of the next darts of all units that are still within reach, some at a time
-            some = max(1, min(64, int(reach - base.min()) + 1, 1 + 200_000 // len(live)))
-            h = mixed(live[:, None] + (np.arange(turn, turn + some, dtype=U) + U(1)) * STEP)
-            at = base[:, None] + np.cumsum(-np.log(((h >> U(11)).astype(np.float64) + 0.5) * 2.0**-53), axis=1)
-            hit = at < reach
-            ranks.append(at[hit])
-            marks.append(mixed(h[hit] ^ U(0xD6E8FEB86659FD93)))
-            on = hit[:, -1]
+            # ranks of the next darts of all regions that are still within reach, some at a time
+            some = max(1, min(64, int((reach - base.min()) * width[live].max()) + 1, 1 + 200_000 // len(live)))
+            h = mixed(seed[live][:, None] + (np.arange(turn, turn + some, dtype=U) + U(1)) * STEP)
+            at = base[:, None] + np.cumsum(-np.log(_share(h)), axis=1) / width[live][:, None]
+            near = at < reach
+            row = np.repeat(live, near.sum(axis=1))
+            rank, mark = at[near], mixed(h[near] ^ U(0xD6E8FEB86659FD93))
+            if start[live].any():  # in the regions of [0, 1) every dart is below the weight
+                below = start[row] + width[row] * _share(mixed(mark + STEP)) < most[row]
+                rank, mark = rank[below], mark[below]
+            ranks.append(rank)
+            marks.append(mark)
+            on = near[:, -1]
             live, base, turn = live[on], at[on, -1], turn + some
         rank, mark = np.concatenate(ranks), np.concatenate(marks)
         late_first = np.argsort(-rank, kind="stable")
@@ -80,21 +103,16 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def row_id(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """doc_id, or where it is null a negative number made from the text."""
-    return F.coalesce(F.col(doc_id).cast("long"), -F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 61)) - 1)
-
-
 def _sketches(k: int, rows: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             prints, keys = [], []
-            for text in batch.column(1).cast(pa.binary()):
+            for text in batch.column(2).cast(pa.binary()):
                 words = plain_words(text.as_py())
                 prints.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
-                keys.append(band_keys(signature(units(words, hashes, size), k), rows) if words else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["rid", "print", "keys"])
+                keys.append(band_keys(signature(*elements(words, hashes, size), k), rows) if words else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["rid", "tag", "node", "keys"])
 
     return run
 
@@ -159,18 +177,18 @@ def _prefixes(threshold: float, size: int, common: np.ndarray):
     return run
 
 
-def _across(texts: DataFrame, buckets: DataFrame, links: DataFrame, threshold: float, size: int) -> DataFrame:
-    """(a, b): pairs of texts in buckets of several components of ``links``, of two components each, that may reach ``threshold``; no such pair that does is left out."""
-    comp = components(links).withColumnsRenamed({"id": "node", "component": "comp"})
+def _across(texts: DataFrame, buckets: DataFrame, group: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(a, b): pairs of texts in buckets of several components (``group``: id, component), of two components each, that may reach ``threshold``; no such pair that does is left out."""
+    comp = group.withColumnsRenamed({"id": "node", "component": "comp"})
     tagged = stored(buckets.join(comp, "node", "left").select("node", "band", "key", F.coalesce("comp", "node").alias("comp")), "buckets")
     mixed_up = tagged.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "key")
-    live = tagged.join(mixed_up, ["band", "key"]).select(F.col("node").alias("rid"), "comp").distinct()
-    searched = stored(texts.join(live.hint("merge"), "rid").select(F.col("rid").alias("node"), "comp", "text"), "searched")
+    live = tagged.join(mixed_up, ["band", "key"]).select("node", "comp").distinct()
+    searched = stored(texts.join(live.hint("merge"), "node").select("node", "comp", "text"), "searched")
     # any order of the units gives the same result; a table of 2^18 counts puts common ones last
     counts = searched.select("text").mapInArrow(_counted(size), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     common = np.zeros(1 << SLOT_BITS, np.int64)
     common[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
-    first = stored(searched.mapInArrow(_prefixes(threshold, size, common), "unit long, node long, comp long, n long, at long"), "prefixes")
+    first = stored(searched.mapInArrow(_prefixes(threshold, size, common), "unit long, node binary, comp binary, n long, at long"), "prefixes")
     held = first.select("unit", "comp").distinct()
     meet = held.select("unit", F.col("comp").alias("ca")).join(held.select("unit", F.col("comp").alias("cb")), "unit").where("ca < cb")
     left = first.select("unit", F.col("comp").alias("ca"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"))
@@ -181,42 +199,53 @@ def _across(texts: DataFrame, buckets: DataFrame, links: DataFrame, threshold: f
 
 
 def near_links(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4, size: int = 5, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, members, links): rows has every rid; members has rid, node (the least rid of the texts with these words) of the rows with words; links has verified pairs a < b of nodes."""
-    cut = docs.select(row_id(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
-    made = stored(cut.mapInArrow(_sketches(bands * rows, rows, size), "rid long, print binary, keys array<long>"), "sketches")
-    nodes = stored(made.where("print is not null").groupBy("print").agg(F.min("rid").alias("node"), F.any_value("keys").alias("keys")), "nodes")
-    member = made.where("print is not null").select("rid", "print").join(nodes.select("print", "node"), "print").groupBy("rid").agg(F.min("node").alias("node"))
+    """(made, links, group): made has rid, tag and node, a hash of its words, of every row; links has verified pairs a < b of nodes; group (id, component) has the nodes with links."""
+    cut = docs.select(*row_key(docs, id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    made = stored(cut.mapInArrow(_sketches(bands * rows, rows, size), "rid long, tag long, node binary, keys array<long>"), "sketches")
+    nodes = stored(made.where("node is not null").groupBy("node").agg(F.min(F.struct("rid", "tag")).alias("of"), F.any_value("keys").alias("keys")), "nodes")
     spread = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     order = F.struct(F.xxhash64("node", "band"), F.col("node"))
     heads = spread.groupBy("band", "key").agg(F.min(order).getField("node").alias("low"), F.max(order).getField("node").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
     pairs = stored(spread.join(heads, ["band", "key"]).select("node", F.explode(F.array("low", "high")).alias("head")).where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
-    needed = pairs.selectExpr("explode(array(a, b)) rid").distinct()
+    needed = pairs.selectExpr("explode(array(a, b)) node").distinct().join(nodes, "node").selectExpr("node", "of.rid", "of.tag")
     # a merge join at every size: the ids in pairs have no bound
-    texts = stored(cut.join(needed.hint("merge"), "rid").groupBy("rid").agg(F.max("text").alias("text")), "texts")
-    left, right = texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rid").alias("b"), F.col("text").alias("tb"))
+    texts = stored(cut.join(needed.hint("merge"), ["rid", "tag"]).groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-        return stored(both.mapInArrow(_similar(threshold, size), "a long, b long"), name)
+        return stored(both.mapInArrow(_similar(threshold, size), "a binary, b binary"), name)
 
     links = checked(pairs, "links")
+    group = stored(components(links), "group")
     buckets = spread.join(heads.where("n > 3").select("band", "key"), ["band", "key"])  # in smaller ones the heads meet all
-    more = stored(_across(texts, buckets, links, threshold, size).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    return made.select("rid"), member, links.unionByName(checked(more, "links"))
+    more = checked(stored(_across(texts, buckets, group, threshold, size).join(pairs, ["a", "b"], "left_anti"), "pairs"), "links")
+    # only links between components can join them further
+    ca, cb = group.selectExpr("id AS a", "component AS ca"), group.selectExpr("id AS b", "component AS cb")
+    joined = components(more.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    ends = group.union(more.selectExpr("explode(array(a, b)) id").distinct().join(group, "id", "left_anti").selectExpr("id", "id AS component"))
+    group = ends.join(joined.selectExpr("id AS component", "component AS of"), "component", "left").select("id", F.coalesce("of", "component").alias("component"))
+    return made.select("rid", "tag", "node"), links.unionByName(more), stored(group, "group")
+
+
+def _classes(docs: DataFrame, **params) -> DataFrame:
+    """(rid, tag, class, n_links) per row of ``docs``; class is the (rid, tag) of its least row."""
+    made, links, group = near_links(docs, **params)
+    count = links.selectExpr("explode(array(a, b)) node").groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    own = made.where("node is not null").groupBy("node").agg(F.min(F.struct("rid", "tag")).alias("own"))
+    known = own.join(group.join(count.withColumnRenamed("node", "id"), "id").withColumnRenamed("id", "node"), "node", "left")
+    least = known.where("component is not null").groupBy("component").agg(F.min("own").alias("class"))
+    known = known.join(least, "component", "left").select("node", F.coalesce("class", "own").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return made.join(known, "node", "left").select("rid", "tag", F.coalesce("class", F.struct("rid", "tag")).alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def near_duplicates(docs: DataFrame, **params) -> DataFrame:
-    """(rid, class_id, n_links) per row of ``docs``: the least rid of its connected group, and its words' verified links."""
-    rows, member, links = near_links(docs, **params)
-    group = components(links).withColumnsRenamed({"id": "node", "component": "class_id"})
-    count = links.selectExpr("explode(array(a, b)) node").groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = member.join(group.join(count, "node"), "node", "left")
-    return rows.join(known, "rid", "left").select("rid", F.coalesce("class_id", "node", "rid").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    """(rid, class_id, n_links, kept) per row of ``docs``: the least rid of its connected group, its words' verified links, whether it is the row that stays."""
+    return _classes(docs, **params).select("rid", F.col("class.rid").alias("class_id"), "n_links", (F.col("class") == F.struct("rid", "tag")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with one row of each class, the one whose rid is the class id."""
-    id_col, text_col = params.get("id_col", "doc_id"), params.get("text_col", "text")
-    keep = near_duplicates(docs, **params).where("rid = class_id").select(F.col("rid").alias("_kept")).distinct()
-    rid = row_id(id_col, text_col)
-    return docs.withColumn("_rid", rid).join(keep, F.col("_rid") == F.col("_kept"), "left_semi").dropDuplicates(["_rid"]).drop("_rid")
+    """``docs`` with one row of each class, the least by id and then by a hash of its text."""
+    keep = _classes(docs, **params).where(F.col("class") == F.struct("rid", "tag")).select("rid", "tag").distinct()
+    rows = docs.select(*row_key(docs, params.get("id_col", "doc_id"), params.get("text_col", "text")), F.struct("*").alias("row"))
+    return rows.join(keep, ["rid", "tag"], "left_semi").dropDuplicates(["rid", "tag"]).select("row.*")
