@@ -7,12 +7,12 @@ gets a suffix array, its Burrows-Wheeler transform in a wavelet matrix, and suff
 LF steps to a sampled position. Overlapping matches merge to removal spans.
 
 Scale: the documents are read once, in place, with no shuffle. The benchmark is a query set, cut by
-hash of its item into blocks of at most ``block_words`` words, whose size is measured first; only one block at a time is held by
-a task, and several blocks mean several passes whose spans merge per document.
+hash of its item into blocks of at most ``block_words`` words, whose size is measured first; a task holds one block at a time,
+and several blocks mean several passes over the same rows, each adding its spans to what a row has.
 
 Defined cases: a null or wordless text has no words and no hit; items without words are ignored; an item
-shorter than ``width`` is one window; an item that repeats counts once; a null item_id is ignored. Columns of
-``docs`` pass through ``cut_benchmark`` unchanged whatever their names.
+shorter than ``width`` is one window; an item that repeats counts once; a null item_id is ignored; rows that repeat stay
+apart, as rows of one doc_id and unlike texts do. Columns of ``docs`` pass through ``cut_benchmark`` unchanged whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenlake.llm.near_dedup import row_id
+from screenlake.functions.storage import stored
 from screenlake.llm.text import folded_words
 
 
@@ -188,38 +188,57 @@ def scan(texts: list[bytes | None], windows: Windows, shard_words: int, sample:
     return out
 
 
-def benchmark_blocks(bench: DataFrame, width: int, block_words: int, item_col: str, text_col: str) -> Iterator[Windows]:
-    """The benchmark in blocks that fit a task; sizes are measured before any row is fetched."""
-    rows = bench.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / 4 / block_words))
-    for k in range(blocks):
-        block = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        yield Windows([(r.item, r.text.encode()) for r in block.distinct().collect()], width)
+class Blocks:
+    """The benchmark in blocks that fit a task; sizes are measured before any row is fetched, and the driver holds one block at a time."""
 
+    def __init__(self, bench: DataFrame, width: int, block_words: int, item_col: str, text_col: str):
+        self.rows = bench.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
+        size = self.rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.width, self.count = width, max(1, math.ceil(size / 4 / block_words))
 
-def benchmark_hits(docs: DataFrame, bench: DataFrame, width: int = 10, shard_words: int = 1 << 20, block_words: int = 1 << 20, sample: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, n_words, spans array<struct<start,end>> in words, items array<string>) per row of ``docs``."""
-    cut = docs.select(F.col(id_col).alias("doc_id"), row_id(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
-    kind = cut.schema["doc_id"].dataType.simpleString()
-    passes = []
-    for windows in benchmark_blocks(bench, width, block_words, item_col, item_text):
+    def __iter__(self) -> Iterator[Windows]:
+        for k in range(self.count):
+            block = self.rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(self.count)) == k)
+            yield Windows([(r.item, r.text.encode()) for r in block.distinct().collect()], self.width)
+
+
+SPANS, ITEMS = "array<struct<start:bigint,end:bigint>>", "array<string>"
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _searched(rows: DataFrame, blocks: Blocks, shard_words: int, sample: int) -> DataFrame:
+    """``rows`` (with a string column text) with n_words, spans and items, row by row."""
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    out, kept = rows.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast(SPANS), "items": F.array().cast(ITEMS)}), rows.columns
+    for turn, windows in enumerate(blocks):
 
         def run(batches: Iterator[pa.RecordBatch], windows: Windows = windows) -> Iterator[pa.RecordBatch]:
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             for batch in batches:
-                rows = scan(batch.column(2).cast(pa.binary()).to_pylist(), windows, shard_words, sample)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _, _ in rows], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for _, s, _ in rows], span), pa.array([sorted(i) for _, _, i in rows], pa.list_(pa.string()))], ["doc_id", "rid", "n_words", "spans", "items"])
+                found = scan(batch.column("text").cast(pa.binary()).to_pylist(), windows, shard_words, sample)
+                spans = [_merged([*((x["start"], x["end"]) for x in old), *new]) for old, (_, new, _) in zip(batch.column("spans").to_pylist(), found, strict=True)]
+                items = [sorted({*old, *new}) for old, (_, _, new) in zip(batch.column("items").to_pylist(), found, strict=True)]
+                own = [batch.column(c) for c in kept]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([n for n, _, _ in found], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), pa.array(items, pa.list_(pa.string()))], [*kept, "n_words", "spans", "items"])
+
+        out = out.mapInArrow(run, out.schema)
+        if turn:  # a worker holds one block
+            out = stored(out, "hits")
+    return out
 
-        passes.append(cut.mapInArrow(run, f"doc_id {kind}, rid long, n_words long, spans array<struct<start:bigint,end:bigint>>, items array<string>"))
-    out = passes[0]
-    if len(passes) > 1:
-        for more in passes[1:]:
-            out = out.unionByName(more)
-        out = out.groupBy("doc_id", "rid", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        merge = "aggregate(array_sort(spans), cast(array() as array<struct<start:bigint,end:bigint>>), (m, s) -> if(size(m) > 0 and s.start <= element_at(m, -1).end, concat(slice(m, 1, size(m) - 1), array(named_struct('start', element_at(m, -1).start, 'end', greatest(element_at(m, -1).end, s.end)))), concat(m, array(s))))"
-        out = out.withColumn("spans", F.expr(merge))
-    return out.drop("rid")
+
+def benchmark_hits(docs: DataFrame, bench: DataFrame, width: int = 10, shard_words: int = 1 << 20, block_words: int = 1 << 20, sample: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, n_words, spans array<struct<start,end>> in words, items array<string>) per row of ``docs``."""
+    cut = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return _searched(cut, Blocks(bench, width, block_words, item_col, item_text), shard_words, sample).drop("text")
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -238,29 +257,41 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
 _LETTER = bytes(int(0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A or c >= 0x80) for c in range(256))
 
 
-def cut_benchmark(docs: DataFrame, bench: DataFrame, width: int = 10, shard_words: int = 1 << 20, block_words: int = 1 << 20, text_col: str = "text", chars_col: str = "n_chars", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` with every removal span cut out of its text, until no window is left; the integer length column of a cut text, if there is one, follows."""
-    out = docs
-    for windows in benchmark_blocks(bench, width, block_words, item_col, item_text):
-
-        def run(batches: Iterator[pa.RecordBatch], windows: Windows = windows) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                k = batch.schema.get_field_index(text_col)
-                texts = batch.column(k).to_pylist()
-                size = batch.schema.get_field_index(chars_col)
-                chars = batch.column(size).to_pylist() if size >= 0 else None
-                todo = list(range(len(texts)))
-                while todo:  # what a cut joins may be a window again
-                    rows = scan([None if texts[i] is None else texts[i].encode() for i in todo], windows, shard_words)
-                    hit = [(i, s) for i, (_, s, _) in zip(todo, rows, strict=True) if s]
-                    for i, s in hit:
-                        texts[i] = _without(texts[i], s)
-                        if chars is not None:
-                            chars[i] = len(texts[i])
-                    todo = [i for i, _ in hit]
-                for j, values in ((k, texts), (size, chars)) if chars is not None else ((k, texts),):
-                    batch = batch.set_column(j, batch.schema.field(j), pa.array(values, batch.schema.field(j).type))
-                yield batch
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+def cut_benchmark(docs: DataFrame, bench: DataFrame, width: int = 10, shard_words: int = 1 << 20, block_words: int = 1 << 20, sample: int = 8, text_col: str = "text", chars_col: str = "n_chars", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` with every removal span cut out of its text, until no window is left; the integer length column of a cut text, if there is one, follows.
+
+    The spans of all blocks of the benchmark are cut at once. What a cut joins may be a window again: a text that was cut is searched
+    again, in the same task where the benchmark is one block, else with the other cut texts, by all blocks.
+    """
+    blocks = Blocks(bench, width, block_words, item_col, item_text)
+    alone = next(iter(blocks)) if blocks.count == 1 else None
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, todo = batch.column("text").to_pylist(), [(i, x) for i, x in enumerate(batch.column("spans").to_pylist()) if x]
+            hit = batch.column("hit").to_pylist()
+            while todo:
+                for i, x in todo:
+                    texts[i], hit[i] = _without(texts[i], [(y["start"], y["end"]) for y in x]), True
+                at = [i for i, _ in todo]
+                found = scan([texts[i].encode() for i in at], alone, shard_words, sample) if alone else []
+                todo = [(i, [{"start": a, "end": b} for a, b in x]) for i, (_, x, _) in zip(at, found, strict=False) if x]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(hit, pa.bool_()), batch.column("spans")], ["row", "text", "hit", "spans"])
+
+    others = [c for c in docs.columns if c != text_col]
+    live, done = docs.select(F.struct(*(map(F.col, others) if others else [F.lit(0)])).alias("row"), F.col(text_col).cast("string").alias("text"), F.lit(False).alias("hit")), None
+    while True:
+        found = _searched(live, blocks, shard_words, sample).select("row", "text", "hit", "spans")
+        new = found.mapInArrow(cut, found.schema)
+        if alone:
+            done = new
+            break
+        new = stored(new, "cut")
+        rest = new.where(F.size("spans") == 0)
+        done, live = rest if done is None else done.unionByName(rest), new.where(F.size("spans") > 0).select("row", "text", "hit")
+        if live.isEmpty():
+            break
+    now = {text_col: F.col("text").cast(docs.schema[text_col].dataType)}
+    if chars_col in others:
+        now[chars_col] = F.when(F.col("hit"), F.length("text").cast(docs.schema[chars_col].dataType)).otherwise(F.col("row").getField(chars_col))
+    return done.select(*(now[c].alias(c) if c in now else F.col("row").getField(c).alias(c) for c in docs.columns))
