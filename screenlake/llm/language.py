@@ -4,7 +4,8 @@ Each language's dictionary is text of that language; a text belongs to the langu
 makes its zstandard frames smallest. Texts are reduced to their words first. Long texts are encoded whole, in chunks, and the sizes add up.
 The saved bits become a score; where the runner-up is within ``margin`` of the winner the answer is marked as rejected.
 
-Scale: learning reads a bounded sample, ``sample_docs`` documents a language (by hash of doc_id), ``most_langs`` languages, ``dict_bytes`` bytes a dictionary; that
+Scale: learning reads a bounded sample, about ``sample_docs`` documents a language (by hash of doc_id), each of which gives a piece from a place
+in its text that a hash chooses. All languages together get ``total_bytes`` of dictionaries, one language ``dict_bytes`` at most; that
 much is broadcast. Prediction is one narrow pass over whole texts.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; null languages are not learned from; if nothing
@@ -21,6 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenlake.functions.storage import stored
 from screenlake.llm.toxicity import fold_of
 
 
@@ -32,20 +34,32 @@ def letters_only(text: bytes) -> bytes:
 _LETTERS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
-def learn(docs: DataFrame, sample_docs: int = 300, dict_bytes: int = 112 << 10, most_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Dictionaries from documents outside the held-out fold (crc32(doc_id as text) mod 3 = 1). A sampled document gives its start, up to its share of the dictionary."""
+def learn(docs: DataFrame, sample_docs: int = 300, dict_bytes: int = 112 << 10, total_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+    """Dictionaries from documents outside the held-out fold (crc32(doc_id as text) mod 3 = 1). Equal texts give one piece."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where((fold_of(F.col("doc_id")) != 1) & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
-    if not counts:
+    counts = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langs")
+    langs = counts.count()
+    if not langs:
         return {}
-    share = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(int(min(1.0, 2.0 * sample_docs / r.n) * (1 << 30))))])
+    share = max(64, min(dict_bytes, total_bytes // langs))
+    docs_each = max(1, min(sample_docs, share // 64))
+    each = max(64, share // docs_each)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    each = max(64, dict_bytes // sample_docs)
-    picked = rows.where(part < F.element_at(share, F.col("lang"))).select("lang", part.alias("part"), F.substring("text", 1, each).alias("text")).where("length(text) > 40").collect()
-    out = {}
-    for lang in sorted({r.lang for r in picked}):
-        parts = dict.fromkeys(r.text for r in sorted((r for r in picked if r.lang == lang), key=lambda r: (r.part, r.text)))
-        data = b"\n".join(letters_only(t.encode()) for t in list(parts)[:sample_docs])[:dict_bytes]
+    # twice as many as needed, since copies give one piece
+    picked = rows.join(counts, "lang").where(part * F.col("n") < 2 * docs_each * (1 << 30))
+    room = F.greatest(F.length("text") - each, F.lit(0)) + 1
+    begin = F.pmod(F.xxhash64("text", F.lit("place")), room) + 1
+    picked = picked.select("lang", part.alias("part"), F.xxhash64("text").alias("print"), F.substring("text", begin, F.lit(each)).alias("text"), (begin > 1).alias("inner"), (begin < room).alias("cut")).collect()
+    out, seen = {}, set()
+    pieces: dict[str, list[bytes]] = {}
+    for r in sorted(picked, key=lambda r: (r.lang, r.part, r.print)):
+        own = pieces.setdefault(r.lang, [])
+        if (r.lang, r.print) not in seen and len(own) < docs_each:
+            seen.add((r.lang, r.print))
+            words = r.text.split()  # a place inside a text may cut words
+            own.append(letters_only(" ".join(words[int(r.inner) : len(words) - int(r.cut)]).encode()))
+    for lang, own in pieces.items():
+        data = b"\n".join(x for x in own if x)[:share]
         if len(data) >= 8:
             out[lang] = data
     return out
