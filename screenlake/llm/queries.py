@@ -23,7 +23,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select(F.col("rid").alias("doc_id"), "class_id", (F.col("rid") == F.col("class_id")).alias("kept"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select(F.col("rid").alias("doc_id"), "class_id", "kept")
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,10 +154,17 @@ dra AS (SELECT d.*, r.source_size, r.target, r.whole, r.rest, r.f, least(1.0, r.
  FROM docs d JOIN ful r ON d.source IS NOT DISTINCT FROM r.source),
 odd AS (SELECT *, u / (1 - u) * (1 - p) / p AS odds FROM dra),
 rnk AS (SELECT *, CASE WHEN size > 0 THEN odds / (odds + (1 - f) / f) END AS score FROM odd),
-grp AS (SELECT source, score, doc_id, h, max(rest) AS rest, sum(size) AS gsize FROM rnk WHERE size > 0 GROUP BY source, score, doc_id, h),
-lin AS (SELECT *, sum(gsize) OVER (PARTITION BY source ORDER BY score, doc_id, h) AS upto FROM grp),
-ins AS (SELECT source, doc_id, h, upto - gsize / 2 <= rest AND rest > 0 AS inside FROM lin),
+grp AS (SELECT source, doc_id, h, max(score) AS score, max(rest) AS rest, CAST(sum(size) AS BIGINT) AS gsize, false AS inside FROM rnk GROUP BY source, doc_id, h),
+ga1 AS (SELECT *, max(rest) OVER (PARTITION BY source) - sum(CASE WHEN inside THEN gsize ELSE 0 END) OVER (PARTITION BY source) AS gap FROM grp),
+fi1 AS (SELECT source, doc_id, h, sum(gsize) OVER (PARTITION BY source ORDER BY score, doc_id, h) AS upto FROM ga1 WHERE NOT inside AND gsize > 0 AND gsize <= gap),
+gr1 AS (SELECT g.source, g.doc_id, g.h, g.score, g.rest, g.gsize, g.inside OR coalesce(upto <= gap, false) AS inside FROM ga1 g LEFT JOIN fi1 f ON g.source IS NOT DISTINCT FROM f.source AND g.doc_id IS NOT DISTINCT FROM f.doc_id AND g.h IS NOT DISTINCT FROM f.h),
+ga2 AS (SELECT *, max(rest) OVER (PARTITION BY source) - sum(CASE WHEN inside THEN gsize ELSE 0 END) OVER (PARTITION BY source) AS gap FROM gr1),
+fi2 AS (SELECT source, doc_id, h, sum(gsize) OVER (PARTITION BY source ORDER BY score, doc_id, h) AS upto FROM ga2 WHERE NOT inside AND gsize > 0 AND gsize <= gap),
+gr2 AS (SELECT g.source, g.doc_id, g.h, g.score, g.rest, g.gsize, g.inside OR coalesce(upto <= gap, false) AS inside FROM ga2 g LEFT JOIN fi2 f ON g.source IS NOT DISTINCT FROM f.source AND g.doc_id IS NOT DISTINCT FROM f.doc_id AND g.h IS NOT DISTINCT FROM f.h),
+ga3 AS (SELECT *, max(rest) OVER (PARTITION BY source) - sum(CASE WHEN inside THEN gsize ELSE 0 END) OVER (PARTITION BY source) AS gap FROM gr2),
+fi3 AS (SELECT source, doc_id, h, sum(gsize) OVER (PARTITION BY source ORDER BY score, doc_id, h) AS upto FROM ga3 WHERE NOT inside AND gsize > 0 AND gsize <= 2 * gap),
+gr3 AS (SELECT g.source, g.doc_id, g.h, g.score, g.rest, g.gsize, g.inside OR coalesce(upto - gsize / 2 <= gap, false) AS inside FROM ga3 g LEFT JOIN fi3 f ON g.source IS NOT DISTINCT FROM f.source AND g.doc_id IS NOT DISTINCT FROM f.doc_id AND g.h IS NOT DISTINCT FROM f.h),
 fin AS (SELECT r.doc_id, r.size, r.source_size, r.target, CAST(CASE WHEN r.size > 0 THEN r.whole + CASE WHEN i.inside THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS copies
- FROM rnk r LEFT JOIN ins i ON r.source IS NOT DISTINCT FROM i.source AND r.doc_id IS NOT DISTINCT FROM i.doc_id AND r.h IS NOT DISTINCT FROM i.h)
+ FROM rnk r LEFT JOIN gr3 i ON r.source IS NOT DISTINCT FROM i.source AND r.doc_id IS NOT DISTINCT FROM i.doc_id AND r.h IS NOT DISTINCT FROM i.h)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM fin""",
 }

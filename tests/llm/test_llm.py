@@ -62,12 +62,20 @@ def test_signatures_estimate_weighted_similarity():
     h = WordHashes()
     base = words(300, 5).split()
     other = base[:240] + words(60, 6).split()
-    a, b = (near_dedup.units([w.encode() for w in x], h) for x in (base, other))
-    sa, sb = near_dedup.signature(a, 4096), near_dedup.signature(b, 4096)
-    x, y = shingles(" ".join(base)), shingles(" ".join(other))
-    want = sum((x & y).values()) / sum((x | y).values())
-    assert abs((sa == sb).mean() - want) < 0.05
-    assert len(near_dedup.signature(a[:1], 64)) == 64
+    for more in ([], base[:60] * 9 + base[100:130] * 40):  # shingles of weights 1, 10 and 41 beside each other
+        x, y = shingles(" ".join(base + more)), shingles(" ".join(other + more))
+        a, b = (near_dedup.elements([w.encode() for w in z + more], h) for z in (base, other))
+        want = sum((x & y).values()) / sum((x | y).values())
+        assert abs((near_dedup.signature(*a, 4096) == near_dedup.signature(*b, 4096)).mean() - want) < 0.05
+    assert len(near_dedup.signature(a[0][:1], a[1][:1], 64)) == 64
+
+
+def test_regions_cover_an_elements_weight_once():
+    seed, start, width, weight = near_dedup.regions(np.arange(5, dtype=np.uint64), np.array([1, 2, 3, 8, 9]))
+    for w in (1, 2, 3, 8, 9):
+        own = sorted(zip(start[weight == w], width[weight == w], strict=True))
+        assert own[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(own, own[1:], strict=False)) and own[-1][0] < w <= sum(own[-1])
+    assert len(set(seed.tolist())) == len(seed)
 
 
 def test_near_duplicates_against_brute_force(spark, sf):
