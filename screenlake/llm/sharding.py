@@ -5,8 +5,9 @@ shard. Its dimensions are the size of the text and the least document number, la
 sources as ranks of their whole values. A node that is to
 hold m shards is cut along the dimension in which it is widest (relative to the whole table's range) at the
 weighted quantile floor(m / 2) / m, until every node is one shard. Ties in a dimension are ordered by a hash
-of the text, so a dimension of four values still cuts evenly. A cut misses its quantile by half the point that straddles it at most, so a
-shard of the law `bytes` misses the mean by no more than the largest point: with shards of many points it is within a few hundredths.
+of the text, so a dimension of four values still cuts evenly. Where the point that straddles a
+cut would tip it by more than 1/64 of a shard, the point goes right and the cut moves on to make up for it, up to ``SKIPS`` times; so a shard of the
+law `bytes` is within a few hundredths of the mean, unless it has only a few points.
 
 Scale: all is DataFrame functions. A level needs the ranges per node and three passes of a histogram
 that narrows each node's cut from 2^16 buckets to one value; only tables of a row per node reach the driver, at most
@@ -59,6 +60,26 @@ def _inline(spark, names: str, rows: list[tuple]) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {', '.join('(' + ', '.join(map(str, r)) + ')' for r in rows)} AS t({names})")
 
 
+SKIPS, ENDLESS = 10, 1 << 62
+
+
+def _quantiles(points: DataFrame, cuts: dict[int, dict], dims: list[str], weight: str) -> dict[int, tuple[int, float, float]]:
+    """For each node the value, from ``low`` on, at which its sum of weights, from ``done`` on, reaches ``goal``; the sum before that value, and the weight at it."""
+    spark = points.sparkSession
+    at_node = {k: (c["low"], c["done"], 0.0) for k, c in cuts.items()}
+    for step in (32, 16, 0):  # 2^16 buckets narrow to one value in three passes
+        if not at_node:
+            break
+        plan = _inline(spark, "leaf, axis, goal, low", [(k, cuts[k]["axis"], f"{cuts[k]['goal'] - done!r}D", f"{low}L") for k, (low, done, _) in at_node.items()])
+        here = points.join(F.broadcast(plan), "leaf").withColumn("at", F.element_at(F.array(*dims), F.col("axis") + 1))
+        here = here.where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("low") + (1 << (step + 16))))
+        parts = here.withColumn("part", F.shiftright(F.col("at") - F.col("low"), step)).groupBy("leaf", "goal", "part").agg(F.sum(weight).alias("w"))
+        upto = F.sum("w").over(Window.partitionBy("leaf").orderBy("part"))
+        rows = parts.withColumn("upto", upto).where("upto >= goal").groupBy("leaf").agg(F.min(F.struct("part", "upto", "w")).alias("m")).collect()
+        at_node = {r["leaf"]: (at_node[r["leaf"]][0] + (r["m"]["part"] << step), at_node[r["leaf"]][1] + float(r["m"]["upto"] - r["m"]["w"]), float(r["m"]["w"])) for r in rows}
+    return at_node
+
+
 def kd_leaves(points: DataFrame, leaves: int, dims: list[str], weight: str = "weight") -> DataFrame:
     """``points`` with ``leaf``, 0 to leaves - 1. ``dims`` are longs below 2^48, distinct enough to cut anywhere."""
     spark = points.sparkSession
@@ -74,26 +95,29 @@ def kd_leaves(points: DataFrame, leaves: int, dims: list[str], weight: str = "we
         for r in spans:
             first, m = wide[r["leaf"]]
             axis = max(range(len(dims)), key=lambda i: ((r[dims[i]][1] >> 24) - (r[dims[i]][0] >> 24), -i))
-            cuts[r["leaf"]] = [axis, r["total"] * (m // 2) / m, 0, 0.0]
-        for step in (32, 16, 0):  # the cut's bits 47-32, then 31-16, then 15-0
-            plan = _inline(spark, "leaf, axis, goal, low", [(k, a, f"{goal - done!r}D", f"{low}L") for k, (a, goal, low, done) in cuts.items()])
-            here = live.join(F.broadcast(plan), "leaf").withColumn("at", F.element_at(F.array(*dims), F.col("axis") + 1))
-            here = here.where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("low") + (1 << (step + 16))))
-            parts = here.withColumn("part", F.shiftright(F.col("at") - F.col("low"), step)).groupBy("leaf", "goal", "part").agg(F.sum(weight).alias("w"))
-            upto = F.sum("w").over(Window.partitionBy("leaf").orderBy("part"))
-            # the last part that still ends at or before the middle of its own weight is left of the cut
-            found = parts.withColumn("upto", upto).where("upto >= goal").groupBy("leaf").agg(F.min(F.struct("part", "upto", "w")).alias("m")).collect()
-            for r in found:
-                c = cuts[r["leaf"]]
-                c[2] += r["m"]["part"] << step
-                c[3] += float(r["m"]["upto"] - r["m"]["w"])
-                if step == 0:  # the point at the cut goes to the side that comes nearer to the goal
-                    c.append(c[1] - c[3] >= r["m"]["w"] / 2)
-        table = _inline(spark, "leaf, axis, cut, take, next", [(k, c[0], f"{c[2]}L", "true" if len(c) < 5 or c[4] else "false", wide[k][0] + wide[k][1] // 2) for k, c in cuts.items()])
+            cuts[r["leaf"]] = {"axis": axis, "goal": r["total"] * (m // 2) / m, "slack": r["total"] / m / 64, "low": 0, "done": 0.0, "take": True, "skips": []}
+        todo = cuts
+        while todo:
+            found = _quantiles(live, todo, dims, weight)
+            again = {}
+            for k, c in todo.items():
+                if k not in found:  # all that is left belongs to the left
+                    c["low"] = ENDLESS
+                    continue
+                c["low"], c["done"], w = found[k]
+                short = c["goal"] - c["done"]
+                c["take"] = short >= w / 2  # the side that comes nearer to the goal
+                if min(short, w - short) > c["slack"] and len(c["skips"]) < SKIPS:
+                    c["skips"].append(c["low"])
+                    again[k] = c | {"low": c["low"] + 1}
+            for k in again:
+                cuts[k] = again[k]
+            todo = again
+        table = _inline(spark, "leaf, axis, cut, take, skips, next", [(k, c["axis"], f"{c['low']}L", "true" if c["take"] else "false", f"array({', '.join(f'{x}L' for x in c['skips'])})" if c["skips"] else "cast(array() as array<bigint>)", wide[k][0] + wide[k][1] // 2) for k, c in cuts.items()])
         df = df.join(F.broadcast(table), "leaf", "left")
         at = F.element_at(F.array(*dims), F.col("axis") + 1)
-        right = (at > F.col("cut")) | ((at == F.col("cut")) & ~F.col("take"))
-        df = df.withColumn("leaf", F.when(F.col("axis").isNotNull() & right, F.col("next")).otherwise(F.col("leaf"))).drop("axis", "cut", "take", "next")
+        right = (at > F.col("cut")) | ((at == F.col("cut")) & ~F.col("take")) | F.array_contains("skips", at)
+        df = df.withColumn("leaf", F.when(F.col("axis").isNotNull() & right, F.col("next")).otherwise(F.col("leaf"))).drop("axis", "cut", "take", "skips", "next")
         for first, m in wide.values():
             nodes[first] = (first, m // 2)
             nodes[first + m // 2] = (first + m // 2, m - m // 2)
