@@ -283,21 +283,36 @@ def test_repeat_edges(odd, none):
     assert repeats.without_repeats(none).count() == 0
 
 
-def test_backoff_scores_against_brute_force(spark, odd, none):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_backoff_scores_against_brute_force(spark, odd, none, order):
     import math
 
     r = random.Random(8)
     docs = [(k, " ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 40)))) for k in range(40)]
     w = {i: t.split() for i, t in docs}
-    one, two, n = Counter(x for t in w.values() for x in t), Counter(p for t in w.values() for p in zip(t, t[1:], strict=False)), sum(map(len, w.values()))
-    got = {g.doc_id: g.log10_score for g in lm_score.backoff_scores(spark.createDataFrame(docs, "doc_id long, text string"), block_words=100).collect()}
+    grams = lambda t, n: Counter(tuple(t[k : k + n]) for k in range(len(t) - n + 1))
+    every = [sum((grams(t, n) for t in w.values()), Counter()) for n in range(order + 1)]
+    total = sum(map(len, w.values()))
+    got = {g.doc_id: g for g in lm_score.backoff_scores(spark.createDataFrame(docs, "doc_id long, text string"), order=order, block_words=100).collect()}
     for i, t in w.items():
-        a, b, s = Counter(t), Counter(zip(t, t[1:], strict=False)), 0.0
+        own, score, backed = [grams(t, n) for n in range(order + 1)], 0.0, 0
+
+        def count(g):
+            return every[len(g)][g] - own[len(g)][g]
+
         for k, x in enumerate(t):
-            p, c = (two[t[k - 1], x] - b[t[k - 1], x], one[t[k - 1]] - a[t[k - 1]]) if k else (0, 0)
-            s += math.log10(p / c if p > 0 and c > 0 else 0.4 * max(one[x] - a[x], 1) / max(n - len(t), 1))
-        assert got[i] == pytest.approx(s)
-    assert lm_score.backoff_scores(odd).count() == odd.count() and lm_score.backoff_scores(none).count() == 0
+            for n in range(order, 0, -1):
+                g = tuple(t[k - n + 1 : k + 1])
+                if n == 1:
+                    p = max(count(g), 1) / max(total - len(t), 1)
+                    break
+                if k >= n - 1 and count(g) > 0 and count(g[:-1]) > 0:
+                    p = count(g) / count(g[:-1])
+                    break
+            backed += n < order
+            score += math.log10(0.4 ** (order - n) * p)
+        assert got[i].log10_score == pytest.approx(score) and got[i].n_backoff == backed
+    assert lm_score.backoff_scores(odd, order=order).count() == odd.count() and lm_score.backoff_scores(none, order=order).count() == 0
 
 
 def test_shards(spark, odd, none):
@@ -383,3 +398,207 @@ def test_pipeline_stages(spark, sf):
         docs = spark.createDataFrame(out.collect(), out.schema)
         sizes.append(docs.count())
     assert sizes[1] < sizes[0] and sizes[2] < sizes[1] and sizes[3] == sizes[2] and sizes[5] == sizes[4]
+
+
+TABLES = ("documents", "benchmark", "conversations", "labels")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_gives_the_rows_of_its_sql(spark, sf, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    cols, plain = sorted(df.columns), lambda v: round(v, 5) if isinstance(v, float) else v
+    cur = c.execute(queries.ORACLE[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == cols
+    assert sorted(repr([plain(r[k]) for k in cols]) for r in df.collect()) == sorted(repr([plain(r[names.index(k)]) for k in cols]) for r in cur.fetchall())
+
+
+def test_base_counts_against_brute_force(spark, sf):
+    import regex
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for got in quality.quality(docs).join(docs, "doc_id").collect():
+        t = got.text or ""
+        w = regex.findall(r"[^\x20\x09-\x0D]+", t)
+        wins = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        again = {k for i in range(len(w) - 2) if wins[tuple(w[i : i + 3])] > 1 for k in range(i, i + 3)}
+        lines = [x for x in t.split("\n") if regex.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(again))
+        assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == want
+        assert got.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+
+
+def test_the_end_of_a_text_is_a_chunk_too(spark):
+    r = random.Random(5)
+    prose, noise = words(3000, 9)[:8192], "".join(chr(r.randrange(33, 0x2FF)) + (" " if k % 9 == 0 else "") for k in range(2600))
+    got = {x.doc_id: x for x in quality.quality(spark.createDataFrame([(1, prose), (2, prose[:4096] + noise)], "doc_id long, text string")).collect()}
+    assert got[1].kept and got[2].chunks == 2 and got[2].bad_chunks == 1 and not got[2].kept
+
+
+def test_language_sizes_against_a_plain_encoder(spark, sf):
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    d = language.learn(docs)
+    got = {r.doc_id: r for r in language.language(docs, d).collect()}
+    for r in docs.collect():
+        text = language.letters_only((r.text or "").encode())
+        if got[r.doc_id].lang_pred == "und":
+            assert not any(c.isalpha() for c in r.text or "")
+            continue
+        size = {}
+        for lang, data in d.items():
+            press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            size[lang] = sum(len(press.compress(text[k : k + (16 << 10)])) for k in range(0, len(text), 16 << 10))
+        assert got[r.doc_id].lang_pred == min(size, key=lambda x: (size[x], x))
+
+
+def test_every_language_is_learned_from_anywhere_in_its_texts(spark):
+    head = "Notice: all rights of this page are reserved by its owner and may not be copied. " * 8
+    rows = [(i, head + words(200, i), f"l{i % 40}") for i in range(400)] + [(1000 + i, "kurz da", "zz") for i in range(9)]
+    d = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), total_bytes=400_000)
+    assert set(d) == {f"l{k}" for k in range(40)} | {"zz"} and len(set(d.values())) == 41
+    assert all(len(x) <= 400_000 // 41 for x in d.values())
+
+
+ID_TEXT = [(1, words(80, 21)), (1, words(80, 22)), (1, words(80, 21)), (2, words(80, 22) + " x"), (None, words(80, 23)), (None, words(80, 23) + " y")]
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    docs = spark.createDataFrame(ID_TEXT, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(docs).collect()]
+    assert len(kept) == 3 and {t for _, t in kept} >= {ID_TEXT[0][1], ID_TEXT[1][1]}
+    got = near_dedup.near_duplicates(docs).collect()
+    assert sorted(r.class_id for r in got)[2:] == [1, 1, 1, 1] and sum(r.kept for r in got) == 4
+    out = repeats.without_repeats(docs).collect()
+    assert sorted(r.n_removed for r in out if r.doc_id == 1) == [0, 0, 0]  # a row that repeats is the same document
+    assert [r.n_removed for r in out if r.doc_id == 2] == [80]
+
+
+def test_ids_that_are_no_integers(spark):
+    docs = spark.createDataFrame([("a", words(80, 21)), ("b", words(80, 21)), ("7", words(80, 22))], "doc_id string, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    assert sum(r.kept for r in near_dedup.near_duplicates(docs).collect()) == 2
+    assert sorted(r.n_removed for r in repeats.without_repeats(docs).collect()) == [0, 0, 80]
+    assert sharding.kd_shards(docs, shards=2).count() == 3
+    assert decontaminate.benchmark_hits(docs, spark.createDataFrame([(1, words(80, 22))], "item_id long, text string")).where("size(spans) > 0").first().doc_id == "7"
+
+
+def test_several_blocks_give_what_one_gives(spark):
+    w = words(60, 31).split()
+    bench = spark.createDataFrame([(k, " ".join(w[10 * k : 10 * k + 15])) for k in range(4)] + [(9, " ".join(w[:5] + w[40:50]))], "item_id long, text string")
+    joined = " ".join(w[:5] + w[20:34] + w[40:50])  # cutting the middle joins the last item's words
+    rows = [(1, "s " + " ".join(w), "r"), (1, "s " + " ".join(w), "r"), (1, "other text", "r"), (2, joined, None), (3, None, "r"), (4, "", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rid string").withColumns({"spans": F.lit(1), "n_chars": F.length("text").cast("long"), "row": F.lit("x")})
+    one = decontaminate.benchmark_hits(docs, bench)
+    assert one.count() == 6
+    for block in (60, 20, 1):
+        assert sorted(map(repr, decontaminate.benchmark_hits(docs, bench, block_words=block).collect())) == sorted(map(repr, one.collect()))
+        cut = decontaminate.cut_benchmark(docs, bench, block_words=block)
+        assert cut.columns == docs.columns and sorted(map(repr, cut.collect())) == sorted(map(repr, decontaminate.cut_benchmark(docs, bench).collect()))
+        assert all(not h.spans for h in decontaminate.benchmark_hits(cut, bench).collect())
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ("_rid", "_kept", "_turn", "rid", "tag", "row", "turn", "copies", "hit", "spans", "items", "source")
+    docs = spark.createDataFrame([(k, words(60, k % 3)) for k in range(6)], "doc_id long, text string").withColumns({n: F.lit("s") for n in names})
+    for out in (near_dedup.drop_near_duplicates(docs), mixing.take_mix(docs), decontaminate.cut_benchmark(docs, spark.createDataFrame([(1, words(60, 1))], "item_id long, text string"))):
+        assert out.columns == docs.columns and all(r[n] == "s" for r in out.collect() for n in names)
+
+
+def test_mix_beside_one_huge_document(spark):
+    rows = [(i, words(20 + i % 50, i), "a") for i in range(300)] + [(1000, words(9000, 5), "a")] + [(2000 + i, words(30, i), "b") for i in range(900)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.02 * mine[0].target
+
+
+def test_forty_shards_are_near_equal(spark, sf):
+    d = sf.replace("0.001", "0.1")
+    got = sharding.kd_shards(spark.read.parquet(f"{d}/documents.parquet")).groupBy("shard").agg(F.sum("size").alias("s"), F.count("slot").alias("n"), F.max("slot").alias("m"), F.countDistinct("slot").alias("d")).collect()
+    mean = sum(r.s for r in got) / 40
+    assert len(got) == 40 and all(0.97 * mean < r.s < 1.03 * mean and r.n == r.d == r.m + 1 for r in got)
+
+
+def test_leaves_against_a_plain_tree(spark):
+    """The tree of a few points, none of which tips a cut, built in plain Python."""
+    r = random.Random(4)
+    pts = [(k, r.randrange(1 << 24) << 24, r.randrange(1 << 24) << 24) for k in range(256)]
+
+    def leaves(p, first, m):
+        if m == 1:
+            return {k: first for k, _, _ in p}
+        axis = max((1, 2), key=lambda i: ((max(x[i] for x in p) >> 24) - (min(x[i] for x in p) >> 24), -i))
+        p = sorted(p, key=lambda x: x[axis])
+        n = len(p) * (m // 2) // m
+        return leaves(p[:n], first, m // 2) | leaves(p[n:], first + m // 2, m - m // 2)
+
+    df = spark.createDataFrame([(*p, 1) for p in pts], "k long, x long, y long, weight long")
+    assert {g.k: g.leaf for g in sharding.kd_leaves(df, 16, ["x", "y"]).collect()} == leaves(pts, 0, 16)
+
+
+def test_ranks_of_whole_values(spark):
+    names = [f"https://example.org/{k:03d}" for k in range(50)]
+    rows = spark.createDataFrame([(n,) for n in names * 2] + [(None,)], "source string").repartition(5)
+    assert {g.value: g["rank"] for g in sharding._ranks(rows, "source").collect()} == {n: k + 1 for k, n in enumerate(names)}
+
+
+def test_segments_of_a_very_long_text():
+    import time
+
+    began = time.time()
+    for weight in (0.5, 1.0, 3.0):
+        toxicity.segments(list(range(0, 300_000, 3)), [weight] * 100_000, 0.9)
+    assert time.time() - began < 5
+
+
+def test_pipeline_stages_against_brute_force(spark, sf):
+    """Each stage on what the one before it kept, against what its contract says of single rows."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    held = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    clean = held(stages["toxicity"](spark, docs, sf))
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    score = {r.doc_id: r.score for r in toxicity.toxicity(docs, model).collect()}
+    assert {r.doc_id for r in clean.collect()} == {i for i, x in score.items() if x < 0.7}
+    apart = held(stages["near_dedup"](spark, clean, sf)).collect()
+    sh = {r.doc_id: shingles(r.text or "") for r in clean.collect()}
+    kept = {r.doc_id for r in apart}
+    near = lambda a, b: bool(sh[a] and sh[b]) and sum((sh[a] & sh[b]).values()) >= 0.8 * sum((sh[a] | sh[b]).values())
+    assert not any(near(a, b) for a in kept for b in kept if a < b)
+    reached, new = set(kept), list(kept)
+    while new:
+        a = new.pop()
+        more = [b for b in sh if b not in reached and near(a, b)]
+        reached |= set(more)
+        new += more
+    assert reached == set(sh)
+    apart = spark.createDataFrame(apart, docs.schema)
+    cut = held(stages["decontaminate"](spark, apart, sf))
+    wins = set().union(*(windows(b.text) for b in spark.read.parquet(f"{sf}/benchmark.parquet").collect()))
+    for a, b in zip(apart.orderBy("doc_id").collect(), cut.orderBy("doc_id").collect(), strict=True):
+        w = [x.decode() for x in folded_words((b.text or "").encode())]
+        assert not any(tuple(w[k : k + n]) in wins for n in {len(x) for x in wins} for k in range(len(w) - n + 1))
+        assert (a.text == b.text) == (a.text is None or not windows(a.text) & wins)
+    mix = held(stages["mix"](spark, cut, sf))
+    often = {r.doc_id: r.copies for r in mixing.mixed(cut).collect()}
+    assert Counter(r.doc_id for r in mix.collect()) == {i: n for i, n in often.items() if n}
+    out = stages["shard"](spark, mix, sf).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in mix.collect())
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, sf, odd, none, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("odd", odd), ("none", none)):
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{name}/{t}.parquet")
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        assert (corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() > 0) == (name == "odd")
