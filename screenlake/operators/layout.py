@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenlake.functions import strings as fs
-from screenlake.functions.folds import fold_sorted
+from screenlake.functions.folds import fold_sorted, scan_sorted
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], cut: Column, name: str = "part") -> DataFrame:
@@ -47,6 +47,80 @@ def rows_by_gap(words: DataFrame, page: str, gap: float = 0.5) -> DataFrame:
     return islands(w, [page], ["y0", "x0", "line", "k"], F.coalesce(F.col("cy") - F.lag("cy").over(line) > gap * (F.col("y1") - F.col("y0")), F.lit(True)), "row")
 
 
+def rows_by_rule(words: DataFrame, page: str, rule: str, height: float | None = None) -> DataFrame:
+    """(page, line, k, row): words put to rows by a rule that depends on the row so far.
+
+    fixed: below the first word's centre by more than half the word's height begins a row; mean: below the running mean by more than 0.55 ``height``;
+    near: from the running middle (half old, half new) by more than 0.6 ``height``; extent: the first row whose extent holds the word's middle takes it and grows.
+    """
+    if rule not in ("fixed", "mean", "near", "extent"):
+        raise ValueError(f"no such rule: {rule}")
+
+    def extent(now: dict, y0: float, y1: float) -> int:
+        rows, mid = now.setdefault("rows", []), (y0 + y1) / 2
+        at = next((i for i, r in enumerate(rows) if r[0] <= mid <= r[1]), None)
+        if at is None:
+            rows.append([y0, y1])
+            return len(rows)
+        rows[at] = [min(rows[at][0], y0), max(rows[at][1], y1)]
+        return at + 1
+
+    def step(now: dict, r: tuple) -> list[tuple]:
+        key, line, k, y0, y1 = r
+        if rule == "extent":
+            return [(key, line, k, extent(now, y0, y1))]
+        c = (y0 + y1) / 2
+        over = {"fixed": lambda: c - now["cy"] > 0.5 * max(1, y1 - y0), "mean": lambda: c - now["cy"] > 0.55 * height, "near": lambda: abs(c - now["cy"]) > 0.6 * height}[rule]
+        if not now or over():
+            now |= {"row": now.get("row", 0) + 1, "cy": c, "n": 1}
+        else:
+            now["n"] += 1
+            now["cy"] = {"fixed": now["cy"], "mean": (now["cy"] * (now["n"] - 1) + c) / now["n"], "near": (now["cy"] + c) / 2}[rule]
+        return [(key, line, k, now["row"])]
+
+    at = words.withColumn("at", F.col("y0") if rule == "extent" else (F.col("y0") + F.col("y1")) / 2)
+    return scan_sorted(at.select(page, "line", "k", "y0", "y1", "at", "x0"), page, ["at", "x0", "line", "k"], f"{page} long, line long, k long, row long", lambda now, r: step(now, r[:5]), lambda now: [])
+
+
+def anchored_clusters(points: DataFrame, key: str, x: str, line: str, tol: float) -> DataFrame:
+    """(key, line, x, cluster): points at most ``tol`` right of the first of their cluster, whose x it is."""
+
+    def step(now: dict, r: tuple) -> list[tuple]:
+        if not now or r[1] - now["x"] > tol:
+            now["x"] = r[1]
+            now["n"] = now.get("n", 0) + 1
+        return [(r[0], r[2], now["x"], now["n"])]
+
+    return scan_sorted(points.select(key, F.col(x).cast("double").alias("at"), F.col(line).alias("line")), key, ["at", "line"], f"{key} long, line long, x double, cluster long", step, lambda now: [])
+
+
+def text_margin(words: DataFrame, page: str, tol: float) -> DataFrame:
+    """(page, x): the leftmost start that most lines share."""
+    n = anchored_clusters(words, page, "x0", "line", tol).groupBy(page, "cluster", "x").agg(F.count_distinct("line").alias("n"))
+    return n.groupBy(page).agg(F.max(F.struct("n", (-F.col("cluster")).alias("c"), "x")).getField("x").alias("x"))
+
+
+def left_edge(rows: DataFrame, page: str, tie: str, tol: int = 10) -> DataFrame:
+    """(page, x): the median of the first cluster of two rows and more, else of the last cluster."""
+    c = clusters_1d(rows, [page], "x0", [tie], gap=tol, least=1)
+    first = F.min(F.when(F.col("n") >= 2, F.struct("cluster", "x")))
+    return c.groupBy(page).agg(F.floor(F.coalesce(first, F.max(F.struct("cluster", "x"))).getField("x")).alias("x"))
+
+
+def guide_columns(marks: DataFrame, page: str, tol: int = 10, least: int = 2) -> DataFrame:
+    """(page, x): columns of marks of two rows and more that not every row has; one beside every row is a border."""
+    c = clusters_1d(marks, [page], "x0", ["line"], gap=tol, least=least).select(page, F.floor("x").alias("x"))
+    n = marks.groupBy(page).agg(F.count_distinct("line").alias("all"))
+    drawn = c.join(marks.select(page, "line", "x0"), page).where(F.abs(F.col("x0") - F.col("x")) <= tol).groupBy(page, "x").agg(F.count_distinct("line").alias("drawn"))
+    return drawn.join(n, page).where(F.col("drawn") < F.col("all")).select(page, "x")
+
+
+def column_bands(ranges: DataFrame, page: str, tol: float) -> DataFrame:
+    """(page, cluster, x0, x1): ranges whose starts are within ``tol`` of the first are one column."""
+    a = anchored_clusters(ranges, page, "x0", "x1", tol)  # the end rides as the line
+    return a.groupBy(page, "cluster").agg(F.min("x").cast("long").alias("x0"), F.max("line").alias("x1"))
+
+
 def clusters_1d(points: DataFrame, keys: list[str], x: str, ties: list[str], gap: int = 10, least: int = 2) -> DataFrame:
     """(keys, cluster, x, n): points at most ``gap`` apart, their median and number."""
     line = Window.partitionBy(*keys).orderBy(x, *ties)

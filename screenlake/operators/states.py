@@ -1,10 +1,13 @@
-"""Ordered folds over a recording: stretches, states and spans. The folds whose next step depends on the one before run per recording, in Arrow batches of sorted rows."""
+"""Ordered folds over a recording: stretches, states and spans. Sorted rows stream through with a state per recording; no recording is gathered."""
 
 from __future__ import annotations
 
-import pandas as pd
+import difflib
+
 from pyspark.sql import DataFrame
 
+from screenlake.functions.folds import scan_sorted
+
 
 def stretches(samples: DataFrame, line: float = 4.0) -> DataFrame:
     """(video, start, end, n, call, best_seq): runs that end when the call changes, or a screen differs from the run's first sample by more than the bound.
@@ -12,61 +15,83 @@ def stretches(samples: DataFrame, line: float = 4.0) -> DataFrame:
     ``samples`` has video, t, seq, call, level, frac and, if the bound is not ``line`` for all, bound.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, now = [], None
-        for r in pdf.sort_values(["t", "seq"]).itertuples(index=False):
-            if now is None or r.call != now["call"] or (r.call == "screen" and abs(r.level - now["anchor"]) > r.bound):
-                now = {"video": r.video, "start": r.t, "call": r.call, "anchor": r.level, "n": 0, "frac": -1.0}
-                out.append(now)
-            now["end"], now["n"] = r.t, now["n"] + 1
-            if r.frac > now["frac"]:  # the earliest of equals stays
-                now["frac"], now["best_seq"] = r.frac, r.seq
-        return pd.DataFrame(out, columns=["video", "start", "end", "n", "call", "best_seq"])
+    def told(now: dict) -> list[tuple]:
+        return [(now["video"], now["start"], now["end"], now["n"], now["call"], now["best_seq"])]
+
+    def step(now: dict, row: tuple) -> list[tuple]:
+        video, t, seq, call, level, frac, bound = row
+        out = []
+        if now and (call != now["call"] or (call == "screen" and abs(level - now["anchor"]) > bound)):
+            out = told(now)
+            now.clear()
+        if not now:
+            now |= {"video": video, "start": t, "call": call, "anchor": level, "n": 0, "frac": -1.0, "best_seq": seq}
+        now["end"], now["n"] = t, now["n"] + 1
+        if frac > now["frac"]:  # the earliest of equals stays
+            now["frac"], now["best_seq"] = frac, seq
+        return out
 
     s = samples if "bound" in samples.columns else samples.selectExpr("*", f"{line}D AS bound")
-    return s.select("video", "t", "seq", "call", "level", "frac", "bound").groupBy("video").applyInPandas(fold, "video long, start long, end long, n long, call string, best_seq long")
+    return scan_sorted(s.select("video", "t", "seq", "call", "level", "frac", "bound"), "video", ["t", "seq"], "video long, start long, end long, n long, call string, best_seq long", step, told)
+
+
+def _moments(step):
+    """A step on the lines of each moment from one on single lines (video, ts, seq, said)."""
+
+    def row_step(state: dict, row: tuple) -> list[tuple]:
+        out = []
+        if state.get("at") != row[1]:
+            out = step(state, state["at"], state["said"]) if "at" in state else []
+            state |= {"video": row[0], "at": row[1], "said": []}
+        state["said"].append(row[3])
+        return out
+
+    return row_step
 
 
 def window_states(rows: DataFrame, least: float = 0.9) -> DataFrame:
     """(video, first, last, n, lines): states of a window in order of time. Equal content extends a state, a scrolled view is stitched on, likeness of ``least`` keeps the fuller reading, else a new state begins."""
-    import difflib
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for ts, g in pdf.sort_values(["ts", "seq"]).groupby("ts", sort=True):
-            lines = g["said"].tolist()
-            now = out[-1] if out else None
-            if now is not None:
-                most = min(len(now["lines"]), len(lines))
-                n = next((k for k in range(most, 2, -1) if now["lines"][-k:] == lines[:k]), 0)
-                if now["lines"] == lines or n:
-                    now["lines"] = now["lines"] + lines[n:] if n else lines
-                elif difflib.SequenceMatcher(None, " ".join(now["lines"]), " ".join(lines)).quick_ratio() >= least:
-                    now["lines"] = max(now["lines"], lines, key=lambda x: sum(map(len, x)))
-                else:
-                    now = None
-            if now is None:
-                now = {"video": g["video"].iloc[0], "first": ts, "n": 0, "lines": lines}
-                out.append(now)
-            now["last"], now["n"] = ts, now["n"] + 1
-        return pd.DataFrame([{**s, "lines": len(s["lines"])} for s in out], columns=["video", "first", "last", "n", "lines"])
-
-    return rows.select("video", "ts", "seq", "said").groupBy("video").applyInPandas(fold, "video long, first long, last long, n long, lines long")
+
+    def told(now: dict) -> list[tuple]:
+        return [(now["video"], now["first"], now["last"], now["n"], len(now["lines"]))]
+
+    def step(now: dict, ts: int, lines: list[str]) -> list[tuple]:
+        held, out = now.get("lines"), []
+        if held is not None:
+            n = next((k for k in range(min(len(held), len(lines)), 2, -1) if held[-k:] == lines[:k]), 0)
+            if held == lines or n:
+                lines = held + lines[n:] if n else lines
+            elif difflib.SequenceMatcher(None, " ".join(held), " ".join(lines)).quick_ratio() >= least:
+                lines = max(held, lines, key=lambda x: sum(map(len, x)))
+            else:
+                out, held = told(now), None
+        if held is None:
+            now |= {"first": ts, "n": 0}
+        now |= {"lines": lines, "last": ts, "n": now["n"] + 1}
+        return out
+
+    def end(now: dict) -> list[tuple]:
+        return step(now, now["at"], now["said"]) + told(now)
+
+    return scan_sorted(rows.select("video", "ts", "seq", "said"), "video", ["ts", "seq"], "video long, first long, last long, n long, lines long", _moments(step), end)
 
 
 def built_states(rows: DataFrame, share: float = 0.3) -> DataFrame:
     """(video, state, first, last, words): moments join the newest state that shares enough words; thin readings stay pieces of it."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for ts, g in pdf.sort_values(["ts", "seq"]).groupby("ts", sort=True):
-            words = {w for t in g["said"] for w in t.lower().split()}
-            hit = next((s for s in reversed(out) if words and len(words & s["words"]) >= share * min(len(words), len(s["words"]))), None)
-            if hit is None:
-                hit = {"video": g["video"].iloc[0], "state": len(out), "first": ts, "words": set()}
-                out.append(hit)
-            hit["words"] |= words
-            hit["last"] = ts
-        return pd.DataFrame([{**s, "words": len(s["words"])} for s in out], columns=["video", "state", "first", "last", "words"])
-
-    return rows.select("video", "ts", "seq", "said").groupBy("video").applyInPandas(fold, "video long, state long, first long, last long, words long")
+    def step(now: dict, ts: int, lines: list[str]) -> list[tuple]:
+        states = now.setdefault("states", [])
+        words = {w for t in lines for w in t.lower().split()}
+        hit = next((s for s in reversed(states) if words and len(words & s["words"]) >= share * min(len(words), len(s["words"]))), None)
+        if hit is None:
+            hit = {"state": len(states), "first": ts, "words": set()}
+            states.append(hit)
+        hit["words"] |= words
+        hit["last"] = ts
+        return []
+
+    def end(now: dict) -> list[tuple]:
+        step(now, now["at"], now["said"])
+        return [(now["video"], s["state"], s["first"], s["last"], len(s["words"])) for s in now["states"]]
+
+    return scan_sorted(rows.select("video", "ts", "seq", "said"), "video", ["ts", "seq"], "video long, state long, first long, last long, words long", _moments(step), end)

@@ -15,7 +15,14 @@ def w01(spark, d):
     return layout.shots(views.thumbs(spark, d), "burst", "frame", cut=18.0)
 
 
-@query("W02_stretches")
+#: each sample with the number of its stretch, whose first level is its anchor; {0} is the bound
+STRETCHES = """q AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY t, seq) AS turn FROM samples),
+k AS (WITH RECURSIVE r(video, turn, call, anchor, run) AS (SELECT video, turn, call, level, 1 FROM q WHERE turn = 1 UNION ALL
+ SELECT q.video, q.turn, q.call, CASE WHEN q.call <> r.call OR q.call = 'screen' AND abs(q.level - r.anchor) > {0} THEN q.level ELSE r.anchor END, r.run + CASE WHEN q.call <> r.call OR q.call = 'screen' AND abs(q.level - r.anchor) > {0} THEN 1 ELSE 0 END FROM r JOIN q ON q.video = r.video AND q.turn = r.turn + 1) SELECT video, turn, run FROM r)
+SELECT k.video, min(q.t) AS start, max(q.t) AS "end", count(*) AS n, any_value(q.call) AS call, arg_max(q.seq, [q.frac, -q.t, -q.seq]) AS best_seq FROM k JOIN q ON q.video = k.video AND q.turn = k.turn GROUP BY k.video, k.run"""
+
+
+@query("W02_stretches", "samples", STRETCHES.format("30.0"))
 def w02(spark, d):
     return states.stretches(views.samples(spark, d), 30.0)
 
@@ -40,11 +47,48 @@ def w05(spark, d):
     return r.groupBy("doc", "row").agg(F.count(F.lit(1)).alias("n"), text.alias("text"))
 
 
+@query("W05b_rows_by_rule")
+def w05b(spark, d):
+    w, out = views.words(spark, d), None
+    for rule in ("fixed", "mean", "near", "extent"):
+        one = layout.rows_by_rule(w, "doc", rule, height=14.0).groupBy("doc", "row").agg(F.count(F.lit(1)).alias("n")).withColumn("rule", F.lit(rule))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("W06_clusters", "words", "p AS (SELECT doc, x0, line, k, lag(x0) OVER (PARTITION BY doc ORDER BY x0, line, k) AS p FROM words), c AS (SELECT *, sum(CASE WHEN p IS NULL OR x0 - p > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY x0, line, k) AS cluster FROM p) SELECT doc, cluster, median(x0) AS x, count(*) AS n FROM c GROUP BY doc, cluster HAVING count(*) >= 2")
 def w06(spark, d):
     return layout.clusters_1d(views.words(spark, d), ["doc"], "x0", ["line", "k"])
 
 
+LINES0 = "f AS (SELECT doc, line, min(x0) AS x0 FROM words WHERE k % 3 = 1 GROUP BY ALL), p AS (SELECT *, lag(x0) OVER (PARTITION BY doc ORDER BY x0, line) AS p FROM f), c AS (SELECT *, sum(CASE WHEN p IS NULL OR x0 - p > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY x0, line) AS cluster FROM p), m AS (SELECT doc, cluster, median(x0) AS x, count(*) AS n FROM c GROUP BY doc, cluster)"
+
+
+def starts(spark, d):
+    return views.words(spark, d).where("k % 3 = 1").groupBy("doc", "line").agg(F.min("x0").alias("x0"))
+
+
+@query("W06b_left_edge", "words", f"{LINES0} SELECT doc, CAST(floor(coalesce(arg_min(x, cluster) FILTER (n >= 2), arg_max(x, cluster))) AS BIGINT) AS x FROM m GROUP BY doc")
+def w06b(spark, d):
+    return layout.left_edge(starts(spark, d), "doc", "line")
+
+
+@query("W06c_guide_columns", "words", f"""{LINES0}, g AS (SELECT DISTINCT doc, CAST(floor(x) AS BIGINT) AS x FROM m WHERE n >= 2), n AS (SELECT doc, count(DISTINCT line) AS n FROM f GROUP BY doc)
+SELECT g.doc, g.x FROM g JOIN f ON f.doc = g.doc AND abs(f.x0 - g.x) <= 10 JOIN n ON n.doc = g.doc GROUP BY g.doc, g.x, n.n HAVING count(DISTINCT f.line) < n.n""")
+def w06c(spark, d):
+    return layout.guide_columns(starts(spark, d), "doc")
+
+
+@query("W06d_text_margin")
+def w06d(spark, d):
+    return layout.text_margin(views.words(spark, d), "doc", 12.0)
+
+
+@query("W06e_column_bands")
+def w06e(spark, d):
+    return layout.column_bands(views.words(spark, d).groupBy("doc", "k").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")), "doc", 12.0)
+
+
 @query("W09_split_wide", "words", "w AS (SELECT * FROM words WHERE k % 4 <> 2), g AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY doc, line ORDER BY k) AS gap, sum(x1 - x0) OVER (PARTITION BY doc, line) / sum(length(text)) OVER (PARTITION BY doc, line) AS ch FROM w), p AS (SELECT *, sum(CASE WHEN gap > 4.0 * ch THEN 1 ELSE 0 END) OVER (PARTITION BY doc, line ORDER BY k) AS piece FROM g) SELECT doc, line, piece, string_agg(text, ' ' ORDER BY k) AS text, min(x0) AS x0, max(x1) AS x1 FROM p GROUP BY doc, line, piece")
 def w09(spark, d):
     return layout.split_wide(views.words(spark, d).where("k % 4 <> 2"), ["doc", "line"])

@@ -49,19 +49,27 @@ def batch_fold(df: DataFrame, key: str, order: list[str], schema: str, step: Ste
     return df.groupBy(key).applyInPandas(fold, schema)
 
 
-def run_to_table(stream: DataFrame, name: str, spark: SparkSession) -> DataFrame:
-    """Everything that is there now, through a file sink in the shared folder; then the sink as a table."""
+def run_to_table(stream: DataFrame, name: str, spark: SparkSession, held: str | None = None) -> DataFrame | tuple[DataFrame, DataFrame]:
+    """Everything that is there now, through a file sink in the shared folder; then the sink as a table.
+
+    With ``held``, a schema, the states that are still open are told as well: they are read from the state store, as (key.*, state) with state in that schema,
+    in a second table, for what has no successor that could close it.
+    """
     out = new_path(spark, f"stream-{name}")
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out)
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    told = spark.read.schema(stream.schema).parquet(out)
+    if held is None:
+        return told
+    state = spark.read.format("statestore").load(f"{out}-state").select("key.*", F.from_json("value.groupState.state", held).alias("state"))
+    return told, state
 
 
 STRETCH = "video long, start long, end long, n long, call string, best_seq long"
 
 
 def stretch_step(line: float = 4.0) -> Step:
-    """A stretch is told when it closes."""
+    """A stretch is told when it closes; the open one is the state."""
 
     def step(now: dict, r: dict) -> list[dict]:
         out = []
@@ -98,15 +106,22 @@ def unchanged_step(pixel: int) -> Step:
 
 
 def carried_words_step(slack: int) -> Step:
-    """A window that reads nothing takes the words last read on a rectangle within ``slack``; the newest match wins."""
+    """A window that reads nothing takes the words last read on a rectangle within ``slack``; the newest match wins.
+
+    The state has the last words of each rectangle, by cells of its corner, so that a row looks at its neighbours only.
+    """
+    side = slack + 1
 
     def step(state: dict, r: dict) -> list[dict]:
         box = [r["x0"], r["y0"], r["x1"], r["y1"]]
-        seen = state.setdefault("seen", [])
+        cx, cy = r["x0"] // side, r["y0"] // side
         if r["words"] is not None and r["words"] == r["words"]:
-            seen[:] = [s for s in seen if s[0] != box] + [[box, r["words"], r["t"]]]
+            state["turn"] = state.get("turn", 0) + 1
+            cell = state.setdefault(f"{cx} {cy}", [])
+            cell[:] = [s for s in cell if s[0] != box] + [[box, r["words"], r["t"], state["turn"]]]
             return []
-        hit = next((s for s in reversed(seen) if all(abs(a - b) <= slack for a, b in zip(s[0], box, strict=True)) and s[2] < r["t"]), None)
+        near = (s for x in (cx - 1, cx, cx + 1) for y in (cy - 1, cy, cy + 1) for s in state.get(f"{x} {y}", ()))
+        hit = max((s for s in near if all(abs(a - b) <= slack for a, b in zip(s[0], box, strict=True)) and s[2] < r["t"]), key=lambda s: s[3], default=None)
         return [{"video": r["video"], "t": r["t"], "id": r["id"], "words": hit[1], "since": hit[2]}] if hit else []
 
     return step
