@@ -398,6 +398,29 @@ def title_evidence(tokens: DataFrame, known: DataFrame, near: int = 40) -> DataF
     return twice.union(sure).distinct()
 
 
+def known_titles(tokens: DataFrame, titles: DataFrame, least: int = 6) -> DataFrame:
+    """(video, t, key, spelt): a token of ``least`` letters that differs from one known title of its length in one letter takes its spelling; others stay.
+
+    Two that differ in one letter share a half.
+    """
+    half = lambda c: F.explode(F.array(F.concat(F.lit("<"), F.left(c, (F.length(c) / 2).cast("int"))), F.concat(F.lit(">"), F.substr(F.col(c), (F.length(c) / 2).cast("int") + 1))))
+    asked = tokens.select("key").where(F.length("key") >= least).distinct().withColumn("half", half("key"))
+    known = titles.select(F.col("key").alias("known")).where(F.length("known") >= least).distinct().withColumn("half", half("known"))
+    apart = F.size(F.filter(F.zip_with(F.split("key", ""), F.split("known", ""), lambda a, b: a != b), lambda x: x))
+    near = asked.join(known, "half").where((F.length("key") == F.length("known")) & (apart == 1)).select("key", "known").distinct().groupBy("key").agg(F.min("known").alias("known"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    exact = titles.select("key").distinct()
+    return tokens.join(near.join(exact, "key", "left_anti"), "key", "left").select("video", "t", "key", F.coalesce("known", "key").alias("spelt"))
+
+
+def holding_titles(kept: DataFrame, titles: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, title): the shortest known name that contains all words kept of a strip; ties by name. Names meet strips by words."""
+    words = kept.select(*keys, F.lower("key").alias("word")).distinct()
+    n = words.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    known = titles.select(F.col("key").alias("title"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("key"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("word")).distinct()
+    all_of = words.join(known, "word").groupBy(*keys, "title").agg(F.count(F.lit(1)).alias("hit")).join(n, keys).where("hit = n")
+    return all_of.groupBy(*keys).agg(F.min(F.struct(F.length("title").alias("l"), "title")).getField("title").alias("title"))
+
+
 def skipped_readers(bars: DataFrame, kinds: DataFrame, key: str, least: int = 3) -> DataFrame:
     """(key, skip): reader kinds that no program seen needs; an absence counts only after ``least`` bars."""
     all_kinds = kinds.agg(F.array_sort(F.collect_set("kind")).alias("all"))
@@ -434,3 +457,10 @@ def scrolled(before: Column, after: Column, least: int = 3) -> Column:
     most = F.least(F.size(before), F.size(after))
     n = F.get(F.filter(F.when(most >= least, F.sequence(most, F.lit(least), F.lit(-1))), lambda k: F.slice(before, F.size(before) - k + 1, k) == F.slice(after, F.lit(1), k)), 0)
     return F.when(before == after, before).when(n.isNotNull(), F.concat(before, F.slice(after, n + 1, F.greatest(F.size(after) - n, F.lit(0)))))
+
+
+def scrolled_panes(pairs: DataFrame, moment: str, least: int = 3) -> DataFrame:
+    """(moment, pane, view): each pane's rows with the scrolled ones appended, for moments at which every pane is unchanged or overlaps by ``least``; no row else."""
+    own = pairs.withColumn("view", scrolled(F.col("before"), F.col("after"), least))
+    all_agree = F.bool_and(F.col("view").isNotNull()).over(Window.partitionBy(moment))
+    return own.withColumn("agree", all_agree).where("agree").select(moment, "pane", "view")

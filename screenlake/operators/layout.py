@@ -145,6 +145,14 @@ def split_widest(words: DataFrame, keys: list[str], least: float) -> DataFrame:
     return j.groupBy(*keys).agg(told("left").alias("label"), told("right").alias("value"))
 
 
+def split_panel(words: DataFrame, panel: str, line: str, times: float = 1.2) -> DataFrame:
+    """(panel, line, label, value): a panel cut at each line's widest gap, where every line of it has one of ``times`` its height."""
+    w = words.withColumn("gap", F.col("x0") - F.lag("x1").over(Window.partitionBy(panel, line).orderBy("k")))
+    wide = w.groupBy(panel, line).agg(F.coalesce(F.max("gap") >= times * F.max(F.col("y1") - F.col("y0")), F.lit(False)).alias("wide"))
+    every = wide.groupBy(panel).agg(F.bool_and("wide").alias("every")).where("every").select(panel)
+    return split_widest(words.join(every, panel, "left_semi"), [panel, line], 0)
+
+
 def property_block(fields: DataFrame, page: str, first: int = 12, least: int = 2, wide: int = 10) -> DataFrame:
     """(page, fields, last, block): label and value lines among a page's first rows, keys beginning with a letter and aligned."""
     f = fields.where((F.col("line") < first) & F.col("label").rlike("^[A-Za-z]"))

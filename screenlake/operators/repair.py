@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from screenlake.functions import strings as fs
 from screenlake.functions.folds import fold_sorted
 from screenlake.functions.storage import stored
+from screenlake.operators.joins import overlap_join
 from screenlake.operators.layout import ordered_text
 
 
@@ -30,20 +31,37 @@ def same_lists(rows: DataFrame, group: str, least: float = 0.5) -> DataFrame:
     return half.unionByName(ends)
 
 
-def whole_names(cut: DataFrame, pool: DataFrame, group: str) -> DataFrame:
-    """(key, name): a cut name's only whole one in its pool with that head and tail; two candidates leave it as it is."""
-    whole = pool.where(fs.cut_parts(F.col("reading")).isNull()).select(group, F.col("reading").alias("whole"), fs.flat(F.col("reading")).alias("fold")).distinct()
-    c = cut.where(fs.cut_parts(F.col("reading")).isNotNull())
-    fits = c.join(whole, group).where(fs.completes(F.col("reading"), F.col("whole"))).groupBy("key").agg(F.count_distinct("fold").alias("n"), F.min("whole").alias("whole")).where("n = 1")
-    return c.join(fits, "key", "left").select("key", F.coalesce("whole", "reading").alias("name"))
+def whole_names(cut: DataFrame, pool: DataFrame, group: str, overlap: int = 4) -> DataFrame:
+    """(key, name): a cut name's only whole one in its pool with that head and tail; two candidates leave it as it is.
 
-
-def retitled(lists: DataFrame, paths: DataFrame, quorum: int = 2) -> DataFrame:
-    """(list, title): the parent that most rows have in the paths, from a quorum on; ties by name."""
+    Where there is none, the only longer head of another cut name that begins with its head and ends in ``overlap`` letters and more of its tail's beginning completes it.
+    """
+    parts = fs.cut_parts(F.col("reading"))
+    whole = pool.where(parts.isNull()).select(group, F.col("reading").alias("whole"), fs.flat(F.col("reading")).alias("fold")).distinct()
+    c = cut.where(parts.isNotNull())
+    fits = c.join(whole, group).where(fs.completes(F.col("reading"), F.col("whole"))).groupBy("key").agg(F.count_distinct("fold").alias("n"), F.min("whole").alias("whole"))
+    ends = c.select("key", group, parts.getField("head").alias("head"), parts.getField("tail").alias("tail"))
+    heads = pool.where(parts.isNotNull()).select(group, parts.getField("head").alias("longer")).distinct()
+    met = ends.join(heads, group).where(F.startswith("longer", "head") & (F.length("longer") > F.length("head"))).withColumn("spliced", overlap_join(F.col("longer"), F.col("tail"), least=overlap))
+    spliced = met.where("spliced is not null").groupBy("key").agg(F.count_distinct(fs.flat(F.col("spliced"))).alias("m"), F.min("spliced").alias("spliced"))
+    told = c.join(fits, "key", "left").join(spliced, "key", "left")
+    return told.select("key", F.when(F.col("n") == 1, F.col("whole")).when(F.col("n").isNull() & (F.col("m") == 1), F.col("spliced")).otherwise(F.col("reading")).alias("name"))
+
+
+def retitled(lists: DataFrame, paths: DataFrame, quorum: int = 2, small: int = 2) -> DataFrame:
+    """(list, title): the parent that most rows have in the paths, ties by name; a quorum of rows must have it, one for a list without title or of ``small`` rows at most.
+
+    ``title`` and ``weak`` are optional columns of the lists: only a missing or weak title is replaced.
+    """
     edges = paths.select("path_id", F.posexplode("path").alias("pos", "crumb")).withColumn("parent", F.lag("crumb").over(Window.partitionBy("path_id").orderBy("pos"))).where("parent is not null")
     first = edges.groupBy(fs.flat(F.col("crumb")).alias("fold")).agg(F.min(F.struct("path_id", "pos", "parent")).getField("parent").alias("parent"))
+    have = lambda c, kind: F.max(c) if c in lists.columns else F.max(F.lit(None).cast(kind))
+    about = lists.groupBy("list").agg(F.count(F.lit(1)).alias("rows"), have("title", "string").alias("was"), have("weak", "boolean").alias("weak"))
     votes = lists.select("list", fs.flat(F.col("name")).alias("fold")).join(first, "fold").groupBy("list", "parent").agg(F.count(F.lit(1)).alias("n"))
-    return votes.groupBy("list").agg(F.max(F.struct("n", "parent")).alias("m")).where(F.col("m.n") >= quorum).select("list", F.col("m.parent").alias("title"))
+    best = votes.groupBy("list").agg(F.max(F.struct("n", "parent")).alias("m")).join(about, "list")
+    untitled = F.coalesce(F.trim("was"), F.lit("")) == ""
+    need = F.when(untitled | (F.col("rows") <= small), 1).otherwise(quorum)
+    return best.where((untitled | F.coalesce("weak", F.lit(False))) & (F.col("m.n") >= need)).select("list", F.col("m.parent").alias("title"))
 
 
 def mended_lines(lines: DataFrame, least: int = 5, share: float = 0.55, most: float = 1.5, rounds: int = 8) -> DataFrame:
@@ -112,11 +130,20 @@ def mended_tree(mine: DataFrame, whole: DataFrame, key: str, least: int = 3, sha
     return j.join(n, key).select(key, "name", F.when(F.col("ok"), F.coalesce("w_depth", "depth")).otherwise(F.col("depth")).alias("depth"), "mark")
 
 
-def filled_cells(mine: DataFrame, full: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Blank cells of ``mine`` filled from the settled list's row of that name."""
+def filled_cells(mine: DataFrame, full: DataFrame, key: str, cols: list[str], dates: tuple[str, ...] = (), kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Cells of ``mine`` mended from the settled list's row of that name: blank ones, dates that do not parse where the settled one does, and kinds read cut where it is whole."""
     f = full.select(key, "name", *(F.col(c).alias(f"f_{c}") for c in cols)).dropDuplicates([key, "name"])
     j = mine.join(f, [key, "name"], "left")
-    return j.select(key, "name", *(F.when(F.col(c) == "", F.coalesce(f"f_{c}", F.lit(""))).otherwise(F.col(c)).alias(c) for c in cols))
+
+    def mended(c: str) -> Column:
+        worse = F.col(c) == ""
+        if c in dates:
+            worse |= fs.tidy_date(F.col(c)).isNull() & fs.tidy_date(F.col(f"f_{c}")).isNotNull()
+        if c in kinds:
+            worse |= fs.cut_parts(F.col(c)).isNotNull() & fs.cut_parts(F.col(f"f_{c}")).isNull()
+        return F.when(worse, F.coalesce(f"f_{c}", F.col(c))).otherwise(F.col(c)).alias(c)
+
+    return j.select(key, "name", *map(mended, cols))
 
 
 def filled_rows(mine: DataFrame, full: DataFrame, key: str) -> DataFrame:
@@ -172,6 +199,16 @@ def canonical(names: DataFrame, name: str = "reading") -> DataFrame:
     return names.where(fs.cut_parts(F.col(name)).isNull()).groupBy(fs.flat(F.col(name)).alias("fold")).agg(F.max(s).getField("name").alias("canonical"), F.count(F.lit(1)).alias("n"))
 
 
+def mended_numbers(names: DataFrame, group: str, least: int = 2) -> DataFrame:
+    """(group, key, name): where a group has a family of names that begin with two digits, one that reads a letter o or Q for a zero gets the digit and the space back."""
+    numbered = F.col("name").rlike(r"^\d{2}[ _.-]")
+    n = names.groupBy(group).agg(F.count_if(numbered).alias("n"))
+    lead, rest = F.substring("name", 1, 2), F.substr(F.col("name"), F.lit(3))
+    mistaken = lead.rlike(r"^(\d[oOQ]|[oOQ]\d)$") & (F.length(rest) > 0)
+    mended = F.concat(F.translate(lead, "oOQ", "000"), F.lit(" "), F.ltrim(rest))
+    return names.join(n, group).select(group, "key", F.when((F.col("n") >= least) & mistaken, mended).otherwise(F.col("name")).alias("name"))
+
+
 def folded_nameless(rows: DataFrame, key: str) -> DataFrame:
     """Rows without those that have no name and equal a named row in their other cells; equal blanks become one."""
     named = rows.where("name <> ''").select(key, "rest").distinct()
@@ -202,9 +239,21 @@ def list_not_tree(trees: DataFrame, lists: DataFrame, least: int = 4, share: flo
     return t.join(hits, "tree", "left").select("tree", F.when(F.coalesce("h", F.lit(0)) >= share * F.size("t"), "list").otherwise("tree").alias("kind"))
 
 
-def fragment_owner(fragments: DataFrame, windows: DataFrame, least: int = 3) -> DataFrame:
-    """(frag, owner): the window that shows most of a fragment's lines, several where the runner-up has enough too."""
-    hit = fragments.select("frag", "fold").distinct().join(windows.select("win", "fold").distinct(), "fold").groupBy("frag", "win").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+def fragment_owner(fragments: DataFrame, windows: DataFrame, least: int = 3, size: int = 80, held: int = 10) -> DataFrame:
+    """(frag, owner): the window that shows most of a fragment's lines, several where the runner-up has enough too.
+
+    Lines are folds cut to ``size``; equal ones match, and from ``held`` letters on one that holds the other. A holder is found by the other's first letters
+    among its own runs of that length; lines that repeat are one.
+    """
+    f = fragments.select("frag", F.left("fold", F.lit(size)).alias("a")).where("a <> ''").distinct()
+    w = windows.select("win", F.left("fold", F.lit(size)).alias("b")).where("b <> ''").distinct()
+    runs = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - held + 1), lambda i: F.substr(F.col(c), i, F.lit(held)))))
+    few = lambda df, c: df.select(c).where(F.length(c) >= held).distinct()
+    holds = lambda small, x, big, y: few(small, x).withColumn("run", F.left(x, F.lit(held))).join(few(big, y).withColumn("run", runs(y)), "run").where(F.contains(y, x) & (F.col(x) != F.col(y))).select("a", "b")
+    pairs = holds(f, "a", w, "b").union(holds(w, "b", f, "a").select("a", "b"))
+    near = f.join(pairs, "a").join(w, "b").select("frag", "win", "a")
+    same = f.join(w, F.col("a") == F.col("b")).select("frag", "win", "a")
+    hit = near.union(same).distinct().groupBy("frag", "win").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     line = Window.partitionBy("frag").orderBy(F.desc("n"), "win")
     top = hit.withColumns({"turn": F.row_number().over(line), "next": F.lead("n").over(line)}).where("turn = 1")
     return top.select("frag", F.when(F.col("next") >= least, "several").otherwise(F.col("win").cast("string")).alias("owner"))

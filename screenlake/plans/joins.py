@@ -271,6 +271,27 @@ def j25(spark, d):
     return joins.title_evidence(t, t.where("key in ('view1', 'click2')"))
 
 
+KNOWN = "k AS (SELECT DISTINCT app || 's' AS key FROM samples)"
+
+
+@query("J25b_known_titles", "samples", f"""{KNOWN}, t AS (SELECT video, t, CASE WHEN seq % 4 = 0 THEN replace(app, 'i', 'l') ELSE app END || CASE WHEN seq % 3 = 0 THEN 's' ELSE '5' END AS key FROM samples),
+n AS (SELECT a.key, min(k.key) AS known FROM (SELECT DISTINCT key FROM t WHERE length(key) >= 6) a JOIN k ON length(k.key) = length(a.key) AND len(list_filter(range(1, length(a.key) + 1), lambda i: substr(a.key, i, 1) <> substr(k.key, i, 1))) = 1 GROUP BY a.key HAVING count(*) = 1)
+SELECT video, t.t, t.key, coalesce(n.known, t.key) AS spelt FROM t LEFT JOIN n ON t.key = n.key AND t.key NOT IN (SELECT key FROM k)""")
+def j25b(spark, d):
+    s = views.samples(spark, d)
+    key = F.concat(F.when(F.col("seq") % 4 == 0, F.replace("app", F.lit("i"), F.lit("l"))).otherwise(F.col("app")), F.when(F.col("seq") % 3 == 0, "s").otherwise("5"))
+    return joins.known_titles(s.select("video", "t", key.alias("key")), s.select(F.concat("app", F.lit("s")).alias("key")))
+
+
+@query("J25c_holding_titles", "names", """w AS (SELECT key, unnest([string_split(name, ' ')[1], string_split(name, ' ')[2]]) AS word FROM names), t AS (SELECT DISTINCT name AS title FROM names), k AS (SELECT DISTINCT title, unnest(string_split(title, ' ')) AS word FROM t),
+h AS (SELECT w.key, title, count(DISTINCT w.word) AS hit FROM (SELECT DISTINCT * FROM w) w JOIN k ON w.word = k.word GROUP BY ALL), n AS (SELECT key, count(DISTINCT word) AS n FROM w GROUP BY key)
+SELECT h.key, min(struct_pack(l := length(title), t := title)).t AS title FROM h JOIN n ON h.key = n.key AND hit = n.n GROUP BY h.key""")
+def j25c(spark, d):
+    n = views.names(spark, d)
+    kept = n.select(F.col("key").alias("strip"), F.explode(F.slice(F.split("name", " "), 1, 2)).alias("key"))
+    return joins.holding_titles(kept, n.select(F.col("name").alias("key")).distinct(), ["strip"]).withColumnRenamed("strip", "key")
+
+
 @query("J26_skip_readers", "samples", """s AS (SELECT video, list(DISTINCT CASE app WHEN 'view' THEN 'tree' WHEN 'click' THEN 'list' WHEN 'signup' THEN 'chat' END) AS have, count(DISTINCT seq) AS n FROM samples GROUP BY video)
 SELECT video, CASE WHEN n >= 3 THEN list_filter(['chat', 'list', 'tree'], lambda k: NOT list_contains(have, k)) ELSE [] END AS skip FROM s""")
 def j26(spark, d):
@@ -306,3 +327,11 @@ def j30(spark, d):
     v = views.rows(spark, d).groupBy("list").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.get("cells", 2).alias("v")))), lambda x: x["v"]).alias("a"))
     after = F.concat(F.slice("a", F.lit(2), F.greatest(F.size("a") - 1, F.lit(0))), F.array(F.lit("x"), F.lit("y")))
     return v.select("list", joins.scrolled(F.col("a"), after).alias("view"))
+
+
+@query("J30b_scrolled_panes", "frows", """v AS (SELECT list, list(cells[3] ORDER BY r) AS a FROM frows GROUP BY list), p AS (SELECT list // 3 AS moment, list AS pane, CASE WHEN len(a) - 1 >= 3 THEN list_concat(a, ['x']) END AS view FROM v)
+SELECT moment, pane, view FROM p WHERE moment NOT IN (SELECT moment FROM p WHERE view IS NULL)""")
+def j30b(spark, d):
+    v = views.rows(spark, d).groupBy("list").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.get("cells", 2).alias("v")))), lambda x: x["v"]).alias("before"))
+    after = F.concat(F.slice("before", F.lit(2), F.greatest(F.size("before") - 1, F.lit(0))), F.array(F.lit("x")))
+    return joins.scrolled_panes(v.select(F.floor(F.col("list") / 3).alias("moment"), F.col("list").alias("pane"), "before", after.alias("after")), "moment")

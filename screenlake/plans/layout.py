@@ -102,6 +102,12 @@ def w10(spark, d):
     return layout.split_widest(views.words(spark, d).where("k % 4 <> 2"), ["doc", "line"], 42)
 
 
+@query("W10b_split_panel", "words", """w AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY doc, line ORDER BY k) AS gap FROM words WHERE k % 4 <> 2), l AS (SELECT doc, line, arg_max(k, [gap, k]) FILTER (gap IS NOT NULL) AS cut, coalesce(max(gap) >= 1.2 * max(y1 - y0), false) AS wide FROM w GROUP BY ALL), e AS (SELECT doc FROM l GROUP BY doc HAVING bool_and(wide))
+SELECT w.doc, w.line, string_agg(text, ' ' ORDER BY k) FILTER (k < cut) AS label, string_agg(text, ' ' ORDER BY k) FILTER (k >= cut) AS value FROM w JOIN l ON w.doc = l.doc AND w.line = l.line WHERE w.doc IN (SELECT doc FROM e) GROUP BY w.doc, w.line""")
+def w10b(spark, d):
+    return layout.split_panel(views.words(spark, d).where("k % 4 <> 2"), "doc", "line")
+
+
 @query("W11_property_block", "words", f"{WIDEST} SELECT doc, count(*) AS fields, max(line) AS last, count(*) >= 2 AND max(x) - min(x) <= 10 AS block FROM s WHERE line < 12 AND regexp_matches(label, '^[A-Za-z]') GROUP BY doc")
 def w11(spark, d):
     w = views.words(spark, d).where("k % 4 <> 2")

@@ -39,10 +39,12 @@ def paths(spark, d):
     return views.pages(spark, d).select("page_id", F.filter(F.split(bare, "/"), lambda c: c != "").alias("path"))
 
 
-@query("R03_retitle", "", f"{PATHS}, e AS (SELECT page_id, i, {flat('path[i + 1]')} AS fold, path[i] AS parent FROM (SELECT *, unnest(range(1, len(path))) AS i FROM p)), f AS (SELECT fold, arg_min(parent, page_id * 1000 + i) AS parent FROM e GROUP BY fold), l AS (SELECT page_id % 15 AS list, {flat('path[i]')} AS fold FROM (SELECT *, unnest(range(1, len(path) + 1)) AS i FROM p)), v AS (SELECT list, parent, count(*) AS n FROM l JOIN f ON l.fold = f.fold GROUP BY ALL), m AS (SELECT list, max(struct_pack(n := n, p := parent)) AS m FROM v GROUP BY list) SELECT list, m.p AS title FROM m WHERE m.n >= 2")
+@query("R03_retitle", "", f"{PATHS}, e AS (SELECT page_id, i, {flat('path[i + 1]')} AS fold, path[i] AS parent FROM (SELECT *, unnest(range(1, len(path))) AS i FROM p)), f AS (SELECT fold, arg_min(parent, page_id * 1000 + i) AS parent FROM e GROUP BY fold), l AS (SELECT page_id % 15 AS list, {flat('path[i]')} AS fold FROM (SELECT *, unnest(range(1, len(path) + 1)) AS i FROM p)), c AS (SELECT list, count(*) AS rows_ FROM l GROUP BY list), v AS (SELECT list, parent, count(*) AS n FROM l JOIN f ON l.fold = f.fold GROUP BY ALL), m AS (SELECT list, max(struct_pack(n := n, p := parent)) AS m FROM v GROUP BY list) SELECT list, m.p AS title FROM m JOIN c USING (list) WHERE list % 3 <> 1 AND m.n >= CASE WHEN list % 3 = 0 OR rows_ <= 2 THEN 1 ELSE 2 END")
 def r03(spark, d):
     p = paths(spark, d)
-    return repair.retitled(p.select((F.col("page_id") % 15).alias("list"), F.explode("path").alias("name")), p.withColumnRenamed("page_id", "path_id"))
+    number = F.col("page_id") % 15
+    lists = p.select(number.alias("list"), F.when(number % 3 > 0, "Untitled list").alias("title"), (number % 3 == 2).alias("weak"), F.explode("path").alias("name"))
+    return repair.retitled(lists, p.withColumnRenamed("page_id", "path_id"))
 
 
 @query("R04_mended_lines")
@@ -64,11 +66,13 @@ def r06(spark, d):
     return repair.mended_tree(mine, t, "pane")
 
 
-@query("R07_filled_cells", "frows", "m AS (SELECT list, cells[3] AS name, CASE WHEN (list + r) % 2 = 0 THEN '' ELSE cells[1] END AS kind FROM frows WHERE r <= 3), f AS (SELECT list, cells[3] AS name, min(cells[1]) AS kind FROM frows GROUP BY ALL) SELECT m.list, m.name, CASE WHEN m.kind = '' THEN coalesce(f.kind, '') ELSE m.kind END AS kind FROM m LEFT JOIN f ON m.list = f.list AND m.name = f.name")
+@query("R07_filled_cells", "frows", "m AS (SELECT list, cells[3] AS name, CASE (list + r) % 3 WHEN 0 THEN '' WHEN 1 THEN cells[1] || '…' ELSE cells[1] END AS kind, CASE WHEN (list + r) % 2 = 0 THEN 'Jun 3 2O26' ELSE 'Today at 1:05 PM' END AS date FROM frows WHERE r <= 3), f AS (SELECT list, cells[3] AS name, min(cells[1]) AS kind, min('Jun ' || r || ', 2026 at 1:05 PM') AS date FROM frows GROUP BY ALL) SELECT m.list, m.name, CASE WHEN m.kind = '' OR contains(m.kind, '…') THEN coalesce(f.kind, m.kind) ELSE m.kind END AS kind, CASE WHEN m.date = 'Jun 3 2O26' THEN coalesce(f.date, m.date) ELSE m.date END AS date FROM m LEFT JOIN f ON m.list = f.list AND m.name = f.name")
 def r07(spark, d):
     r = views.rows(spark, d).select("list", "r", F.get("cells", 2).alias("name"), F.get("cells", 0).alias("kind"))
-    mine = r.where("r <= 3").withColumn("kind", F.when((F.col("list") + F.col("r")) % 2 == 0, "").otherwise(F.col("kind")))
-    return repair.filled_cells(mine, r.groupBy("list", "name").agg(F.min("kind").alias("kind")), "list", ["kind"])
+    k = F.col("list") + F.col("r")
+    mine = r.where("r <= 3").select("list", "name", F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat("kind", F.lit("…"))).otherwise(F.col("kind")).alias("kind"), F.when(k % 2 == 0, "Jun 3 2O26").otherwise("Today at 1:05 PM").alias("date"))
+    full = r.groupBy("list", "name").agg(F.min("kind").alias("kind"), F.min(F.concat(F.lit("Jun "), F.col("r").cast("string"), F.lit(", 2026 at 1:05 PM"))).alias("date"))
+    return repair.filled_cells(mine, full, "list", ["kind", "date"], dates=("date",), kinds=("kind",))
 
 
 @query("R07b_filled_rows", "frows", "f AS (SELECT list, cells[3] AS name, min(r) AS pos FROM frows GROUP BY ALL), m AS (SELECT DISTINCT list, cells[3] AS name FROM frows WHERE r % 2 = 1), s AS (SELECT f.list, min(pos) AS lo, max(pos) AS hi FROM f SEMI JOIN m ON f.list = m.list AND f.name = m.name GROUP BY f.list HAVING count(*) >= 2) SELECT f.list, f.name FROM f JOIN s ON f.list = s.list AND pos > lo AND pos < hi ANTI JOIN m ON f.list = m.list AND f.name = m.name")
@@ -98,6 +102,15 @@ def r09(spark, d):
     return repair.canonical(views.names(spark, d))
 
 
+@query("R09b_mended_numbers", "names", r"""n AS (SELECT seen_at, key, CASE key % 3 WHEN 0 THEN '0' || (key % 9 + 1) || ' ' || name WHEN 1 THEN 'O' || (key % 9 + 1) || name ELSE name END AS name FROM names), f AS (SELECT seen_at, count(*) FILTER (regexp_matches(name, '^[0-9]{2}[ _.-]')) AS n FROM n GROUP BY seen_at)
+SELECT n.seen_at, key, CASE WHEN f.n >= 2 AND key % 3 = 1 THEN '0' || (key % 9 + 1) || ' ' || ltrim(substr(name, 3)) ELSE name END AS name FROM n JOIN f ON n.seen_at = f.seen_at""")
+def r09b(spark, d):
+    k = F.col("key")
+    digit = (k % 9 + 1).cast("string")
+    name = F.when(k % 3 == 0, F.concat(F.lit("0"), digit, F.lit(" "), "name")).when(k % 3 == 1, F.concat(F.lit("O"), digit, "name")).otherwise(F.col("name"))
+    return repair.mended_numbers(views.names(spark, d).select("seen_at", "key", name.alias("name")), "seen_at")
+
+
 @query("R10_nameless", "frows", "x AS (SELECT list, r, CASE WHEN (list + r) % 3 = 0 THEN '' ELSE cells[3] END AS name, cells[1] || cells[2] AS rest FROM frows), n AS (SELECT DISTINCT list, rest FROM x WHERE name <> '') SELECT list, name, rest FROM x WHERE name <> '' UNION ALL SELECT DISTINCT x.list, x.name, x.rest FROM x ANTI JOIN n ON x.list = n.list AND x.rest = n.rest WHERE x.name = ''")
 def r10(spark, d):
     x = views.rows(spark, d).select("list", "r", F.when((F.col("list") + F.col("r")) % 3 == 0, "").otherwise(F.get("cells", 2)).alias("name"), F.concat(F.get("cells", 0), F.get("cells", 1)).alias("rest"))
@@ -129,7 +142,7 @@ def r14(spark, d):
     return views.lines(spark, d).select("doc", "line", fs.guessed(F.col("text")).alias("guessed"))
 
 
-@query("R15_fragment_owner", "lines", f"w AS (SELECT DISTINCT doc AS win, {flat('text')} AS fold FROM lines WHERE length(text) > 10 AND doc % 2 = 0), f AS (SELECT DISTINCT doc AS frag, {flat('text')} AS fold FROM lines WHERE length(text) > 10 AND doc % 2 = 1), h AS (SELECT frag, win, count(*) AS n FROM f JOIN w ON f.fold = w.fold GROUP BY ALL HAVING count(*) >= 2), k AS (SELECT *, row_number() OVER (PARTITION BY frag ORDER BY n DESC, win) AS turn, lead(n) OVER (PARTITION BY frag ORDER BY n DESC, win) AS nxt FROM h) SELECT frag, CASE WHEN nxt >= 2 THEN 'several' ELSE CAST(win AS VARCHAR) END AS owner FROM k WHERE turn = 1")
+@query("R15_fragment_owner", "lines", f"w AS (SELECT DISTINCT doc AS win, left({flat('text')}, 80) AS b FROM lines WHERE length(text) > 10 AND doc % 2 = 0), f AS (SELECT DISTINCT doc AS frag, left({flat('text')}, 80) AS a FROM lines WHERE length(text) > 10 AND doc % 2 = 1), u AS (SELECT DISTINCT a, b FROM (SELECT DISTINCT a FROM f WHERE a <> '') x JOIN (SELECT DISTINCT b FROM w WHERE b <> '') y ON a = b OR length(a) >= 10 AND contains(b, a) OR length(b) >= 10 AND contains(a, b)), h AS (SELECT frag, win, count(DISTINCT f.a) AS n FROM f JOIN u ON f.a = u.a JOIN w ON w.b = u.b GROUP BY ALL HAVING count(DISTINCT f.a) >= 2), k AS (SELECT *, row_number() OVER (PARTITION BY frag ORDER BY n DESC, win) AS turn, lead(n) OVER (PARTITION BY frag ORDER BY n DESC, win) AS nxt FROM h) SELECT frag, CASE WHEN nxt >= 2 THEN 'several' ELSE CAST(win AS VARCHAR) END AS owner FROM k WHERE turn = 1")
 def r15(spark, d):
     n = views.lines(spark, d).where("length(text) > 10").select("doc", fs.flat(F.col("text")).alias("fold"))
     return repair.fragment_owner(n.where("doc % 2 = 1").withColumnRenamed("doc", "frag"), n.where("doc % 2 = 0").withColumnRenamed("doc", "win"), least=2)

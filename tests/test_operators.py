@@ -285,3 +285,49 @@ def test_margins_and_columns(spark):
     assert [tuple(r) for r in layout.guide_columns(w.union(spark.createDataFrame([(1, 4, 900)], w.schema)), "doc").collect()] == [(1, 587)]
     b = spark.createDataFrame([(1, 0, 50), (1, 8, 90), (1, 16, 60), (1, 40, 80)], "doc long, x0 long, x1 long")
     assert sorted(tuple(r)[2:] for r in layout.column_bands(b, "doc", 12.0).collect()) == [(0, 90), (16, 60), (40, 80)]
+
+
+def test_longer_heads_complete_a_tail(spark):
+    rows = [(1, 1, "project_ship…ment_fix.md"), (2, 1, "project_shipment_f…x"), (3, 1, "other…end.md"), (4, 2, "pro…t.md"), (5, 2, "project.md"), (6, 2, "prospect.md")]
+    df = spark.createDataFrame(rows, "key long, seen_at long, reading string")
+    got = {r.key: r.name for r in repair.whole_names(df, df, "seen_at").collect()}
+    assert got == {1: "project_shipment_fix.md", 2: "project_shipment_f…x", 3: "other…end.md", 4: "pro…t.md"}
+
+
+def test_retitling_spares_good_titles(spark):
+    paths = spark.createDataFrame([(1, ["root", "docs", "a", "x"]), (2, ["root", "docs", "b"])], "path_id long, path array<string>")
+    rows = [(1, "a", None, False), (1, "b", None, False), (2, "a", "Good", False), (2, "b", "Good", False), (3, "a", "…", True), (3, "q", "…", True), (3, "r", "…", True), (4, "x", None, None)]
+    got = repair.retitled(spark.createDataFrame(rows, "list long, name string, title string, weak boolean"), paths)
+    assert {(r.list, r.title) for r in got.collect()} == {(1, "docs"), (4, "a")}
+
+
+def test_numbered_families(spark):
+    rows = [(1, 1, "01 Plans"), (1, 2, "02 Notes"), (1, 3, "O3Company"), (1, 4, "Ox"), (2, 5, "O3Company")]
+    got = {r.key: r.name for r in repair.mended_numbers(spark.createDataFrame(rows, "seen_at long, key long, name string"), "seen_at").collect()}
+    assert got[3] == "03 Company" and got[4] == "Ox" and got[5] == "O3Company"
+
+
+def test_fragment_owner_by_containment(spark):
+    f = spark.createDataFrame([(1, "alphabetagamma"), (1, "deltaepsilonzeta"), (2, "short")], "frag long, fold string")
+    w = spark.createDataFrame([(7, "xxalphabetagammayy"), (7, "epsilonzeta"), (8, "short"), (9, "deltaepsilonzeta")], "win long, fold string")
+    assert {(r.frag, r.owner) for r in repair.fragment_owner(f, w, least=2).collect()} == {(1, "7")}
+
+
+def test_titles_one_letter_off_and_held(spark):
+    t = spark.createDataFrame([(1, 0, "operatlons"), (1, 0, "unlike"), (1, 0, "invoice")], "video long, t long, key string")
+    known = spark.createDataFrame([("operations",), ("invoice",), ("invoicd",), ("My Operations Review",), ("operations review long",)], "key string")
+    assert {r.key: r.spelt for r in joins.known_titles(t, known).collect()} == {"operatlons": "operations", "unlike": "unlike", "invoice": "invoice"}
+    kept = spark.createDataFrame([(1, "Operations"), (1, "review")], "strip long, key string")
+    assert joins.holding_titles(kept, known, ["strip"]).first().title == "My Operations Review"
+
+
+def test_all_panes_must_agree(spark):
+    rows = [(1, 1, list("abcde"), list("cdefg")), (1, 2, list("abc"), list("abc")), (2, 1, list("abcde"), list("cdefg")), (2, 2, list("abc"), list("xyz"))]
+    got = joins.scrolled_panes(spark.createDataFrame(rows, "moment long, pane long, before array<string>, after array<string>"), "moment")
+    assert {(r.moment, r.pane, "".join(r.view)) for r in got.collect()} == {(1, 1, "abcdefg"), (1, 2, "abc")}
+
+
+def test_panel_needs_a_gap_on_every_line(spark):
+    rows = [(1, 0, 0, "a", 0, 10), (1, 0, 1, "b", 40, 50), (1, 1, 0, "c", 0, 10), (1, 1, 1, "d", 60, 70), (2, 0, 0, "a", 0, 10), (2, 0, 1, "b", 40, 50), (2, 1, 0, "c", 0, 10), (2, 1, 1, "d", 12, 20)]
+    w = spark.createDataFrame(rows, "doc long, line long, k long, text string, x0 long, x1 long").withColumns({"y0": F.lit(0), "y1": F.lit(14)})
+    assert {tuple(r) for r in layout.split_panel(w, "doc", "line").collect()} == {(1, 0, "a", "b"), (1, 1, "c", "d")}
