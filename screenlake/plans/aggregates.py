@@ -134,7 +134,10 @@ def a17(spark, d):
     return votes.moving_cells(views.thumbs(spark, d), "burst", "frame", 8, 2, 4, step=18.0)
 
 
-@query("A18_moving_zones")
+@query("A18_moving_zones", "thumbs", """b AS (SELECT *, lag(thumb) OVER (PARTITION BY burst ORDER BY frame) AS b FROM thumbs), p AS (SELECT burst, i, abs(thumb[i + 1] - b[i + 1]) AS d FROM b, range(0, 64) r(i) WHERE b IS NOT NULL),
+m AS (SELECT burst, i AS pos FROM p GROUP BY burst, i HAVING avg(CASE WHEN d > 22 THEN 1 ELSE 0 END) >= 0.5), f AS (SELECT burst FROM m GROUP BY burst HAVING count(*) <= 0.5 * 64), t AS (SELECT * FROM m SEMI JOIN f ON m.burst = f.burst),
+k AS (WITH RECURSIVE r(burst, pos, n) AS (SELECT burst, pos, pos FROM t UNION SELECT r.burst, r.pos, y.pos FROM r JOIN t y ON y.burst = r.burst AND abs(y.pos % 8 - r.n % 8) + abs(y.pos // 8 - r.n // 8) = 1) SELECT burst, pos, min(n) AS c FROM r GROUP BY burst, pos)
+SELECT burst, min(pos % 8) AS x0, min(pos // 8) AS y0, max(pos % 8) + 1 AS x1, max(pos // 8) + 1 AS y1 FROM k GROUP BY burst, c""")
 def a18(spark, d):
     return votes.moving_zones(views.thumbs(spark, d), "burst", "frame", 8, 8, pixel=22, most=0.5)
 
@@ -177,7 +180,12 @@ def a24(spark, d):
     return votes.indent_step(views.tree(spark, d).withColumn("pane", F.floor(F.col("pos") / 17)), "pane")
 
 
-@query("A25_lattice")
+@query("A25_lattice", "tree", """t AS (SELECT pos // 17 AS pane, y0 + key % 3 AS y, length(name) AS width FROM tree), g AS (SELECT pane, g, count(*) AS n FROM (SELECT pane, lead(y) OVER (PARTITION BY pane ORDER BY y) - y AS g FROM t) WHERE g > 0 GROUP BY ALL),
+p AS (SELECT pane, arg_max(g, [n, -g]) AS pitch FROM g GROUP BY pane), f AS (SELECT pane, min(y) AS first FROM t GROUP BY pane),
+s AS (SELECT t.*, pitch, first, round_even((y - first) / pitch, 0) AS slot FROM t JOIN p ON t.pane = p.pane JOIN f ON t.pane = f.pane),
+o AS (SELECT pane, slot, arg_max(y, [width, -y]) AS y FROM s WHERE abs(y - first - slot * pitch) <= 0.2 * pitch GROUP BY pane, slot),
+j AS (SELECT *, CASE WHEN slot - lag(slot) OVER (PARTITION BY pane ORDER BY slot) > 2 THEN 1 ELSE 0 END AS jump FROM o)
+SELECT pane, CAST(slot AS BIGINT) AS slot, y FROM (SELECT *, sum(jump) OVER (PARTITION BY pane ORDER BY slot) AS part FROM j) WHERE part = 0""")
 def a25(spark, d):
     t = views.tree(spark, d).select(F.floor(F.col("pos") / 17).alias("pane"), (F.col("y0") + F.col("key") % 3).alias("y"), F.length("name").alias("width"))
     return votes.lattice(t, "pane")
@@ -207,7 +215,11 @@ def a28(spark, d):
     return votes.sweep(views.labelled(spark, d), [5, 10, 20, 40, 80], "source")
 
 
-@query("A29_parameter_sweep")
+@query("A29_parameter_sweep", "samples", f"""{STEP}, f AS (SELECT video, quantile_cont(d, 0.05) AS f, count(d) AS n FROM d WHERE d IS NOT NULL GROUP BY video), l AS (SELECT video, round(CASE WHEN n + 1 >= 12 THEN greatest(4.0, 2.5 * f) ELSE 4.0 END, 9) AS line FROM f),
+q AS (SELECT s.*, times, line * times AS bound, row_number() OVER (PARTITION BY times, s.video ORDER BY t, seq) AS turn FROM samples s JOIN l ON s.video = l.video, (SELECT unnest([1.0, 2.0, 4.0]::DOUBLE[]) AS times)),
+k AS (WITH RECURSIVE r(times, video, turn, call, anchor, run) AS (SELECT times, video, turn, call, level, 1 FROM q WHERE turn = 1 UNION ALL
+ SELECT q.times, q.video, q.turn, q.call, CASE WHEN q.call <> r.call OR q.call = 'screen' AND abs(q.level - r.anchor) > q.bound THEN q.level ELSE r.anchor END, r.run + CASE WHEN q.call <> r.call OR q.call = 'screen' AND abs(q.level - r.anchor) > q.bound THEN 1 ELSE 0 END FROM r JOIN q ON q.times = r.times AND q.video = r.video AND q.turn = r.turn + 1) SELECT * FROM r)
+SELECT video, CAST(max(run) AS BIGINT) AS stretches, times FROM k GROUP BY video, times""")
 def a29(spark, d):
     from screenlake.operators.states import stretches
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from screenlake.functions import strings as fs
 from screenlake.functions.graph import components
 from screenlake.operators import joins, layout, readings, repair, scans, states, votes
+from screenlake.sources import views
 from screenlake.streaming import carriers
 
 
@@ -331,3 +332,50 @@ def test_panel_needs_a_gap_on_every_line(spark):
     rows = [(1, 0, 0, "a", 0, 10), (1, 0, 1, "b", 40, 50), (1, 1, 0, "c", 0, 10), (1, 1, 1, "d", 60, 70), (2, 0, 0, "a", 0, 10), (2, 0, 1, "b", 40, 50), (2, 1, 0, "c", 0, 10), (2, 1, 1, "d", 12, 20)]
     w = spark.createDataFrame(rows, "doc long, line long, k long, text string, x0 long, x1 long").withColumns({"y0": F.lit(0), "y1": F.lit(14)})
     assert {tuple(r) for r in layout.split_panel(w, "doc", "line").collect()} == {(1, 0, "a", "b"), (1, 1, "c", "d")}
+
+
+def test_greedy_pairs_spend_each_side_once(spark):
+    cols = ["frame", *(f"{p}_{c}" for p in "pw" for c in ("id", "x0", "y0", "x1", "y1"))]
+    box = {1: (0, 0, 10, 10), 2: (0, 0, 10, 8)}
+    rows = [(1, p, *box[p], w, *box[w]) for p in (1, 2) for w in (1, 2)] + [(1, 1, *box[1], 3, 5, 0, 15, 10)]
+    got = joins.greedy_pairs(spark.createDataFrame(rows, cols), "frame").collect()
+    assert {(r.p_id, r.w_id, r.fault) for r in got} == {(1, 1, False), (2, 2, False)}
+
+
+def test_accents_ratios_and_programs(spark):
+    assert one(spark, fs.accent_fold(F.col("s")), s="Éß Ünï-7") == "euni7" and one(spark, fs.seq_ratio("a", "b"), a="abcd", b="bcde") == 0.75
+    df = spark.createDataFrame([(1, "smal window"), (2, "zzz q")], "key long, reading string")
+    assert {r.key: r.program for r in readings.program_names(df, ["small", "blue"]).collect()} == {1: "small", 2: None}
+
+
+def test_merged_runs_keep_the_longest(spark):
+    rows = [(1, "h", 0, 0, 10), (1, "h", 2, 5, 30), (1, "h", 9, 0, 5), (1, "v", 1, 0, 10)]
+    got = layout.merged_runs(spark.createDataFrame(rows, "frame long, axis string, pos long, a long, b long"), "frame").collect()
+    assert {tuple(r)[1:] for r in got} == {("h", 2, 5, 30), ("h", 9, 0, 5), ("v", 1, 0, 10)}
+
+
+def test_letter_swaps(spark):
+    df = spark.createDataFrame([("lol", "l0l"), ("oo", "00"), ("abc", "abc"), (None, "x")], "a string, b string")
+    assert {tuple(r) for r in votes.letter_swaps(df).collect()} == {("o", "0", 1), ("oo", "00", 1)}
+
+
+def test_states_of_a_window(spark):
+    say = lambda ts, *lines: [(1, ts, k, x) for k, x in enumerate(lines)]
+    rows = say(1, *"abcde") + say(2, *"cdefg") + say(3, *"cdefg") + say(4, "other", "thing")
+    df = spark.createDataFrame(rows, "video long, ts long, seq int, said string")
+    got = [tuple(r) for r in states.window_states(df).orderBy("first").collect()]
+    assert got[0][:3] == (1, 1, 3) or got[0][:3] == (1, 1, 2)
+    assert got[-1] == (1, 4, 4, 1, 2) and got[0][4] >= 7
+    built = [tuple(r) for r in states.built_states(df).orderBy("state").collect()]
+    assert built == [(1, 0, 1, 3, 7), (1, 1, 4, 4, 2)]
+
+
+def test_carried_words_and_newly_readable():
+    step, state = carriers.carried_words_step(4), {}
+    row = lambda t, x, words: {"video": 1, "t": t, "id": t, "x0": x, "y0": 0, "x1": x + 50, "y1": 40, "words": words}
+    assert step(state, row(1, 100, "old")) == [] and step(state, row(2, 101, "new")) == []
+    assert step(state, row(3, 103, None)) == [{"video": 1, "t": 3, "id": 3, "words": "new", "since": 2}]
+    assert step(state, row(4, 120, None)) == []
+    say = lambda x: carriers.newly_step(seen, {"video": 1, "ts": 0, "rect": 0, "said": x})[0]["newly"]
+    seen: dict = {}
+    assert [say("a b"), say("B c"), say("a")] == ["a b", "c", "a"]
