@@ -233,13 +233,27 @@ def blank_corridors(words: DataFrame, page: str, bin_: int = 10, least_rows: int
     return free.withColumn("i", F.col("b") - F.row_number().over(line)).groupBy(page, "i").agg(F.min("b").alias("start"), (F.max("b") + 1).alias("end")).where(F.col("end") - F.col("start") >= least).select(page, "start", "end")
 
 
-def cells_in_bands(words: DataFrame, bands: list[tuple[int, int]], keys: list[str]) -> DataFrame:
-    """(keys, band, text): a line's words by the band that holds their middle; strays get band -1."""
+def cells_in_bands(words: DataFrame, bands: list[tuple[int, int]], keys: list[str], strays: bool = False) -> DataFrame:
+    """(keys, band, text): a line's words by the band that holds their middle; strays get band -1, or with ``strays`` the one band beside them that is empty on their line."""
     x = (F.col("x0") + F.col("x1")) / 2
     band = F.lit(-1)
     for i, (a, b) in reversed(list(enumerate(bands))):
         band = F.when((x >= a) & (x < b), i).otherwise(band)
-    return words.withColumn("band", band).groupBy(*keys, "band").agg(ordered_text().alias("text"))
+    placed = words.withColumn("band", band)
+    if strays:
+        filled = F.collect_set("band").over(Window.partitionBy(*keys))
+        before = sum((F.when(x >= b, 1).otherwise(0) for _, b in bands), F.lit(0)) - 1  # the last band that ends left of the word
+        free = F.filter(F.array(before, before + 1), lambda k: (k >= 0) & (k < len(bands)) & ~F.array_contains(F.col("filled"), k))
+        placed = placed.withColumn("filled", filled).withColumn("free", free).withColumn("band", F.when((F.col("band") == -1) & (F.size("free") == 1), F.get("free", 0)).otherwise(F.col("band")))
+    return placed.groupBy(*keys, "band").agg(ordered_text().alias("text"))
+
+
+def kept_columns(cells: DataFrame, page: str, line: str, space: float, blank: int = 1, spaces: float = 1.5) -> DataFrame:
+    """(page, band, kept): a column stays if it is blank on at most ``blank`` lines and its left or right ends deviate by ``spaces`` spaces at most (median absolute deviation)."""
+    rows = cells.groupBy(page).agg(F.count_distinct(line).alias("rows"))
+    mid = cells.groupBy(page, "band").agg(F.median("x0").alias("l"), F.median("x1").alias("r"), F.count_distinct(line).alias("n"))
+    off = cells.join(mid, [page, "band"]).groupBy(page, "band", "n").agg(F.median(F.abs(F.col("x0") - F.col("l"))).alias("dl"), F.median(F.abs(F.col("x1") - F.col("r"))).alias("dr"))
+    return off.join(rows, page).select(page, "band", ((F.col("rows") - F.col("n") <= blank) & (F.least("dl", "dr") <= spaces * space)).alias("kept"))
 
 
 def full_row_island(rows: DataFrame, key: str, seed: str) -> DataFrame:
@@ -391,3 +405,51 @@ def loose_table(items: DataFrame, heads: DataFrame, page: str, slack: int = 14)
     flow = heads.select(page, F.col("x0").alias("x"), F.lit(0).alias("side"), F.col("col"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("string").alias("text")).union(items.select(page, (F.col("x0") + slack).alias("x"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("col"), "line", "k", "text"))
     held = flow.withColumn("col", F.last("col", ignorenulls=True).over(Window.partitionBy(page).orderBy("x", "side").rowsBetween(Window.unboundedPreceding, 0))).where("side = 1 and col is not null")
     return held.groupBy(page, "line", "col").agg(ordered_text().alias("text"))
+
+
+def bar_generations(moments: DataFrame, key: str, order: list[str], bar: str = "bar") -> DataFrame:
+    """(key, generation, first, words): readings of a bar until its first word changes; a shorter reading of the same bar adds what it has."""
+    line = Window.partitionBy(key).orderBy(*order)
+    read = moments.where(F.size(bar) > 0).withColumn("head", F.get(bar, 0))
+    new = F.coalesce(F.col("head") != F.lag("head").over(line), F.lit(True)).cast("int")
+    gen = read.withColumn("_new", new).withColumn("generation", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return gen.groupBy(key, "generation").agg(F.min(order[-1]).alias("first"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(bar)))).alias("words"))
+
+
+def mended_path(paths: list[list[str]], root: str | None = None) -> list[str]:
+    """One path from partial readings of it: the longest is the spine, and what another reads between two neighbours of the spine that both have goes there.
+
+    The fuller reading of a crumb stands; crumbs before ``root`` go; a crumb that ends with its own child loses it; repeats are one. Nothing is added to the ends.
+    """
+    paths = [p for p in paths if p]
+    if not paths:
+        return []
+    same = lambda a, b: fs.folded(a)[0] == fs.folded(b)[0] != ""
+    spine = list(max(paths, key=len))
+    for p in paths:
+        shared = [(k, next((i for i, c in enumerate(spine) if same(c, x)), None)) for k, x in enumerate(p)]
+        shared = [(k, i) for k, i in shared if i is not None]
+        for k, i in shared:
+            if sum(map(len, p[k].split())) >= sum(map(len, spine[i].split())) and len(p[k]) > len(spine[i]):
+                spine[i] = p[k]
+        for (ka, ia), (kb, ib) in reversed(list(zip(shared, shared[1:], strict=False))):
+            if ib == ia + 1 and kb > ka + 1:
+                spine[ib:ib] = p[ka + 1 : kb]
+    if root is not None and any(same(c, root) for c in spine):
+        spine = spine[next(i for i, c in enumerate(spine) if same(c, root)) :]
+    out: list[str] = []
+    for c, child in zip(spine, [*spine[1:], ""], strict=True):
+        head = c[: len(c) - len(child)].strip(" -/>") if child and c.lower().endswith(child.lower()) else ""
+        c = head if len(head) >= 3 else c
+        if not (out and same(out[-1], c)):
+            out.append(c)
+    return out
+
+
+def mended_paths(readings: DataFrame, key: str, order: str, root: str | None = None) -> DataFrame:
+    """(key, path): ``mended_path`` of all readings (``path``) of one window's bar."""
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        return [(rows[0][0], mended_path([list(r[2]) for r in rows if r[2] is not None], root))]
+
+    return fold_sorted(readings.select(key, order, "path"), key, [order], f"{key} long, path array<string>", fold)

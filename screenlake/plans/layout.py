@@ -177,6 +177,20 @@ def w21(spark, d):
     return layout.cells_in_bands(views.words(spark, d), [(0, 100), (100, 300), (350, 700)], ["doc", "line"])
 
 
+@query("W21b_strays_and_columns", "words", """m AS (SELECT *, (x0 + x1) / 2 AS x FROM words WHERE k % 3 = 0), b AS (SELECT *, CASE WHEN x < 100 THEN 0 WHEN x >= 150 AND x < 300 THEN 1 WHEN x >= 350 AND x < 700 THEN 2 ELSE -1 END AS band, CASE WHEN x >= 700 THEN 2 WHEN x >= 300 THEN 1 WHEN x >= 100 THEN 0 ELSE -1 END AS before FROM m),
+f AS (SELECT *, list(DISTINCT band) OVER (PARTITION BY doc, line) AS filled FROM b), g AS (SELECT *, list_filter([before, before + 1], lambda i: i >= 0 AND i < 3 AND NOT list_contains(filled, i)) AS free FROM f)
+SELECT doc, line, CAST(CASE WHEN band = -1 AND len(free) = 1 THEN free[1] ELSE band END AS INT) AS band, string_agg(text, ' ' ORDER BY k) AS text FROM g GROUP BY ALL""")
+def w21b(spark, d):
+    return layout.cells_in_bands(views.words(spark, d).where("k % 3 = 0"), [(0, 100), (150, 300), (350, 700)], ["doc", "line"], strays=True)
+
+
+@query("W21c_kept_columns", "words", """c AS (SELECT doc, line, k % 3 AS band, min(x0) AS x0, max(x1) AS x1 FROM words GROUP BY ALL), r AS (SELECT doc, count(DISTINCT line) AS rows_ FROM c GROUP BY doc), m AS (SELECT doc, band, median(x0) AS l, median(x1) AS r, count(DISTINCT line) AS n FROM c GROUP BY ALL),
+o AS (SELECT c.doc, c.band, n, median(abs(x0 - l)) AS dl, median(abs(x1 - r)) AS dr FROM c JOIN m ON c.doc = m.doc AND c.band = m.band GROUP BY ALL) SELECT o.doc, band, rows_ - n <= 1 AND least(dl, dr) <= 15.0 AS kept FROM o JOIN r ON o.doc = r.doc""")
+def w21c(spark, d):
+    c = views.words(spark, d).groupBy("doc", "line", (F.col("k") % 3).alias("band")).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    return layout.kept_columns(c, "doc", "line", space=10.0)
+
+
 @query("W22_row_growth", "frows", "o AS (SELECT list, r, len(list_filter(cells, lambda c: c <> 'F')) >= 2 AND (list + r) % 4 <> 1 AS ok, cells[1] = 'N' AS seed FROM frows), p AS (SELECT *, sum(CASE WHEN q IS NULL OR q <> ok THEN 1 ELSE 0 END) OVER (PARTITION BY list ORDER BY r) AS part FROM (SELECT *, lag(ok) OVER (PARTITION BY list ORDER BY r) AS q FROM o)) SELECT list, r FROM p WHERE EXISTS (SELECT 1 FROM p x WHERE x.list = p.list AND x.part = p.part AND x.seed AND x.ok)")
 def w22(spark, d):
     o = views.rows(spark, d).select("list", "r", ((F.size(F.filter("cells", lambda c: c != "F")) >= 2) & ((F.col("list") + F.col("r")) % 4 != 1)).alias("ok"), (F.get("cells", 0) == "N").alias("seed"))
@@ -272,6 +286,23 @@ def w36(spark, d):
     return layout.unglued(glued, c.select("crumb").union(spark.range(1).select(F.lit("net").alias("crumb"))), "page_id")
 
 
+@query("W36b_mended_paths")
+def w36b(spark, d):
+    """Each page's path as read with every third crumb lost, and whole, by site."""
+    p = views.pages(spark, d).select("page_id", F.filter(F.split(F.regexp_replace("url", "[?#].*$", ""), "/"), lambda c: c != "").alias("path"))
+    lost = p.select("page_id", F.lit(1).alias("turn"), F.filter("path", lambda c, i: i % 3 != 1).alias("path"))
+    return layout.mended_paths(p.select("page_id", F.lit(0).alias("turn"), F.slice("path", 1, 3).alias("path")).unionByName(lost), "page_id", "turn")
+
+
+@query("W37b_bar_generations", "samples", """r AS (SELECT video, t, seq, string_split(CASE WHEN seq % 5 < 3 THEN app || ' File Edit' ELSE app || ' View' END, ' ') AS bar FROM samples WHERE seq % 7 > 0), g AS (SELECT *, CASE WHEN bar[1] = lag(bar[1]) OVER (PARTITION BY video ORDER BY t, seq) THEN 0 ELSE 1 END AS new FROM r),
+n AS (SELECT *, sum(new) OVER (PARTITION BY video ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS generation FROM g)
+SELECT video, CAST(generation AS BIGINT) AS generation, min(seq) AS first, list_sort(list_distinct(flatten(list(bar)))) AS words FROM n GROUP BY video, generation""")
+def w37b(spark, d):
+    bar = F.split(F.when(F.col("seq") % 5 < 3, F.concat("app", F.lit(" File Edit"))).otherwise(F.concat("app", F.lit(" View"))), " ")
+    s = views.samples(spark, d).select("video", "t", "seq", F.when(F.col("seq") % 7 > 0, bar).otherwise(F.array().cast("array<string>")).alias("bar"))
+    return layout.bar_generations(s, "video", ["t", "seq"])
+
+
 @query("W37_carry_forward", "samples", "SELECT video, seq, last_value(CASE WHEN boxes % 5 = 0 THEN app END IGNORE NULLS) OVER (PARTITION BY video ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM samples")
 def w37(spark, d):
     s = views.samples(spark, d).withColumn("clock", F.when(F.col("boxes") % 5 == 0, F.col("app")))

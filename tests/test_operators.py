@@ -379,3 +379,10 @@ def test_carried_words_and_newly_readable():
     say = lambda x: carriers.newly_step(seen, {"video": 1, "ts": 0, "rect": 0, "said": x})[0]["newly"]
     seen: dict = {}
     assert [say("a b"), say("B c"), say("a")] == ["a b", "c", "a"]
+
+
+def test_paths_mend_between_anchors_only():
+    assert layout.mended_path([["HD", "Users", "docs"], ["HD", "Users", "jared", "docs"], ["docs", "more"]]) == ["HD", "Users", "jared", "docs"]
+    assert layout.mended_path([["HD", "docs", "x"], ["HD", "Users", "docs"]]) == ["HD", "Users", "docs", "x"]
+    assert layout.mended_path([["HD", "Usersjared", "jared", "jared"]]) == ["HD", "Users", "jared"]
+    assert layout.mended_path([["junk", "HD", "a"]], root="hd") == ["HD", "a"] and layout.mended_path([[], []]) == []
