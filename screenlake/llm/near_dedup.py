@@ -10,9 +10,9 @@ the length and the weights (Christiani, "DartMinHash: Fast Sketching for Weighte
 Scale: texts of the same words are one node before anything is shuffled by band, so groups of copies of
 any size cost one row each. First every member of a band's bucket is compared with the bucket's first and
 last by a hash drawn anew in each band, up to 32 partners spread over its group; the links inside a component
-follow. Buckets of four and more that still hold several components are then searched exactly for pairs
-across components: two texts that reach the threshold share a unit among the first of each in any one order
-(prefix filter), here rare units first. Pairs inside a component are never enumerated. Every proposed pair is checked exactly.
+follow. Buckets of four and more that still hold several components are then compared in full across components: their texts, in blocks of
+``BLOCK`` rows, meet in a task, which passes over pairs whose signatures agree too little (at 0.8, one in a million does), checks the others exactly, joins
+components as it goes and tells the links alone. Pairs inside a component are never compared, and no pair is a row unless it is a link or one of the 32.
 
 Defined cases: null, empty and wordless texts are classes of their own row; texts of under five words
 have one shingle, all their words; rows that repeat a doc_id and text share a class, and one of them is kept; rows of
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,16 +108,27 @@ def _sketches(k: int, rows: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            prints, keys = [], []
+            prints, keys, marks, units = [], [], [], []
             for text in batch.column(2).cast(pa.binary()):
                 words = plain_words(text.as_py())
+                sig = signature(*elements(words, hashes, size), k) if words else None
                 prints.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
-                keys.append(band_keys(signature(*elements(words, hashes, size), k), rows) if words else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["rid", "tag", "node", "keys"])
+                keys.append(band_keys(sig, rows) if words else None)
+                marks.append(sig.astype(np.uint16).tobytes() if words else None)
+                units.append(len(words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(units, pa.int64())], ["rid", "tag", "node", "keys", "marks", "units"])
 
     return run
 
 
+def _reach(left: np.ndarray, right: np.ndarray, threshold: float) -> bool:
+    """Whether two texts' units are as similar as ``threshold``, which counts as reached."""
+    if min(len(left), len(right)) + 1e-9 < threshold * max(len(left), len(right)):
+        return False
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return both + 1e-9 >= threshold * (len(left) + len(right) - both)
+
+
 def _similar(threshold: float, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -125,85 +137,110 @@ def _similar(threshold: float, size: int):
             for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()), strict=True):
                 if a != last:
                     last, left = a, units(plain_words(x.as_py()), hashes, size)
-                right = units(plain_words(y.as_py()), hashes, size)
-                short = min(len(left), len(right))
-                if short + 1e-9 < threshold * max(len(left), len(right)):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(both + 1e-9 >= threshold * (len(left) + len(right) - both))  # 0.8 counts as reached
+                keep.append(_reach(left, units(plain_words(y.as_py()), hashes, size), threshold))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-SLOT_BITS = 18
+BLOCK, BLOCK_UNITS = 2048, 1 << 20  # texts and words of a block
 
 
-def _slots(unit: np.ndarray) -> np.ndarray:
-    return (unit >> U(64 - SLOT_BITS)).astype(np.int64)
+def _least_agreement(k: int, threshold: float) -> int:
+    """Coordinates of ``k`` on which two texts at the threshold agree but once in a million or so: five deviations below the mean."""
+    return math.floor(k * threshold - 5 * math.sqrt(k * threshold * (1 - threshold)))
 
 
-def _counted(size: int):
-    """How many units of a task's texts fall into each slot of their hashes."""
+def _links_across(rows: list[tuple], width: int, threshold: float, size: int, hashes: WordHashes) -> list[tuple[bytes, bytes]]:
+    """Links between the components of texts that meet in a block. rows: node, component, side, band, marks, zipped text; texts of one side 1 or 2 meet in another block.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, n = WordHashes(), np.zeros(1 << SLOT_BITS, np.int64)
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                n += np.bincount(_slots(units(plain_words(text.as_py()), hashes, size)), minlength=1 << SLOT_BITS)
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n[used], pa.int64())], ["slot", "n"])
+    Texts that share several bands are compared in the first of them.
+    """
+    press, parent = zstandard.ZstdDecompressor(), {r[1]: r[1] for r in rows}
 
-    return run
+    def root(c: bytes) -> bytes:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    marks = np.stack([np.frombuffer(r[4], np.uint16) for r in rows])
+    side, band = (np.array([r[k] for r in rows]) for k in (2, 3))
+    least = _least_agreement(marks.shape[1], threshold)
+    names = {c: k for k, c in enumerate(parent)}
+    comp = np.array([names[r[1]] for r in rows])
+    many = np.bincount(comp)
+    known: dict[int, np.ndarray] = {}
+
+    def unit(i: int) -> np.ndarray:
+        if i not in known:
+            known[i] = units(plain_words(press.decompress(rows[i][5])), hashes, size)
+        return known[i]
 
+    found, turn = [], np.lexsort((comp, many[comp]))  # small components first; the largest asks nobody
+    place = np.empty(len(rows), np.int64)
+    place[turn] = np.arange(len(rows))
+    for i in turn:
+        others = np.flatnonzero((comp != comp[i]) & (place > place[i]) & ((side != side[i]) | (side == 0)))
+        same = marks[others] == marks[i]
+        first = same.reshape(len(others), marks.shape[1] // width, width).all(axis=2).argmax(axis=1)
+        for j in others[(same.sum(axis=1) >= least) & (first == band[i])]:
+            if root(rows[i][1]) != root(rows[j][1]) and _reach(unit(i), unit(j), threshold):
+                found.append(tuple(sorted((rows[i][0], rows[j][0]))))
+                parent[root(rows[j][1])] = root(rows[i][1])
+    return found
 
-def _prefixes(threshold: float, size: int, common: np.ndarray):
-    """Of each text the first units in the order of ``common`` and hash, so many that texts at the threshold share one."""
+
+def _compared(width: int, threshold: float, size: int):
+    """Rows sorted by group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, held, now = WordHashes(), [], None
+        kinds = [("a", pa.binary()), ("b", pa.binary())]
         for batch in batches:
-            total, first, at = [], [np.zeros(0, U)], [np.zeros(0, np.int64)]
-            for text in batch.column(2).cast(pa.binary()):
-                unit = units(plain_words(text.as_py()), hashes, size)
-                total.append(len(unit))
-                first.append(unit[np.lexsort((unit, common[_slots(unit)]))][: len(unit) - math.ceil(threshold * len(unit) - 1e-6) + 1])
-                at.append(np.arange(len(first[-1])))
-            row = np.repeat(np.arange(len(batch)), [len(x) for x in first[1:]])
-            cols = [pa.array(np.concatenate(first).view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(np.array(total, np.int64)[row]), pa.array(np.concatenate(at))]
-            yield pa.RecordBatch.from_arrays(cols, ["unit", "node", "comp", "n", "at"])
+            out: list[tuple[bytes, bytes]] = []
+            for g, *row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if g != now and held:
+                    out += _links_across(held, width, threshold, size, hashes)
+                    held = []
+                now = g
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, (_, t) in enumerate(kinds)], ["a", "b"])
+        if held:
+            out = _links_across(held, width, threshold, size, hashes)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, (_, t) in enumerate(kinds)], ["a", "b"])
 
     return run
 
 
-def _across(texts: DataFrame, buckets: DataFrame, group: DataFrame, threshold: float, size: int) -> DataFrame:
-    """(a, b): pairs of texts in buckets of several components (``group``: id, component), of two components each, that may reach ``threshold``; no such pair that does is left out."""
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        yield batch.set_column(1, "text", pa.array([press.compress(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], pa.binary()))
+
+
+def _across(texts: DataFrame, nodes: DataFrame, buckets: DataFrame, group: DataFrame, width: int, threshold: float, size: int) -> DataFrame:
+    """(a, b): links between the components (``group``: id, component) that meet in a bucket, enough of them to join what the bucket's links join."""
     comp = group.withColumnsRenamed({"id": "node", "component": "comp"})
-    tagged = stored(buckets.join(comp, "node", "left").select("node", "band", "key", F.coalesce("comp", "node").alias("comp")), "buckets")
-    mixed_up = tagged.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band", "key")
-    live = tagged.join(mixed_up, ["band", "key"]).select("node", "comp").distinct()
-    searched = stored(texts.join(live.hint("merge"), "node").select("node", "comp", "text"), "searched")
-    # any order of the units gives the same result; a table of 2^18 counts puts common ones last
-    counts = searched.select("text").mapInArrow(_counted(size), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    common = np.zeros(1 << SLOT_BITS, np.int64)
-    common[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
-    first = stored(searched.mapInArrow(_prefixes(threshold, size, common), "unit long, node binary, comp binary, n long, at long"), "prefixes")
-    held = first.select("unit", "comp").distinct()
-    meet = held.select("unit", F.col("comp").alias("ca")).join(held.select("unit", F.col("comp").alias("cb")), "unit").where("ca < cb")
-    left = first.select("unit", F.col("comp").alias("ca"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ix"))
-    right = first.select("unit", F.col("comp").alias("cb"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("at").alias("iy"))
-    # at the first unit that two texts share, they can share no more than what follows in either
-    enough = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) + 1e-6 >= (F.col("nx") + F.col("ny")) * (threshold / (1 + threshold))
-    return meet.join(left, ["unit", "ca"]).join(right, ["unit", "cb"]).where(enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    tagged = stored(buckets.join(comp, "node", "left").select("node", "band", "key", "units", F.coalesce("comp", "node").alias("comp")), "buckets")
+    mixed_up = tagged.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("units").alias("units")).where("low <> high")
+    cuts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("units") / BLOCK_UNITS)).cast("int")
+    live = tagged.drop("units").join(mixed_up.select("band", "key", cuts.alias("cuts")), ["band", "key"])
+    # a bucket of several blocks: each pair of blocks is a group, and a text is in as many groups as there are blocks
+    live = live.withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    live = stored(live.select("node", "comp", F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), side.alias("side"), "band"), "live")
+    zipped = texts.join(live.select("node").distinct().hint("merge"), "node").select("node", "text").mapInArrow(_zipped, "node binary, text binary")
+    full = stored(zipped.join(nodes.select("node", "marks"), "node"), "zipped")
+    met = live.join(full.hint("merge"), "node").select("g", "node", "comp", "side", "band", "marks", "text")
+    return met.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(width, threshold, size), "a binary, b binary")
 
 
 def near_links(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4, size: int = 5, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(made, links, group): made has rid, tag and node, a hash of its words, of every row; links has verified pairs a < b of nodes; group (id, component) has the nodes with links."""
     cut = docs.select(*row_key(docs, id_col, text_col), F.col(text_col).cast("string").alias("text"))
-    made = stored(cut.mapInArrow(_sketches(bands * rows, rows, size), "rid long, tag long, node binary, keys array<long>"), "sketches")
-    nodes = stored(made.where("node is not null").groupBy("node").agg(F.min(F.struct("rid", "tag")).alias("of"), F.any_value("keys").alias("keys")), "nodes")
-    spread = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    made = stored(cut.mapInArrow(_sketches(bands * rows, rows, size), "rid long, tag long, node binary, keys array<long>, marks binary, units long"), "sketches")
+    nodes = stored(made.where("node is not null").groupBy("node").agg(F.min(F.struct("rid", "tag")).alias("of"), *(F.any_value(c).alias(c) for c in ("keys", "marks", "units"))), "nodes")
+    spread = nodes.select("node", "units", F.posexplode("keys").alias("band", "key"))
     order = F.struct(F.xxhash64("node", "band"), F.col("node"))
     heads = spread.groupBy("band", "key").agg(F.min(order).getField("node").alias("low"), F.max(order).getField("node").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
     pairs = stored(spread.join(heads, ["band", "key"]).select("node", F.explode(F.array("low", "high")).alias("head")).where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
@@ -212,14 +249,11 @@ def near_links(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: i
     texts = stored(cut.join(needed.hint("merge"), ["rid", "tag"]).groupBy("node").agg(F.any_value("text").alias("text")), "texts")
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
-    def checked(pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-        return stored(both.mapInArrow(_similar(threshold, size), "a binary, b binary"), name)
-
-    links = checked(pairs, "links")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    links = stored(both.mapInArrow(_similar(threshold, size), "a binary, b binary"), "links")
     group = stored(components(links), "group")
     buckets = spread.join(heads.where("n > 3").select("band", "key"), ["band", "key"])  # in smaller ones the heads meet all
-    more = checked(stored(_across(texts, buckets, group, threshold, size).join(pairs, ["a", "b"], "left_anti"), "pairs"), "links")
+    more = stored(_across(texts, nodes, buckets, group, rows, threshold, size).distinct(), "links")
     # only links between components can join them further
     ca, cb = group.selectExpr("id AS a", "component AS ca"), group.selectExpr("id AS b", "component AS cb")
     joined = components(more.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
