@@ -143,19 +143,40 @@ def moving_cells(frames: DataFrame, key: str, order: str, w: int, cw: int, ch: i
     return per.groupBy(key, "cell").agg((F.avg((F.col("d") > step).cast("int")) >= share).alias("moving"))
 
 
+def grid_groups(cells: DataFrame, key: str) -> DataFrame:
+    """(key, c, size, x0, y0, x1, y1): groups of cells (x, y) that touch by a side; c is the number of a group, in order of its first cell.
+
+    A frame holds a bounded grid and groups never leave it: one fold, where the components of an open graph take rounds.
+    """
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        left, out = {r[1:] for r in rows}, []
+        for _, y, x in rows:
+            if (y, x) not in left:
+                continue
+            left.remove((y, x))
+            group, new = [], [(y, x)]
+            while new:
+                v, u = new.pop()
+                group.append((v, u))
+                for near in ((v, u + 1), (v, u - 1), (v + 1, u), (v - 1, u)):
+                    if near in left:
+                        left.remove(near)
+                        new.append(near)
+            ys, xs = zip(*group, strict=True)
+            out.append((rows[0][0], len(out), len(group), min(xs), min(ys), max(xs) + 1, max(ys) + 1))
+        return out
+
+    at = cells.select(key, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    return fold_sorted(at, key, ["y", "x"], f"{key} long, c long, size long, x0 long, y0 long, x1 long, y1 long", fold)
+
+
 def moving_zones(frames: DataFrame, key: str, order: str, w: int, h: int, pixel: int = 8, share: float = 0.5, most: float = 0.15) -> DataFrame:
     """(key, x0, y0, x1, y1): boxes of connected pixels that change in at least a share of the steps; none if too much moves."""
-    from screenlake.functions.graph import components
-
     moving = moving_cells(frames, key, order, w, 1, 1, pixel, share).where("moving").select(key, F.col("cell").alias("pos"))
     few = moving.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most * w * h).select(key)
-    m = moving.join(few, key, "left_semi")
-    node = (F.col(key) * (w * h) + F.col("pos")).cast("long")
-    right = m.where(F.col("pos") % w < w - 1).select(key, (F.col("pos") + 1).alias("pos"), node.alias("a"))
-    down = m.select(key, (F.col("pos") + w).alias("pos"), node.alias("a"))
-    edges = right.union(down).join(m.select(key, "pos", node.alias("b")), [key, "pos"]).select("a", "b")
-    found = m.select(key, "pos", node.alias("id")).join(components(edges), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    return found.groupBy(key, "c").agg(F.min(F.col("pos") % w).alias("x0"), F.min(F.floor(F.col("pos") / w)).alias("y0"), (F.max(F.col("pos") % w) + 1).alias("x1"), (F.max(F.floor(F.col("pos") / w)) + 1).alias("y1")).drop("c")
+    cells = moving.join(few, key, "left_semi").select(key, (F.col("pos") % w).alias("x"), F.floor(F.col("pos") / w).alias("y"))
+    return grid_groups(cells, key).drop("c", "size")
 
 
 def standing_text(samples: DataFrame, key: str, still: float = 0.8) -> DataFrame:
@@ -256,27 +277,11 @@ def duplicate_blocks(blocks: DataFrame, key: str, least: int = 40, quote: int =
 def busy_pictures(values: DataFrame, texts: DataFrame, key: str, side: int, spread: float = 18.0, levels: int = 6, text: float = 0.15, least: int = 4) -> DataFrame:
     """(key, cells, x0, y0, x1, y1): pictures, as groups of ``least`` neighbouring busy cells and more.
 
-    A cell (cx, cy) of ``side`` pixels is busy with a deviation over ``spread`` and six grey levels of sixteen, unless text boxes cover more than a share of it. Groups never leave
-    a frame, whose cells are few: one fold.
+    A cell (cx, cy) of ``side`` pixels is busy with a deviation over ``spread`` and six grey levels of sixteen, unless text boxes cover more than a share of it.
     """
     busy = values.groupBy(key, "cx", "cy").agg(F.stddev_pop("v").alias("s"), F.count_distinct(F.floor(F.col("v") / 16)).alias("n")).where((F.col("s") > spread) & (F.col("n") >= levels)).select(key, "cx", "cy")
     lap = lambda a, b, c: F.greatest(F.least(F.col(b), (F.col(c) + 1) * side) - F.greatest(F.col(a), F.col(c) * side), F.lit(0))
     covered = busy.join(texts, key).groupBy(key, "cx", "cy").agg(F.sum(lap("x0", "x1", "cx") * lap("y0", "y1", "cy")).alias("area")).where(F.col("area") > text * side * side)
 
-    def fold(rows: list[tuple]) -> list[tuple]:
-        left, out = {r[1:] for r in rows}, []
-        while left:
-            group, new = [], [left.pop()]
-            while new:
-                x, y = new.pop()
-                group.append((x, y))
-                for near in ((x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)):
-                    if near in left:
-                        left.remove(near)
-                        new.append(near)
-            if len(group) >= least:
-                xs, ys = zip(*group, strict=True)
-                out.append((rows[0][0], len(group), min(xs) * side, min(ys) * side, (max(xs) + 1) * side, (max(ys) + 1) * side))
-        return out
-
-    return fold_sorted(busy.join(covered, [key, "cx", "cy"], "left_anti"), key, ["cy", "cx"], f"{key} long, cells long, x0 long, y0 long, x1 long, y1 long", fold)
+    groups = grid_groups(busy.join(covered, [key, "cx", "cy"], "left_anti").select(key, F.col("cx").alias("x"), F.col("cy").alias("y")), key).where(F.col("size") >= least)
+    return groups.select(key, F.col("size").alias("cells"), *((F.col(c) * side).alias(c) for c in ("x0", "y0", "x1", "y1")))

@@ -41,27 +41,31 @@ def l05(spark, d):
     return views.words(spark, d).select("doc", "line", "k", F.row_number().over(Window.partitionBy("doc").orderBy("y0", "x0", "line", "k")).alias("turn"))
 
 
-def grid(spark, d):
-    """Pixels above a bar as (frame, x, y, id), and edges between 4-neighbours."""
-    p = views.thumbs(spark, d).select("frame", F.posexplode("thumb").alias("pos", "v")).where("v > 140")
-    p = p.select("frame", (F.col("pos") % 8).alias("x"), F.floor(F.col("pos") / 8).alias("y"), (F.col("frame") * 64 + F.col("pos")).alias("id"))
-    right = p.select("frame", (F.col("x") + 1).alias("x"), "y", F.col("id").alias("a"))
-    down = p.select("frame", "x", (F.col("y") + 1).alias("y"), F.col("id").alias("a"))
-    return p, right.union(down).join(p.select("frame", "x", "y", F.col("id").alias("b")), ["frame", "x", "y"]).select("a", "b")
-
-
 def blobs(spark, d):
-    p, edges = grid(spark, d)
-    j = p.join(components(edges), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    return j.groupBy("frame", "c").agg(F.count(F.lit(1)).alias("size"), F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
+    """Groups of neighbouring pixels above a bar, of each frame."""
+    p = views.thumbs(spark, d).select("frame", F.posexplode("thumb").alias("pos", "v")).where("v > 140")
+    return votes.grid_groups(p.select("frame", (F.col("pos") % 8).alias("x"), F.floor(F.col("pos") / 8).alias("y")), "frame")
 
 
 GRID = "p AS (SELECT frame, i % 8 AS x, i // 8 AS y, frame * 64 + i AS id FROM (SELECT frame, generate_subscripts(thumb, 1) - 1 AS i, unnest(thumb) AS v FROM thumbs) WHERE v > 140), e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.frame = b.frame AND abs(a.x - b.x) + abs(a.y - b.y) = 1)"
 
 
-@query("CC01_components", "thumbs", f"{GRID} SELECT frame, c, count(*) AS size, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM (SELECT p.*, (WITH RECURSIVE r(n) AS (SELECT p.id UNION SELECT e.b FROM r JOIN e ON e.a = r.n) SELECT min(n) FROM r) AS c FROM p) GROUP BY frame, c")
+@query("CC01_components", "thumbs", f"{GRID}, r AS (WITH RECURSIVE r(id, n) AS (SELECT id, id FROM p UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.n) SELECT id, min(n) AS c FROM r GROUP BY id) SELECT frame, count(*) AS size, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM p JOIN r ON p.id = r.id GROUP BY frame, c")
 def cc01(spark, d):
-    return blobs(spark, d)
+    return blobs(spark, d).drop("c")
+
+
+def shared_names(spark, d):
+    n = views.names(spark, d).select("key", F.explode(F.slice(F.split("name", " "), 1, 2)).alias("word"), F.floor(F.col("key") / 50).alias("lot"))
+    first = n.groupBy("lot", "word").agg(F.min("key").alias("first"))
+    return n.join(first, ["lot", "word"]).where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+
+
+@query("CC01b_open_graph", "names", """w AS (SELECT key, key // 50 AS lot, unnest(string_split(name, ' ')[1:2]) AS word FROM names), f AS (SELECT lot, word, min(key) AS first FROM w GROUP BY ALL), e AS (SELECT DISTINCT first AS a, key AS b FROM w JOIN f ON w.lot = f.lot AND w.word = f.word WHERE key <> first), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (WITH RECURSIVE r(id, n) AS (SELECT DISTINCT a, a FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.n) SELECT id, min(n) AS component FROM r GROUP BY id) SELECT id, component FROM r""")
+def cc01b(spark, d):
+    """Names of a lot that share a word, directly or through others."""
+    return components(shared_names(spark, d))
 
 
 BLOBS = f"{GRID}, r AS (WITH RECURSIVE r(id, n) AS (SELECT id, id FROM p UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.n) SELECT id, min(n) AS c FROM r GROUP BY id), g AS (SELECT frame, c, count(*) AS size FROM p JOIN r ON p.id = r.id GROUP BY frame, c)"
