@@ -59,9 +59,8 @@ def learn(docs: DataFrame, sample_docs: int = 300, dict_bytes: int = 112 << 10,
             words = r.text.split()  # a place inside a text may cut words
             own.append(letters_only(" ".join(words[int(r.inner) : len(words) - int(r.cut)]).encode()))
     for lang, own in pieces.items():
-        data = b"\n".join(x for x in own if x)[:share]
-        if len(data) >= 8:
-            out[lang] = data
+        if data := b"\n".join(x for x in own if x)[:share]:
+            out[lang] = data.rjust(8)  # zstandard takes no less
     return out
 
 

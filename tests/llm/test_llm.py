@@ -435,7 +435,7 @@ def test_base_counts_against_brute_force(spark, sf):
 
 def test_the_end_of_a_text_is_a_chunk_too(spark):
     r = random.Random(5)
-    prose, noise = words(3000, 9)[:8192], "".join(chr(r.randrange(33, 0x2FF)) + (" " if k % 9 == 0 else "") for k in range(2600))
+    prose, noise = words(3000, 9)[:8192], "".join(chr(r.randrange(33, 0x2FF)) + (" " if k % 9 == 0 else "") for k in range(1500))
     got = {x.doc_id: x for x in quality.quality(spark.createDataFrame([(1, prose), (2, prose[:4096] + noise)], "doc_id long, text string")).collect()}
     assert got[1].kept and got[2].chunks == 2 and got[2].bad_chunks == 1 and not got[2].kept
 
