@@ -10,8 +10,9 @@ cut would tip it by more than 1/64 of a shard, the point goes right and the cut
 law `bytes` is within a few hundredths of the mean, unless it has only a few points.
 
 Scale: all is DataFrame functions. A level needs the ranges per node and three passes of a histogram
-that narrows each node's cut from 2^16 buckets to one value; only tables of a row per node reach the driver, at most
-twice the number of shards. Ranks of values come from a range-partitioned sort of the distinct ones and joins. Slots come from counts of hashed parts of a shard, so no shard is ever sorted whole.
+that narrows each node's cut from 2^16 buckets to one value, or one where no node has more points than that; only tables of a row per node
+reach the driver, at most twice the number of shards. Ranks of values come from a range-partitioned sort of the distinct ones and joins. Slots
+come from counts of hashed parts of a shard, so no shard is ever sorted whole.
 
 Defined cases: a null or empty text weighs 16 bytes a row and all such rows are one point each (null and empty
 apart); null metadata counts as the least value, and so does a doc_id that is no integer; where there are fewer texts than shards some shards stay empty; an empty table gives
@@ -63,16 +64,16 @@ def _inline(spark, names: str, rows: list[tuple]) -> DataFrame:
 SKIPS, ENDLESS = 10, 1 << 62
 
 
-def _quantiles(points: DataFrame, cuts: dict[int, dict], dims: list[str], weight: str) -> dict[int, tuple[int, float, float]]:
-    """For each node the value, from ``low`` on, at which its sum of weights, from ``done`` on, reaches ``goal``; the sum before that value, and the weight at it."""
+def _quantiles(points: DataFrame, cuts: dict[int, dict], dims: list[str], weight: str, small: bool) -> dict[int, tuple[int, float, float]]:
+    """For each node the value, from ``low`` on, at which its sum of weights, from ``done`` on, reaches ``goal``; the sum before that value, and the weight at it. ``small``: no node has more points than a histogram has buckets."""
     spark = points.sparkSession
     at_node = {k: (c["low"], c["done"], 0.0) for k, c in cuts.items()}
-    for step in (32, 16, 0):  # 2^16 buckets narrow to one value in three passes
+    for step in (0,) if small else (32, 16, 0):  # 2^16 buckets narrow to one value in three passes
         if not at_node:
             break
         plan = _inline(spark, "leaf, axis, goal, low", [(k, cuts[k]["axis"], f"{cuts[k]['goal'] - done!r}D", f"{low}L") for k, (low, done, _) in at_node.items()])
         here = points.join(F.broadcast(plan), "leaf").withColumn("at", F.element_at(F.array(*dims), F.col("axis") + 1))
-        here = here.where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("low") + (1 << (step + 16))))
+        here = here.where((F.col("at") >= F.col("low")) & (F.lit(small) | (F.col("at") < F.col("low") + (1 << (step + 16)))))
         parts = here.withColumn("part", F.shiftright(F.col("at") - F.col("low"), step)).groupBy("leaf", "goal", "part").agg(F.sum(weight).alias("w"))
         upto = F.sum("w").over(Window.partitionBy("leaf").orderBy("part"))
         rows = parts.withColumn("upto", upto).where("upto >= goal").groupBy("leaf").agg(F.min(F.struct("part", "upto", "w")).alias("m")).collect()
@@ -88,7 +89,7 @@ def kd_leaves(points: DataFrame, leaves: int, dims: list[str], weight: str = "we
     while wide := {k: v for k, v in nodes.items() if v[1] > 1}:
         df = stored(df, "tree")
         live = df.join(F.broadcast(_inline(spark, "leaf", [(k,) for k in wide])), "leaf")
-        spans = live.groupBy("leaf").agg(F.sum(weight).alias("total"), *(F.struct(F.min(d), F.max(d)).alias(d) for d in dims)).collect()
+        spans = live.groupBy("leaf").agg(F.sum(weight).alias("total"), F.count(F.lit(1)).alias("points"), *(F.struct(F.min(d), F.max(d)).alias(d) for d in dims)).collect()
         if not spans:  # no rows are left to split
             return df
         cuts = {}
@@ -96,9 +97,9 @@ def kd_leaves(points: DataFrame, leaves: int, dims: list[str], weight: str = "we
             first, m = wide[r["leaf"]]
             axis = max(range(len(dims)), key=lambda i: ((r[dims[i]][1] >> 24) - (r[dims[i]][0] >> 24), -i))
             cuts[r["leaf"]] = {"axis": axis, "goal": r["total"] * (m // 2) / m, "slack": r["total"] / m / 64, "low": 0, "done": 0.0, "take": True, "skips": []}
-        todo = cuts
+        todo, small = cuts, max(r["points"] for r in spans) <= 1 << 16
         while todo:
-            found = _quantiles(live, todo, dims, weight)
+            found = _quantiles(live, todo, dims, weight, small)
             again = {}
             for k, c in todo.items():
                 if k not in found:  # all that is left belongs to the left
