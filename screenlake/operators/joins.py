@@ -185,7 +185,7 @@ def dropped_close(panes: DataFrame, drawn: DataFrame, group: str, least: int = 3
                 out += [(rows[0][0], pane, best, n) for n in sorted(names) if not any(fs.close_names(n, m) for m in tables[best])]
         return out
 
-    both = panes.select(group, F.lit(0).alias("side"), F.col("pane").alias("at"), "name").union(drawn.select(group, F.lit(1).alias("side"), F.col("table").alias("at"), "name")).distinct()
+    both = panes.select(group, F.lit(0).alias("side"), F.col("pane").alias("at"), "name").union(drawn.select(group, F.lit(1).alias("side"), F.col("table").alias("at"), "name")).where("name is not null").distinct()
     return fold_sorted(both, group, ["side", "at", "name"], f"{group} long, pane long, table long, name string", fold)
 
 
@@ -385,7 +385,7 @@ def near_twins(rows: DataFrame, key: str) -> DataFrame:
                 groups.append([r, rest, name, weight, 1])
         return [(rows[0][0], g[0], g[4]) for g in groups]
 
-    return fold_sorted(rows.select(key, "r", "rest", "name", "votes", "ok"), key, ["r"], f"{key} long, r long, twins long", fold)
+    return fold_sorted(rows.select(key, "r", "rest", F.coalesce("name", F.lit("")).alias("name"), "votes", "ok"), key, ["r"], f"{key} long, r long, twins long", fold)
 
 
 def title_evidence(tokens: DataFrame, known: DataFrame, near: int = 40) -> DataFrame:

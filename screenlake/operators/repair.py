@@ -189,7 +189,8 @@ def respelt(rows: DataFrame, settled: DataFrame, key: str) -> DataFrame:
             out.append((k, r, name))
         return out
 
-    both = settled.select(key, F.lit(0).alias("side"), "r", "name", "cells").union(rows.select(key, F.lit(1).alias("side"), "r", "name", "cells"))
+    full = lambda df, side: df.select(key, F.lit(side).alias("side"), "r", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("cells", F.array().cast("array<string>")).alias("cells"))
+    both = full(settled, 0).union(full(rows, 1))
     return fold_sorted(both, key, ["side", "r"], f"{key} long, r long, name string", fold)
 
 
