@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlake.llm import chat, decontaminate, lm_score, mixing, near_dedup, quality, repeats, sharding
+from screenlake.llm import chat, decontaminate, lm_score, mixing, near_dedup, phrases, quality, repeats, sharding
 from screenlake.llm import language as tongue
 from screenlake.llm import toxicity as toxic
 
@@ -81,9 +81,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxic.fold_of(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_mix, op4_language, op5_decontaminate, op6_repeats, op7_lm_score, op8_shard, op9_chat, op10_toxicity)}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_mix, op4_language, op5_decontaminate, op6_repeats, op7_lm_score, op8_shard, op9_chat, op10_toxicity, op13_phrases)}
 
 ORACLE = {
+    "op13_phrases": r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+g AS (SELECT lang, s AS size, array_to_string(w[k : k + s - 1], ' ') AS phrase FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS k FROM w, (SELECT unnest(range(1, 6)) AS s) WHERE len(w) >= s)),
+c AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+p AS (SELECT *, string_split(phrase, ' ') AS w FROM c WHERE size > 1),
+k AS (SELECT p.lang, phrase, w, size, f, unnest(range(1, size)) AS k FROM p),
+s AS (SELECT k.lang, k.phrase, k.f AS a, x.f AS l, y.f AS r, n.n, k.k, (1000::HUGEINT * k.f * n.n) // (x.f::HUGEINT * y.f) AS score
+ FROM k JOIN c x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1 : k.k], ' ') JOIN c y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k.k + 1 : k.size], ' ') JOIN n ON n.lang = k.lang),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(w[t : t + z - 1], ' ') AS phrase, max(f) AS f FROM (SELECT lang, w, f, z, unnest(range(1, size - z + 2)) AS t FROM p, (SELECT unnest(range(2, 5)) AS z) WHERE z < size) GROUP BY ALL),
+o AS (SELECT m.* FROM m LEFT JOIN i ON i.lang = m.lang AND i.phrase = m.phrase WHERE i.f IS NULL OR 100 * i.f < 100 * m.a)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""",
     "op5_decontaminate": r"""
 WITH fold AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 items AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
