@@ -48,15 +48,15 @@ class Codes(dict):
 
     def __init__(self, lang: bytes, bits: np.ndarray | None):
         self.seed, self.bits = xxhash.xxh3_64_intdigest(lang), bits
-        self[b"\n"] = 0
 
-    def __missing__(self, word: bytes) -> int:
+    def of(self, words: list[bytes]) -> np.ndarray:
         if len(self) > MOST:
             self.clear()
-            self[b"\n"] = 0
-        h = xxhash.xxh3_64_intdigest(word, self.seed) or 1
-        h = self[word] = h if self.bits is None or inside(self.bits, np.array([h], U))[0] else 0
-        return h
+        self[b"\n"] = 0
+        new = list(set(words).difference(self))
+        h = np.fromiter((xxhash.xxh3_64_intdigest(w, self.seed) or 1 for w in new), U, len(new))
+        self.update(zip(new, (h if self.bits is None else np.where(inside(self.bits, h), h, U(0))).tolist(), strict=True))
+        return np.fromiter(map(self.__getitem__, words), U, len(words))
 
 
 def inside(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -105,28 +105,26 @@ def _chunks(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Itera
             codes.clear()
 
 
-def _rows(found: dict[tuple[bytes, bytes], int], hashed: dict[bytes, Codes] | None = None) -> pa.RecordBatch:
+def _rows(found: dict[tuple[bytes, bytes], int], hashed: bool = False) -> pa.RecordBatch:
     langs, texts = ([k[i] for k in found] for i in (0, 1))
     cols = {"lang": pa.array(langs, pa.binary()).cast(pa.string()), "phrase": pa.array(texts, pa.binary()).cast(pa.string()), "c": pa.array(list(found.values()), pa.int64())}
-    if hashed is not None:
-        cols["h"] = pa.array(np.array([hashed[k[0]][k[1]] for k in found], U).view(np.int64))
+    if hashed:
+        seeds = {lang: Codes(lang, None).seed for lang in set(langs)}
+        cols["h"] = pa.array(np.array([xxhash.xxh3_64_intdigest(w, seeds[lang]) or 1 for lang, w in found], U).view(np.int64))
     return pa.RecordBatch.from_pydict(cols)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: Counter = Counter()
-    codes: dict[bytes, Codes] = {}
     for lang, _, words in _chunks(batches, None):
-        codes.setdefault(lang, Codes(lang, None))
         own = Counter(words)
         own.pop(b"\n", None)
         for word, c in own.items():
             found[lang, word] += c
         if len(found) > MOST:
-            yield _rows(found, codes)
+            yield _rows(found, True)
             found.clear()
-            codes.clear()
-    yield _rows(found, codes)
+    yield _rows(found, True)
 
 
 def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +160,7 @@ def _bigrams(bits: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Combined()
         for _, codes, words in _chunks(batches, bits.value):
-            _, h = grams(np.fromiter(map(codes.__getitem__, words), U, len(words)), 2)
+            _, h = grams(codes.of(words), 2)
             yield from out.add(h, np.ones(len(h), np.int64))
         yield from out.flush()
 
@@ -216,7 +214,7 @@ def _runs(words_in: Broadcast, bigrams_in: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for lang, codes, words in _chunks(batches, words_in.value):
-            at, h = grams(np.fromiter(map(codes.__getitem__, words), U, len(words)), 2)
+            at, h = grams(codes.of(words), 2)
             at = at[inside(bigrams_in.value, h)]
             ends = np.flatnonzero(np.concatenate([at[1:] != at[:-1] + 1, [True]])) if len(at) else at
             starts = np.concatenate([[0], ends[:-1] + 1]) if len(at) else at
@@ -243,7 +241,7 @@ def _run_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[
             size.append(len(own) + 1)
         for lang, (words, count, size) in held.items():
             own = codes.setdefault(lang, Codes(lang, None))
-            yield lang, words, np.fromiter(map(own.__getitem__, words), U, len(words)), np.repeat(np.array(count, np.int64), size)
+            yield lang, words, own.of(words), np.repeat(np.array(count, np.int64), size)
 
 
 def _longer(orders: range) -> Callable:

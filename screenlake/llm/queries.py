@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenlake.llm import chat, decontaminate, lm_score, mixing, near_dedup, phrases, quality, repeats, sharding
+from screenlake.llm import chat, decontaminate, lm_score, mixing, near_dedup, negatives, phrases, quality, repeats, set_join, sharding
 from screenlake.llm import language as tongue
 from screenlake.llm import toxicity as toxic
 
@@ -81,13 +81,40 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxic.fold_of(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(negatives.quantised(rows))
+
+
+def op12_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.linked_sets(table(spark, sf_dir, "documents")).withColumnRenamed("rid", "doc_id")
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_mix, op4_language, op5_decontaminate, op6_repeats, op7_lm_score, op8_shard, op9_chat, op10_toxicity, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_near_dedup, op3_mix, op4_language, op5_decontaminate, op6_repeats, op7_lm_score, op8_shard, op9_chat, op10_toxicity, op11_negatives, op12_set_join, op13_phrases)}
 
 ORACLE = {
+    "op12_set_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + least(5, len(w)) - 1], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS k FROM w WHERE len(w) > 0)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS root FROM w UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id)
+SELECT r.id AS doc_id, coalesce(any_value(z.n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN z ON z.doc_id = r.id GROUP BY r.id""",
+    "op11_negatives": r"""
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS aid, b.id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT aid, id AS pid, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY aid ORDER BY score DESC, id) <= 5),
+r AS (SELECT p.aid, p.pid, p.ps, s.id, s.score, row_number() OVER (PARTITION BY p.aid, p.pid ORDER BY s.score DESC, s.id) AS rank
+ FROM p JOIN s ON s.aid = p.aid AND NOT s.same AND 30 * p.ps <= 100 * s.score AND 100 * s.score <= 90 * p.ps)
+SELECT aid AS anchor_id, pid AS positive_id, CAST(rank AS INTEGER) AS rank, id AS negative_id, ps AS positive_score, score AS negative_score FROM r WHERE rank <= 10""",
     "op13_phrases": r"""
 WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
