@@ -138,31 +138,38 @@ def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Combined:
-    """Hashes with counts, combined before they leave a task; holds some millions."""
+    """Hashes with counts, combined before they leave a task; holds some millions.
 
-    def __init__(self, most: int = 3_000_000):
-        self.most, self.held, self.size = most, [], 0
+    The last that leaves is a summary: ``spare`` is taken off every counter, and those that reach nothing go.
+    """
+
+    def __init__(self, spare: int, most: int = 3_000_000):
+        self.spare, self.most, self.held, self.size = spare, most, [], 0
 
     def add(self, h: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append((h, c))
         self.size += len(h)
         if self.size > self.most:
-            yield from self.flush()
+            self.held = [_summed(*(np.concatenate(x) for x in zip(*self.held, strict=True)))]
+            self.size = len(self.held[0][0])
+            if self.size > self.most // 2:
+                yield from self.flush(0)
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
+    def flush(self, spare: int) -> Iterator[pa.RecordBatch]:
         if self.held:
             h, c = _summed(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
             self.held, self.size = [], 0
+            h, c = h[c > spare], c[c > spare] - spare
             yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "c": c.astype(np.int64)})
 
 
-def _bigrams(bits: Broadcast) -> Callable:
+def _bigrams(bits: Broadcast, spare: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Combined()
+        out = Combined(spare)
         for _, codes, words in _chunks(batches, bits.value):
             _, h = grams(codes.of(words), 2)
             yield from out.add(h, np.ones(len(h), np.int64))
-        yield from out.flush()
+        yield from out.flush(spare)
 
     return run
 
@@ -193,21 +200,28 @@ def misra_gries(parts: Iterator[tuple[np.ndarray, np.ndarray]], threshold: int,
     return h, c, taken
 
 
-def _summaries(threshold: int, capacity: int) -> Callable:
+def _summaries(threshold: int, capacity: int, lost: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, c, taken = misra_gries(((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches), threshold, capacity)
-        may = c + taken >= threshold
+        h, c, taken = misra_gries(((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches), threshold - lost, capacity)
+        may = c + taken + lost >= threshold
         yield pa.RecordBatch.from_pydict({"h": h[may], "c": c[may]})
 
     return run
 
 
-def frequent(hashed: DataFrame, threshold: int, mass: int) -> DataFrame:
-    """(h, c): all hashes whose counts in ``hashed`` (h, c) may sum to ``threshold``; ``mass`` is a bound on the sum of all counts."""
-    spark = hashed.sparkSession
+def frequent(rows: DataFrame, hashed: Callable[[int], Callable], threshold: int, mass: int) -> DataFrame:
+    """(h, c): all hashes that may occur ``threshold`` times in what ``hashed`` tells of ``rows``; ``mass`` is a bound on the number of occurrences.
+
+    ``hashed(spare)`` is the function of a map task. All map tasks together may take half of the threshold off a counter, the summaries of the hash partitions the rest; with many tasks
+    the share of each is nothing, and what they tell is exact.
+    """
+    spark = rows.sparkSession
+    tasks = max(1, rows.rdd.getNumPartitions())
+    spare = (threshold - 1) // (2 * tasks)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    capacity = 2 * mass // (parts * threshold) + 1024
-    return stored(hashed.repartition(parts, "h").mapInArrow(_summaries(threshold, capacity), "h long, c long"), "survivors")
+    capacity = 2 * mass // (parts * (threshold - spare * tasks)) + 1024
+    told = rows.coalesce(tasks).mapInArrow(hashed(spare), "h long, c long")  # no more tasks than were counted
+    return stored(told.repartition(parts, "h").mapInArrow(_summaries(threshold, capacity, spare * tasks), "h long, c long"), "survivors")
 
 
 def _runs(words_in: Broadcast, bigrams_in: Broadcast) -> Callable:
@@ -244,14 +258,14 @@ def _run_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[
             yield lang, words, own.of(words), np.repeat(np.array(count, np.int64), size)
 
 
-def _longer(orders: range) -> Callable:
+def _longer(orders: range, spare: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Combined()
+        out = Combined(spare)
         for _, _, codes, count in _run_codes(batches):
             for n in orders:
                 at, h = grams(codes, n)
                 yield from out.add(h, count[at])
-        yield from out.flush()
+        yield from out.flush(spare)
 
     return run
 
@@ -281,10 +295,10 @@ def phrase_counts(docs: DataFrame, threshold: int = 100, longest: int = 5, text_
     singles = words.where(F.col("f") >= threshold)
     mass = words.agg(F.sum("f")).first()[0] or 0
     common = filter_of(singles.select("h"))
-    pairs = frequent(said.mapInArrow(_bigrams(common), "h long, c long"), threshold, mass)
+    pairs = frequent(said, lambda spare: _bigrams(common, spare), threshold, mass)
     rows = said.mapInArrow(_runs(common, filter_of(pairs)), "lang string, phrase string, c long")
     runs = stored(rows.groupBy("lang", "phrase").agg(F.sum("c").alias("c")), "runs")
-    more = frequent(runs.mapInArrow(_longer(range(3, longest + 1)), "h long, c long"), threshold, mass * max(1, longest - 2))
+    more = frequent(runs, lambda spare: _longer(range(3, longest + 1), spare), threshold, mass * max(1, longest - 2))
     both = filter_of(pairs.unionByName(more))
     exact = runs.mapInArrow(_exact(both, range(2, longest + 1)), "lang string, phrase string, c long").groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= threshold)
     counts = exact.unionByName(singles.select("lang", "phrase", "f"))
