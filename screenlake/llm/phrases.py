@@ -209,15 +209,15 @@ def _summaries(threshold: int, capacity: int, lost: int) -> Callable:
     return run
 
 
-def frequent(rows: DataFrame, hashed: Callable[[int], Callable], threshold: int, mass: int) -> DataFrame:
+def frequent(rows: DataFrame, hashed: Callable[[int], Callable], threshold: int, mass: int, share: float = 0.0) -> DataFrame:
     """(h, c): all hashes that may occur ``threshold`` times in what ``hashed`` tells of ``rows``; ``mass`` is a bound on the number of occurrences.
 
-    ``hashed(spare)`` is the function of a map task. All map tasks together may take half of the threshold off a counter, the summaries of the hash partitions the rest; with many tasks
-    the share of each is nothing, and what they tell is exact.
+    ``hashed(spare)`` is the function of a map task. All map tasks together may take a ``share`` of the threshold off a counter, the summaries of the hash partitions the rest; what the tasks took
+    widens what survives. With many tasks the part of each is nothing, and what they tell is exact.
     """
     spark = rows.sparkSession
     tasks = max(1, rows.rdd.getNumPartitions())
-    spare = (threshold - 1) // (2 * tasks)
+    spare = int(share * (threshold - 1)) // tasks
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     capacity = 2 * mass // (parts * (threshold - spare * tasks)) + 1024
     told = rows.coalesce(tasks).mapInArrow(hashed(spare), "h long, c long")  # no more tasks than were counted
@@ -298,7 +298,7 @@ def phrase_counts(docs: DataFrame, threshold: int = 100, longest: int = 5, text_
     pairs = frequent(said, lambda spare: _bigrams(common, spare), threshold, mass)
     rows = said.mapInArrow(_runs(common, filter_of(pairs)), "lang string, phrase string, c long")
     runs = stored(rows.groupBy("lang", "phrase").agg(F.sum("c").alias("c")), "runs")
-    more = frequent(runs, lambda spare: _longer(range(3, longest + 1), spare), threshold, mass * max(1, longest - 2))
+    more = frequent(runs, lambda spare: _longer(range(3, longest + 1), spare), threshold, mass * max(1, longest - 2), 0.5)
     both = filter_of(pairs.unionByName(more))
     exact = runs.mapInArrow(_exact(both, range(2, longest + 1)), "lang string, phrase string, c long").groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where(F.col("f") >= threshold)
     counts = exact.unionByName(singles.select("lang", "phrase", "f"))
