@@ -267,25 +267,6 @@ def lexicon_names(readings: DataFrame, lexicon: DataFrame, least: int = 2) -> Da
     return exact.union(one.join(exact, "key", "left_anti"))
 
 
-def lexicon_likely(readings: DataFrame, lexicon: DataFrame, least: int = 2, ends: int = 3) -> DataFrame:
-    """(key, name): the one known name that a mangled reading of six letters and more plainly is, where it is not an exact fold.
-
-    A cut reading must fit a name by both ends, loosely; one of ten letters may be its beginning or end; else likeness decides
-    (``fs.likely_name``). Names are candidates if they share the first or the last ``ends`` letters of the fold, and are gathered per reading, not all at once.
-    """
-    lex = lexicon.where(F.col("sightings") >= least).select("fold", F.col("name").alias("whole"))
-    side = lambda df: df.withColumn("block", F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.left("fold", F.lit(ends))), F.concat(F.lit(">"), F.right("fold", F.lit(ends)))))))
-    r = readings.select("key", "reading", fs.flat(F.col("reading")).alias("fold")).where("length(fold) >= 6").join(lexicon.select("fold").distinct(), "fold", "left_anti")
-    # readings that repeat are asked once
-    asked = r.select("reading", "fold").distinct()
-    near = side(asked).join(side(lex).select("block", F.col("fold").alias("f"), "whole"), "block")
-    # what no tier can reach is dropped before it is gathered
-    n, m = F.length("fold"), F.length("f")
-    near = near.where(F.contains("reading", F.lit("…")) | F.contains("reading", F.lit("..")) | (F.abs(n - m) <= 0.35 * n) | (m > n + 3)).select("reading", "whole").distinct()
-    picked = near.groupBy("reading").agg(F.array_sort(F.collect_list("whole")).alias("names")).select("reading", fs.likely_name("reading", "names").alias("name")).where("name is not null")
-    return r.join(picked, "reading").select("key", "name")
-
-
 def overlap_join(head: Column, tail: Column, least: int = 3) -> Column:
     """Two cuts of one name joined where the longest suffix of one is the prefix of the other; null where they do not meet."""
     most = F.least(F.length(head), F.length(tail))

@@ -27,7 +27,7 @@ def reconciled(rows: DataFrame, primary: str, second: str) -> DataFrame:
     said = said.withColumn("_m", F.when(open_ & same, fs.merged_readings(F.col("_p"), F.col("_s"))))
     said = said.withColumn("_g", F.when(open_ & ~same & (F.length("_lp") == F.length("_ls")), fs.only_lookalikes(F.col("_lp"), F.col("_ls"))))
     rest = open_ & ~same & ~F.coalesce("_g", F.lit(False))
-    said = said.withColumn("_h", fs.agreed_head(F.when(rest, F.col("_p")), F.when(rest, F.col("_s"))))
+    said = fs.agreed_head(said.withColumns({"_a": F.when(rest, F.col("_p")), "_b": F.when(rest, F.col("_s"))}), "_a", "_b", "_h")
     status = (
         F.when(F.col("_s") == "", "unverified")
         .when(F.col("_p") == F.col("_s"), "confident")

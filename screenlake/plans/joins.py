@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from screenlake.operators import joins, scans
+from screenlake.operators import joins, near_names, scans
 from screenlake.plans.predicates import PAIR, SHARED, pairs
 from screenlake.plans.registry import query
 from screenlake.plans.texts import flat
@@ -200,7 +200,7 @@ def j18(spark, d):
 @query("J18b_likely_names")
 def j18b(spark, d):
     n = views.names(spark, d)
-    return joins.lexicon_likely(n, scans.lexicon(n, "name"))
+    return near_names.lexicon_likely(n, scans.lexicon(n, "name"))
 
 
 @query("J19_splice", "names", "SELECT key, CASE WHEN substr(name, 1, 7) <> '' AND length(name) >= 7 THEN name END AS spliced FROM names WHERE length(name) >= 7")

@@ -85,7 +85,7 @@ def f10(spark, d):
 
 @query("F11_agreed_head")
 def f11(spark, d):
-    rows = views.two(spark, d).withColumn("h", fs.agreed_head("a", "b"))
+    rows = fs.agreed_head(views.two(spark, d), "a", "b", "h")
     return rows.select("doc", "line", F.col("h.text").alias("agreed"), F.col("h.status").alias("status"))
 
 

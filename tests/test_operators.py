@@ -110,18 +110,6 @@ def test_components_of_a_long_chain(spark):
     assert {r.component for r in got.collect()} == {0}
 
 
-def test_stretch_stream_equals_batch(spark, sf):
-    from screenlake.sources import views
-
-    s = views.samples(spark, sf).select("video", "t", "seq", "call", "level", "frac")
-    batch = carriers.batch_fold(s, "video", ["t", "seq"], carriers.STRETCH, carriers.stretch_step(30.0)).collect()
-    full = {tuple(r) for r in states.stretches(s, 30.0).collect()}
-    assert {tuple(r) for r in batch} < full  # the step tells closed stretches; the stream's open ones are read from its state
-    from screenlake.plans import catalog
-
-    assert {tuple(r) for r in catalog.QUERIES["ST01_stretches"](spark, sf).collect()} == full
-
-
 def test_entry():
     e = importlib.import_module("__spark_entry__")
     assert set(e.oracle_sql()) <= set(e.queries())
@@ -132,15 +120,6 @@ def test_unknown_kinds_of_rows_do_not_fail(spark):
     assert components(empty).count() == 0
 
 
-def test_agreed_head_marks_what_is_cut():
-    assert fs.agreed("alpha beta gamma Kn", "alpha beta gamma") == ("alpha beta gamma", "cut", "Kn", "")
-    assert fs.agreed("alpha beta gamma xyzq", "alpha beta gamma 12345") == ("alpha beta gamma", "cut", "xyzq", "12345")
-    assert fs.agreed("alpha beta gamma", "alpha beta gamma delta epsilon")[:2] == ("alpha beta gamma delta epsilon", "reconciled")
-    assert fs.agreed("second line here", "first line second line here too")[1] == "reconciled"
-    assert fs.agreed("alpha beta gamma delta", "alpha beta gamma de1ta") is None  # like tails are a substitution
-    assert fs.agreed("alpha", "omega") is None
-
-
 def test_ladder_uses_the_agreed_head(spark):
     df = spark.createDataFrame([(1, "alpha beta gamma Kn", "alpha beta gamma"), (2, "> notes", "notes"), (3, None, "x")], "k int, a string, b string")
     got = {r.k: (r.text, r.status) for r in readings.reconciled(df, "a", "b").collect()}
@@ -179,20 +158,6 @@ def test_close_names():
     assert not fs.close_names("abc", "abd") and not fs.close_names("invoices", "receipts")
 
 
-def test_likely_names():
-    names = ["user_moves_fast_dont_pad_timelines.md", "feedback_code_tracker.md", "reference_stripe_api_version.md", "reference_stripe_api_version"]
-    assert fs.likely("user_moves_fast_..pad_timelins.md", names) == "user_moves_fast_dont_pad_timelines.md"
-    assert fs.likely("feedback_co", names) == "feedback_code_tracker.md"
-    assert fs.likely("referenc_stripe_apl_version.md", names) == "reference_stripe_api_version.md"  # one file, however spelt
-    assert fs.likely("00 Inbox", ["0oInboxes two"]) is None
-
-
-def test_likely_name_join(spark):
-    lex = spark.createDataFrame([("usermovesfastdontpadtimelinesmd", "user_moves_fast_dont_pad_timelines.md", 3), ("rarename", "rare_name", 1)], "fold string, name string, sightings long")
-    got = joins.lexicon_likely(spark.createDataFrame([(1, "user_moves_fast_..pad_timelins.md"), (2, "rare_nane"), (3, "user")], "key long, reading string"), lex).collect()
-    assert [(r.key, r.name) for r in got] == [(1, "user_moves_fast_dont_pad_timelines.md")]
-
-
 def test_respaced_confirmation(spark):
     rows = [(1, 0, "Youenteryouremail.", "You enter your email."), (1, 1, "R78", "nothing"), (1, 2, "straße", "strae"), (1, 3, None, "x")]
     got = {r.line: (r.confirmed, r.text) for r in joins.confirmed_by(spark.createDataFrame(rows, "doc long, line int, a string, b string"), "doc", "line").collect()}
@@ -370,16 +335,6 @@ def test_states_of_a_window(spark):
     assert built == [(1, 0, 1, 3, 7), (1, 1, 4, 4, 2)]
 
 
-def test_carried_words_and_newly_readable():
-    step, state = carriers.carried_words_step(4), {}
-    row = lambda t, x, words: {"video": 1, "t": t, "id": t, "x0": x, "y0": 0, "x1": x + 50, "y1": 40, "words": words}
-    assert step(state, row(1, 100, "old")) == [] and step(state, row(2, 101, "new")) == []
-    assert step(state, row(3, 103, None)) == [{"video": 1, "t": 3, "id": 3, "words": "new", "since": 2}]
-    assert step(state, row(4, 120, None)) == []
-    say = lambda x: carriers.newly_step(seen, {"video": 1, "ts": 0, "rect": 0, "said": x})[0]["newly"]
-    seen: dict = {}
-    assert [say("a b"), say("B c"), say("a")] == ["a b", "c", "a"]
-
 
 def test_paths_mend_between_anchors_only():
     assert layout.mended_path([["HD", "Users", "docs"], ["HD", "Users", "jared", "docs"], ["docs", "more"]]) == ["HD", "Users", "jared", "docs"]
