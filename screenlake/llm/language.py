@@ -46,7 +46,7 @@ def learn(docs: DataFrame, sample_docs: int = 300, dict_bytes: int = 112 << 10,
     each = max(64, share // docs_each)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     # twice as many as needed, since copies give one piece
-    picked = rows.join(counts, "lang").where(part * F.col("n") < 2 * docs_each * (1 << 30))
+    picked = rows.join(counts, "lang").where(part.cast("double") * F.col("n") < 2.0 * docs_each * (1 << 30))
     room = F.greatest(F.length("text") - each, F.lit(0)) + 1
     begin = F.pmod(F.xxhash64("text", F.lit("place")), room) + 1
     picked = picked.select("lang", part.alias("part"), F.xxhash64("text").alias("print"), F.substring("text", begin, F.lit(each)).alias("text"), (begin > 1).alias("inner"), (begin < room).alias("cut")).collect()

@@ -114,7 +114,7 @@ def _sketches(k: int, rows: int, size: int):
                 sig = signature(*elements(words, hashes, size), k) if words else None
                 prints.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 keys.append(band_keys(sig, rows) if words else None)
-                marks.append(sig.astype(np.uint16).tobytes() if words else None)
+                marks.append((sig >> U(6)).astype(np.uint32).tobytes() if words else None)  # the bits below tell the coordinate
                 units.append(len(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(units, pa.int64())], ["rid", "tag", "node", "keys", "marks", "units"])
 
@@ -163,7 +163,7 @@ def _links_across(rows: list[tuple], width: int, threshold: float, size: int, ha
             parent[c] = c = parent[parent[c]]
         return c
 
-    marks = np.stack([np.frombuffer(r[4], np.uint16) for r in rows])
+    marks = np.stack([np.frombuffer(r[4], np.uint32) for r in rows])
     side, band = (np.array([r[k] for r in rows]) for k in (2, 3))
     least = _least_agreement(marks.shape[1], threshold)
     names = {c: k for k, c in enumerate(parent)}

@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents")).drop("least", "most")
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ reach the driver, at most twice the number of shards. Ranks of values come from
 come from counts of hashed parts of a shard, so no shard is ever sorted whole.
 
 Defined cases: a null or empty text weighs 16 bytes a row and all such rows are one point each (null and empty
-apart); null metadata counts as the least value, and so does a doc_id that is no integer; where there are fewer texts than shards some shards stay empty; an empty table gives
+apart); null metadata counts as the least value; ids that are no integers come back as they are and count by their order; where there are fewer texts than shards some shards stay empty; an empty table gives
 an empty result.
 """
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from screenlake.functions.storage import stored
 
@@ -43,10 +44,12 @@ def _ranks(rows: DataFrame, name: str) -> DataFrame:
 
 def _points(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     raw = F.col(text_col).cast("binary")
-    rows = stored(docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.md5(raw).alias("print"), (F.coalesce(F.octet_length(raw), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source")), "rows")
+    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.md5(raw).alias("print"), (F.coalesce(F.octet_length(raw), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source")), "rows")
     for name in ("lang", "source"):  # Spark broadcasts the ranks where they are few
         rows = rows.join(_ranks(rows, name).withColumnRenamed("value", name), name, "left").drop(name).withColumnRenamed("rank", name)
-    return stored(rows, "rows")
+    if isinstance(rows.schema["doc_id"].dataType, IntegralType):
+        return stored(rows.withColumn("id", F.col("doc_id").cast("long")), "rows")
+    return stored(rows.join(_ranks(rows, "doc_id").withColumnsRenamed({"value": "doc_id", "rank": "id"}), "doc_id", "left"), "rows")
 
 
 def _scaled(name: str) -> Column:
@@ -128,9 +131,9 @@ def kd_leaves(points: DataFrame, leaves: int, dims: list[str], weight: str = "we
 def kd_shards(docs: DataFrame, shards: int = 40, parts: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) per row of ``docs``."""
     rows = _points(docs, id_col, text_col, lang_col, source_col)
-    groups = rows.groupBy("print").agg(F.sum("size").alias("weight"), F.max("size").alias("size"), *(F.coalesce(F.min(c), F.lit(0).cast("long")).alias(c) for c in ("doc_id", "lang", "source")))
+    groups = rows.groupBy("print").agg(F.sum("size").alias("weight"), F.max("size").alias("size"), *(F.coalesce(F.min(c), F.lit(0).cast("long")).alias(c) for c in ("id", "lang", "source")))
     groups = stored(groups.withColumn("print", F.coalesce("print", F.lit("000000"))), "points")
-    names = ["size", "doc_id", "lang", "source"]
+    names = ["size", "id", "lang", "source"]
     ranges = groups.agg(*(f(n).alias(f"{n}_{k}") for n in names for k, f in (("low", F.min), ("high", F.max)))).first()
     scaled = groups.withColumns({f"{n}_{k}": F.lit(ranges[f"{n}_{k}"]).cast("long") for n in names for k in ("low", "high")})
     scaled = scaled.select("print", "weight", *(_scaled(n).alias(f"d_{n}") for n in names))

@@ -166,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, prior_sha
     if have > most_rows:
         marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most_rows / have * (1 << 30)))
     # about most_rows rows by now, so they may be broadcast
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "doc_id").select("text", "toxic").where("text is not null").dropDuplicates(["text"])  # copies would make their rare words look telling
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "doc_id").where("text is not null").groupBy("text").agg(F.max("toxic").alias("toxic"))  # copies would make their rare words look telling; the higher label holds
     rows = stored(rows, "labelled")
     counts = stored(rows.mapInArrow(_count, "token binary, toxic int, n long").groupBy("token").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")), "counts")
     na, nb = counts.where(~F.endswith(F.col("token"), F.lit(b"*"))).agg(F.sum("a"), F.sum("b")).first()

@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from screenlake.llm import chat, decontaminate, language, lm_score, mixing, near_dedup, quality, queries, repeats, sharding, toxicity
@@ -36,12 +38,49 @@ def test_bands_and_counts(spark, odd, none):
     got = {r.doc_id: r for r in quality.quality(odd).collect() if r.doc_id}
     assert got[1].n_words == 60 and got[1].kept and not got[1].base_failed
     assert got[4].n_words == 0 and got[4].base_failed and not got[4].kept and got[5].ratio is None
-    assert got[6].chunks > 5 and got[6].bad_chunks == 0
+    assert got[6].chunks > 5 and got[6].within and got[1].chunks == 1
     assert quality.quality(none).count() == 0
     rep = spark.createDataFrame([(1, "la la la " * 200), (2, "".join(chr(33 + random.Random(3).randrange(90)) for _ in range(9000)))], "doc_id long, text string")
     assert not any(r.kept for r in quality.quality(rep).collect())
 
 
+def test_learned_bands_against_brute_force(spark):
+    """``kept`` of every document by limits computed here, and what the bands catch of bad and lose of good texts that they were not learned from."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    good = {r.doc_id: r.quality for r in labels.collect()}
+    got = {r.doc_id: r for r in quality.quality(docs, quality.learn(docs, labels)).collect()}
+    press = zstandard.ZstdCompressor(level=3)
+
+    def measures(b):
+        parts = [b[k : k + 512] for k in range(0, len(b), 512)]
+        if len(parts) > 1:
+            parts[-1] = b[-512:]
+        ratios = [len(press.compress(p)) / len(p) for p in parts]
+        return len(press.compress(b)) / len(b), min(ratios), max(ratios)
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    passes = [i for i, r in got.items() if not r.base_failed]
+    seen = {i: measures(text[i]) for i in passes}
+    size = {i: int(2 * np.log2(len(text[i]))) for i in passes}
+    learned = [i for i in passes if good.get(i) == 1 and not held(i)]
+
+    def limits(c):
+        for reach in range(60):
+            near = np.array([seen[i] for i in learned if abs(size[i] - c) <= reach])
+            if len(near) >= 200:
+                return [(np.quantile(near[:, k], 0.001) * 0.98, np.quantile(near[:, k], 0.999) * 1.02) for k in range(3)]
+
+    low, high = min(size[i] for i in learned), max(size[i] for i in learned)
+    known = {c: limits(c) for c in range(low, high + 1)}
+    for i, r in got.items():
+        want = not r.base_failed and all(a <= x <= b for x, (a, b) in zip(seen[i], known[min(max(size[i], low), high)], strict=True))
+        assert r.kept == want
+    bad, fine = ([i for i in passes if held(i) and good.get(i) == v] for v in (0, 1))
+    assert sum(not got[i].kept for i in bad) >= 0.6 * len(bad) and sum(not got[i].kept for i in fine) < 0.01 * len(fine)
+
+
 def test_repeat_words_against_brute_force():
     for seed in range(30):
         r = random.Random(seed)
