@@ -190,18 +190,18 @@ def _verified(rule: Rule, size: int) -> Callable:
 def candidates(rows: list[tuple], rule: Rule) -> list[tuple[int, int]]:
     """Pairs of different components that sizes and bitmaps do not rule out, where this is the first list in which they meet.
 
-    rows: node, component, side, n, bits, list, all such lists of the node; of sides 1 and 2 only pairs between the two count.
+    rows: node, component, side, n, bits, the node's lists before this one; of sides 1 and 2 only pairs between the two count.
     """
     rows = sorted(rows, key=lambda r: r[3])
     node, comp, side, n = (np.array([r[k] for r in rows]) for k in range(4))
     wide = np.array([len(r[4]) for r in rows])
     ends = np.searchsorted(rule.num * n, rule.den * n, "right")  # the sets from here on are too large
     found: list[tuple[int, int]] = []
-    lists: dict[int, set[int]] = {}
+    earlier: dict[int, set[int]] = {}
 
     def first_here(i: int, j: int) -> bool:
-        a, b = (lists.setdefault(k, set(rows[k][6])) for k in (i, j))
-        return min(a & b) == rows[i][5]
+        a, b = (earlier.setdefault(k, set(rows[k][5])) if k not in earlier else earlier[k] for k in (i, j))
+        return a.isdisjoint(b)
 
     for w in np.unique(wide).tolist():
         own = np.flatnonzero(wide == w)
@@ -222,7 +222,7 @@ def _across(rule: Rule) -> Callable:
         told = lambda pairs: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in list(zip(*pairs, strict=True)) or [(), ()]], ["a", "b"])
         for batch in batches:
             out: set[tuple[int, int]] = set()
-            for g, *row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+            for g, *row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if g != now:
                     out.update(candidates(held, rule))
                     now, held = g, []
@@ -295,15 +295,21 @@ class Join:
         comp = group.withColumnsRenamed({"id": "node", "component": "comp"})
         tagged = stored(lists.where("length > 2").join(comp, "node", "left").select("node", "kind", "key", F.coalesce("comp", "node").alias("comp")), "tagged")
         several = tagged.groupBy("kind", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high")
-        several = stored(several.select("kind", "key", F.ceil(F.col("c") / BLOCK).cast("int").alias("cuts"), F.monotonically_increasing_id().alias("list")), "several")
-        live = stored(tagged.join(several, ["kind", "key"]).select("node", "comp", "list", "cuts"), "live")
+        several = stored(several.select("kind", "key", F.ceil(F.col("c") / BLOCK).cast("int").alias("cuts"), F.monotonically_increasing_id().alias("id")), "several")
+        # lists get small numbers: those of the partitions before, and the place in the own one
+        part = F.shiftright("id", 33)
+        sizes = several.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("c"))
+        before = sizes.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a partition
+        kind = "int" if several.count() < 1 << 31 else "long"
+        numbered = several.withColumn("part", part).join(F.broadcast(before), "part").withColumn("list", (F.col("before") + F.col("id") - F.shiftleft("part", 33)).cast(kind))
+        live = stored(tagged.join(numbered.select("kind", "key", "cuts", "list"), ["kind", "key"]).select("node", "comp", "list", "cuts"), "live")
         # a list of several blocks: each pair of blocks is a group, and a set is in as many groups as there are blocks
         spread = live.withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
         spread = spread.select("node", "comp", "list", F.xxhash64("list", F.least("own", "other"), F.greatest("own", "other")).alias("g"), side.alias("side"))
         # a node has no more lists than it shows keys
         known = live.groupBy("node").agg(F.collect_list("list").alias("lists")).join(self.nodes.select("node", "n", "bits"), "node")
-        met = spread.join(known, "node").select("g", "node", "comp", "side", "n", "bits", "list", "lists")
+        met = spread.join(known, "node").select("g", "node", "comp", "side", "n", "bits", F.filter("lists", lambda x: x < F.col("list")).alias("earlier"))
         parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return stored(met.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_across(self.rule), "a long, b long").distinct(), "candidates")
 
