@@ -11,19 +11,18 @@ from screenlake.functions.folds import fold_sorted
 from screenlake.functions.storage import stored
 from screenlake.operators.joins import overlap_join
 from screenlake.operators.layout import ordered_text
+from screenlake.operators.sameness import shared_share
 
 
 def same_lists(rows: DataFrame, group: str, least: float = 0.5) -> DataFrame:
     """(a, b, shared, how): lists of one group that share half of the smaller's names, or where one's last three rows hold the other's first.
 
-    Candidates come from an equality join on names inside a group.
+    Candidates come from an equality join on the rarest names of the smaller list inside a group.
     """
-    names = rows.select(group, "list", "name").distinct()
-    n = names.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
-    a, b = names.select(group, F.col("list").alias("a"), "name"), names.select(group, F.col("list").alias("b"), "name")
-    shared = a.join(b, [group, "name"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    sized = shared.join(n.select(F.col("list").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("list").alias("b"), F.col("n").alias("nb")), "b")
-    half = sized.where(F.col("shared") >= least * F.least("na", "nb")).select("a", "b", "shared", F.lit("names").alias("how"))
+    sets = rows.groupBy(F.col("list").alias("id"), F.col(group).alias("grp")).agg(F.collect_set("name").alias("names"))
+    own = lambda c: sets.select(F.col("id").alias(c), F.col("names").alias(f"n{c}"))
+    shared = F.size(F.array_intersect("na", "nb")).cast("long")
+    half = shared_share(sets, least).join(own("a"), "a").join(own("b"), "b").select("a", "b", shared.alias("shared"), F.lit("names").alias("how"))
     desc = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("r")))
     last = rows.withColumn("_d", desc).where("_d <= 3").select(group, F.col("list").alias("a"), "name")
     first = rows.where("r = 1").select(group, F.col("list").alias("b"), "name")

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from screenlake.operators import layout, states
+from screenlake.operators import layout, sameness, states
 from screenlake.plans.registry import query
 from screenlake.sources import views
 
@@ -167,9 +167,20 @@ def w19(spark, d):
     return layout.parent_paths(views.tree(spark, d).withColumn("tree", F.lit(1)), ["tree"]).select("pos", "path")
 
 
-@query("W20_corridors", "words", "w AS (SELECT * FROM words WHERE k % 3 <> 1), e AS (SELECT doc, min(e) AS short FROM (SELECT doc, line, max(x1) AS e FROM w GROUP BY ALL) GROUP BY doc HAVING count(*) >= 3), t AS (SELECT DISTINCT doc, unnest(range(x0 // 10, (x1 - 1) // 10 + 1)) AS b FROM w), f AS (SELECT doc, b FROM (SELECT doc, unnest(range(0, short // 10 + 1)) AS b FROM e) x WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc = x.doc AND t.b = x.b)), i AS (SELECT *, b - row_number() OVER (PARTITION BY doc ORDER BY b) AS i FROM f) SELECT doc, min(b) AS start, max(b) + 1 AS \"end\" FROM i GROUP BY doc, i HAVING max(b) + 1 - min(b) >= 2")
+@query("W20_corridors", "words", "w AS (SELECT doc, line, k, x0 + 30 * (k // 3) AS x0, x1 + 30 * (k // 3) AS x1 FROM words), e AS (SELECT doc, min(e) AS short FROM (SELECT doc, line, max(x1) AS e FROM w GROUP BY ALL) GROUP BY doc HAVING count(*) >= 3), t AS (SELECT DISTINCT doc, unnest(range(x0 // 10, (x1 - 1) // 10 + 1)) AS b FROM w), f AS (SELECT doc, b FROM (SELECT doc, unnest(range(0, short // 10 + 1)) AS b FROM e) x WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc = x.doc AND t.b = x.b)), i AS (SELECT *, b - row_number() OVER (PARTITION BY doc ORDER BY b) AS i FROM f) SELECT doc, min(b) AS start, max(b) + 1 AS \"end\" FROM i GROUP BY doc, i HAVING max(b) + 1 - min(b) >= 2")
 def w20(spark, d):
-    return layout.blank_corridors(views.words(spark, d).where("k % 3 <> 1"), "doc", least=2)
+    return layout.blank_corridors(spaced(spark, d), "doc", least=2)
+
+
+def spaced(spark, d):
+    """Words with a gap of 30 more after every third."""
+    more = F.floor(F.col("k") / 3) * 30
+    return views.words(spark, d).withColumns({"x0": F.col("x0") + more, "x1": F.col("x1") + more})
+
+
+@query("W20b_corridor_blocks")
+def w20b(spark, d):
+    return sameness.corridor_blocks(spaced(spark, d), "doc", 30)
 
 
 @query("W21_cells_in_bands", "words", "SELECT doc, line, CASE WHEN (x0 + x1) / 2 < 100 THEN 0 WHEN (x0 + x1) / 2 < 300 THEN 1 WHEN (x0 + x1) / 2 >= 350 AND (x0 + x1) / 2 < 700 THEN 2 ELSE -1 END AS band, string_agg(text, ' ' ORDER BY k) AS text FROM words GROUP BY ALL")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from screenlake.functions import strings as fs
-from screenlake.operators import joins, repair, scans
+from screenlake.operators import joins, repair, sameness, scans
 from screenlake.plans.joins import LEX
 from screenlake.plans.registry import query
 from screenlake.plans.texts import flat
@@ -244,3 +244,37 @@ def r29(spark, d):
 @query("R30_state_slice", "chat", "SELECT video, count(*) AS lines, arg_min(said, [ts, seq]) AS title, max(ts) AS last FROM chat WHERE ts BETWEEN 10 AND 30 GROUP BY video")
 def r30(spark, d):
     return views.chat(spark, d).where("ts between 10 and 30").groupBy("video").agg(F.count(F.lit(1)).alias("lines"), F.min_by("said", F.struct("ts", "seq")).alias("title"), F.max("ts").alias("last"))
+
+
+def windows(spark, d):
+    """Lists, notes, trees and words of the given tables as windows (``sameness.WINDOWS``)."""
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = views.rows(spark, d).groupBy("list").agg(F.array_sort(F.collect_list(F.struct("r", "cells"))).alias("rows"))
+    lists = rows.select(F.col("list").alias("id"), F.concat(F.lit("l"), F.col("list") % 50).alias("grp"), F.lit("list").alias("kind"), F.when(F.col("list") % 9 != 0, F.transform("rows", lambda x: x["cells"][2])).alias("names"), F.transform("rows", lambda x: F.concat_ws(" ", x["cells"][0], x["cells"][1])).alias("rests"), F.concat(F.lit("folder "), F.col("list") % 400).alias("title"), (F.col("list") % 3 == 0).alias("from_path"), F.array(F.col("list") % 7).alias("times"), F.array(F.concat(F.lit("c"), F.col("list") % 11)).alias("crumbs"), none("int").alias("slot"), none("string").alias("text"))
+    plain = lambda df, id, grp, kind, **more: df.select(id.cast("long").alias("id"), grp.alias("grp"), F.lit(kind).alias("kind"), *(more.get(c, none(t)).alias(c) for c, t in (("names", "array<string>"), ("rests", "array<string>"), ("title", "string"), ("from_path", "boolean"), ("times", "array<long>"), ("crumbs", "array<string>"), ("slot", "int"), ("text", "string"))))
+    docs = views.table(spark, d, "documents")
+    notes = plain(docs, F.col("doc_id") + 1_000_000_000, F.concat_ws(":", "source", (F.col("doc_id") % 97).cast("string")), "note", title=F.left(F.substring_index("text", "\n", 1), F.lit(40)), slot=(F.col("doc_id") % 2).cast("int"), text=F.col("text"))
+    panes = views.tree(spark, d).groupBy(F.floor(F.col("pos") / 7).alias("pane")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: F.regexp_replace(x["name"], "[0-9]{3}$", "")).alias("names"))
+    trees = plain(panes, F.col("pane") + 2_000_000_000, F.lit("t"), "tree", names=F.col("names"))
+    said = views.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.left(F.coalesce(x["text"], F.lit("")), F.lit(120))), " ").alias("text"))
+    words = plain(said, F.col("conv_id") + 3_000_000_000, F.concat(F.lit("w"), F.col("conv_id") % 97), "words", text=F.col("text"))
+    return lists.unionByName(notes).unionByName(trees).unionByName(words)
+
+
+@query("R01b_same_things")
+def r01b(spark, d):
+    return sameness.same_things(windows(spark, d))
+
+
+@query("R06b_mended_stretches")
+def r06b(spark, d):
+    t = views.tree(spark, d).withColumn("tree", F.lit("all"))
+    name = F.when(F.col("pos") % 11 == 0, F.concat("name", F.lit("x"))).when(F.col("pos") % 5 == 0, F.concat(F.left("name", F.lit(14)), F.lit("…"))).otherwise(F.col("name"))
+    mine = t.select("tree", F.floor(F.col("pos") / 9).alias("pane"), (F.col("pos") % 9).alias("at"), name.alias("name"), (F.col("depth") + 1).alias("depth"), F.col("collapsed").alias("mark"))
+    return sameness.mended_stretches(mine, t)
+
+
+@query("R27b_window_identity")
+def r27b(spark, d):
+    r = views.rects(spark, d).where("kind = 'window'")
+    return sameness.identified(r.select((F.col("frame") % 20).alias("video"), F.col("frame").alias("t"), F.col("id"), "x0", "y0", "x1", "y1"))
