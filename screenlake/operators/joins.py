@@ -405,7 +405,7 @@ def holding_titles(kept: DataFrame, titles: DataFrame, keys: list[str]) -> DataF
 def skipped_readers(bars: DataFrame, kinds: DataFrame, key: str, least: int = 3) -> DataFrame:
     """(key, skip): reader kinds that no program seen needs; an absence counts only after ``least`` bars."""
     all_kinds = kinds.agg(F.array_sort(F.collect_set("kind")).alias("all"))
-    seen = bars.join(F.broadcast(kinds), "app", "left").groupBy(key).agg(F.collect_set("kind").alias("have"), F.countDistinct("bar").alias("n"))
+    seen = bars.join(kinds, "app", "left").groupBy(key).agg(F.collect_set("kind").alias("have"), F.countDistinct("bar").alias("n"))
     return seen.crossJoin(F.broadcast(all_kinds)).select(key, F.when(F.col("n") >= least, F.array_sort(F.array_except("all", "have"))).otherwise(F.array().cast("array<string>")).alias("skip"))
 
 

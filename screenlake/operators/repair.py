@@ -12,6 +12,7 @@ from screenlake.functions.storage import stored
 from screenlake.operators.joins import overlap_join
 from screenlake.operators.layout import ordered_text
 from screenlake.operators.sameness import shared_share
+from screenlake.operators.substrings import occurrences
 
 
 def same_lists(rows: DataFrame, group: str, least: float = 0.5) -> DataFrame:
@@ -63,11 +64,11 @@ def retitled(lists: DataFrame, paths: DataFrame, quorum: int = 2, small: int = 2
     return best.where((untitled | F.coalesce("weak", F.lit(False))) & (F.col("m.n") >= need)).select("list", F.col("m.parent").alias("title"))
 
 
-def mended_lines(lines: DataFrame, least: int = 5, share: float = 0.55, most: float = 1.5, rounds: int = 8) -> DataFrame:
+def mended_lines(lines: DataFrame, least: int = 5, share: float = 0.55, most: float = 1.5) -> DataFrame:
     """(doc, line, text): a line takes the words that another reading of it has more of, where both agree on ``least`` words and a share of the shorter.
 
     Equal lines are one. Candidates share three three-word shingles: two lines that do share one besides each one's two commonest, so these are not joined on.
-    Mended lines are read again until none grows. The merge of a pair is a small function in Arrow batches.
+    Mended lines are read again until none grows; none gets more than ``most`` times the words of the longest line. The merge of a pair is a small function in Arrow batches.
     """
     import difflib
 
@@ -101,10 +102,12 @@ def mended_lines(lines: DataFrame, least: int = 5, share: float = 0.55, most: fl
         n = s.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         k = s.join(n, "s").withColumn("turn", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("n"), "s"))).where("turn > 2")
         near = k.select("s", F.col("text").alias("a")).join(k.select("s", F.col("text").alias("b")), "s").where("a <> b").select("a", "b").distinct()
-        return near.mapInPandas(run, "was string, text string").where("was <> text").groupBy("was").agg(F.max(F.struct(F.length("text").alias("n"), "text")).getField("text").alias("text"))
+        merged = near.mapInPandas(run, "was string, text string").where("was <> text").where(F.size(F.split("text", " ")) <= longest)
+        return merged.groupBy("was").agg(F.max(F.struct(F.length("text").alias("n"), "text")).getField("text").alias("text"))
 
     lines, grown = lines.withColumn("now", F.col("text")), None
-    for turn in range(rounds):
+    longest = most * (lines.agg(F.max(F.size(F.split("now", " ")))).first()[0] or 0)
+    while True:  # a line only grows, and never beyond ``longest``
         grown = stored(mended(lines.select(F.col("now").alias("text")).where("now is not null").distinct()), "mended")
         if grown.isEmpty():
             break
@@ -116,9 +119,26 @@ def tail_completion(lines: DataFrame, least: int = 16, piece: int = 14, tail: in
     """(doc, line, tail): an unfinished line whose last letters stand in another document takes the longest tail; ties by text."""
     fold = lines.select("doc", "line", "text", fs.flat(F.col("text")).alias("f"))
     cut = fold.where(~F.trim("text").rlike("[.,:;?!]$") & (F.length("f") >= least)).select("doc", "line", F.right("f", F.lit(piece)).alias("p"))
-    pool = fold.where(F.length("f") >= piece + tail).select(F.col("doc").alias("other"), "f", F.explode(F.sequence(F.lit(1), F.length("f") - piece - tail + 1)).alias("i")).select("other", F.substr("f", F.col("i"), F.lit(piece)).alias("p"), F.substr("f", F.col("i") + piece, F.lit(most)).alias("t"))
-    hit = cut.join(pool, "p").where("doc <> other").groupBy("doc", "line").agg(F.max(F.struct(F.length("t").alias("n"), "t")).getField("t").alias("tail"))
-    return hit
+    texts = fold.where(F.length("f") >= piece + tail).groupBy(F.col("f").alias("text")).agg(F.when(F.min("doc") == F.max("doc"), F.min("doc")).alias("only"))
+    rest = F.substr("text", F.col("at") + piece + 1, F.lit(most))
+    found = occurrences(cut.select(F.col("p").alias("needle")), texts, piece).withColumn("t", rest).where(F.length("text") - F.col("at") - piece >= tail)
+    # of the texts of one document, and of those that several hold, only the longest tail goes on
+    best = found.join(texts, "text").groupBy(F.col("needle").alias("p"), "only").agg(F.max(F.struct(F.length("t").alias("n"), "t")).alias("best"))
+    hit = cut.join(best, "p").where(F.col("only").isNull() | (F.col("only") != F.col("doc")))
+    return hit.groupBy("doc", "line").agg(F.max("best").getField("t").alias("tail"))
+
+
+def window_completion(lines: DataFrame, least: int = 12, held: int = 24, same: int = 40) -> DataFrame:
+    """(doc, line, whole): an unfinished line of ``least`` letters takes the one longer line of its window (doc) that holds its first ``held`` letters, as folded letters.
+
+    Longer lines of the same first ``same`` letters are one, the longest of them; where two unlike lines fit, none is taken.
+    """
+    fold = lines.select("doc", "line", "text", fs.flat(F.col("text")).alias("f"))
+    cut = fold.where(~F.trim("text").rlike("[.,:;?!]$") & (F.length("f") >= least)).select("doc", "line", "f", F.left("f", F.lit(held)).alias("needle"))
+    found = occurrences(cut.select("doc", "needle"), fold.select("doc", F.col("f").alias("text")), least, ["doc"]).select("doc", "needle", "text").distinct()
+    fits = cut.join(found, ["doc", "needle"]).where(F.length("text") > F.length("f"))
+    one = fits.groupBy("doc", "line").agg(F.count_distinct(F.left("text", F.lit(same))).alias("n"), F.max(F.struct(F.length("text").alias("n"), "text")).getField("text").alias("whole"))
+    return one.where("n = 1").select("doc", "line", "whole")
 
 
 def mended_tree(mine: DataFrame, whole: DataFrame, key: str, least: int = 3, share: float = 0.6) -> DataFrame:

@@ -59,6 +59,14 @@ def r05(spark, d):
     return repair.tail_completion(n.withColumn("text", F.when(F.col("doc") % 3 == 0, F.left("text", F.length("text") - 12)).otherwise(F.col("text"))))
 
 
+@query("R05b_window_completion", "lines", f"""p AS (SELECT doc, line, CASE WHEN line % 2 = 0 AND length(text) > 12 THEN left(text, length(text) - 12) ELSE text END AS text FROM lines), f AS (SELECT *, {flat('text')} AS f FROM p),
+c AS (SELECT * FROM f WHERE NOT regexp_matches(trim(text), '[.,:;?!]$') AND length(f) >= 12), j AS (SELECT DISTINCT c.doc, c.line, x.f AS whole FROM c JOIN f x ON c.doc = x.doc AND length(x.f) > length(c.f) AND contains(x.f, left(c.f, 24)))
+SELECT doc, line, max(struct_pack(n := length(whole), whole := whole)).whole AS whole FROM j GROUP BY doc, line HAVING count(DISTINCT left(whole, 40)) = 1""")
+def r05b(spark, d):
+    cut = F.when((F.col("line") % 2 == 0) & (F.length("text") > 12), F.left("text", F.length("text") - 12)).otherwise(F.col("text"))
+    return repair.window_completion(views.lines(spark, d).withColumn("text", cut))
+
+
 @query("R06_mended_tree", "tree", "m AS (SELECT pos // 9 AS pane, CASE WHEN pos % 4 = 0 THEN name || 'x' ELSE name END AS name, depth + 1 AS depth, collapsed AS mark FROM tree), w AS (SELECT name, min(depth) AS d FROM tree GROUP BY name HAVING count(*) = 1), j AS (SELECT m.*, w.d FROM m LEFT JOIN w ON m.name = w.name), n AS (SELECT pane, count(d) >= 3 AND count(d) >= 0.6 * count(*) AS ok FROM j GROUP BY pane) SELECT j.pane, name, CASE WHEN ok THEN coalesce(d, depth) ELSE depth END AS depth, mark FROM j JOIN n ON j.pane = n.pane")
 def r06(spark, d):
     t = views.tree(spark, d)

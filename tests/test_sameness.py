@@ -190,3 +190,18 @@ def test_corridor_blocks_against_every_run(spark):
     for x in sm.corridor_blocks(spark.createDataFrame(rows, "doc long, line int, x0 long, x1 long"), "doc", 3).collect():
         got[x.doc].append((x.first, x.last, x.n, x.corridors))
     assert {p: sorted(v) for p, v in got.items()} == {p: v for p, v in want.items() if v}
+
+
+def test_substrings_against_every_place(spark):
+    r = random.Random(11)
+    from screenlake.operators import substrings
+
+    texts = ["".join(r.choice("abc") for _ in range(r.randint(0, 60))) for _ in range(120)] + ["a" * 40]
+    needles = [t[k : k + n] for t in texts[:60] for k, n in [(r.randint(0, 30), r.randint(10, 24))]] + ["a" * 12, "", "abc", "zzzzzzzzzzzzzz"]
+    rows = lambda x, c: spark.createDataFrame([(k % 3, v) for k, v in enumerate(x)], f"g int, {c} string")
+    want = {(n, t, k) for n in needles if len(n) >= 10 for t in texts for k in range(len(t)) if t.startswith(n, k)}
+    got = [(x.needle, x.text, x.at) for x in substrings.occurrences(rows(needles, "needle"), rows(texts, "text"), 10).collect()]
+    assert set(got) == want and len(got) == len(want) > 60
+    by = {(x.g, x.needle, x.text, x.at) for x in substrings.occurrences(rows(needles, "needle"), rows(texts, "text"), 10, ["g"]).collect()}
+    place = {(k % 3, t) for k, t in enumerate(texts)}
+    assert by == {(k % 3, *w) for k, n in enumerate(needles) for w in want if w[0] == n and (k % 3, w[1]) in place}
