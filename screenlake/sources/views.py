@@ -121,9 +121,12 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = r.select(key("r_regionkey").alias("a"), none.alias("b"), none.alias("c"), F.col("r_name").alias("name"), F.lit(0).alias("depth"), key("r_regionkey").alias("key"))
     mid = n.select(key("n_regionkey").alias("a"), key("n_nationkey").alias("b"), none.alias("c"), F.col("n_name").alias("name"), F.lit(1).alias("depth"), key("n_nationkey").alias("key"))
     low = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(key("n_regionkey").alias("a"), key("n_nationkey").alias("b"), key("s_suppkey").alias("c"), F.col("s_name").alias("name"), F.lit(2).alias("depth"), key("s_suppkey").alias("key"))
-    # the tree is one list with one order
-    pos = (F.row_number().over(Window.orderBy("a", "b", "c")) - 1).cast("long")
-    rows = top.union(mid).union(low).withColumn("pos", pos)
+    # the tree is one list with one order: rows are numbered inside their region, after all rows of the regions before
+    every = top.union(mid).union(low)
+    sizes = every.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("a", F.coalesce(F.sum("n").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a region
+    turn = F.row_number().over(Window.partitionBy("a").orderBy("b", "c"))
+    rows = every.withColumn("turn", turn).join(before, "a").withColumn("pos", (F.col("before") + F.col("turn") - 1).cast("long"))
     return rows.select("pos", "name", "depth", "key", (181 + 38 * F.col("depth") + F.col("key") % 3).alias("x0"), (F.col("pos") * 40).alias("y0"), (F.col("pos") * 40 + 20).alias("y1"), (F.col("key") % 2 == 0).alias("collapsed"))
 
 
