@@ -10,10 +10,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,4 +40,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PLACES[table] = path
+    return table
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete stored tables. What was made of them must be stored by now: no later plan may read them."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PLACES.pop(table))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
