@@ -22,6 +22,7 @@ negative number made from the row; empty tables give empty results; other column
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenlake.functions.graph import components
-from screenlake.functions.storage import stored
+from screenlake.functions.storage import removed, stored
 from screenlake.llm.text import U, WordHashes, gram_hashes, mixed, row_key
 
 LEAST_BITS, MOST_BITS = 32, 1 << 12  # bytes of a bitmap
@@ -97,7 +98,7 @@ def bitmap(grams: np.ndarray) -> bytes:
 
 
 def folded(cells: list[bytes], size: int) -> np.ndarray:
-    """Bitmaps as rows of ``size`` bytes; a longer one is the shorter one's halves apart, since bytes are hashes modulo a power of two."""
+    """Bitmaps as rows of ``size`` bytes in words of 64 bits; a longer one is the shorter one's halves apart, since bytes are hashes modulo a power of two."""
     wide = np.array([len(x) for x in cells])
     out = np.empty((len(cells), size), np.uint8)
     for w in np.unique(wide).tolist():
@@ -107,7 +108,7 @@ def folded(cells: list[bytes], size: int) -> np.ndarray:
             half = bits.shape[1] // 2
             bits = bits[:, :half] ^ bits[:, half:]
         out[at] = bits
-    return out
+    return out.view(np.uint64)
 
 
 def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -190,7 +191,7 @@ def _verified(rule: Rule, size: int) -> Callable:
 def candidates(rows: list[tuple], rule: Rule) -> list[tuple[int, int]]:
     """Pairs of different components that sizes and bitmaps do not rule out, where this is the first list in which they meet.
 
-    rows: node, component, side, n, bits, the node's lists before this one; of sides 1 and 2 only pairs between the two count.
+    rows: node, component, side, n, bits, the node's lists before this one as an array; of sides 1 and 2 only pairs between the two count.
     """
     rows = sorted(rows, key=lambda r: r[3])
     node, comp, side, n = (np.array([r[k] for r in rows]) for k in range(4))
@@ -200,7 +201,7 @@ def candidates(rows: list[tuple], rule: Rule) -> list[tuple[int, int]]:
     earlier: dict[int, set[int]] = {}
 
     def first_here(i: int, j: int) -> bool:
-        a, b = (earlier.setdefault(k, set(rows[k][5])) if k not in earlier else earlier[k] for k in (i, j))
+        a, b = (earlier.setdefault(k, set(rows[k][5].tolist())) if k not in earlier else earlier[k] for k in (i, j))
         return a.isdisjoint(b)
 
     for w in np.unique(wide).tolist():
@@ -222,11 +223,13 @@ def _across(rule: Rule) -> Callable:
         told = lambda pairs: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in list(zip(*pairs, strict=True)) or [(), ()]], ["a", "b"])
         for batch in batches:
             out: set[tuple[int, int]] = set()
-            for g, *row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            # the lists before stay arrays: only those of pairs that bitmaps let pass are looked into
+            before, ends = batch.column(6).values.to_numpy(), batch.column(6).offsets.to_numpy()
+            for at, (g, *row) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)):
                 if g != now:
                     out.update(candidates(held, rule))
                     now, held = g, []
-                held.append(row)
+                held.append([*row, before[ends[at] : ends[at + 1]]])
             yield told(out)
         yield told(candidates(held, rule))
 
@@ -251,28 +254,31 @@ class Join:
         return self.docs.join(named.hint("merge"), ["rid", "tag"]).groupBy("node").agg(F.any_value("text").alias("text"))
 
     def spread(self) -> DataFrame:
-        """(node, n, kind, key, place): the first level's keys; kind 1: subsets of light sets, 2: shingles."""
+        """(node, kind, key): the first level's keys; kind 1: subsets of light sets, 2: shingles."""
         light = self.nodes.where(F.col("n") < self.edge).select("node", "n", "front").mapInArrow(_subset_keys(self.rule), "node long, n long, front array<long>")
         heavy = self.nodes.where(F.col("n") >= self.rule.smallest(self.edge)).select("node", "n", "front")
-        return light.select("node", "n", F.lit(1).alias("kind"), F.posexplode("front").alias("place", "key")).unionByName(heavy.select("node", "n", F.lit(2).alias("kind"), F.posexplode("front").alias("place", "key")))
+        return light.select("node", F.lit(1).alias("kind"), F.explode("front").alias("key")).unionByName(heavy.select("node", F.lit(2).alias("kind"), F.explode("front").alias("key")))
 
-    def cut(self, spread: DataFrame, due: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The lists of two members to ``most``, the hot ones' rows, and the nodes that have ``due`` hot keys or more."""
+    def cut(self, spread: DataFrame, due: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """The lists of two members to ``most``, the hot ones' rows, the nodes that have ``due`` hot keys or more, and the table behind the first two."""
         counted = spread.select("*", F.count(F.lit(1)).over(Window.partitionBy("kind", "key")).alias("length"))
         shared = stored(counted.where("length > 1"), "shared")
         hot = shared.where(F.col("length") > self.most)
-        rest = hot.groupBy("node", "kind").agg(F.any_value("n").alias("n"), F.count(F.lit(1)).alias("c")).where(F.col("c") >= due).select("node").distinct()
-        return shared.where(F.col("length") <= self.most).drop("place"), hot, stored(rest, "rest")
+        often = hot.groupBy("node", "kind").agg(F.count(F.lit(1)).alias("c")).join(self.nodes.select("node", "n"), "node")
+        return shared.where(F.col("length") <= self.most), hot, stored(often.where(F.col("c") >= due).select("node").distinct(), "rest"), shared
 
     def lists(self) -> DataFrame:
         """(node, kind, key, length): lists in which every linked pair meets."""
-        lists, _, rest = self.cut(self.spread(), keys_due(F.col("n"), F.col("kind") == 1, self.rule))
+        lists, _, rest, first = self.cut(self.spread(), keys_due(F.col("n"), F.col("kind") == 1, self.rule))
         whole = self.texts(rest).join(self.nodes.select("node", "n"), "node").select("node", "n", "text").mapInArrow(_all_shingles(self.size), "node long, n long, front array<long>")
-        spread = whole.select("node", "n", F.lit(3).alias("kind"), F.posexplode("front").alias("place", "key"))
-        more, hot, last = self.cut(spread, self.rule.smallest_of(F.col("n")))
-        front = hot.where(F.col("place") <= F.col("n") - self.rule.smallest_of(F.col("n"))).join(last, "node", "left_semi").withColumn("kind", F.lit(4))
-        front = front.drop("place").withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("kind", "key")))
-        return stored(lists.unionByName(more).unionByName(front.where("length > 1")).select("node", "kind", "key", "length"), "lists")
+        spread = whole.select("node", F.lit(3).alias("kind"), F.posexplode("front").alias("place", "key"))
+        more, hot, last, second = self.cut(spread, self.rule.smallest_of(F.col("n")))
+        front = hot.join(last, "node", "left_semi").join(self.nodes.select("node", "n"), "node").where(F.col("place") <= F.col("n") - self.rule.smallest_of(F.col("n")))
+        front = front.withColumn("kind", F.lit(4)).withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("kind", "key")))
+        parts = (x.select("node", "kind", "key", "length") for x in (lists, more, front.where("length > 1")))
+        found = stored(functools.reduce(DataFrame.unionByName, parts), "lists")
+        removed(first, second, rest, last)
+        return found
 
     def checked(self, pairs: DataFrame) -> DataFrame:
         """The links among ``pairs`` (a, b)."""
@@ -308,10 +314,12 @@ class Join:
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
         spread = spread.select("node", "comp", "list", F.xxhash64("list", F.least("own", "other"), F.greatest("own", "other")).alias("g"), side.alias("side"))
         # a node has no more lists than it shows keys
-        known = live.groupBy("node").agg(F.collect_list("list").alias("lists")).join(self.nodes.select("node", "n", "bits"), "node")
-        met = spread.join(known, "node").select("g", "node", "comp", "side", "n", "bits", F.filter("lists", lambda x: x < F.col("list")).alias("earlier"))
+        known = live.groupBy("node").agg(F.sort_array(F.collect_list("list")).alias("lists")).join(self.nodes.select("node", "n", "bits"), "node")
+        met = spread.join(known, "node").select("g", "node", "comp", "side", "n", "bits", F.slice("lists", 1, F.array_position("lists", F.col("list")).cast("int") - 1).alias("earlier"))
         parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return stored(met.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_across(self.rule), "a long, b long").distinct(), "candidates")
+        found = stored(met.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(_across(self.rule), "a long, b long").distinct(), "candidates")
+        removed(tagged, several, live)
+        return found
 
     def components(self) -> DataFrame:
         """(id, component) of the nodes with links."""
