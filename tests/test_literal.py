@@ -1,8 +1,11 @@
 """Literal cases of operators that SQL cannot say and that had no test of their own."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from screenlake.functions import strings as fs
+from screenlake.functions.storage import removed, stored
 from screenlake.operators import joins, quality
 
 
@@ -27,3 +30,12 @@ def test_a_rule_is_proved_by_damage(spark):
     worse = lambda df: df.withColumn("text", F.concat("text", F.lit("!")))
     told = lambda df, damage: tuple(quality.proof_by_damage(df, rule, damage).select("verdict", "examined", "before", "after").first())
     assert told(good, worse) == ("PROVED", 2, 1, 2) and told(good, lambda df: df) == ("NOT PROVED", 2, 1, 1) and told(good.limit(0), worse) == ("UNPROVED", 0, 0, 0)
+
+
+def test_removed_tables_leave_what_was_made_of_them(spark):
+    first = stored(spark.range(10), "first")
+    second = stored(first.where("id > 6"), "second")
+    path = first.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.exists(path)
+    removed(first)
+    assert not os.path.exists(path) and sorted(r.id for r in second.collect()) == [7, 8, 9]
