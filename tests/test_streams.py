@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from screenlake.plans import catalog
 from screenlake.streaming import timed
 
 ROWS = "video long, t long, seq long, call string, level double, frac double"
@@ -93,3 +95,16 @@ def test_newly_and_carried_words():
     assert step(held.get, held.__setitem__, row(1, 10, "file edit")) == [] and step(held.get, held.__setitem__, row(2, 13, "view")) == []
     assert step(held.get, held.__setitem__, row(3, 12, None)) == [(1, 3, 3, "view", 2)]
     assert step(held.get, held.__setitem__, row(4, 9, None)) == [(1, 4, 4, "view", 2)] and step(held.get, held.__setitem__, row(5, 40, None)) == []
+
+
+@pytest.mark.parametrize("name", ["ST02_newly_readable", "ST04_unchanged", "ST06_standing_text"])
+def test_tables_that_are_folders_of_files(name, spark, sf, tmp_path, two_partitions):
+    for t in ("conversations", "embeddings"):
+        spark.read.parquet(f"{sf}/{t}.parquet").limit(300).repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    for t in ("conversations", "embeddings"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    cur = con.execute(catalog.ORACLE[name])
+    want = cur.fetchall()
+    assert want and sorted(map(tuple, got.select(*(d[0] for d in cur.description)).collect())) == sorted(want)
