@@ -212,6 +212,22 @@ def test_mended_lines_grow_until_none_does(spark):
     assert got[1].endswith("nine ten") and set(got) == {1, 2, 3}
 
 
+def test_lines_that_cannot_agree_ship_no_texts(spark, monkeypatch):
+    near, keep = [], repair.stored
+
+    def stored(df, name):
+        out = keep(df, name)
+        if name == "near":
+            near.append(out.count())
+        return out
+
+    monkeypatch.setattr(repair, "stored", stored)
+    common = "in the end of the day"
+    rows = [(k, 0, " ".join(f"w{k}x{j}" for j in range(15)) + f" {common}") for k in range(40)] + [(90, 0, "a b c d e f g"), (91, 0, "a b c d e f g h")]
+    got = {r.doc: r.text for r in repair.mended_lines(spark.createDataFrame(rows, "doc long, line int, text string")).collect()}
+    assert got == {d: t for d, _, t in rows} | {90: "a b c d e f g h"} and near[0] < 79  # of 781 that share a shingle
+
+
 def test_medoid_counts_copies(spark):
     rows = [(1, k, x) for k, x in enumerate(["notes.md", "notes.md", "n0tes.md", "other.txt"])]
     df = spark.createDataFrame(rows, "entity long, rid long, reading string")
