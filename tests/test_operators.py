@@ -228,6 +228,14 @@ def test_lines_that_cannot_agree_ship_no_texts(spark, monkeypatch):
     assert got == {d: t for d, _, t in rows} | {90: "a b c d e f g h"} and near[0] < 79  # of 781 that share a shingle
 
 
+def test_fragment_lines_meet_by_the_index_of_grams(spark, monkeypatch):
+    asked, search = [], repair.occurrences
+    monkeypatch.setattr(repair, "occurrences", lambda *a: asked.append(1) or search(*a))
+    f = spark.createDataFrame([(1, "abcdefghijklm"), (1, "nopqrstuvwxyzab"), (1, "short")], "frag long, fold string")
+    w = spark.createDataFrame([(2, "xxabcdefghijklmyy"), (2, "opqrstuvwxyz"), (2, "short"), (4, "abcdefghijklm")], "win long, fold string")
+    assert [tuple(r) for r in repair.fragment_owner(f, w, least=2).collect()] == [(1, "2")] and len(asked) == 2
+
+
 def test_medoid_counts_copies(spark):
     rows = [(1, k, x) for k, x in enumerate(["notes.md", "notes.md", "n0tes.md", "other.txt"])]
     df = spark.createDataFrame(rows, "entity long, rid long, reading string")
