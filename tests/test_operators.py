@@ -236,6 +236,15 @@ def test_fragment_lines_meet_by_the_index_of_grams(spark, monkeypatch):
     assert [tuple(r) for r in repair.fragment_owner(f, w, least=2).collect()] == [(1, "2")] and len(asked) == 2
 
 
+def test_furniture_meets_by_the_index_of_grams(spark, monkeypatch):
+    asked, search = [], repair.occurrences
+    monkeypatch.setattr(repair, "occurrences", lambda *a: asked.append(1) or search(*a))
+    lines = spark.createDataFrame([(1, k, 7, t) for k, t in enumerate(["Menu bar of", "the menu bar of it all", "menu bar of it all, twice", ".menu bar of", "menu bar", "another line"])] + [(2, 0, 8, "menu bar of")], "doc long, line int, video long, text string")
+    strip = spark.createDataFrame([(7, "menu bar of it all")], "video long, text string")
+    got = sorted((r.doc, r.line) for r in repair.without_furniture(lines, strip).collect())
+    assert got == [(1, 2), (1, 3), (1, 4), (1, 5), (2, 0)] and len(asked) == 2
+
+
 def test_medoid_counts_copies(spark):
     rows = [(1, k, x) for k, x in enumerate(["notes.md", "notes.md", "n0tes.md", "other.txt"])]
     df = spark.createDataFrame(rows, "entity long, rid long, reading string")
