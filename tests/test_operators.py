@@ -135,6 +135,12 @@ def test_kind_cells(spark):
     assert k("something else") == ("something else", "left alone")
 
 
+def test_kind_cells_work_out_each_part_once(spark):
+    cells = spark.range(50_000).select(F.concat(F.lit("Markdo"), (F.col("id") % 7).cast("string"), F.lit("...text fi")).alias("s"))
+    plan = cells.select(fs.kind_cell(F.col("s")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 200
+
+
 def test_day_names_and_separators(spark):
     d = lambda s: one(spark, fs.tidy_date(F.col("s")), s=s)
     assert d("Todayat5.51pM") == "Today at 5:51 PM" and d("jun 3. 2026 at 05°07 am") == "Jun 3, 2026 at 5:07 AM"
