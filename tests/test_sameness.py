@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from screenlake.operators import sameness as sm
+from screenlake.operators import substrings
 from screenlake.streaming import timed
 
 
@@ -205,3 +206,21 @@ def test_substrings_against_every_place(spark):
     by = {(x.g, x.needle, x.text, x.at) for x in substrings.occurrences(rows(needles, "needle"), rows(texts, "text"), 10, ["g"]).collect()}
     place = {(k % 3, t) for k, t in enumerate(texts)}
     assert by == {(k % 3, *w) for k, n in enumerate(needles) for w in want if w[0] == n and (k % 3, w[1]) in place}
+
+
+def test_longest_tails_of_two_documents(spark):
+    r = random.Random(4)
+    texts = [(d % 9, "".join(r.choice("abc") for _ in range(r.randrange(5, 60)))) for d in range(60)]
+    pieces = sorted({t[k : k + 5] for _, t in texts for k in range(0, len(t) - 4, 7)} | {"zzzzz"})
+    want = set()
+    for p in pieces:
+        of = {}
+        for d, t in texts:
+            for k in range(len(t) - 7):
+                if t[k : k + 5] == p:
+                    of[d] = max(of.get(d, (0, "")), (len(t[k + 5 : k + 25]), t[k + 5 : k + 25]))
+        want |= {(p, n) for n, _ in sorted(of.values(), reverse=True)[:2]}
+    got = substrings.longest_after(spark.createDataFrame([(p,) for p in pieces], "piece string"), spark.createDataFrame(texts, "doc long, text string"), 5, 3, 20).collect()
+    assert {(x.piece, x.n) for x in got if x.piece in pieces} == want and len({(x.piece, x.doc) for x in got}) == len(got)
+    plan = substrings.longest_after(spark.createDataFrame([("abcab",)], "piece string"), spark.createDataFrame(texts, "doc long, text string"), 5, 3, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # texts are not fetched for what meets
