@@ -1,8 +1,10 @@
 """Streams over several micro-batches against batch: timers, late rows, forgotten state."""
 
+import time
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +110,27 @@ def test_tables_that_are_folders_of_files(name, spark, sf, tmp_path, two_partiti
     cur = con.execute(catalog.ORACLE[name])
     want = cur.fetchall()
     assert want and sorted(map(tuple, got.select(*(d[0] for d in cur.description)).collect())) == sorted(want)
+
+
+def test_carried_words_look_at_the_newest_readings_only():
+    held, step = {}, timed.carried_words(60)
+    row = lambda t, x, words: {"video": 1, "t": t, "id": t, "x0": x, "y0": 10, "x1": x + 20, "y1": 30, "words": words}
+    begun = time.perf_counter()
+    for t in range(6_000):
+        step(held.get, held.__setitem__, {**row(t, t % 61, "w"), "y0": t // 61 % 61, "y1": t // 61 % 61 + 20})
+    assert step(held.get, held.__setitem__, row(6_000, 10, None))[0][4] == 5_999
+    assert time.perf_counter() - begun < 2  # a copy of the cell at each reading took longer
+
+
+def test_carried_words_of_one_second(spark):
+    held, step = {}, timed.carried_words(60)
+    row = lambda t, words: {"video": 1, "t": t, "id": 0, "x0": 5, "y0": 10, "x1": 20, "y1": 30, "words": words}
+    for t in [*range(40), 40]:
+        step(held.get, held.__setitem__, row(t, f"w{t}"))
+    assert step(held.get, held.__setitem__, row(40, None)) == [(1, 40, 0, "w39", 39)]
+
+
+def test_columns_of_a_batch_are_packed():
+    parts = [pd.DataFrame({"t": [3, 1], "w": ["a" * 2, None], "at": [0, 0]}), pd.DataFrame({"t": [2], "w": ["".join(["a", "a"])], "at": [0]})]
+    cols, order = timed._columns(iter(parts), ["t"])
+    assert list(cols) == ["t", "w"] and order.tolist() == [1, 2, 0] and cols["t"].dtype == "int64" and cols["w"][0] is cols["w"][2]
