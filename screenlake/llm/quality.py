@@ -6,7 +6,8 @@ ends where the text ends; a text no longer than a chunk is its own chunk. ``lear
 labelled good outside the held-out fold, with those of neighbouring lengths where there are few; without enough labels the
 fixed points of ``BANDS`` hold, linear in log2 of the length.
 
-Scale: one narrow pass over the table, no shuffle; memory is one batch of rows. At most about ``most_rows`` labelled rows are learned from, four numbers each reach the driver.
+Scale: one narrow pass over the table, no shuffle, and for the limits one more over two thirds of it, whose numbers, not
+texts, meet the labels; memory is one batch of rows. All labelled rows are learned from.
 
 Defined cases: null, empty and wordless texts have no words and fail the base rule; ratios of empty texts are null; labels that are null or neither 0 nor 1 are not
 learned from; documents with several labels count as their least.
@@ -19,12 +20,12 @@ from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenlake.functions.storage import stored
 from screenlake.llm.text import plain_words
 from screenlake.llm.toxicity import fold_of
 
@@ -84,17 +85,27 @@ class Limits(NamedTuple):
         return self.known[at if at in self.known else min(self.known, key=lambda c: (abs(c - at), c))]
 
 
-def fitted(rows: np.ndarray, chunk: int, share: float = 0.001, slack: float = 0.02, need: int = 200) -> Limits:
-    """Limits from rows (size, ratio, least, most) of good texts: their quantiles at ``share`` and 1 - ``share``, wider by ``slack``, over as many neighbouring classes as give ``need`` rows."""
-    if len(rows) < need:
+def fitted(rows: DataFrame, chunk: int, share: float = 0.001, slack: float = 0.02, need: int = 200) -> Limits:
+    """Limits from all rows (size, ratio, least, most) of good texts: their quantiles at ``share`` and 1 - ``share``, wider by ``slack``, over as many neighbouring classes as give ``need`` rows.
+
+    Ratios count to five places, so a quantile holds a bounded number of them; counts and limits of each class reach the driver.
+    """
+    octave = F.length(F.bin("size")) - 1
+    upper = F.col("size") * F.col("size") >= F.call_function("shiftleft", F.lit(1).cast("long"), 2 * octave + 1)
+    rows = rows.withColumn("own", 2 * octave + upper.cast("int"))  # length_class in whole numbers
+    counts = {r.own: r.n for r in rows.groupBy("own").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(counts.values()) < need:
         return Limits({}, chunk)
-    own = np.array([length_class(int(n)) for n in rows[:, 0]])
-    known = {}
-    for c in range(own.min(), own.max() + 1):
-        reach = next(r for r in range(own.max() - own.min() + 1) if (abs(own - c) <= r).sum() >= need)
-        near = rows[abs(own - c) <= reach]
-        known[c] = [(float(np.quantile(near[:, k], share)) * (1 - slack), float(np.quantile(near[:, k], 1 - share)) * (1 + slack)) for k in (1, 2, 3)]
-    return Limits(known, chunk)
+    used: dict[int, list[int]] = {c: [] for c in counts}  # the classes whose limits a class takes part in
+    for c in range(min(counts), max(counts) + 1):
+        reach = next(r for r in range(max(counts) - min(counts) + 1) if sum(n for k, n in counts.items() if abs(k - c) <= r) >= need)
+        for k in counts:
+            if abs(k - c) <= reach:
+                used[k].append(c)
+    to = F.create_map(*[x for k, cs in used.items() for x in (F.lit(k), F.array(*map(F.lit, cs)))])
+    ends = F.array(F.lit(share), F.lit(1 - share))
+    told = rows.withColumn("of", F.explode(to[F.col("own")])).groupBy("of").agg(*(F.percentile(F.round(c, 5), ends).alias(c) for c in ("ratio", "least", "most"))).collect()
+    return Limits({r.of: [(low * (1 - slack), high * (1 + slack)) for low, high in (r.ratio, r.least, r.most)] for r in told}, chunk)
 
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -130,18 +141,15 @@ _INNER = bytes([*range(0x80, 0xC0), 0x20, *range(0x09, 0x0E)])  # bytes that beg
 FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, chunk: int = 512, level: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Limits:
-    """Limits from documents labelled 1 that pass the base rule, outside the held-out fold (crc32(doc_id as text) mod 3 = 1)."""
+def learn(docs: DataFrame, labels: DataFrame, chunk: int = 512, level: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Limits:
+    """Limits from all documents labelled 1 that pass the base rule, outside the held-out fold (crc32(doc_id as text) mod 3 = 1)."""
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("good")).where("doc_id IS NOT NULL AND good IN (0, 1)").where(fold_of(F.col("doc_id")) != 1)
     marks = marks.groupBy("doc_id").agg(F.min("good").alias("good")).where("good = 1").select("doc_id")
-    have = marks.count()
-    if have > most_rows:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most_rows / have * (1 << 30)))
-    # about most_rows rows by now, so they may be broadcast
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "doc_id").where("text IS NOT NULL")
+    # texts are measured where they lie: only their numbers meet the labels, however many there are
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").where(fold_of(F.col("doc_id")) != 1)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    good = rows.mapInArrow(_measures(Limits({}, chunk), level), f"doc_id {kind}, {MEASURES}").where(f"NOT ({FAILED})").select("size", "ratio", "least", "most").collect()
-    return fitted(np.array([tuple(r) for r in good], float).reshape(-1, 4), chunk)
+    good = rows.mapInArrow(_measures(Limits({}, chunk), level), f"doc_id {kind}, {MEASURES}").where(f"NOT ({FAILED})").join(marks, "doc_id").select("size", "ratio", "least", "most")
+    return fitted(stored(good, "good-texts"), chunk)
 
 
 def quality(docs: DataFrame, limits: Limits = Limits({}, 512), level: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -641,3 +641,21 @@ def test_pipeline_on_odd_and_empty_tables(spark, sf, odd, none, tmp_path):
             spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{name}/{t}.parquet")
         docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         assert (corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() > 0) == (name == "odd")
+
+
+def test_quality_limits_come_from_every_good_row(spark):
+    import inspect
+
+    import numpy as np
+
+    r = random.Random(8)
+    rows = [(n, *(r.random() for _ in range(3))) for n in (r.choice([300, 361, 362, 363, 512, 700, 9000]) for _ in range(21_000))] + [(1, 0.5, 0.5, 0.5)]
+    known = quality.fitted(spark.createDataFrame(rows, "size long, ratio double, least double, most double"), 512).known
+    own = np.array([quality.length_class(x[0]) for x in rows])
+    assert list(sorted(known)) == list(range(own.min(), own.max() + 1))
+    for c, limits in known.items():
+        reach = next(k for k in range(99) if (abs(own - c) <= k).sum() >= 200)
+        near = np.array(rows)[abs(own - c) <= reach]
+        for k, (low, high) in enumerate(limits, 1):
+            assert abs(low / 0.98 - np.quantile(near[:, k], 0.001)) < 2e-5 and abs(high / 1.02 - np.quantile(near[:, k], 0.999)) < 2e-5
+    assert "most_rows" not in inspect.signature(quality.learn).parameters
