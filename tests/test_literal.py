@@ -1,12 +1,15 @@
 """Literal cases of operators that SQL cannot say and that had no test of their own."""
 
+import difflib
 import os
+import random
 
 from pyspark.sql import functions as F
 
 from screenlake.functions import strings as fs
 from screenlake.functions.storage import removed, stored
 from screenlake.operators import joins, quality
+from screenlake.sources import views
 
 
 def test_matched_characters(spark):
@@ -39,3 +42,29 @@ def test_removed_tables_leave_what_was_made_of_them(spark):
     assert os.path.exists(path)
     removed(first)
     assert not os.path.exists(path) and sorted(r.id for r in second.collect()) == [7, 8, 9]
+
+
+def test_matched_characters_are_those_of_difflib():
+    r = random.Random(1)
+    for k in range(4000):
+        a, b = ("".join(r.choices(("ab", "abc de1l")[k % 2], k=r.randint(0, 30))) for _ in "ab")
+        b = (b, a.replace(" ", ""), a.replace("l", "1"))[k % 3]
+        assert fs.matched(a, b) == sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
+def test_words_and_console_rows_are_cut_without_a_shuffle(spark, tmp_path):
+    r = random.Random(2)
+    texts = ["", " ", "a  b", None, " ".join(f"w{k}é" for k in range(100)) + "\n" + " ".join("x" * r.randint(0, 3) for _ in range(70))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words, console = views.words(spark, str(tmp_path)), views.console(spark, str(tmp_path))
+    want, rows = set(), set()
+    for doc, text in enumerate(texts):
+        for line, one in enumerate([] if text is None else text.split("\n")):
+            at, parts = 0, one.split(" ")
+            rows |= {(doc, line, k // 12, " ".join(parts[k : k + 12])) for k in range(0, len(parts), 12)}
+            for k, w in enumerate(parts):
+                want |= {(doc, line, k, w, at * 10, (at + len(w)) * 10)} if w else set()
+                at += len(w) + 1
+    assert {tuple(x) for x in words.select("doc", "line", "k", "text", "x0", "x1").collect()} == want
+    assert {tuple(x) for x in console.select("doc", "line", "row", "a").collect()} == rows
+    assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
