@@ -66,8 +66,7 @@ def word_lines(words: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
 
 def without_furniture(lines: DataFrame, page: str, letters: int = 3, score: float = 0.30, top: float = 0.10, foot: float = 0.96) -> DataFrame:
     """Lines with letters and confidence that lie between the page's bands."""
-    tall = lines.groupBy(page).agg(F.max("y1").alias("tall"))
-    kept = lines.join(tall, page).where((F.length(F.regexp_replace("text", "[^A-Za-z0-9]", "")) >= letters) & (F.col("score") >= score))
+    kept = lines.withColumn("tall", F.max("y1").over(Window.partitionBy(page))).where((F.length(F.regexp_replace("text", "[^A-Za-z0-9]", "")) >= letters) & (F.col("score") >= score))
     return kept.where((F.col("y0") >= top * F.col("tall")) & (F.col("y1") <= foot * F.col("tall"))).drop("tall")
 
 
