@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +51,7 @@ def rows_by_gap(words: DataFrame, page: str, gap: float = 0.5) -> DataFrame:
 
 
 def rows_by_rule(words: DataFrame, page: str, rule: str, height: float | None = None) -> DataFrame:
-    """(page, line, k, row): words put to rows by a rule that depends on the row so far.
+    """(page, line, k, row): words put to rows by a rule that depends on the row so far; with a column ``n``, a row of ``words`` stands for so many alike that follow one another, and keeps it.
 
     fixed: below the first word's centre by more than half the word's height begins a row; mean: below the running mean by more than 0.55 ``height``;
     near: from the running middle (half old, half new) by more than 0.6 ``height``; extent: the first row whose extent holds the word's middle takes it and grows.
@@ -56,48 +59,77 @@ def rows_by_rule(words: DataFrame, page: str, rule: str, height: float | None =
     if rule not in ("fixed", "mean", "near", "extent"):
         raise ValueError(f"no such rule: {rule}")
 
+    many = "n" in words.columns
+
     def extent(now: dict, y0: float, y1: float) -> int:
-        rows, mid = now.setdefault("rows", []), (y0 + y1) / 2
-        at = next((i for i, r in enumerate(rows) if r[0] <= mid <= r[1]), None)
+        rows, live, mid = now.setdefault("rows", []), now.setdefault("live", []), (y0 + y1) / 2
+        if mid >= y0:  # words come by their tops, so a row that ends above this one's is out of reach from here on
+            live[:] = [i for i in live if rows[i][1] >= y0]
+        at = next((i for i in (live if mid >= y0 else range(len(rows))) if rows[i][0] <= mid <= rows[i][1]), None)
         if at is None:
             rows.append([y0, y1])
+            live.append(len(rows) - 1)
             return len(rows)
         rows[at] = [min(rows[at][0], y0), max(rows[at][1], y1)]
         return at + 1
 
     def step(now: dict, r: tuple) -> list[tuple]:
-        key, line, k, y0, y1 = r
+        key, line, k, y0, y1, n = r
         if rule == "extent":
-            return [(key, line, k, extent(now, y0, y1))]
+            return [(key, line, k, extent(now, y0, y1), n)]
         c = (y0 + y1) / 2
         over = {"fixed": lambda: c - now["cy"] > 0.5 * max(1, y1 - y0), "mean": lambda: c - now["cy"] > 0.55 * height, "near": lambda: abs(c - now["cy"]) > 0.6 * height}[rule]
         if not now or over():
             now |= {"row": now.get("row", 0) + 1, "cy": c, "n": 1}
+            n_left = n - 1
         else:
-            now["n"] += 1
-            now["cy"] = {"fixed": now["cy"], "mean": (now["cy"] * (now["n"] - 1) + c) / now["n"], "near": (now["cy"] + c) / 2}[rule]
-        return [(key, line, k, now["row"])]
+            n_left = n
+        if rule == "mean":
+            for now["n"] in range(now["n"] + 1, now["n"] + n_left + 1):
+                now["cy"] = (now["cy"] * (now["n"] - 1) + c) / now["n"]
+        elif rule == "near":
+            for _ in range(n_left):
+                before, now["cy"] = now["cy"], (now["cy"] + c) / 2
+                if before == now["cy"]:
+                    break
+        return [(key, line, k, now["row"], n)]
 
     at = words.withColumn("at", F.col("y0") if rule == "extent" else (F.col("y0") + F.col("y1")) / 2)
-    return scan_sorted(at.select(page, "line", "k", "y0", "y1", "at", "x0"), page, ["at", "x0", "line", "k"], f"{page} long, line long, k long, row long", lambda now, r: step(now, r[:5]), lambda now: [])
+    n = (F.col("n") if many else F.lit(1)).cast("long").alias("n")
+    out = scan_sorted(at.select(page, "line", "k", "y0", "y1", n, "at", "x0"), page, ["at", "x0", "line", "k"], f"{page} long, line long, k long, row long, n long", lambda now, r: step(now, r[:6]), lambda now: [])
+    return out if many else out.drop("n")
 
 
 def anchored_clusters(points: DataFrame, key: str, x: str, line: str, tol: float) -> DataFrame:
-    """(key, line, x, cluster): points at most ``tol`` right of the first of their cluster, whose x it is."""
+    """(key, cluster, x, lines, far): points at most ``tol`` right of the first of their cluster, whose x it is; how many lines they have, and the greatest."""
 
-    def step(now: dict, r: tuple) -> list[tuple]:
-        if not now or r[1] - now["x"] > tol:
-            now["x"] = r[1]
-            now["n"] = now.get("n", 0) + 1
-        return [(r[0], r[2], now["x"], now["n"])]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, n, held = None, 0.0, 0, []
+
+        def rows(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["key", "cluster", "x", "lines", "far"])
+
+        for batch in batches:
+            out: list[tuple] = []
+            for k, at, of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k == now and n and at - first <= tol:
+                    held.append(of)
+                    continue
+                if n:
+                    out.append((now, n, first, len(set(held)), max(held)))
+                now, first, n, held = k, at, n + 1 if k == now else 1, [of]
+            yield rows(out)
+        if n:
+            yield rows([(now, n, first, len(set(held)), max(held))])
 
-    return scan_sorted(points.select(key, F.col(x).cast("double").alias("at"), F.col(line).alias("line")), key, ["at", "line"], f"{key} long, line long, x double, cluster long", step, lambda now: [])
+    by = points.select(F.col(key).cast("long").alias("key"), F.col(x).cast("double").alias("at"), F.col(line).cast("long").alias("of"))
+    return by.repartition("key").sortWithinPartitions("key", "at").mapInArrow(run, "key long, cluster long, x double, lines long, far long").withColumnRenamed("key", key)
 
 
 def text_margin(words: DataFrame, page: str, tol: float) -> DataFrame:
     """(page, x): the leftmost start that most lines share."""
-    n = anchored_clusters(words, page, "x0", "line", tol).groupBy(page, "cluster", "x").agg(F.count_distinct("line").alias("n"))
-    return n.groupBy(page).agg(F.max(F.struct("n", (-F.col("cluster")).alias("c"), "x")).getField("x").alias("x"))
+    n = anchored_clusters(words, page, "x0", "line", tol)
+    return n.groupBy(page).agg(F.max(F.struct("lines", (-F.col("cluster")).alias("c"), "x")).getField("x").alias("x"))
 
 
 def left_edge(rows: DataFrame, page: str, tie: str, tol: int = 10) -> DataFrame:
@@ -118,7 +150,7 @@ def guide_columns(marks: DataFrame, page: str, tol: int = 10, least: int = 2) ->
 def column_bands(ranges: DataFrame, page: str, tol: float) -> DataFrame:
     """(page, cluster, x0, x1): ranges whose starts are within ``tol`` of the first are one column."""
     a = anchored_clusters(ranges, page, "x0", "x1", tol)  # the end rides as the line
-    return a.groupBy(page, "cluster").agg(F.min("x").cast("long").alias("x0"), F.max("line").alias("x1"))
+    return a.select(page, "cluster", F.col("x").cast("long").alias("x0"), F.col("far").alias("x1"))
 
 
 def clusters_1d(points: DataFrame, keys: list[str], x: str, ties: list[str], gap: int = 10, least: int = 2) -> DataFrame:
@@ -147,10 +179,13 @@ def split_widest(words: DataFrame, keys: list[str], least: float) -> DataFrame:
 
 def split_panel(words: DataFrame, panel: str, line: str, times: float = 1.2) -> DataFrame:
     """(panel, line, label, value): a panel cut at each line's widest gap, where every line of it has one of ``times`` its height."""
-    w = words.withColumn("gap", F.col("x0") - F.lag("x1").over(Window.partitionBy(panel, line).orderBy("k")))
-    wide = w.groupBy(panel, line).agg(F.coalesce(F.max("gap") >= times * F.max(F.col("y1") - F.col("y0")), F.lit(False)).alias("wide"))
-    every = wide.groupBy(panel).agg(F.bool_and("wide").alias("every")).where("every").select(panel)
-    return split_widest(words.join(every, panel, "left_semi"), [panel, line], 0)
+    one = Window.partitionBy(panel, line)
+    w = words.select(panel, line, "k", "text", "x0", "x1", (F.col("y1") - F.col("y0")).alias("tall")).repartition(panel)  # one shuffle and one order serve all that follows
+    w = w.withColumn("gap", F.col("x0") - F.lag("x1").over(one.orderBy("k"))).drop("x0", "x1")
+    w = w.withColumns({"cut": F.max(F.struct("gap", "k")).over(one), "wide": F.coalesce(F.max("gap").over(one) >= times * F.max("tall").over(one), F.lit(False))})
+    w = w.withColumn("every", F.bool_and("wide").over(Window.partitionBy(panel))).where("every AND cut.gap >= 0")
+    told = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("k", "text")))), lambda x: x["text"]), " ")
+    return w.groupBy(panel, line).agg(told(F.col("k") < F.col("cut.k")).alias("label"), told(F.col("k") >= F.col("cut.k")).alias("value"))
 
 
 def property_block(fields: DataFrame, page: str, first: int = 12, least: int = 2, wide: int = 10) -> DataFrame:
@@ -226,11 +261,15 @@ def blank_corridors(words: DataFrame, page: str, bin_: int = 10, least_rows: int
     """(page, start, end): runs of x-bins that are blank in every line that reaches past them, at least ``least`` wide."""
     ends = words.groupBy(page, "line").agg(F.max("x1").alias("e"))
     rows = ends.groupBy(page).agg(F.count(F.lit(1)).alias("n"), F.min("e").alias("short")).where(F.col("n") >= least_rows)
-    taken = words.select(page, F.explode(F.sequence(F.floor(F.col("x0") / bin_), F.floor((F.col("x1") - 1) / bin_))).alias("b")).distinct()
-    every = rows.select(page, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("short") / bin_))).alias("b"))
-    free = every.join(taken, [page, "b"], "left_anti")
-    line = Window.partitionBy(page).orderBy("b")
-    return free.withColumn("i", F.col("b") - F.row_number().over(line)).groupBy(page, "i").agg(F.min("b").alias("start"), (F.max("b") + 1).alias("end")).where(F.col("end") - F.col("start") >= least).select(page, "start", "end")
+    rows = rows.select(page, F.floor(F.col("short") / bin_).alias("last"))
+    # from first bin to last; only those that begin within the shortest line count, so the others are told before they are sorted
+    taken = words.select(page, F.floor(F.col("x0") / bin_).alias("a"), F.floor((F.col("x1") - 1) / bin_).alias("b"))
+    within = taken.join(rows.hint("shuffle_hash"), page).where(F.col("a") <= F.col("last")).withColumn("b", F.col("b") + 1)
+    line = Window.partitionBy(page).orderBy("a", "b")
+    far = F.coalesce(F.max("b").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    before = within.select(page, "last", far.alias("start"), F.col("a").alias("end"), F.greatest("b", far).alias("far"))
+    left = before.groupBy(page, "last").agg(F.max("far").alias("start")).select(page, "start", (F.col("last") + 1).alias("end"))
+    return before.select(page, "start", "end").unionByName(left).where(F.col("end") - F.col("start") >= least)
 
 
 def cells_in_bands(words: DataFrame, bands: list[tuple[int, int]], keys: list[str], strays: bool = False) -> DataFrame:

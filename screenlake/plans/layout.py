@@ -49,9 +49,10 @@ def w05(spark, d):
 
 @query("W05b_rows_by_rule")
 def w05b(spark, d):
-    w, out = views.words(spark, d), None
+    # a line's words have one box height and top that no other line has, so they follow one another
+    w, out = views.words(spark, d).groupBy("doc", "line", "y0", "y1").agg(F.min("k").alias("k"), F.min("x0").alias("x0"), F.count(F.lit(1)).alias("n")), None
     for rule in ("fixed", "mean", "near", "extent"):
-        one = layout.rows_by_rule(w, "doc", rule, height=14.0).groupBy("doc", "row").agg(F.count(F.lit(1)).alias("n")).withColumn("rule", F.lit(rule))
+        one = layout.rows_by_rule(w, "doc", rule, height=14.0).groupBy("doc", "row").agg(F.sum("n").alias("n")).withColumn("rule", F.lit(rule))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from screenlake.functions import strings as fs
 from screenlake.functions.storage import removed, stored
-from screenlake.operators import joins, quality
+from screenlake.operators import joins, layout, quality
 from screenlake.sources import views
 
 
@@ -52,7 +52,7 @@ def test_matched_characters_are_those_of_difflib():
         assert fs.matched(a, b) == sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
 
 
-def test_words_and_console_rows_are_cut_without_a_shuffle(spark, tmp_path):
+def test_words_and_console_rows_are_cut_without_a_shuffle_of_words(spark, tmp_path):
     r = random.Random(2)
     texts = ["", " ", "a  b", None, " ".join(f"w{k}é" for k in range(100)) + "\n" + " ".join("x" * r.randint(0, 3) for _ in range(70))]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -67,4 +67,36 @@ def test_words_and_console_rows_are_cut_without_a_shuffle(spark, tmp_path):
                 at += len(w) + 1
     assert {tuple(x) for x in words.select("doc", "line", "k", "text", "x0", "x1").collect()} == want
     assert {tuple(x) for x in console.select("doc", "line", "row", "a").collect()} == rows
-    assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
+    plan = layout.split_panel(words, "doc", "line")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # of whole texts
+
+
+def test_alike_boxes_in_a_row_are_counted_as_one_by_one(spark):
+    r = random.Random(3)
+    lines = [(d, n, n * 20 + r.randint(-9, 9), 14 + r.randint(0, 12) * (d == 1), r.randint(1, 9)) for d in range(2) for n in range(60)]
+    lines = [x for k, x in enumerate(lines) if not any(x[0] == y[0] and (x[2] == y[2] or 2 * x[2] + x[3] == 2 * y[2] + y[3]) for y in lines[:k])]
+    one = spark.createDataFrame([(d, n, k, 10 * k, y, y + h) for d, n, y, h, w in lines for k in range(w)], "doc long, line long, k long, x0 long, y0 long, y1 long")
+    many = spark.createDataFrame([(d, n, 0, 0, y, y + h, w) for d, n, y, h, w in lines], "doc long, line long, k long, x0 long, y0 long, y1 long, n long")
+    for rule in ("fixed", "mean", "near", "extent"):
+        want = {(x.doc, x.row): x["count"] for x in layout.rows_by_rule(one, "doc", rule, height=14.0).groupBy("doc", "row").count().collect()}
+        assert {(x.doc, x.row): x.n for x in layout.rows_by_rule(many, "doc", rule, height=14.0).groupBy("doc", "row").agg(F.sum("n").alias("n")).collect()} == want and len(want) > 20
+
+
+def test_corridors_are_found_by_ranges(spark):
+    r = random.Random(4)
+    rows = [(d, n, x, x + r.randint(1, 40)) for d in range(30) for n in range(r.randint(1, 6)) for x in r.sample(range(0, 200, 5), r.randint(1, 4))]
+    want = set()
+    for d in range(30):
+        ends = {n: max(b for e, m, _, b in rows if (e, m) == (d, n)) for e, n, *_ in rows if e == d}
+        taken = {b for e, _, x, y in rows if e == d for b in range(x // 10, (y - 1) // 10 + 1)}
+        free = [b for b in range(min(ends.values()) // 10 + 1) if b not in taken] if len(ends) >= 3 else []
+        runs = []
+        for b in free:
+            if runs and runs[-1][1] == b:
+                runs[-1][1] = b + 1
+            else:
+                runs.append([b, b + 1])
+        want |= {(d, a, b) for a, b in runs if b - a >= 2}
+    found = layout.blank_corridors(spark.createDataFrame(rows, "doc long, line long, x0 long, x1 long"), "doc", least=2)
+    assert {tuple(x) for x in found.collect()} == want and want
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no row a bin
