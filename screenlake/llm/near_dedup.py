@@ -32,6 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from screenlake.functions.batches import small_batches
 from screenlake.functions.graph import components
 from screenlake.functions.storage import stored
 from screenlake.llm.text import U, WordHashes, gram_hashes, mixed, plain_words, row_key
@@ -131,13 +132,14 @@ def _reach(left: np.ndarray, right: np.ndarray, threshold: float) -> bool:
 
 def _similar(threshold: float, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, press = WordHashes(), zstandard.ZstdDecompressor()
+        last, right = None, None
         for batch in batches:
-            keep, last, left = [], None, None
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary()), strict=True):
-                if a != last:
-                    last, left = a, units(plain_words(x.as_py()), hashes, size)
-                keep.append(_reach(left, units(plain_words(y.as_py()), hashes, size), threshold))
+            keep = []
+            for b, x, y in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if b != last:
+                    last, right = b, units(plain_words(press.decompress(y.as_py())), hashes, size)
+                keep.append(_reach(units(plain_words(press.decompress(x.as_py())), hashes, size), right, threshold))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -229,14 +231,18 @@ def _across(texts: DataFrame, nodes: DataFrame, buckets: DataFrame, group: DataF
     live = live.withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     live = stored(live.select("node", "comp", F.xxhash64("band", "key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), side.alias("side"), "band"), "live")
-    zipped = texts.join(live.select("node").distinct().hint("merge"), "node").select("node", "text").mapInArrow(_zipped, "node binary, text binary")
-    full = stored(zipped.join(nodes.select("node", "marks"), "node"), "zipped")
+    full = stored(texts.join(live.select("node").distinct().hint("merge"), "node").join(nodes.select("node", "marks"), "node"), "zipped")
     met = live.join(full.hint("merge"), "node").select("g", "node", "comp", "side", "band", "marks", "text")
     return met.repartition("g").sortWithinPartitions("g").mapInArrow(_compared(width, threshold, size), "a binary, b binary")
 
 
-def near_links(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4, size: int = 5, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_links(docs: DataFrame, **params) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(made, links, group): made has rid, tag and node, a hash of its words, of every row; links has verified pairs a < b of nodes; group (id, component) has the nodes with links."""
+    with small_batches(docs.sparkSession):  # all that goes through Python is stored before this returns
+        return _near_links(docs, **params)
+
+
+def _near_links(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4, size: int = 5, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
     cut = docs.select(*row_key(docs, id_col, text_col), F.col(text_col).cast("string").alias("text"))
     made = stored(cut.mapInArrow(_sketches(bands * rows, rows, size), "rid long, tag long, node binary, keys array<long>, marks binary, units long"), "sketches")
     nodes = stored(made.where("node is not null").groupBy("node").agg(F.min(F.struct("rid", "tag")).alias("of"), *(F.any_value(c).alias(c) for c in ("keys", "marks", "units"))), "nodes")
@@ -246,10 +252,11 @@ def near_links(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: i
     pairs = stored(spread.join(heads, ["band", "key"]).select("node", F.explode(F.array("low", "high")).alias("head")).where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
     needed = pairs.selectExpr("explode(array(a, b)) node").distinct().join(nodes, "node").selectExpr("node", "of.rid", "of.tag")
     # a merge join at every size: the ids in pairs have no bound
-    texts = stored(cut.join(needed.hint("merge"), ["rid", "tag"]).groupBy("node").agg(F.any_value("text").alias("text")), "texts")
+    one = cut.join(needed.hint("merge"), ["rid", "tag"]).groupBy("node").agg(F.any_value("text").alias("text"))
+    texts = stored(one.mapInArrow(_zipped, "node binary, text binary"), "texts")
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")  # mostly sorted by b
     links = stored(both.mapInArrow(_similar(threshold, size), "a binary, b binary"), "links")
     group = stored(components(links), "group")
     buckets = spread.join(heads.where("n > 3").select("band", "key"), ["band", "key"])  # in smaller ones the heads meet all

@@ -10,6 +10,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from screenlake.functions.batches import NAME, small_batches
 from screenlake.llm import chat, decontaminate, language, lm_score, mixing, near_dedup, quality, queries, repeats, sharding, toxicity
 from screenlake.llm.text import WordHashes, folded_words, plain_words
 
@@ -659,3 +660,19 @@ def test_quality_limits_come_from_every_good_row(spark):
         for k, (low, high) in enumerate(limits, 1):
             assert abs(low / 0.98 - np.quantile(near[:, k], 0.001)) < 2e-5 and abs(high / 1.02 - np.quantile(near[:, k], 0.999)) < 2e-5
     assert "most_rows" not in inspect.signature(quality.learn).parameters
+
+
+def test_near_duplicates_meet_in_small_batches(spark):
+    before = spark.conf.get(NAME)
+
+    def rows(batches):
+        import pyarrow as pa  # a worker does not know this module
+
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"]) for b in batches)
+
+    with small_batches(spark, 1):
+        many = spark.range(2000).selectExpr("repeat('x', 2000) AS t").coalesce(1).mapInArrow(rows, "n long").collect()
+    assert spark.conf.get(NAME) == before and len(many) >= 4 and sum(r.n for r in many) == 2000
+    docs = spark.createDataFrame([(k, words(300, k // 2) + (" more" if k % 2 else "")) for k in range(20)], "doc_id long, text string")
+    assert {r.rid: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == {k: k - k % 2 for k in range(20)}
+    assert spark.conf.get(NAME) == before
