@@ -71,6 +71,47 @@ def test_same_things_against_all_pairs(spark):
     assert sm.same_things(spark.createDataFrame([], sm.WINDOWS)).count() == 0
 
 
+def test_classes_of_same_things_against_all_pairs(spark):
+    """One row a window: classes are those of all pairs, in groups that fall into many classes and in one of copies, and pairs are not told."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    out = []
+    for k in range(600):
+        kind = r.choice(["list", "list", "note", "tree", "words"])
+        pool = [word() for _ in range(40)] if r.random() < 0.8 else [f"name{x}" for x in range(30)]
+        text = " ".join(r.choices(pool, k=r.randint(0, 30)))
+        names = r.sample(pool, r.choice([0, 3, 5, 12]))
+        out.append(window(k, f"g{k % 3}", kind, names or r.choice([None, []]), r.choice([None, [word(), word(), "pdf 3"], ["pdf 3", "doc 4"]]), r.choice([None, word() + word()]), r.choice([None, True, False]), r.choice([None, [1], [2, 3], [k]]), r.choice([None, [word()], ["x"]]), r.choice([None, 1, 4]), r.choice([text, out[-1][10] + "x" if out else ""])))
+    out += [window(1000 + k, "copies", "list", ["a", "b", "c", "d"], ["doc 1"], "Folder", False, [1]) for k in range(300)]
+    group = {w[0]: w[0] for w in out}
+    for a, b in itertools.combinations(out, 2):
+        if group[a[0]] != group[b[0]] and reason(a, b):
+            old, new = max(group[a[0]], group[b[0]]), min(group[a[0]], group[b[0]])
+            group = {k: new if v == old else v for k, v in group.items()}
+    got = {x.id: x.class_id for x in sm.same_classes(spark.createDataFrame(out, sm.WINDOWS)).collect()}
+    assert got == group and 30 < len(set(group.values())) < 600
+
+
+def test_alike_texts_in_blocks(spark):
+    r = random.Random(4)
+    base = ["".join(r.choice("abcdefghij") for _ in range(60)) for _ in range(12)]
+    texts = [(k, "g", k % 3, k, t if r.random() < 0.2 else "".join(c for c in t if r.random() < 0.9)) for k in range(80) for t in [r.choice(base)]]
+    found = sm._text_links(spark.createDataFrame(texts, "id long, grp string, slot int, c long, fold string"), 0.8, block=16).collect()
+    joined = lambda pairs: {frozenset(x) for x in _joined(80, pairs)}
+    want = [(a[0], b[0]) for a, b in itertools.combinations(texts, 2) if abs(a[2] - b[2]) <= 1 and ratio(a[4], b[4]) >= 0.8]
+    assert joined([(x.a, x.b) for x in found]) == joined(want) and all(max(sm.common_letters(a[4], [b[4]])[0] * 2 / (len(a[4]) + len(b[4])), 0) >= ratio(a[4], b[4]) for a, b in itertools.combinations(texts, 2))
+
+
+def _joined(n, pairs):
+    sets = [{k} for k in range(n)]
+    for a, b in pairs:
+        x, y = (next(s for s in sets if k in s) for k in (a, b))
+        if x is not y:
+            x |= y
+            sets.remove(y)
+    return sets
+
+
 def test_a_name_of_a_third_of_the_lists_gives_no_square(spark):
     """Lists of ten own names and one that all hold: nothing but the rarest names asks, so no pair is met."""
     rows = [(k, "g", [f"n{k}_{j}" for j in range(10)] + ["everywhere"]) for k in range(300)]
