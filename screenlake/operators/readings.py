@@ -24,7 +24,7 @@ def reconciled(rows: DataFrame, primary: str, second: str) -> DataFrame:
     """
     said = rows.withColumns({"_p": fs.tidy(F.col(primary)), "_s": fs.tidy(F.col(second))}).withColumns({"_lp": fs.letters(F.col("_p")), "_ls": fs.letters(F.col("_s"))})
     open_, same = (F.col("_p") != F.col("_s")) & (F.col("_s") != ""), F.col("_lp") == F.col("_ls")
-    said = said.withColumn("_m", F.when(open_ & same, fs.merged_readings(F.col("_p"), F.col("_s"))))
+    said = said.withColumn("_m", fs.merged_readings(*(F.when(open_ & same, F.col(c)) for c in ("_p", "_s"))))
     said = said.withColumn("_g", F.when(open_ & ~same & (F.length("_lp") == F.length("_ls")), fs.only_lookalikes(F.col("_lp"), F.col("_ls"))))
     rest = open_ & ~same & ~F.coalesce("_g", F.lit(False))
     said = fs.agreed_head(said.withColumns({"_a": F.when(rest, F.col("_p")), "_b": F.when(rest, F.col("_s"))}), "_a", "_b", "_h")

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from screenlake.functions import strings as fs
 from screenlake.operators import near_names as nn
@@ -134,3 +135,33 @@ def test_agreed_head_marks_what_is_cut(spark):
     df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "k int, a string, b string")
     got = {r.k: tuple(r.h) if r.h else None for r in fs.agreed_head(df, "a", "b", "h").collect()}
     assert got == {k: want for k, (_, _, want) in enumerate(cases)}
+
+
+def test_readings_are_merged_as_by_a_walk(spark):
+    """A batch of readings at once, with marks of several bytes, the characters 1 and 0 in a text, rows without letters and nulls."""
+    import random
+
+    def merged(a, b):
+        gaps = lambda t: re.split("[A-Za-z0-9]", t)
+        x, y = re.sub("[^A-Za-z0-9]", "", a), re.sub("[^A-Za-z0-9]", "", b)
+        if x != y:
+            return None
+        g = list(zip(gaps(a), gaps(b), strict=True))
+        return "".join((p if len(p) >= len(q) else q) + c for (p, q), c in zip(g, [*x, ""], strict=True)), sum(p != q and len(p) == len(q) for p, q in g)
+
+    r = random.Random(1)
+    some = lambda t: "".join(c + r.choice(["", "", " ", ". ", "…", "é", "\u0001", "\n", "字–"]) for c in t)
+    rows = [(k, some(t), some(t if r.random() < 0.8 else t + "x")) for k in range(400) for t in ["".join(r.choice("abZ09") for _ in range(r.randint(0, 12)))]]
+    rows += [(400, None, "a"), (401, "a", None), (402, "", ""), (403, "…", "-"), (404, "a\u0001b", "a\u0001b")]
+    df = spark.createDataFrame(rows, "k long, a string, b string").select("k", fs.merged_readings(F.col("a"), F.col("b")).alias("m"))
+    got = {x.k: x.m and tuple(x.m) for x in df.collect()}
+    assert got == {k: None if a is None or b is None else merged(a, b) for k, a, b in rows} and got[404] == ("a\u0001b", 0)
+
+
+def test_lookalikes_character_by_character(spark):
+    import itertools
+
+    alike = lambda x, y: x == y or any(x in g and y in g for g in fs.HOMOGLYPHS)
+    words = ["".join(w) for w in itertools.product("Il1|i0Oay", repeat=2)] + ["a", "", "aI1"]
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string").withColumn("like", fs.only_lookalikes(F.col("a"), F.col("b")))
+    assert all(x.like == (len(x.a) == len(x.b) and x.a != x.b and all(map(alike, x.a, x.b))) for x in df.collect())
