@@ -389,3 +389,9 @@ def test_carried_words_against_all_pairs(spark):
     told = joins.carried_words(spark.createDataFrame(rows, "video long, t long, id long, x0 long, y0 long, x1 long, y1 long, words string"), "video", 25)
     assert {tuple(x) for x in told.collect()} == want and len(want) > 20
     assert "Join" not in told._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_headings_are_told_without_a_shuffle(spark, sf):
+    from screenlake.plans import catalog
+
+    assert "Exchange" not in catalog.QUERIES["F17_heading_words"](spark, sf)._jdf.queryExecution().toString()
