@@ -345,11 +345,37 @@ def one_table(words: DataFrame, page: str, x: int, least: int = 5, share: float
 
 
 def uncovered_tiles(rects: DataFrame, key: str, w: int, least: int = 1) -> DataFrame:
-    """(key, y0, y1, x0, x1): the free x spans of the bands that all windows' edges cut a frame into."""
-    edges = rects.select(key, F.explode(F.array("y0", "y1")).alias("y")).distinct()
-    bands = edges.withColumn("y1", F.lead("y").over(Window.partitionBy(key).orderBy("y"))).where("y1 is not null").withColumnRenamed("y", "y0")
-    inside = bands.alias("b").join(rects.alias("r"), (F.col(f"b.{key}") == F.col(f"r.{key}")) & (F.col("r.y0") < F.col("b.y1")) & (F.col("r.y1") > F.col("b.y0"))).select(f"b.{key}", "b.y0", "b.y1", F.col("r.x0").alias("a"), F.col("r.x1").alias("b"))
-    return free_spans(inside, [key, "y0", "y1"], 0, w, least).select(key, "y0", "y1", F.col("start").alias("x0"), F.col("end").alias("x1"))
+    """(key, y0, y1, x0, x1): the free x spans of the bands that all windows' edges cut a frame into.
+
+    A frame is one fold over its rectangles in order of x, so bands are not dealt out; no rows come of a band that no rectangle covers.
+    """
+    null = -(1 << 62)  # sorts first, as null does
+
+    def free(spans: list[tuple]) -> list[tuple[int, int]]:
+        parts: list[list[int]] = []
+        far = null
+        for a, b in spans:
+            if far == null or a == null or a > far:
+                parts.append([a, b])
+            else:
+                parts[-1] = [min(parts[-1][0], a) if parts[-1][0] != null else a, max(parts[-1][1], b)]
+            far = max(far, b)
+        out, before = [], 0
+        for a, b in sorted(parts):
+            if a != null:
+                out.append((before, a))
+            before = 0 if b == null else b
+        return [x for x in [*out, *([(far, w)] if far != null else [])] if x[1] - x[0] >= least]
+
+    def fold(rows: list[tuple]) -> list[tuple]:
+        ys = sorted({y for r in rows for y in r[3:5]})
+        return [(rows[0][0], y0, y1, *x) for y0, y1 in zip(ys, ys[1:], strict=False) for x in free([r[1:3] for r in rows if r[3] < y1 and r[4] > y0])]
+
+    kind = rects.schema[key].dataType.simpleString()
+    known = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(null)).alias(c)
+    edge = lambda c, other: F.coalesce(c, other).cast("long").alias(c)
+    boxes = rects.where("coalesce(y0, y1) IS NOT NULL").select(key, known("x0"), known("x1"), edge("y0", "y1"), edge("y1", "y0"))
+    return fold_sorted(boxes, key, ["x0", "x1"], f"{key} {kind}, y0 long, y1 long, x0 long, x1 long", fold)
 
 
 def prompts(lines: DataFrame, page: str, marks: str = "%$>#") -> DataFrame:

@@ -395,3 +395,15 @@ def test_headings_are_told_without_a_shuffle(spark, sf):
     from screenlake.plans import catalog
 
     assert "Exchange" not in catalog.QUERIES["F17_heading_words"](spark, sf)._jdf.queryExecution().toString()
+
+
+def test_tiles_of_a_frame_are_one_fold(spark, sf):
+    """An edge counts though the other is unknown, a span of unknown ends frees nothing, and rectangles are dealt out once, not by band."""
+    from screenlake.operators import layout
+    from screenlake.plans import catalog
+
+    rects = [(1, 5, 0, 10, 10), (1, 0, 4, 1, None), (1, None, 0, None, 10), (2, 0, 0, 20, 5)]
+    got = layout.uncovered_tiles(spark.createDataFrame(rects, "frame long, x0 long, y0 long, x1 long, y1 long"), "frame", 20).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 4, 0, 5), (1, 0, 4, 10, 20), (1, 4, 10, 0, 5), (1, 4, 10, 10, 20)]
+    plan = catalog.QUERIES["W26_residual_tiles"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
