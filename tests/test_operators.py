@@ -218,6 +218,12 @@ def test_mended_lines_grow_until_none_does(spark):
     assert got[1].endswith("nine ten") and set(got) == {1, 2, 3}
 
 
+def test_mended_lines_do_not_feed_each_other(spark):
+    rows = [(1, 0, "one two three four five six idiot and idiot end"), (2, 0, "one two three four five six and idiot and end"), (3, 0, " ".join(f"w{k}" for k in range(40)))]
+    got = {r.doc: r.text for r in repair.mended_lines(spark.createDataFrame(rows, "doc long, line int, text string")).collect()}
+    assert got[3] == rows[2][2] and all(len(rows[d - 1][2]) < len(got[d]) and len(got[d].split(" ")) <= 12 for d in (1, 2)), got
+
+
 def test_lines_that_cannot_agree_ship_no_texts(spark, monkeypatch):
     near, keep = [], repair.stored
 
