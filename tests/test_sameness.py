@@ -265,3 +265,16 @@ def test_longest_tails_of_two_documents(spark):
     assert {(x.piece, x.n) for x in got if x.piece in pieces} == want and len({(x.piece, x.doc) for x in got}) == len(got)
     plan = substrings.longest_after(spark.createDataFrame([("abcab",)], "piece string"), spark.createDataFrame(texts, "doc long, text string"), 5, 3, 20)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan  # texts are not fetched for what meets
+
+
+def test_places_of_texts_do_not_travel(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab") for _ in range(r.randint(8, 600))) for _ in range(60)]
+    needles = sorted({t[:n] for t in texts[:30] for n in (8, 17, 300) if len(t) >= n} | {t[5:n] for t in texts[:9] for n in (40, 500) if len(t) >= n})
+    rows = lambda x, c: spark.createDataFrame([(v,) for v in x], f"{c} string")
+    found = substrings.occurrences(rows(needles, "needle"), rows(texts, "text"), 8, [], True)
+    want = {(n, t, 0) for n in needles for t in texts if t.startswith(n)}
+    assert sorted((x.needle, x.text, x.at) for x in found.collect()) == sorted(want) and len(want) > 60
+    anywhere = substrings.occurrences(rows(needles, "needle"), rows(texts, "text"), 8)
+    assert {(x.needle, x.text, x.at) for x in anywhere.collect()} == {(n, t, k) for n in needles for t in set(texts) for k in range(len(t)) if t.startswith(n, k)}
+    assert "Generate" not in anywhere._jdf.queryExecution().optimizedPlan().toString()
