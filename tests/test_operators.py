@@ -324,6 +324,24 @@ def test_fragment_owner_by_containment(spark):
     assert {(r.frag, r.owner) for r in repair.fragment_owner(f, w, least=2).collect()} == {(1, "7")}
 
 
+def test_fragment_owner_does_not_pair_by_common_lines(spark, monkeypatch):
+    r = random.Random(2)
+    docs = {d: [f"verycommonline{k}" for k in range(2) if r.random() < 0.9] + [f"line{r.randrange(60):02d}of the rest" for _ in range(3)] for d in range(120)}
+    docs |= {1000: ["verycommonline0", "only here and there"], 1001: ["verycommonline0", "xx only here and there yy"]}
+    rows, sizes, keep = [(d, t) for d, ts in docs.items() for t in ts], {}, repair.stored
+    monkeypatch.setattr(repair, "stored", lambda df, name: (out := keep(df, name), sizes.update({name: out.count()}))[0])
+    df = spark.createDataFrame(rows, "d long, fold string")
+    for least in (2, 3):
+        got = {x.frag: x.owner for x in repair.fragment_owner(df.where("d % 2 = 1").withColumnRenamed("d", "frag"), df.where("d % 2 = 0").withColumnRenamed("d", "win"), least=least).collect()}
+        want = {}
+        for a in (d for d in docs if d % 2):
+            n = sorted((-sum(any(x == y or len(x) >= 10 and x in y or len(y) >= 10 and y in x for y in docs[b]) for x in set(docs[a])), b) for b in docs if not b % 2)
+            if -n[0][0] >= least:
+                want[a] = "several" if -n[1][0] >= least else str(n[0][1])
+        assert got == want and got
+        assert sizes["settled"] > 20 and sizes["shown"] < 60 * 62
+
+
 def test_titles_one_letter_off_and_held(spark):
     t = spark.createDataFrame([(1, 0, "operatlons"), (1, 0, "unlike"), (1, 0, "invoice")], "video long, t long, key string")
     known = spark.createDataFrame([("operations",), ("invoice",), ("invoicd",), ("My Operations Review",), ("operations review long",)], "key string")
