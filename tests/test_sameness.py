@@ -278,3 +278,27 @@ def test_places_of_texts_do_not_travel(spark):
     anywhere = substrings.occurrences(rows(needles, "needle"), rows(texts, "text"), 8)
     assert {(x.needle, x.text, x.at) for x in anywhere.collect()} == {(n, t, k) for n in needles for t in set(texts) for k in range(len(t)) if t.startswith(n, k)}
     assert "Generate" not in anywhere._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_of_lines_are_not_all_held():
+    import tracemalloc
+
+    r = random.Random(8)
+    both = lambda x, y: [(max(a, c), min(b, d)) for a, b in x for c, d in y if min(b, d) - max(a, c) >= 3]
+    for _ in range(60):
+        blank = [sorted((a, a + r.randint(3, 20)) for a in r.sample(range(0, 90, 30), r.randint(0, 3))) for _ in range(r.randint(1, 25))]
+        every, used, want = [], set(), []
+        for i in range(len(blank)):
+            left = blank[i]
+            for j in range(i + 1, len(blank)):
+                left = both(left, blank[j])
+                if left and j - i >= 2:
+                    every.append((-len(left), i - j, i, j, left))
+        for _, _, i, j, left in sorted(every):
+            if used.isdisjoint(range(i, j + 1)):
+                used.update(range(i, j + 1))
+                want.append((i, j, left))
+        assert sm.best_runs(blank, both, 3) == want
+    tracemalloc.start()
+    assert len(sm.best_runs([[(0, 50), (60, 90)]] * 900, both, 3)) == 1 and tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
