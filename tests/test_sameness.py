@@ -302,3 +302,21 @@ def test_runs_of_lines_are_not_all_held():
     tracemalloc.start()
     assert len(sm.best_runs([[(0, 50), (60, 90)]] * 900, both, 3)) == 1 and tracemalloc.get_traced_memory()[1] < 5_000_000
     tracemalloc.stop()
+
+
+def test_chains_are_found_without_walking_the_matches():
+    r = random.Random(6)
+    for _ in range(1500):
+        rows = [(k, [(sorted(r.sample(range(14), r.randint(1, 5))), span) for span in r.sample([0, 1], r.randint(0, 2))]) for k in range(r.randint(1, 6))]
+        matches = [(k, p, p + span) for k, lists in rows for starts, span in lists for p in starts]
+        assert sm.chain_of(rows) == (sm.chain(matches) if matches else []), rows
+
+    class Counted(list):
+        asked = 0
+
+        def __getitem__(self, k):
+            Counted.asked += 1
+            return super().__getitem__(k)
+
+    many = Counted(range(100_000))
+    assert sm.chain_of([(k, [(many, 0)]) for k in range(9)]) == [(k, k, k) for k in range(9)] and Counted.asked < 10_000
